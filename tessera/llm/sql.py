@@ -31,6 +31,34 @@ SQL = {
                CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256,
                coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.words) AS contaminated
         FROM dw d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id""",
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        w AS (
+          SELECT doc_id, p, md5(array_to_string(words[p:p + 49], ' ')) AS h
+          FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS p FROM d WHERE len(words) >= 50) t),
+        f AS (SELECT h, min(doc_id) AS least FROM w GROUP BY h),
+        gone AS (
+          SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS q FROM (SELECT w.doc_id, w.p FROM w JOIN f ON w.h = f.h WHERE f.least < w.doc_id) t),
+        each AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS q FROM d WHERE len(words) > 0),
+        kept AS (
+          SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.q) AS text FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.q = g.q WHERE g.q IS NULL GROUP BY e.doc_id),
+        lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(l.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM d LEFT JOIN lost l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op10_near_dedup": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS sh
+          FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 4))) AS p FROM d WHERE len(words) > 0) t),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT DISTINCT x AS doc_id, x AS seen FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.seen = e.x),
+        c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id""",
     "op6_mixing": r"""
         WITH RECURSIVE r AS (
           SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
