@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, langid, mixing, near_dedup, quality, substring_dedup
+from tessera.llm import decontaminate, exact_dedup, langid, mixing, near_dedup, quality, quotes, substring_dedup, warc
 from tessera.llm.sql import SQL  # noqa: F401
 
 
@@ -37,10 +37,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_mixing": op6_mixing,
+    "op7_quotes": op7_quotes,
     "op8_langid": op8_langid,
+    "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
 }

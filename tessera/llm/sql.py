@@ -45,6 +45,17 @@ SQL = {
         lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(l.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM d LEFT JOIN lost l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        part AS (SELECT page_id, k, CAST('0x' || substr(hex, 5 * k + 1, 5) AS INTEGER) AS v FROM p, (SELECT unnest(generate_series(0, 7)) AS k) t),
+        code AS (
+          SELECT page_id, string_agg(substr(a, 1 + (v >> 15) % 32, 1) || substr(a, 1 + (v >> 10) % 32, 1) || substr(a, 1 + (v >> 5) % 32, 1) || substr(a, 1 + v % 32, 1), '' ORDER BY k) AS digest
+          FROM (SELECT *, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a FROM part) t GROUP BY page_id),
+        f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+        SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, c.digest AS payload_digest,
+               CASE WHEN p.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN p.page_id <> f.first_id THEN f.first_id END AS refers_to
+        FROM p JOIN code c ON p.page_id = c.page_id JOIN f ON p.html = f.html""",
     "op10_near_dedup": r"""
         WITH RECURSIVE d AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
