@@ -1,8 +1,54 @@
-"""Corpus pipeline: quality classifier, exact dedup, near-dedup, decontamination, source mixing."""
+"""Corpus pipeline over documents: each stage works on all rows that the one before kept.
 
-STAGES: list = []
+1. quality     documents that the quality classifier rejects go
+2. exact       one row of each text stays
+3. near        one document of each near-duplicate group stays
+4. benchmark   contaminated documents go
+5. mix         the sources are dealt out to their target weights
+
+All stages but the last return the columns of documents. Each stage is written as Parquet and read again by the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
+from tessera.llm.staging import staged
+
+#: The classifier is trained, and its decisions are final; SQL can't express that stage.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.drop_poor(docs, _table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixture(docs)
+
+
+STAGES = [("quality", keep_good), ("exact", drop_copies), ("near", drop_near_copies), ("benchmark", drop_contaminated), ("mix", mix)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
