@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tessera.plans import information
+
+QUERIES: dict = dict(information.QUERIES)
+SQL: dict[str, str] = dict(information.SQL)
