@@ -9,7 +9,8 @@ reaches the threshold falls below MISS. Survivors are verified exactly on their
 Buckets are never expanded into all pairs. Each member is first held against its bucket's least member. Linked classes
 are merged, and only buckets that still hold several components go on: members outside the largest component meet the
 members of other components, in small buckets by a join, in large ones block by block inside tasks that give back only
-survivors. A link between two components of a bucket has an end outside the largest one, so no link is lost by this.
+true links; a pair is taken up in the first band that it shares. A link between two components of a bucket has an end
+outside the largest one, so no link is lost by this. Texts of candidates cross the network compressed.
 
 Defined cases: null and empty texts and texts without words have an empty set, are linked with nothing and stay; rows
 without doc_id are linked with nothing, stay, and have no component_id; rows of one doc_id are one node; repeated rows
@@ -35,7 +36,7 @@ from tessera.llm.staging import staged
 
 SHINGLE, HASHES, ROWS, BATCH = 5, 128, 4, 16
 PERCENT, MISS = 75, 1e-6
-SMALL_BUCKET, SIDE = 48, 256
+SMALL_BUCKET, SIDE = 48, 512
 PROFILE = "doc_id long, n_shingles long, set_id binary, signature binary"
 
 
@@ -93,12 +94,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = at.mix(np.arange(1, HASHES // ROWS + 1, dtype=np.uint64))
+    count = HASHES // ROWS
+    salt = at.mix(np.arange(1, count + 1, dtype=np.uint64))
     for batch in batches:
         if batch.num_rows:
             buf, _ = at.raw(batch.column(1))
             keys = at.mix(buf.view(np.uint64).reshape(batch.num_rows, -1) ^ salt)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])), pa.array(keys.ravel().view(np.int64))], names=["node", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(count, dtype=np.int32), batch.num_rows))], names=["node", "band", "band_no"])
 
 
 @lru_cache(maxsize=8)
@@ -143,18 +145,53 @@ def _surviving(percent: int, miss: float):
 def _blockwise(percent: int, miss: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         marks, node, comp = _matrix(rows["signature"]), rows["node"].to_numpy(), rows["comp"].to_numpy()
-        x, y = np.flatnonzero(rows["outside"].to_numpy()), np.flatnonzero(~rows["outside"].to_numpy())
-        found = []
+        bands = marks.view(np.uint64)
+        own = int(rows["band_no"].iloc[0])
+        outside = rows["outside"].to_numpy()
+        x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+        left, right = [], []
         for i in x:
             other = y[comp[y] != comp[i]]
+            other = other[~(bands[other, :own] == bands[i, :own]).any(axis=1)]  # those met in an earlier band
             hit = other[likely(np.broadcast_to(marks[i], (len(other), HASHES)), marks[other], percent, miss)]
-            found.append(np.stack([np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            left.append(np.full(len(hit), i))
+            right.append(hit)
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+        if len(a):
+            keep = _reach(rows["packed"].array, a, b, percent)
+            a, b = a[keep], b[keep]
+        return pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
     return run
 
 
+def _reach(texts: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of row numbers reach the threshold on their full sets; all pairs of a block by products of incidences."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    used = np.unique(np.concatenate([a, b]))
+    raw = [open_(texts[k]) for k in used]
+    hashes, ptr = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64))
+    owner, sizes = at.row_of(ptr), np.diff(ptr)
+    _, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    number, owner = np.unique(number[shared], return_inverse=True)[1], owner[shared]
+    rows_a, rows_b = np.unique(a), np.unique(b)
+    at_a, at_b = np.full(len(used), -1), np.full(len(used), -1)
+    at_a[np.searchsorted(used, rows_a)], at_b[np.searchsorted(used, rows_b)] = np.arange(len(rows_a)), np.arange(len(rows_b))
+    common = np.zeros((len(rows_a), len(rows_b)), np.float32)
+    for begin in range(0, int(number.max(initial=-1)) + 1, 4096):
+        part = (number >= begin) & (number < begin + 4096)
+        column, row = number[part] - begin, owner[part]
+        left, right = np.zeros((len(rows_a), 4096), np.float32), np.zeros((len(rows_b), 4096), np.float32)
+        on_a, on_b = at_a[row] >= 0, at_b[row] >= 0
+        left[at_a[row][on_a], column[on_a]] = 1
+        right[at_b[row][on_b], column[on_b]] = 1
+        common += left @ right.T
+    ia, ib = np.searchsorted(used, a), np.searchsorted(used, b)
+    got = common[at_a[ia], at_b[ib]].astype(np.int64)
+    return 100 * got >= percent * (sizes[ia] + sizes[ib] - got)
+
+
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compresses the second column, so that texts cross the network small."""
     press = zstandard.ZstdCompressor(level=1)
@@ -193,19 +230,20 @@ def _exact(percent: int):
     return run
 
 
-def linked(docs: DataFrame, classes: DataFrame, percent: int, miss: float, pairs: DataFrame, tested: bool = False) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets reach the threshold; tested pairs have survived the sequential test."""
-    if not tested:
-        side = classes.select("node", "signature", "n_shingles")
-        both = pairs.join(side.select(F.col("node").alias("a"), F.col("signature").alias("s"), F.col("n_shingles").alias("n")), "a")
-        both = both.join(side.select(F.col("node").alias("b"), F.col("signature").alias("r"), F.col("n_shingles").alias("m")), "b")
-        both = both.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        pairs = staged(both.select("a", "b", "s", "r").mapInArrow(_surviving(percent, miss), "a long, b long"), "likely")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and compressed text of the wanted nodes; both sides are shuffled, since their number grows with the data."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "doc_id long, packed binary")
-    texts = texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("packed").alias("packed"))
-    texts = staged(texts, "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("r")), "b")
+    return staged(texts.join(nodes.hint("merge"), F.col("doc_id") == F.col("node")).groupBy("node").agg(F.first("packed").alias("packed")), "texts")
+
+
+def linked(texts: DataFrame, classes: DataFrame, percent: int, miss: float, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class ids whose full sets reach the threshold: first the sequential test, then the exact one."""
+    side = classes.select("node", "signature", "n_shingles")
+    both = pairs.join(side.select(F.col("node").alias("a"), F.col("signature").alias("s"), F.col("n_shingles").alias("n")), "a")
+    both = both.join(side.select(F.col("node").alias("b"), F.col("signature").alias("r"), F.col("n_shingles").alias("m")), "b")
+    both = both.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    pairs = staged(both.select("a", "b", "s", "r").mapInArrow(_surviving(percent, miss), "a long, b long"), "likely")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("r")), "b")
     return staged(both.select("a", "b", "s", "r").mapInArrow(_exact(percent), "a long, b long"), "links")
 
 
@@ -215,32 +253,34 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> D
     usable = profiles.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = staged(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
 
-    bands = classes.select("node", "signature").mapInArrow(_bands, "node long, band long")
+    bands = classes.select("node", "signature").mapInArrow(_bands, "node long, band long, band_no int")
     full = bands.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
     members = staged(bands.join(full, "band"), "members")
     first = members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    edges = linked(docs, classes, percent, miss, first)
+    texts = candidate_texts(docs, members.select("node").distinct())
+    edges = linked(texts, classes, percent, miss, first)
     comps = staged(components(edges), "components")
 
-    held = members.join(comps.select(F.col("node").alias("c_node"), "comp"), F.col("node") == F.col("c_node"), "left").select("band", "node", "least", "size", F.coalesce("comp", "node").alias("comp"))
+    held = members.join(comps.select(F.col("node").alias("c_node"), "comp"), F.col("node") == F.col("c_node"), "left").select("band", "band_no", "node", "least", "size", F.coalesce("comp", "node").alias("comp"))
     parts = held.groupBy("band", "comp").agg(F.count("*").alias("in_comp"))
     open_ = parts.groupBy("band").agg(F.count("*").alias("n_comps"), F.max(F.struct("in_comp", "comp")).alias("top"), F.sum("in_comp").alias("m")).filter("n_comps > 1")
     open_ = open_.select("band", F.col("top.comp").alias("top"), (F.col("m") - F.col("top.in_comp")).alias("n_out"))
-    rest = staged(held.join(open_, "band").select("band", "node", "least", "size", "comp", (F.col("comp") != F.col("top")).alias("outside"), "n_out"), "unresolved")
+    rest = staged(held.join(open_, "band").select("band", "band_no", "node", "least", "size", "comp", (F.col("comp") != F.col("top")).alias("outside"), "n_out"), "unresolved")
 
     small = rest.filter(F.col("size") <= SMALL_BUCKET)
     x = small.filter("outside").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"), "least")
     pairs = x.join(small.select("band", F.col("node").alias("y"), F.col("comp").alias("cy")), "band").filter("cx != cy and x != least and y != least")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = linked(docs, classes, percent, miss, pairs)
+    more = linked(texts, classes, percent, miss, pairs)
 
-    large = rest.filter(F.col("size") > SMALL_BUCKET).join(classes.select("node", "signature"), "node")
+    large = rest.filter(F.col("size") > SMALL_BUCKET).join(classes.select("node", "signature"), "node").join(texts, "node")
     xs, ys = F.ceil(F.col("n_out") / SIDE).cast("int"), F.ceil(F.col("size") / SIDE).cast("int")
     large = large.withColumns({"xs": xs, "ys": ys, "deal": F.abs(F.xxhash64("node"))})
-    left = large.filter("outside").select("band", "node", "comp", "signature", F.lit(True).alias("outside"), (F.col("deal") % F.col("xs")).cast("int").alias("bx"), F.explode(F.expr("sequence(0, ys - 1)")).alias("by"))
-    right = large.select("band", "node", "comp", "signature", F.lit(False).alias("outside"), F.explode(F.expr("sequence(0, xs - 1)")).alias("bx"), (F.col("deal") % F.col("ys")).cast("int").alias("by"))
+    own = ["band", "band_no", "node", "comp", "signature", "packed"]
+    left = large.filter("outside").select(*own, F.lit(True).alias("outside"), (F.col("deal") % F.col("xs")).cast("int").alias("bx"), F.explode(F.expr("sequence(0, ys - 1)")).alias("by"))
+    right = large.select(*own, F.lit(False).alias("outside"), F.explode(F.expr("sequence(0, xs - 1)")).alias("bx"), (F.col("deal") % F.col("ys")).cast("int").alias("by"))
     blocks = left.unionByName(right).groupBy("band", "bx", "by").applyInPandas(_blockwise(percent, miss), "a long, b long").distinct()
-    more = more.unionByName(linked(docs, classes, percent, miss, staged(blocks, "blocks"), tested=True))
+    more = more.unionByName(staged(blocks, "links"))
 
     final = components(edges.unionByName(more))
     by_set = classes.select(F.col("set_id").alias("c_set"), "node").join(final.select(F.col("node").alias("f_node"), "comp"), F.col("node") == F.col("f_node"), "left").select("c_set", F.coalesce("comp", "node").alias("comp"))
