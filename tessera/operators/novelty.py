@@ -23,7 +23,7 @@ def nearest(queries: DataFrame, reference: DataFrame, skip_same_id: bool = False
     """id, z in both -> per query id its least Euclidean distance; blocks of queries meet blocks of references."""
     n_ref, n_query = max(1, -(-reference.count() // SIDE)), max(1, -(-queries.count() // SIDE))
     q = queries.select("id", "z", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_ref - 1))).alias("rb"))
-    r = reference.select("id", "z", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).cast("long").alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_ref)).cast("int").alias("rb"))
+    r = reference.select("id", "z", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_ref)).cast("int").alias("rb"))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         side = rows["side"].to_numpy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import information
+from tessera.plans import certification, information
 
-QUERIES: dict = dict(information.QUERIES)
-SQL: dict[str, str] = dict(information.SQL)
+QUERIES: dict = information.QUERIES | certification.QUERIES
+SQL: dict[str, str] = information.SQL | certification.SQL
