@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import certification, information
+from tessera.plans import certification, information, preparation
 
-QUERIES: dict = information.QUERIES | certification.QUERIES
-SQL: dict[str, str] = information.SQL | certification.SQL
+QUERIES: dict = information.QUERIES | certification.QUERIES | preparation.QUERIES
+SQL: dict[str, str] = information.SQL | certification.SQL | preparation.SQL
