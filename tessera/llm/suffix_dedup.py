@@ -289,13 +289,13 @@ def _settle(length: int):
             twice = n[inverse] > 1
             found.append((number[twice], first[twice], first[twice] + 1))
         if not found:
-            return pd.DataFrame({"sha": [], "first": [], "last": []})
+            return pd.DataFrame({"sha": [], "first": [], "last": []}, dtype=object)
         number, first, last = map(np.concatenate, zip(*found, strict=True))
         order = np.argsort(number, kind="stable")
         number, first, last = number[order], first[order].astype(np.int32), last[order].astype(np.int32)
         cut = np.flatnonzero(np.diff(number)) + 1
         heads = number[np.concatenate([[0], cut]).astype(np.int64)] if len(number) else []
-        return pd.DataFrame({"sha": [owner[k] for k in heads], "first": np.split(first, cut) if len(number) else [], "last": np.split(last, cut) if len(number) else []})
+        return pd.DataFrame({"sha": [owner[k] for k in heads], "first": np.split(first, cut) if len(number) else [], "last": np.split(last, cut) if len(number) else []}, dtype=object)
 
     return run
 
