@@ -77,10 +77,10 @@ def cross_validated(rows: DataFrame, roles: EventTable, model: str = "logit", al
     for fold in sorted(r[0] for r in rows.select(roles.fold).distinct().collect()):  # a few folds
         train, test = weighted.filter(F.col(roles.fold) != fold), rows.filter(F.col(roles.fold) == fold)
         total = train.agg(F.sum("training_weight")).first()[0]
-        common = {"featuresCol": "x", "labelCol": "y", "weightCol": "training_weight"}
+        common = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "training_weight"}
         learner = LogisticRegression(**common, regParam=1.0 / (total * train.count()), standardization=False, maxIter=100) if model == "logit" else RandomForestClassifier(**common, numTrees=50, maxDepth=6, seed=seed)
-        fitted = Pipeline(stages=[StringIndexer(inputCol=roles.state, outputCol="y", handleInvalid="keep", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(roles.features), outputCol="x"), learner]).fit(train)
-        out = fitted.transform(test).withColumn("p_model", F.element_at(vector_to_array("probability"), (F.col("y") + 1).cast("int")))
+        fitted = Pipeline(stages=[StringIndexer(inputCol=roles.state, outputCol="__label", handleInvalid="keep", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(roles.features), outputCol="__features"), learner]).fit(train)
+        out = fitted.transform(test).withColumn("p_model", F.element_at(vector_to_array("probability"), (F.col("__label") + 1).cast("int")))
         out = out.select(roles.fold, roles.group, roles.stratum, roles.state, "w", F.coalesce("p_model", F.lit(0.0)).alias("p_model"))
         scored = out if scored is None else scored.unionByName(out)
     joined = scored.join(baselines, [roles.fold, roles.stratum, roles.state])
