@@ -35,11 +35,11 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(SEED)), *parts).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def source_tokens(rows: DataFrame) -> DataFrame:
-    """source, tokens, docs and each source's share of all tokens."""
-    sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    total = sums.agg(F.sum("tokens").alias("all_tokens"))
-    return sums.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0))
+def source_tokens(rows: DataFrame) -> tuple[DataFrame, int]:
+    """source, tokens, docs and each source's share of all tokens, and their number."""
+    sums = staged(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
+    total = int(sums.agg(F.sum("tokens")).first()[0] or 0)
+    return sums.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1)))), total
 
 
 def _power(exponent: float) -> Column:
@@ -82,14 +82,13 @@ def mixture(docs: DataFrame, budget: int | None = None, target_entropy: float =
     budget is in tokens and is the corpus size if not given. Reading order: epoch, block_rank, doc_rank_key.
     """
     rows = staged(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), token_count(F.col("text")).alias("n_tokens")), "tokens")
-    shares = staged(source_tokens(rows), "shares")
-    if budget is None:
-        budget = int(shares.agg(F.sum("tokens")).first()[0] or 0)
+    shares, total = source_tokens(rows)
+    budget = total if budget is None else budget
     exponent = bisected(shares, budget, target_entropy, max_repeats)
 
-    norm = shares.agg(F.sum(_power(exponent)).alias("z"))
-    plan = shares.crossJoin(F.broadcast(norm)).filter("tokens > 0").select(
-        F.col("source").alias("p_source"), "tokens", F.floor(_power(exponent) / F.col("z") * F.lit(budget)).cast("long").alias("own"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long").alias("n_blocks"),
+    norm = float(shares.agg(F.sum(_power(exponent))).first()[0] or 1.0)
+    plan = shares.filter("tokens > 0").select(
+        F.col("source").alias("p_source"), "tokens", F.floor(_power(exponent) / F.lit(norm) * F.lit(budget)).cast("long").alias("own"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long").alias("n_blocks"),
     )
     plan = plan.withColumns({"whole": F.expr("own div tokens"), "rest": F.col("own") % F.col("tokens")})
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
