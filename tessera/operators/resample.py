@@ -134,3 +134,33 @@ def all_refits_pass(refit_blocks: DataFrame, draws: int, seed: int, alpha: float
     for p in passed[1:]:
         every = every.unionByName(p)
     return every.agg(F.when(F.count("*") < min_refits, "unavailable").when(F.min("ok"), "robust_generalizing").otherwise("not_robust").alias("category"), F.count("*").alias("n_refits"), F.min("min_lower").alias("min_lower"))
+
+
+def definition_sensitivity(rows: DataFrame, group: str, gain: str, weight: str, definitions: dict[str, object], draws: int, seed: int) -> DataFrame:
+    """Per block definition and group: interval and status; and whether all definitions agree on the group's status."""
+    out = None
+    for name, column in definitions.items():
+        one = percentile_interval(block_table(rows.withColumn("__block", column), group, "__block", gain, weight), draws, seed).select(F.lit(name).alias("definition"), "grp", "n_blocks", "lower", "upper", "status")
+        out = one if out is None else out.unionByName(one)
+    agree = out.groupBy("grp").agg((F.countDistinct("status") == 1).alias("stable"))
+    return out.join(agree, "grp")
+
+
+def weight_sensitivity(rows: DataFrame, group: str, block: str, gain: str, weights: dict[str, object]) -> DataFrame:
+    """Per weighting and group: the mean gain; and whether its sign is the same under all weightings."""
+    out = None
+    for name, column in weights.items():
+        w = rows.withColumn("__w", column).groupBy(F.col(group).alias("grp"), F.col(block).alias("block")).agg(F.sum(F.col("__w") * F.col(gain)).alias("num"), F.sum("__w").alias("w"))
+        one = w.groupBy("grp").agg((F.sum("num") / F.sum("w")).alias("mean")).select(F.lit(name).alias("weighting"), "grp", "mean")
+        out = one if out is None else out.unionByName(one)
+    agree = out.groupBy("grp").agg((F.countDistinct(F.col("mean") > 0) == 1).alias("stable"))
+    return out.join(agree, "grp")
+
+
+def membership(units: DataFrame, unit: str, stratum: str, replicates: int, seed: int) -> DataFrame:
+    """How often each unit is in each stratified bootstrap replicate (units drawn 0 times are left out)."""
+    order = Window.partitionBy("stratum").orderBy("unit")
+    indexed = units.select(F.col(unit).alias("unit"), F.col(stratum).alias("stratum")).distinct().withColumns({"idx": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("stratum"))})
+    slots = indexed.select("stratum", "n", F.col("idx").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    picks = slots.select("stratum", "replicate", counter_draw(F.col("n"), str(seed), F.col("stratum"), F.col("replicate"), F.col("slot")).alias("idx"))
+    return picks.join(indexed.select("stratum", "idx", "unit"), ["stratum", "idx"]).groupBy("replicate", "stratum", "unit").agg(F.count("*").alias("times"))

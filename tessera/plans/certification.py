@@ -334,3 +334,57 @@ def evidence_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 5 == 0), "fail").when(F.col("o_orderkey") % 97 == 0, "unavailable").otherwise("pass")
     layers = o.select("subject", F.row_number().over(Window.partitionBy("subject").orderBy("o_orderkey")).alias("position"), F.col("o_orderpriority").alias("layer"), status.alias("status"))
     return decisions.gate_ladder(layers)
+
+
+def _definition_sql() -> str:
+    parts = []
+    for name, k in (("twenty", 20), ("ten", 10)):
+        pick = _pick(12, "b.n", "b.grp", "d.d", "b.idx")
+        parts.append(f"""SELECT '{name}' AS definition, grp, any_value(n) AS n_blocks, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM (
+ SELECT p.grp, p.d, sum(num) / sum(w) AS m, any_value(n) AS n FROM (SELECT b.grp, d.d, {pick} AS pick FROM b{k} b CROSS JOIN (SELECT unnest(generate_series(0, {DRAWS - 1})) AS d) d) p JOIN b{k} ON b{k}.grp = p.grp AND b{k}.idx = p.pick GROUP BY p.grp, p.d) GROUP BY grp""")
+    tables = ", ".join(f"b{k} AS (SELECT g AS grp, b % {k} AS block, sum(w * (s2 - s0)) AS num, sum(w) AS w, row_number() OVER (PARTITION BY g ORDER BY b % {k}) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM sc GROUP BY g, b % {k})" for k in (20, 10))
+    return f"""WITH {inputs.SCORES}, {tables}, u AS ({' UNION ALL '.join(parts)}), v AS (SELECT *, {_status('lower', 'upper')} AS status FROM u)
+ SELECT definition, grp, n_blocks, round(lower, 9) AS lower, round(upper, 9) AS upper, status, (SELECT count(DISTINCT status) FROM v i WHERE i.grp = v.grp) = 1 AS stable FROM v"""
+
+
+@query(_definition_sql())
+def block_definition_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definitions = {"twenty": F.col("block"), "ten": F.col("block") % 10}
+    return rounds(resample.definition_sensitivity(gain_rows(spark, sf_dir), "grp", "gain", "w", definitions, DRAWS, 12))
+
+
+@query(f"""WITH {inputs.SCORES}, u AS (SELECT 'rows' AS weighting, g AS grp, sum(w * (s2 - s0)) / sum(w) AS mean FROM sc GROUP BY g UNION ALL SELECT 'cells', g, avg(s2 - s0) FROM sc GROUP BY g)
+ SELECT weighting, grp, round(mean, 9) AS mean, (SELECT count(DISTINCT mean > 0) FROM u i WHERE i.grp = u.grp) = 1 AS stable FROM u""")
+def weight_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds(resample.weight_sensitivity(gain_rows(spark, sf_dir), "grp", "block", "gain", {"rows": F.col("w"), "cells": F.lit(1.0)}))
+
+
+@query(f"""WITH u AS (SELECT n_regionkey AS stratum, n_nationkey AS unit, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS idx, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation),
+ p AS (SELECT u.stratum, d.d AS replicate, {_pick(13, 'u.n', 'u.stratum', 'd.d', 'u.idx')} AS idx FROM u CROSS JOIN (SELECT unnest(generate_series(0, 49)) AS d) d)
+ SELECT CAST(replicate AS INTEGER) AS replicate, p.stratum, unit, count(*) AS times FROM p JOIN u ON p.stratum = u.stratum AND p.idx = u.idx GROUP BY ALL""")
+def bootstrap_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.membership(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", 50, 13)
+
+
+def _step_sql(step: int, gain: str) -> str:
+    return _t_sql(14).replace("s2 - s0", gain).replace("SELECT pt.grp", f"SELECT {step} AS level, pt.grp")
+
+
+@query(f"SELECT * FROM ({_step_sql(1, 's1 - s0')}) UNION ALL SELECT * FROM ({_step_sql(2, 's2 - s1')})")
+def ladder_certification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, out = inputs.score_cells(spark, sf_dir), None
+    for level, (rich, plain) in enumerate((("s1", "s0"), ("s2", "s1")), 1):
+        rows = scores.select(F.col("g").alias("grp"), F.col("b").alias("block"), (F.col(rich) - F.col(plain)).alias("gain"), "w")
+        cells = resample.bootstrap_t(resample.block_table(rows, "grp", "block", "gain", "w"), DRAWS, 14)
+        one = cells.select(F.lit(level).alias("level"), *cells.columns)
+        out = one if out is None else out.unionByName(one)
+    return rounds(out)
+
+
+@query(f"""WITH {inputs.NATION_GAINS}, ca AS (SELECT stratum, gain, row_number() OVER (PARTITION BY stratum ORDER BY gain) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM ng WHERE grp % 3 <> 0),
+ b AS (SELECT stratum, coalesce(max(CASE WHEN k = CAST(floor((n + 1) * 0.4 + 1e-12) AS BIGINT) THEN gain END), CAST('-inf' AS DOUBLE)) AS bound FROM ca GROUP BY stratum)
+ SELECT ng.stratum, round(avg(CAST(gain >= bound AS DOUBLE)), 9) AS coverage, count(*) AS n_validation FROM ng JOIN b ON ng.stratum = b.stratum WHERE grp % 3 = 0 GROUP BY ng.stratum""")
+def envelope_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gains = nation_gains(spark, sf_dir)
+    bounds = conformal.group_envelope(gains.filter("grp % 3 != 0"), 0.4)
+    return rounds(conformal.envelope_validation(bounds, gains.filter("grp % 3 = 0")))

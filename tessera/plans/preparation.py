@@ -187,3 +187,8 @@ def _mi_sql(source: str, keys: str) -> str:
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("site"), F.col("event_type").alias("identity"), F.floor(F.hour("ts") / 4).alias("state"))
     return rounds(events.permutation_null(cells, "site", "identity", "state", 19, "null-v1"))
+
+
+@query("""SELECT c_custkey, sha256('{"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') AS fingerprint FROM customer""")
+def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(provenance.canonical_event("c_name", "c_nationkey", "c_mktsegment"), 256).alias("fingerprint"))
