@@ -32,6 +32,7 @@ def jackknife_bounds(cells: DataFrame, alpha: float = 0.05, rule: str = "sum") -
 
     rule `sum` adds both variances, `max` takes the larger. Degrees of freedom: the smaller number of refits or blocks, less one.
     """
+    cells = cells.cache()  # refits x groups x blocks
     r = _jackknife(cells, "refit").select("grp", F.col("v").alias("v_refit"), F.col("n").alias("n_refits"))
     b = _jackknife(cells, "block").select("grp", F.col("v").alias("v_block"), F.col("n").alias("n_blocks"))
     mean = cells.groupBy("grp").agg((F.sum("num") / F.sum("w")).alias("mean"))
@@ -42,6 +43,7 @@ def jackknife_bounds(cells: DataFrame, alpha: float = 0.05, rule: str = "sum") -
 
 def crossed_bounds(cells: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Two-way clustered variance V_refit + V_block - V_cell, not below either one-way part."""
+    cells = cells.cache()
     parts = [_clustered(cells, *by).select("grp", F.col("v").alias(name), F.col("n").alias(f"n_{name}")) for by, name in ((("refit",), "v_refit"), (("block",), "v_block"), (("refit", "block"), "v_cell"))]
     both = cells.groupBy("grp").agg((F.sum("num") / F.sum("w")).alias("mean"))
     for p in parts:

@@ -13,10 +13,13 @@ from tessera.functions.algebra import counter_draw, interval_status
 
 
 def block_table(rows: DataFrame, group: str, block: str, gain: str, weight: str) -> DataFrame:
-    """grp, block, num (weighted gain), w and the block's index in its group; blocks without weight are left out."""
+    """grp, block, num (weighted gain), w and the block's index in its group; blocks without weight are left out.
+
+    The table is as small as the number of blocks and is cached: draws, points and bounds all start from it.
+    """
     sums = rows.groupBy(F.col(group).alias("grp"), F.col(block).alias("block")).agg(F.sum(F.col(weight) * F.col(gain)).alias("num"), F.sum(weight).alias("w")).filter("w > 0")
     order = Window.partitionBy("grp").orderBy("block")
-    return sums.withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("grp"))})
+    return sums.withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("grp"))}).cache()
 
 
 def point(blocks: DataFrame) -> DataFrame:
@@ -104,6 +107,7 @@ def nested_refits(refit_blocks: DataFrame, draws: int, seed: int, alpha: float =
 
     Each draw takes one refit for all groups, then one sequence of blocks.
     """
+    refit_blocks = refit_blocks.cache()  # refits x groups x blocks
     order = Window.partitionBy("refit", "grp").orderBy("block")
     b = refit_blocks.withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("refit", "grp"))})
     refits = refit_blocks.select("refit").distinct().withColumn("r_idx", F.row_number().over(Window.orderBy("refit")) - 1)
@@ -122,12 +126,13 @@ def nested_refits(refit_blocks: DataFrame, draws: int, seed: int, alpha: float =
 
 def all_refits_pass(refit_blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, min_refits: int = 2) -> DataFrame:
     """One row: whether every refit's groups are all robustly positive; the same draws serve all refits."""
+    refit_blocks = refit_blocks.cache()
     names = sorted(r[0] for r in refit_blocks.select("refit").distinct().collect())  # a few refits
     passed = []
     for name in names:
         one = refit_blocks.filter(F.col("refit") == name).select("grp", "block", "num", "w")
         order = Window.partitionBy("grp").orderBy("block")
-        one = one.withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("grp"))})
+        one = one.withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("grp"))}).cache()
         cells = bootstrap_t(one, draws, seed, alpha, one_sided=True)
         passed.append(cells.agg(F.lit(name).alias("refit"), F.min(F.col("status") == "robust_positive").alias("ok"), F.min("lower").alias("min_lower")))
     every = passed[0]

@@ -44,7 +44,7 @@ def score_cells(spark: SparkSession, sf_dir: str, leave_out: int | None = None)
     leave_out, the counts behind the scores leave out the blocks of that remainder modulo 5.
     """
     rows = table(spark, sf_dir, "lineitem")
-    cells = rows.groupBy(F.col("l_linenumber").alias("g"), (F.col("l_suppkey") % 20).cast("int").alias("b"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("s"), F.month("l_shipdate").alias("t")).agg(F.count("*").cast("double").alias("w"))
+    cells = rows.groupBy(F.col("l_linenumber").alias("g"), (F.col("l_suppkey") % 20).cast("int").alias("b"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("s"), F.month("l_shipdate").alias("t")).agg(F.count("*").cast("double").alias("w")).cache()  # 7 x 20 x 3 x 2 x 12 cells, read many times below
     train = cells if leave_out is None else cells.filter(F.col("b") % 5 != leave_out)
     n = lambda *keys: train.groupBy(*keys).agg(F.sum("w").alias("n_" + "".join(keys)))
     k = 3
