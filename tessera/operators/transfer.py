@@ -66,3 +66,10 @@ def crossfit_gain(rows: DataFrame, base: Sequence[str], added: Sequence[str], fo
 def summarise(gains: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """One row: category over groups, with least, mean and greatest gain; groups weigh equally."""
     return gains.agg(gain_category(F.col("gain"), tolerance).alias("category"), F.min("gain").alias("min_gain"), F.avg("gain").alias("mean_gain"), F.max("gain").alias("max_gain"), F.count("*").alias("n_groups"))
+
+
+def generalization_profile(rows: DataFrame, group: str, richer: str, plain: str, weight: str, epsilon: float = 1e-15) -> DataFrame:
+    """Per group: gain of log scores of probabilities that are clamped at epsilon; here zero never becomes minus infinity."""
+    w = F.col(weight)
+    gain = F.sum(w * (F.ln(F.greatest(F.col(richer), F.lit(epsilon))) - F.ln(F.greatest(F.col(plain), F.lit(epsilon))))) / F.sum(w)
+    return rows.groupBy(group).agg(gain.alias("gain"), F.sum(w).alias("weight"))

@@ -266,3 +266,11 @@ def lattice_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT count(*) AS generalizing_paths, CAST(6 AS BIGINT) AS paths FROM ok a JOIN ok b ON a.hi = b.lo JOIN ok c ON b.hi = c.lo WHERE a.lo = 0""")
 def lattice_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.monotone_paths(ladder.lattice_edges(_lattice_nodes(spark, sf_dir), 3), 3)
+
+
+@query(f"WITH {FIELD}, z AS (SELECT nation, m, CASE WHEN hs.pri = '2-HIGH' AND nation % 5 = 0 THEN 0 ELSE p END AS p, pm FROM hs JOIN r ON hs.seg = r.seg AND hs.pri = r.pri) SELECT nation, round(sum(m * (ln(greatest(p, 1e-15)) - ln(greatest(pm, 1e-15)))) / sum(m), 9) AS gain, CAST(sum(m) AS DOUBLE) AS weight FROM z GROUP BY nation")
+def generalization_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _split(spark, sf_dir)
+    rows = test.join(state.dirichlet_field(train, ["seg"], "pri", 0.5), ["seg", "pri"])
+    rows = rows.withColumn("p", F.when((F.col("pri") == "2-HIGH") & (F.col("nation") % 5 == 0), 0.0).otherwise(F.col("p")))
+    return rounds(transfer.generalization_profile(rows, "nation", "p", "p_marginal", "mass"))

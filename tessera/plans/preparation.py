@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import solar
 from tessera.operators import events, normalize, provenance
 from tessera.plans.information import rounds
 from tessera.plans.inputs import table
@@ -192,3 +193,11 @@ def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, sha256('{"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') AS fingerprint FROM customer""")
 def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(provenance.canonical_event("c_name", "c_nationkey", "c_mktsegment"), 256).alias("fingerprint"))
+
+
+@query("""WITH h AS (SELECT user_id, value, ((epoch_us(ts) % 86400000000) / 3600000000.0 + (user_id % 360 - 180) / 15.0 + 48) % 24 AS h FROM events)
+ SELECT CASE WHEN abs(h - 6) <= 12 / 3600.0 OR abs(h - 18) <= 12 / 3600.0 THEN NULL WHEN h > 6 AND h < 18 THEN 1 ELSE 0 END AS context, CAST(value >= 50 AS INTEGER) + CAST(value >= 200 AS INTEGER) + CAST(value >= 500 AS INTEGER) AS band, count(*) AS n FROM h GROUP BY ALL""")
+def solar_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    longitude = (F.col("user_id") % 360 - 180).cast("double")
+    return rows.groupBy(solar.solar_context(F.col("ts"), longitude).alias("context"), solar.altitude_band(F.col("value")).alias("band")).agg(F.count("*").alias("n"))
