@@ -222,7 +222,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each text, columns as they were."""
+    """docs without all but one row of each text, columns as they were.
+
+    docs is read twice and must number its rows alike each time, as tables on disk do; stage other inputs first.
+    """
     dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("row_no").alias("__dropped"))
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     return numbered.join(dropped, F.col("__row") == F.col("__dropped"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -221,7 +221,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows predicted 0, columns as they were."""
+    """docs without the rows predicted 0, columns as they were.
+
+    docs is read twice and must number its rows alike each time, as tables on disk do; stage other inputs first.
+    """
     poor = quality(docs, labels).filter("predicted = 0").select(F.col("row_no").alias("__poor"))
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     return numbered.join(poor, F.col("__row") == F.col("__poor"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
