@@ -88,26 +88,34 @@ def rolling_thin(rows: DataFrame, key: str, ts: str, id_: str, seconds: float) -
     return packed.select(key, F.explode(F.expr(fold)).alias("e")).select(key, F.col(f"e.{id_}").alias(id_), F.timestamp_micros("e.us").alias(ts))
 
 
-def permutation_null(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str) -> DataFrame:
+def permutation_null(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str, batch: int = 25) -> DataFrame:
     """Mutual information of identity and state, and its p value when identities are permuted within sites.
 
     cells: one row per event with row id `id`. Each draw orders a site's rows once by id and once by a hash, and takes
-    the identity of equal rank; p = (1 + draws at least as high) / (1 + draws).
+    the identity of equal rank; p = (1 + draws at least as high) / (1 + draws). So many draws as a batch holds are worked
+    on at a time, and leave one number each.
     """
-
-    def information(rows: DataFrame, keys: list[str]) -> DataFrame:
-        joint = rows.groupBy(*keys, identity, state).agg(F.count("*").cast("double").alias("n"))
-        a, b = joint.groupBy(*keys, identity).agg(F.sum("n").alias("na")), joint.groupBy(*keys, state).agg(F.sum("n").alias("nb"))
-        total = joint.groupBy(*keys).agg(F.sum("n").alias("nt"))
-        full = joint.join(a, [*keys, identity]).join(b, [*keys, state])
-        full = full.join(total, keys) if keys else full.crossJoin(F.broadcast(total))
-        return full.groupBy(*keys).agg(F.sum(F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("na") * F.col("nb")))).alias("information"))
-
-    spread = cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    by = Window.partitionBy(site, "draw")
-    plain = spread.select(site, "draw", state, F.row_number().over(by.orderBy("id")).alias("rank"))
-    mixed = spread.select(site, "draw", identity, F.row_number().over(by.orderBy(F.md5(F.concat_ws("|", F.lit(label), F.col("draw").cast("string"), F.col("id").cast("string")).cast("binary")), "id")).alias("rank"))
-    null = information(plain.join(mixed, [site, "draw", "rank"]), ["draw"])
-    seen = information(cells, []).withColumnRenamed("information", "observed")
+    by = Window.partitionBy(site)
+    plain = cells.select(site, state, F.row_number().over(by.orderBy("id")).alias("rank")).cache()
+
+    def information(rows: DataFrame) -> list[tuple[int, float]]:
+        joint = rows.groupBy("draw", identity, state).agg(F.count("*").cast("double").alias("n")).cache()
+        a, b = joint.groupBy("draw", identity).agg(F.sum("n").alias("na")), joint.groupBy("draw", state).agg(F.sum("n").alias("nb"))
+        full = joint.join(a, ["draw", identity]).join(b, ["draw", state]).join(joint.groupBy("draw").agg(F.sum("n").alias("nt")), "draw")
+        found = full.groupBy("draw").agg(F.sum(F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("na") * F.col("nb")))).alias("information"))
+        out = [(r[0], r[1]) for r in found.collect()]  # one row per draw
+        joint.unpersist()
+        return out
+
+    key = F.md5(F.concat_ws("|", F.lit(label), F.col("draw").cast("string"), F.col("id").cast("string")).cast("binary"))
+    null: list[tuple[int, float]] = []
+    for first in range(0, draws, batch):
+        spread = cells.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(min(first + batch, draws) - 1))))
+        mixed = spread.select(site, "draw", identity, F.row_number().over(Window.partitionBy(site, "draw").orderBy(key, "id")).alias("rank"))
+        null += information(plain.join(mixed, [site, "rank"]))
+    seen = information(cells.withColumn("draw", F.lit(-1)))
+    plain.unpersist()
+    spark = cells.sparkSession
+    rows = spark.createDataFrame(null, "draw int, information double").crossJoin(spark.createDataFrame([(seen[0][1] if seen else None,)], "observed double"))
     high = F.sum((F.col("information") >= F.col("observed") - 1e-12).cast("int"))
-    return null.crossJoin(F.broadcast(seen)).agg(F.first("observed").alias("observed"), F.avg("information").alias("null_mean"), ((1 + high) / (1 + F.count("*"))).alias("p_value"))
+    return rows.agg(F.first("observed").alias("observed"), F.avg("information").alias("null_mean"), ((1 + high) / (1 + F.count("*"))).alias("p_value"))

@@ -24,8 +24,11 @@ def _prefixes(rows: DataFrame, keys: list[str]) -> DataFrame:
 def extremes(rows: DataFrame, gamma: float, keys: list[str] | None = None) -> DataFrame:
     """grp, gain, w -> per group: mean, least and greatest mean with weights multiplied by factors in [1/gamma, gamma]."""
     keys = keys or ["grp"]
+    return _extremes(_prefixes(rows, keys), gamma, keys)
+
+
+def _extremes(p: DataFrame, gamma: float, keys: list[str]) -> DataFrame:
     g, i = gamma, 1 / gamma
-    p = _prefixes(rows, keys)
     shifted = lambda a, b: (a * F.col("pn") + b * (F.col("sn") - F.col("pn"))) / (a * F.col("pw") + b * (F.col("sw") - F.col("pw")))
     return p.groupBy(*keys).agg((F.first("sn") / F.first("sw")).alias("mean"), F.min(shifted(g, i)).alias("least"), F.max(shifted(i, g)).alias("greatest"))
 
@@ -39,27 +42,36 @@ def critical_gamma(rows: DataFrame, limit: float = 100.0) -> DataFrame:
     return out.select("grp", F.when(F.col("sn") <= 0, 1.0).when(F.col("gamma") <= limit, F.col("gamma")).alias("critical_gamma"))
 
 
-def joint_extremes(rows: DataFrame, gamma: float, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """Block resampling and reweighting together: per group, percentiles of the extreme means over draws.
-
-    rows: grp, block, gain, w. Each draw takes blocks with their multiplicities; a block's rows come with its multiplicity.
-    """
+def _drawn_prefixes(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """Running sums of each resample of blocks; they hold for every gamma."""
     blocks = rows.select("grp", "block").distinct().withColumns({"idx": F.row_number().over(Window.partitionBy("grp").orderBy("block")) - 1, "n_blocks": F.count("*").over(Window.partitionBy("grp"))})
     slots = blocks.select("grp", "n_blocks", F.col("idx").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     picks = slots.select("grp", "draw", counter_draw(F.col("n_blocks"), str(seed), F.col("grp"), F.col("draw"), F.col("slot")).alias("idx")).groupBy("grp", "draw", "idx").agg(F.count("*").alias("times"))
     cells = rows.groupBy("grp", "block", "gain").agg(F.sum("w").alias("w"))
     chosen = picks.join(blocks.select("grp", "idx", "block"), ["grp", "idx"]).join(cells, ["grp", "block"]).select("grp", "draw", "gain", (F.col("w") * F.col("times")).alias("w"))
-    d = extremes(chosen, gamma, ["grp", "draw"])
+    return _prefixes(chosen, ["grp", "draw"])
+
+
+def joint_extremes(rows: DataFrame, gamma: float, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """Block resampling and reweighting together: per group, percentiles of the extreme means over draws.
+
+    rows: grp, block, gain, w. Each draw takes blocks with their multiplicities; a block's rows come with its multiplicity.
+    """
+    return _percentiles(_drawn_prefixes(rows, draws, seed), gamma, alpha)
+
+
+def _percentiles(prefixes: DataFrame, gamma: float, alpha: float) -> DataFrame:
+    d = _extremes(prefixes, gamma, ["grp", "draw"])
     return d.groupBy("grp").agg(F.percentile("least", F.lit(alpha / 2)).alias("lower"), F.percentile("greatest", F.lit(1 - alpha / 2)).alias("upper"), F.count("*").alias("n_draws"))
 
 
 def robustness_radius(rows: DataFrame, draws: int, seed: int, alpha: float = 0.05, limit: float = 16.0, steps: int = 12) -> DataFrame:
     """One row: the greatest gamma (by bisection, same draws throughout) at which every group's lower bound stays positive."""
-    rows = rows.cache()
+    prefixes = _drawn_prefixes(rows, draws, seed).cache()  # groups x draws x distinct gains, read once per bisection
     spark = rows.sparkSession
 
     def holds(gamma: float) -> bool:
-        return joint_extremes(rows, gamma, draws, seed, alpha).agg(F.min("lower")).first()[0] > 0
+        return _percentiles(prefixes, gamma, alpha).agg(F.min("lower")).first()[0] > 0
 
     low, high = 1.0, limit
     if not holds(1.0):
@@ -71,5 +83,5 @@ def robustness_radius(rows: DataFrame, draws: int, seed: int, alpha: float = 0.0
             mid = (low * high) ** 0.5
             low, high = (mid, high) if holds(mid) else (low, mid)
         out = (low, "finite")
-    rows.unpersist()
+    prefixes.unpersist()
     return spark.createDataFrame([(*out, out[0] ** 2)], "radius double, category string, weight_ratio double")

@@ -13,7 +13,8 @@ from tessera.plans.inputs import gain_rows, nation_gains, refit_blocks, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-DRAWS = 200
+#: the reference's defaults: draws of the bootstraps, of joint reweighting, and of each simulated world; bisections; worlds
+DRAWS, JOINT_DRAWS, PANEL_DRAWS, BISECTIONS, WORLDS = 4000, 1000, 500, 50, 1000
 
 
 def query(sql: str | None = None):
@@ -153,18 +154,18 @@ def critical_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {inputs.SCORES}, br AS (SELECT grp, block, row_number() OVER (PARTITION BY grp ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT DISTINCT g AS grp, b AS block FROM sc)),
- pk AS (SELECT grp, d, idx, count(*) AS times FROM (SELECT b.grp, d.d, {_pick(8, 'b.n', 'b.grp', 'd.d', 'b.idx')} AS idx FROM br b CROSS JOIN (SELECT unnest(generate_series(0, 59)) AS d) d) GROUP BY ALL),
+ pk AS (SELECT grp, d, idx, count(*) AS times FROM (SELECT b.grp, d.d, {_pick(8, 'b.n', 'b.grp', 'd.d', 'b.idx')} AS idx FROM br b CROSS JOIN (SELECT unnest(generate_series(0, {JOINT_DRAWS - 1})) AS d) d) GROUP BY ALL),
  ch AS (SELECT p.grp, p.d, round(c.s2 - c.s0, 12) AS gain, sum(c.w * p.times) AS w FROM pk p JOIN br b ON p.grp = b.grp AND p.idx = b.idx JOIN sc c ON c.g = b.grp AND c.b = b.block GROUP BY ALL),
  pf AS (SELECT grp, d, sum(w * gain) OVER o AS pn, sum(w) OVER o AS pw, sum(w * gain) OVER g AS sn, sum(w) OVER g AS sw FROM ch WINDOW o AS (PARTITION BY grp, d ORDER BY gain ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY grp, d)),
  ex AS (SELECT grp, d, min((2 * pn + 0.5 * (sn - pn)) / (2 * pw + 0.5 * (sw - pw))) AS lo, max((0.5 * pn + 2 * (sn - pn)) / (0.5 * pw + 2 * (sw - pw))) AS hi FROM pf GROUP BY ALL)
  SELECT grp, round(quantile_cont(lo, 0.025), 9) AS lower, round(quantile_cont(hi, 0.975), 9) AS upper, count(*) AS n_draws FROM ex GROUP BY grp""")
 def joint_reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounds(robust.joint_extremes(gain_rows(spark, sf_dir).withColumn("gain", F.round("gain", 12)), 2.0, 60, 8))
+    return rounds(robust.joint_extremes(gain_rows(spark, sf_dir).withColumn("gain", F.round("gain", 12)), 2.0, JOINT_DRAWS, 8))
 
 
 @query()
 def robustness_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounds(robust.robustness_radius(gain_rows(spark, sf_dir), 60, 9, steps=6))
+    return rounds(robust.robustness_radius(gain_rows(spark, sf_dir), JOINT_DRAWS, 9, steps=BISECTIONS))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +321,7 @@ def population_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def null_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.certification_panel(spark, 60, {"null": 0.0, "strong": 0.8})
+    return simulate.certification_panel(spark, WORLDS, {"null": 0.0, "strong": 0.8}, draws=PANEL_DRAWS)
 
 
 @query("""WITH l AS (SELECT o_custkey % 50 AS subject, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS position, o_orderpriority AS layer, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 5 = 0 THEN 'fail' WHEN o_orderkey % 97 = 0 THEN 'unavailable' ELSE 'pass' END AS status FROM orders),

@@ -12,6 +12,7 @@ from tessera.plans.inputs import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+PERMUTATIONS = 199  # as the reference takes; p can then be as low as 0.005
 
 
 def query(sql: str | None = None):
@@ -181,13 +182,13 @@ def _mi_sql(source: str, keys: str) -> str:
     return f"SELECT {lead}sum(n / nt * ln(n * nt / (na * nb))) AS information FROM (SELECT {lead}n, sum(n) OVER ({by}identity) AS na, sum(n) OVER ({by}state) AS nb, sum(n) OVER ({whole}) AS nt FROM (SELECT {lead}identity, state, CAST(count(*) AS DOUBLE) AS n FROM {source} GROUP BY {lead}identity, state)){' GROUP BY ' + keys if keys else ''}"
 
 
-@query(f"""WITH c AS (SELECT event_id AS id, user_id % 10 AS site, event_type AS identity, hour(ts) // 4 AS state FROM events), s AS (SELECT c.*, d.d FROM c CROSS JOIN (SELECT unnest(generate_series(0, 18)) AS d) d),
+@query(f"""WITH c AS (SELECT event_id AS id, user_id % 10 AS site, event_type AS identity, hour(ts) // 4 AS state FROM events), s AS (SELECT c.*, d.d FROM c CROSS JOIN (SELECT unnest(generate_series(0, {PERMUTATIONS - 1})) AS d) d),
  a AS (SELECT site, d, state, row_number() OVER (PARTITION BY site, d ORDER BY id) AS r FROM s), b AS (SELECT site, d, identity, row_number() OVER (PARTITION BY site, d ORDER BY md5('null-v1|' || d || '|' || id), id) AS r FROM s),
  m AS (SELECT a.d, identity, state FROM a JOIN b ON a.site = b.site AND a.d = b.d AND a.r = b.r), nu AS ({_mi_sql('m', 'd')}), ob AS ({_mi_sql('c', '')})
  SELECT round(any_value(ob.information), 9) AS observed, round(avg(nu.information), 9) AS null_mean, round((1 + count(*) FILTER (WHERE nu.information >= ob.information - 1e-12)) / (1.0 + count(*)), 9) AS p_value FROM nu, ob""")
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("site"), F.col("event_type").alias("identity"), F.floor(F.hour("ts") / 4).alias("state"))
-    return rounds(events.permutation_null(cells, "site", "identity", "state", 19, "null-v1"))
+    return rounds(events.permutation_null(cells, "site", "identity", "state", PERMUTATIONS, "null-v1"))
 
 
 @query("""SELECT c_custkey, sha256('{"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') AS fingerprint FROM customer""")
