@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import shuffle_width, staged
+from tessera.llm.staging import numbered, shuffle_width, staged
 
 FILTER, CONTENT, INSERT, DELETE = range(4)
 CELLS, MAX_KICKS = 4, 256
@@ -133,11 +133,14 @@ def key_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, row_no and the 32-byte SHA-256 digest of each text, written once: later steps never read text again."""
+def digests(docs: DataFrame, row_no: Column | None = None) -> DataFrame:
+    """doc_id, row_no and the 32-byte SHA-256 digest of each text, written once: later steps never read text again.
+
+    row_no: the rows' numbers where they have some already; otherwise rows are numbered here.
+    """
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row_no"),
+        (F.monotonically_increasing_id() if row_no is None else row_no).alias("row_no"),
         F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest"),
     )
     return staged(narrow, "digests")
@@ -215,17 +218,17 @@ def resolve(index: DataFrame, keyed: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, row_no: Column | None = None) -> DataFrame:
     """One row per document: doc_id, row_no, digest, keep_id, group_size, kept."""
-    keyed = digests(docs)
+    keyed = digests(docs, row_no)
     return resolve(build_index(keyed), keyed)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each text, columns as they were.
 
-    docs is read twice and must number its rows alike each time, as tables on disk do; stage other inputs first.
+    The rows are numbered in one staged table, which both the decision and the kept rows are read from.
     """
-    dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("row_no").alias("__dropped"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(dropped, F.col("__row") == F.col("__dropped"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs, "numbered")
+    dropped = exact_dedup(rows, F.col("__row")).filter(~F.col("kept")).select(F.col("row_no").alias("__dropped"))
+    return rows.join(dropped, F.col("__row") == F.col("__dropped"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

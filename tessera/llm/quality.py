@@ -19,11 +19,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import arrowtext as at
-from tessera.llm.staging import staged
+from tessera.llm.staging import numbered, staged
 
 FEATURES, RIDGE, WIDTH, FOLDS, BINS = 192, 1e-3, 0.35, 4, 400
 THRESHOLD = 0.3
@@ -95,16 +95,16 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     ], axis=1)
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """row_no, doc_id and stats (array of NAMES) of each row, written once."""
+def document_statistics(docs: DataFrame, row_no: Column | None = None) -> DataFrame:
+    """row_no, doc_id and stats (array of NAMES) of each row, written once; rows without a row_no are numbered here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in at.blocks(batches):
             stats = statistics(buf, off)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], names=["row_no", "doc_id", "stats"])
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return staged(numbered.mapInArrow(run, "row_no long, doc_id long, stats array<double>"), "statistics")
+    rows = docs.select((F.monotonically_increasing_id() if row_no is None else row_no).alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return staged(rows.mapInArrow(run, "row_no long, doc_id long, stats array<double>"), "statistics")
 
 
 class Scorer:
@@ -213,9 +213,9 @@ def held_out(doc_id, parts: int = 5, part: int = 0):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, row_no: Column | None = None) -> DataFrame:
     """One row per document: row_no, doc_id, held_out, score, predicted."""
-    stats = document_statistics(docs)
+    stats = document_statistics(docs, row_no)
     scorer = fit(stats, labels, lambda i: ~held_out(i))
     return scored(stats, scorer).select("row_no", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -223,8 +223,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows predicted 0, columns as they were.
 
-    docs is read twice and must number its rows alike each time, as tables on disk do; stage other inputs first.
+    The rows are numbered in one staged table, which both the decision and the kept rows are read from.
     """
-    poor = quality(docs, labels).filter("predicted = 0").select(F.col("row_no").alias("__poor"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(poor, F.col("__row") == F.col("__poor"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs, "numbered")
+    poor = quality(rows, labels, row_no=F.col("__row")).filter("predicted = 0").select(F.col("row_no").alias("__poor"))
+    return rows.join(poor, F.col("__row") == F.col("__poor"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

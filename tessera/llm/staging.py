@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,5 +30,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with the number of each row in `__row`, written once: every reader of the result sees the same numbers.
+
+    Numbers that two reads give by themselves can differ, since file splits follow the cores at hand at each read.
+    """
+    return staged(df.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
