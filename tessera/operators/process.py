@@ -41,6 +41,20 @@ def jackknife_bounds(cells: DataFrame, alpha: float = 0.05, rule: str = "sum") -
     return _bounded(both.withColumn("variance", v), alpha)
 
 
+def source_bounds(cells: DataFrame, alpha: float = 0.05, minimum: int = 8) -> DataFrame:
+    """source, inner, grp, block, num, w -> bounds as of jackknife_bounds along sources and blocks.
+
+    Inner refits are averaged within their source first. Groups with fewer sources, inner refits of a source or blocks
+    than the minimum are unavailable.
+    """
+    cells = cells.cache()  # sources x inner refits x groups x blocks
+    inner = cells.groupBy("grp", "source").agg(F.countDistinct("inner").alias("n")).groupBy("grp").agg(F.min("n").alias("n_inner"), F.count("*").alias("n_sources"))
+    sizes = inner.join(cells.groupBy("grp").agg(F.countDistinct("block").alias("n_blocks")), "grp")
+    bounds = jackknife_bounds(cells.groupBy(F.col("source").alias("refit"), "grp", "block").agg(F.avg("num").alias("num"), F.avg("w").alias("w")), alpha)
+    few = F.least("n_inner", "n_sources", "n_blocks") < minimum
+    return bounds.join(sizes, "grp").select(*[F.col(c) for c in bounds.columns if c != "status"], F.when(few, "unavailable").otherwise(F.col("status")).alias("status"))
+
+
 def crossed_bounds(cells: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Two-way clustered variance V_refit + V_block - V_cell, not below either one-way part."""
     cells = cells.cache()

@@ -76,7 +76,8 @@ def bootstrap_t(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, s
     """Simultaneous studentised intervals; the standard error is computed anew in every draw.
 
     A draw without spread that did not move counts 0, one that moved counts infinity (signed if one-sided). One-sided
-    critical values are at least 0 and give lower bounds only. Groups with too few blocks are unavailable.
+    critical values are at least 0 and give lower bounds only. Groups with too few blocks are unavailable; with shared
+    draws all groups are, unless they have one and the same set of blocks: a slot must mean the same block in each.
     """
     d = drawn(blocks, draws, seed, shared).join(point(blocks).select("grp", "mean"), "grp")
     move = F.col("d_mean") - F.col("mean")
@@ -89,7 +90,13 @@ def bootstrap_t(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, s
     lower = F.when(F.col("se") > 1e-15, F.col("mean") - c * F.col("se")).otherwise(F.col("mean"))
     upper = F.lit(float("inf")) if one_sided else F.when(F.col("se") > 1e-15, F.col("mean") + c * F.col("se")).otherwise(F.col("mean"))
     out = out.withColumns({"critical": c, "lower": lower, "upper": upper})
-    status = F.when(F.col("n_blocks") < min_blocks, "unavailable").otherwise(interval_status(F.col("lower"), F.col("upper")))
+    unequal = F.lit(False)
+    if shared:
+        held = blocks.groupBy("block").agg(F.count("*").alias("holders")).agg(F.min("holders").alias("fewest"))
+        groups = blocks.agg(F.countDistinct("grp").alias("n_groups"))
+        out = out.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(groups))
+        unequal = F.col("fewest") < F.col("n_groups")
+    status = F.when((F.col("n_blocks") < min_blocks) | unequal, "unavailable").otherwise(interval_status(F.col("lower"), F.col("upper")))
     return out.select("grp", "n_blocks", "mean", "se", "critical", "lower", *([] if one_sided else ["upper"]), status.alias("status"))
 
 
