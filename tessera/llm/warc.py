@@ -4,7 +4,8 @@ A package is a ZIP file whose members are stored: `archive/data.warc.gz`, one gz
 `indexes/index.cdxj`, one line per record with its offset and length in that member. The reader fetches the end of the
 file, parses the end-of-directory record (and the ZIP64 one where sizes or counts overflow), the central directory and
 the local headers, and then reads single records by their ranges. Reading is in two Spark steps, index lines and records,
-so that a filter on the lines saves the reads.
+so that a filter on the lines saves the reads. Lines are dealt to tasks by package and SPAN bytes of its data, so that
+the number of reading tasks follows the bytes and several tasks can read one package.
 
 Every task writes packages of bounded size under names of its own attempt; the table of packages, written by Spark, lists
 those of the attempts that succeeded, so that a lost executor leaves only files that nothing refers to.
@@ -30,9 +31,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import new_path, staged
+from tessera.llm.staging import new_path, shuffle_width, staged
 
-PACKAGE_BYTES = 32 << 20
+PACKAGE_BYTES, SPAN = 32 << 20, 4 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
 BIG16, BIG32 = 0xFFFF, 0xFFFFFFFF
@@ -173,16 +174,20 @@ class PackageReader:
 
 
 def first_of_each(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest (hex SHA-1), first_id and revisit."""
+    """page_id, url, html, digest (hex SHA-1), first_id and revisit.
+
+    Digests alone are compared; html crosses the network once, dealt by page, and never by a common payload.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     narrow = staged(rows.select("page_id", "digest"), "payloads")
-    shared = narrow.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("s_digest"), "first_id", F.lit(True).alias("shared"))
-    joined = rows.join(shared, F.col("digest") == F.col("s_digest"), "left")
-    return joined.select("page_id", "url", "html", "digest", "first_id", (F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit"))
+    shared = narrow.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
+    again = narrow.join(shared, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("page_id").alias("s_id"), F.col("digest").alias("s_digest"), "first_id").distinct()
+    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("s_id")) & (F.col("digest") == F.col("s_digest")), "left")
+    return joined.select("page_id", "url", "html", "digest", "first_id", F.col("s_digest").isNotNull().alias("revisit"))
 
 
 def write_packages(pages: DataFrame, folder: str, zip64: bool = False, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Writes all pages and returns the table of packages: path, n_records."""
+    """Writes all pages and returns the table of packages: path, n_records, n_bytes (of the records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -196,7 +201,7 @@ def write_packages(pages: DataFrame, folder: str, zip64: bool = False, package_b
                 writer.member(DATA, members)
                 writer.member(INDEX, ["".join(lines).encode()])
                 writer.close()
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(members)], pa.int64())], names=["path", "n_records"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(members)], pa.int64()), pa.array([size], pa.int64())], names=["path", "n_records", "n_bytes"])
 
         for batch in batches:
             for page_id, url, html, digest, first_id, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -211,7 +216,7 @@ def write_packages(pages: DataFrame, folder: str, zip64: bool = False, package_b
         if members:
             yield flush()
 
-    return staged(first_of_each(pages).mapInArrow(run, "path string, n_records long"), "packages")
+    return staged(first_of_each(pages).mapInArrow(run, "path string, n_records long, n_bytes long"), "packages")
 
 
 def read_index(packages: DataFrame, folder: str) -> DataFrame:
@@ -227,8 +232,11 @@ def read_index(packages: DataFrame, folder: str) -> DataFrame:
                     rows = [json.loads(x) for x in package.read(INDEX).decode().splitlines()]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([r["id"] for r in rows], pa.int64()), pa.array([begin + r["offset"] for r in rows], pa.int64()), pa.array([r["length"] for r in rows], pa.int64())], names=["path", "page_id", "offset", "length"])
 
-    paths = packages.select("path").repartition(F.col("path"))
-    return paths.mapInArrow(run, "path string, page_id long, offset long, length long")
+    width = shuffle_width(packages.sparkSession)
+    load = packages.agg(F.sum("n_bytes")).first()[0] or 0
+    lines = packages.select("path").repartition(width, "path").mapInArrow(run, "path string, page_id long, offset long, length long")
+    # a number of its own, so that adaptive execution does not put the small lines of large records together
+    return lines.repartition(max(width, -(-load // SPAN)), "path", F.expr(f"offset div {SPAN}")).sortWithinPartitions("path", "offset")
 
 
 def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
