@@ -7,11 +7,17 @@ block is summed once. Piece probabilities are learnt by expectation maximisation
 segmentations (forward and backward sums) of the words of the training texts, added up by Spark. Pieces for single bytes
 keep every word possible.
 
-Training uses at most about TRAIN_DOCS rows, chosen by a hash of the id, a documented parameter; every row is scored.
-The score is the posterior chance of the predicted language under the learnt language shares.
+Training uses, of each language, all labelled rows or a sample of about TRAIN_DOCS of them, chosen by a hash of the id,
+whichever is less (a documented parameter); languages without a training row are left out; every row is scored. The score
+is the posterior chance of the predicted language under the language shares of all labelled rows.
+
+Long words, as in scripts without spaces, are cut where no piece of the vocabulary crosses: every segmentation has a
+boundary there, so the sums of the parts multiply to the sum of the whole. Scoring keeps only as many columns of forward
+sums as the longest piece has bytes.
 
 Defined cases: null text, empty text and text without a letter is `und` with score 0; if nothing can be learnt, all rows
-are; null langs are not learnt from; rows of one doc_id each get their row; extra columns are ignored.
+are; null langs are not learnt from; rows of one doc_id each get their row; repeated rows get equal results; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +37,8 @@ from tessera.llm import arrowtext as at
 from tessera.llm.staging import staged
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-TRAIN_DOCS, ROUNDS, SMOOTHING = 20_000, 2, 0.02
-MARK, BLOCK, PART, CACHED = b" ", 4 << 20, 60, 1_000_000
+TRAIN_DOCS, ROUNDS, SMOOTHING = 5_000, 2, 0.02
+MARK, BLOCK, LONG, CACHED, CELLS = b" ", 4 << 20, 60, 1_000_000, 1 << 21
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -83,7 +89,8 @@ def forward(words: list[bytes], probabilities: np.ndarray, vocabulary: Pieces, e
     """Words x languages: log of the summed probability of all segmentations.
 
     With expected (pieces x languages), adds each piece's expected count under word weights (words x languages).
-    All words advance together, the longest first, so that those still running are a prefix.
+    Words advance together, the longest first, so that those still running are a prefix; so many are taken at once that
+    the sums of one step have about CELLS cells. Without expected, only the last columns of sums are kept.
     """
     out = np.zeros((len(words), probabilities.shape[1]))
     length = np.array([len(w) for w in words], np.int64)
@@ -91,58 +98,79 @@ def forward(words: list[bytes], probabilities: np.ndarray, vocabulary: Pieces, e
     prefix = at.byte_prefix(np.frombuffer(b"".join(words), np.uint8))
     base = (np.cumsum(length) - length)[order]
     ordered = length[order]
-    step = 20_000
-    for begin in range(0, len(words), step):
-        own, first = ordered[begin : begin + step], base[begin : begin + step]
-        longest, m = int(own[0]), len(own)
-        alpha = np.zeros((longest + 1, m, probabilities.shape[1]))
-        alpha[0] = 1.0
-        scale = np.zeros((longest + 1, m, 1))
+    begin = 0
+    while begin < len(words):
+        longest = int(ordered[begin])
+        depth = longest + 1 if expected is not None else min(longest, vocabulary.longest) + 1
+        m = min(len(words) - begin, max(1, CELLS // depth))
+        own, first = ordered[begin : begin + m], base[begin : begin + m]
+        logs = np.zeros((depth, m, probabilities.shape[1]))  # a scale of its own for each language: none underflows
         arcs = []
         for end in range(1, longest + 1):
-            live = int(np.searchsorted(-own, -end, side="right"))
+            live, here, before = int(np.searchsorted(-own, -end, side="right")), end % depth, (end - 1) % depth
+            total = np.zeros((live, probabilities.shape[1]))
             for k in range(1, min(end, vocabulary.longest) + 1):
                 hit, number = vocabulary.find(at.span_hash(prefix, first[:live] + end - k, first[:live] + end))
                 if len(hit):
-                    # columns are kept in the scale of their own position
-                    shift = np.exp(scale[end - k, hit] - scale[end - 1, hit])
-                    alpha[end, hit] += alpha[end - k, hit] * shift * probabilities[number]
+                    # sums are kept in the scale of the position before
+                    total[hit] += probabilities[number] if k == 1 else np.exp(logs[(end - k) % depth, hit] - logs[before, hit]) * probabilities[number]
                     if expected is not None:
                         arcs.append((end, k, hit, number))
-            top = alpha[end, :live].max(axis=1, keepdims=True)
-            alpha[end, :live] /= top
-            scale[end, :live] = scale[end - 1, :live] + np.log(top)
-        last = np.arange(m)
-        out[order[begin : begin + step]] = np.log(np.maximum(alpha[own, last], 1e-300)) + scale[own, last]
+            logs[here, :live] = logs[before, :live] + np.log(total)
+            done = np.flatnonzero(own[:live] == end)
+            out[order[begin + done]] = logs[here, done]
         if expected is not None:
-            beta = np.zeros_like(alpha)
-            beta[own, last] = 1.0 / np.maximum(alpha[own, last], 1e-300)
-            share = weight[order[begin : begin + step]]
+            # the chance of a boundary at each position, passed down along the pieces that end there
+            boundary = np.zeros_like(logs)
+            boundary[own, np.arange(m)] = 1.0
+            share = weight[order[begin : begin + m]]
             for end, k, hit, number in reversed(arcs):
-                flow = np.exp(scale[end - k, hit] - scale[end, hit]) * probabilities[number] * beta[end, hit]
-                beta[end - k, hit] += flow
-                np.add.at(expected, number, alpha[end - k, hit] * flow * share[hit])
+                flow = np.exp(logs[end - k, hit] - logs[end, hit]) * probabilities[number] * boundary[end, hit]
+                boundary[end - k, hit] += flow
+                np.add.at(expected, number, flow * share[hit])
+        begin += m
     return out
 
 
-def word_list(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of a block (their hashes and marked bytes), each word's number, and row pointers.
+def crossed(text: bytes, vocabulary: Pieces) -> np.ndarray:
+    """For each inner position 1 .. len - 1 of a word, whether a piece of the vocabulary found there crosses it."""
+    prefix = at.byte_prefix(np.frombuffer(text, np.uint8))
+    edge = np.zeros(len(text) + 1, np.int64)
+    for k in range(2, min(len(text), vocabulary.longest) + 1):
+        start = np.arange(len(text) - k + 1)
+        hit, _ = vocabulary.find(at.span_hash(prefix, start, start + k))
+        np.add.at(edge, hit + 1, 1)
+        np.add.at(edge, hit + k, -1)
+    return np.cumsum(edge)[1 : len(text)] > 0
+
+
+def word_list(buf: np.ndarray, off: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Distinct parts of a block's words (their hashes and bytes), each part's number, and row pointers.
 
-    Words of over PART bytes are cut into parts of that size, each taken for a word.
+    A word with its mark is one part; one of over LONG bytes gives several where no piece crosses.
     """
     starts, ends, ptr = at.word_spans(buf, off)
-    parts = np.maximum(-(-(ends - starts) // PART), 1)
-    if len(parts) and parts.max() > 1:
-        word = np.repeat(np.arange(len(parts)), parts)
-        nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-        ptr = np.concatenate([[0], np.cumsum(parts)])[ptr]
-        starts, ends = starts[word] + nth * PART, np.minimum(ends[word], starts[word] + (nth + 1) * PART)
-    hashes = at.span_hash(at.byte_prefix(buf), starts, ends)
+    text = buf.tobytes()
+    marked = np.ones(len(starts), bool)
+    cuts = [(w, np.flatnonzero(~crossed(MARK + text[starts[w] : ends[w]], vocabulary)) + starts[w]) for w in np.flatnonzero(ends - starts > LONG)]
+    cuts = [(w, c[c > starts[w]]) for w, c in cuts]  # the mark itself is never parted from its word
+    if cuts:
+        parts = np.ones(len(starts), np.int64)
+        parts[[w for w, _ in cuts]] += [len(c) for _, c in cuts]
+        head = np.concatenate([[0], np.cumsum(parts)])
+        marked = np.zeros(head[-1], bool)
+        marked[head[:-1]] = True
+        begin, end = np.repeat(starts, parts), np.repeat(ends, parts)
+        for w, c in cuts:
+            begin[head[w] + 1 : head[w + 1]] = c
+            end[head[w] : head[w + 1] - 1] = c
+        starts, ends, ptr = begin, end, head[ptr]
+    hashes = at.span_hash(at.byte_prefix(buf), starts, ends) ^ np.where(marked, at.U64(0), at.U64(0x9E3779B97F4A7C15))
     codes, distinct = pd.factorize(hashes)
     where = np.zeros(len(distinct), np.int64)
     where[codes[::-1]] = np.arange(len(codes))[::-1]
-    text = buf.tobytes()
-    return distinct, [MARK + text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], codes, ptr
+    spans = zip(marked[where].tolist(), starts[where].tolist(), ends[where].tolist(), strict=True)
+    return distinct, [(MARK if m else b"") + text[a:b] for m, a, b in spans], codes, ptr
 
 
 class WordScores:
@@ -182,14 +210,14 @@ def learnt(docs: DataFrame, usable: Callable, path: str = VOCABULARY, train_docs
     uniform = np.full((len(vocabulary.texts), max(1, len(langs))), 1.0 / len(vocabulary.texts))
     if not langs:
         return Model([], np.zeros(0), uniform, path)
-    total = sum(shares.values())
-    part = min(1.0, train_docs / total)
-    sample = able.filter(F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), F.lit(1_000_000)) < int(part * 1_000_000) + 1)
-    number = F.create_map(*[F.lit(x) for k, name in enumerate(langs) for x in (name, k)])[F.col("lang")]
+    per_lang = lambda values: F.create_map(*[F.lit(x) for pair in zip(langs, values, strict=True) for x in pair])[F.col("lang")]
+    whole = 1 << 40
+    sample = able.filter(F.pmod(F.xxhash64(F.lit(8), F.col("doc_id"), "text"), F.lit(whole)) < per_lang([min(whole, -(-whole * train_docs // shares[name])) for name in langs]))
+    number = per_lang(range(len(langs)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in at.blocks(batches, limit=BLOCK):
-            _, words, codes, ptr = word_list(buf, off)
+            _, words, codes, ptr = word_list(buf, off, pieces(path))
             lang = rows.column(0).to_numpy(zero_copy_only=False)[at.row_of(ptr)].astype(np.int64)
             both, n = np.unique(codes * len(langs) + lang, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((both % len(langs)).astype(np.int32)), pa.array([words[k] for k in both // len(langs)], pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
@@ -215,7 +243,9 @@ def learnt(docs: DataFrame, usable: Callable, path: str = VOCABULARY, train_docs
         sums = np.full_like(uniform, SMOOTHING)
         sums[got["piece"], got["lang"]] += got["n"]
         probabilities = sums / sums.sum(axis=0)
-    return Model(langs, np.array([shares[name] / total for name in langs]), probabilities, path)
+    seen = np.flatnonzero((sums > SMOOTHING).any(axis=0)) if rounds else np.arange(len(langs))
+    prior = np.array([shares[langs[k]] for k in seen], float)
+    return Model([langs[k] for k in seen], prior / max(prior.sum(), 1.0), probabilities[:, seen], path)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -229,7 +259,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             known = np.array([bool(t and LETTER.search(t)) for t in texts]) & bool(model.langs)
             best, score = np.full(len(texts), len(model.langs)), np.zeros(len(texts))
             if known.any():
-                hashes, words, codes, ptr = word_list(buf, off)
+                hashes, words, codes, ptr = word_list(buf, off, pieces(model.path))
                 logs = scores.of(hashes, words)
                 total = np.zeros((len(texts), len(model.langs)))
                 for k in range(len(model.langs)):
