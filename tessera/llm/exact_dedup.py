@@ -1,11 +1,13 @@
 """Exact dedup over a sharded cuckoo-filter index of text digests.
 
-The index is a table of shards. Each shard has one filter row (16-bit fingerprints, four cells a bucket) and the content
-rows it guards: the full SHA-256 digest of a live text, the number of its copies and the row that stays. Inserting a
-digest asks the filter first; only a hit is verified against the content of its bucket, so that a new text costs no
-lookup. A filter that overflows is rebuilt at twice the size from the stored digests. Deleting withdraws a live digest
-from filter and content. Shards hold a bounded number of digests by construction, and copies are folded inside every
-input batch before the shuffle, so that a hot text arrives as one row per batch.
+The index is two tables. `filters` has one row per shard: 16-bit fingerprints, four cells a bucket. `content` has a row for
+each live digest, bucketed by shard and 64-bit key: the full SHA-256 digest, the number of its copies and the row that
+stays. Inserting digests asks the filters alone, which only get keys; a key that misses is new, enters its filter and is
+appended to the content unread. Only the keys that hit are joined to the content, and their full digests tell copies from
+chance hits, which then enter the filter as well. A filter that overflows is rebuilt at twice the size from the stored
+keys of its shard. Deleting withdraws live digests, verified in the same way, from filters and content. When an index
+outgrows its shards, it is dealt to twice as many. Copies are folded inside every input task before the shuffle, so that a
+hot text arrives as a few rows.
 
 Defined cases: null text counts as empty; null doc_id ranks below every number and is kept only among null ids; of
 repeated rows of one doc_id and text the last in file order stays; an empty table gives an empty result; other columns
@@ -15,19 +17,21 @@ of the input are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.staging import numbered, shuffle_width, staged
 
-FILTER, CONTENT, INSERT, DELETE = range(4)
 CELLS, MAX_KICKS = 4, 256
-DIGESTS_PER_SHARD = 50_000
-INDEX_SCHEMA = "shard int, kind int, digest binary, copies long, keep_id long, keep_row long, cells binary"
+DIGESTS_PER_SHARD, FOLD_ROWS = 50_000, 200_000
+CHANGES = "shard int, key long, digest binary, copies long, keep_id long, keep_row long"
+FILTERS = "shard int, size long, cells binary"
+ENTERED = "shard int, key long, hit boolean, there boolean, size long, cells binary, full boolean"
 
 
 class CuckooFilter:
@@ -54,6 +58,12 @@ class CuckooFilter:
         mark, a, b = self._place(key)
         return bool((self.cells[a] == mark).any() or (self.cells[b] == mark).any())
 
+    def contains_many(self, keys: np.ndarray) -> np.ndarray:
+        marks = np.maximum(keys >> np.uint64(48), np.uint64(1))
+        a = keys & np.uint64(self.buckets - 1)
+        b = a ^ ((marks * np.uint64(0x5BD1E995) + np.uint64(1)) & np.uint64(self.buckets - 1))
+        return ((self.cells[a.astype(np.int64)] == marks[:, None]) | (self.cells[b.astype(np.int64)] == marks[:, None])).any(axis=1)
+
     def insert(self, key: int) -> bool:
         """False if the filter overflows; it must then be rebuilt from the stored keys."""
         mark, a, b = self._place(key)
@@ -83,54 +93,13 @@ class CuckooFilter:
         return False
 
 
-class Shard:
-    """One shard of the index: a filter and, by bucket key, the content it guards."""
-
-    def __init__(self, cells: bytes | None, content: list[tuple[bytes, int, tuple]]):
-        self.content: dict[int, list[list]] = {}
-        self.size = 0
-        self.filter = CuckooFilter.sized_for(len(content))
-        for digest, copies, keep in content:
-            self.content.setdefault(key_of(digest), []).append([digest, copies, keep])
-            self.size += 1
-        if cells:
-            self.filter = CuckooFilter(len(cells) // (2 * CELLS), cells)
-        elif content:
-            self._resize(self.filter.buckets)
-
-    def _resize(self, buckets: int) -> None:
-        while True:
-            self.filter = CuckooFilter(buckets)
-            if all(self.filter.insert(k) for k, held in self.content.items() for _ in held):
-                return
-            buckets *= 2
-
-    def _verified(self, digest: bytes) -> list | None:
-        return next((x for x in self.content.get(key_of(digest), ()) if x[0] == digest), None)
-
-    def insert(self, digest: bytes, copies: int, keep: tuple) -> None:
-        key = key_of(digest)
-        if self.filter.contains(key) and (held := self._verified(digest)):
-            held[1] += copies
-            held[2] = max(held[2], keep)
-            return
-        self.content.setdefault(key, []).append([digest, copies, keep])
-        self.size += 1
-        if not self.filter.insert(key):
-            self._resize(2 * self.filter.buckets)
-
-    def delete(self, digest: bytes) -> None:
-        key = key_of(digest)
-        if self.filter.contains(key) and (held := self._verified(digest)):
-            self.content[key].remove(held)
-            if not self.content[key]:
-                del self.content[key]
-            self.size -= 1
-            self.filter.delete(key)
-
+@dataclass(frozen=True)
+class Index:
+    """filters: shard, size, cells; content: shard, key, digest, copies, keep_id, keep_row."""
 
-def key_of(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little")
+    filters: DataFrame
+    content: DataFrame
+    shards: int
 
 
 def digests(docs: DataFrame, row_no: Column | None = None) -> DataFrame:
@@ -147,69 +116,154 @@ def digests(docs: DataFrame, row_no: Column | None = None) -> DataFrame:
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per digest of a batch: its copies and the greatest (doc_id, row_no)."""
+    """One row per digest of up to FOLD_ROWS rows: its copies and the greatest (doc_id, row_no)."""
+
+    def fold(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        codes, found = pd.factorize(table["digest"].to_pandas())
+        known, row_no = table["doc_id"].is_valid().to_numpy(), table["row_no"].to_numpy()
+        ids = table["doc_id"].fill_null(0).to_numpy()
+        last = np.zeros(len(found), np.int64)
+        order = np.lexsort((row_no, ids, known))
+        last[codes[order]] = order  # of a digest's rows the greatest comes last
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.bincount(codes, minlength=len(found)), pa.int64()), pa.array(ids[last], mask=~known[last]), pa.array(row_no[last])], names=["digest", "copies", "keep_id", "keep_row"])
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        frame = batch.to_pandas()
-        frame = frame.sort_values(["doc_id", "row_no"], na_position="first")
-        held = frame.groupby("digest", sort=False)
-        out = held.tail(1).set_index("digest")
-        out["copies"] = held.size()
-        out = out.reset_index()
-        yield pa.RecordBatch.from_pandas(out[["digest", "copies", "doc_id", "row_no"]], preserve_index=False, schema=pa.schema([("digest", pa.binary()), ("copies", pa.int64()), ("doc_id", pa.int64()), ("row_no", pa.int64())]))
-
-
-def _update(rows: pd.DataFrame) -> pd.DataFrame:
-    kinds = rows["kind"].to_numpy()
-    keeps = [((i is not None and i == i), int(i) if i is not None and i == i else 0, int(r)) for i, r in zip(rows["keep_id"].array, rows["keep_row"].fillna(-1), strict=True)]
-    all_rows = list(zip(rows["digest"], rows["copies"].fillna(0).astype("int64"), keeps, strict=True))
-    cells = next((bytes(c) for c in rows["cells"][kinds == FILTER]), None)
-    shard = Shard(cells, [x for x, k in zip(all_rows, kinds, strict=True) if k == CONTENT])
-    for (digest, _, _), kind in zip(all_rows, kinds, strict=True):
-        if kind == DELETE:
-            shard.delete(digest)
-    for (digest, copies, keep), kind in zip(all_rows, kinds, strict=True):
-        if kind == INSERT:
-            shard.insert(digest, int(copies), keep)
-    held = [x for many in shard.content.values() for x in many]
-    out = pd.DataFrame({"digest": [x[0] for x in held], "copies": [x[1] for x in held], "keep_id": pd.array([x[2][1] if x[2][0] else None for x in held], dtype="Int64"), "keep_row": [x[2][2] for x in held], "kind": CONTENT, "cells": None})
-    mark = pd.DataFrame({"digest": [None], "copies": [shard.size], "keep_id": pd.array([None], dtype="Int64"), "keep_row": [-1], "kind": FILTER, "cells": [shard.filter.cells.tobytes()]})
-    out = pd.concat([mark, out], ignore_index=True) if len(out) else mark
-    out["shard"] = int(rows["shard"].iloc[0])
-    return out[["shard", "kind", "digest", "copies", "keep_id", "keep_row", "cells"]]
-
-
-def _changes(keyed: DataFrame, shards: int, kind: int) -> DataFrame:
-    folded = keyed.select("digest", "doc_id", "row_no").mapInArrow(_fold, "digest binary, copies long, doc_id long, row_no long")
-    return folded.select(
-        F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"), F.lit(kind).alias("kind"), "digest", "copies",
-        F.col("doc_id").alias("keep_id"), F.col("row_no").alias("keep_row"), F.lit(None).cast("binary").alias("cells"),
-    )
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= FOLD_ROWS:
+            yield fold(held)
+            held = []
+    if sum(x.num_rows for x in held):
+        yield fold(held)
 
 
-def build_index(keyed: DataFrame, digests_per_shard: int = DIGESTS_PER_SHARD) -> DataFrame:
-    """A new index of all digests of keyed (see digests()); the number of shards follows the number of rows."""
-    spark = keyed.sparkSession
-    shards = max(shuffle_width(spark), -(-keyed.count() // digests_per_shard))
-    return staged(_changes(keyed, shards, INSERT).groupBy("shard").applyInPandas(_update, INDEX_SCHEMA), "cuckoo")
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), "digest"), F.lit(shards)).cast("int")
+
+
+def _changes(keyed: DataFrame, shards: int) -> DataFrame:
+    folded = keyed.select("digest", "doc_id", "row_no").mapInArrow(_fold, "digest binary, copies long, keep_id long, keep_row long")
+    return staged(folded.select(_shard(shards).alias("shard"), F.xxhash64("digest").alias("key"), "digest", "copies", "keep_id", "keep_row"), "changes")
+
+
+def _enter(probe: bool):
+    """Puts a shard's keys into its filter; the other side holds the filter's cells, or the stored keys to build it from.
+
+    Gives the filter's row and one row for each distinct key: hit says that it may be there already or comes twice, there
+    that it was not put in. full: the cells overflowed, and stored keys are wanted. Without probe all keys are new.
+    """
+
+    def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        shard = int((new if len(new) else old)["shard"].iloc[0])
+        keys, times = np.unique(new["key"].to_numpy(np.int64).view(np.uint64), return_counts=True)
+        cells = next((bytes(c) for c in old["cells"] if c is not None), None)
+        stored = old["key"].to_numpy(np.int64).view(np.uint64).tolist() if cells is None and len(old) else []
+        buckets = CuckooFilter.sized_for(2 * len(stored) + len(keys)).buckets
+        while True:
+            held = CuckooFilter(buckets) if cells is None else CuckooFilter(len(cells) // (2 * CELLS), cells)
+            size, full = (len(stored) if cells is None else int(old["size"].iloc[0])), not all(map(held.insert, stored))
+            there = held.contains_many(keys) if probe and len(keys) else np.zeros(len(keys), bool)
+            for i in np.flatnonzero(~there).tolist():
+                there[i] = probe and held.contains(int(keys[i]))  # the fingerprint of a key that has just come in
+                if not there[i]:
+                    full, size = full or not held.insert(int(keys[i])), size + 1
+                if full:
+                    break
+            if not full or cells is not None:
+                break
+            buckets *= 2
+        out = pd.DataFrame({"key": keys.view(np.int64), "hit": there | (times > 1), "there": there, "size": 0, "cells": None, "full": False})
+        mark = pd.DataFrame({"key": [0], "hit": [False], "there": [False], "size": [size], "cells": [held.cells.tobytes()], "full": [full]})
+        out = pd.concat([mark, out], ignore_index=True) if len(out) else mark
+        return out.assign(shard=shard)[["shard", "key", "hit", "there", "size", "cells", "full"]]
+
+    return run
+
+
+def _entered(keys: DataFrame, index: Index, probe: bool) -> tuple[DataFrame, DataFrame]:
+    """(keys: shard, key, hit, there; filters) after keys (shard, key) went into the filters, rebuilt where they overflow."""
+
+    def meet(new: DataFrame, old: DataFrame) -> DataFrame:
+        return staged(new.select("shard", "key").groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(_enter(probe), ENTERED), "entered")
+
+    none = F.lit(None)
+    out = meet(keys, index.filters.select("shard", F.lit(0).cast("long").alias("key"), "size", "cells"))
+    full = out.filter("full").select("shard")
+    if full.limit(1).count():
+        stored = index.content.join(full, "shard", "left_semi").select("shard", "key", none.cast("long").alias("size"), none.cast("binary").alias("cells"))
+        out = out.join(full, "shard", "left_anti").unionByName(meet(keys.join(full, "shard", "left_semi"), stored))
+    return out.filter("cells is null").select("shard", "key", "hit", "there"), out.filter("cells is not null").select("shard", "size", "cells")
+
+
+def empty_index(spark: SparkSession, shards: int) -> Index:
+    return Index(spark.createDataFrame([], FILTERS), spark.createDataFrame([], CHANGES), shards)
 
 
-def _amend(index: DataFrame, keyed: DataFrame, shards: int, kind: int) -> DataFrame:
-    return staged(index.unionByName(_changes(keyed, shards, kind)).groupBy("shard").applyInPandas(_update, INDEX_SCHEMA), "cuckoo")
+def dealt(index: Index, shards: int) -> Index:
+    """The same index in so many shards; the filters are built again from the stored keys."""
+    content = staged(index.content.withColumn("shard", _shard(shards)), "content")
+    return Index(_entered(content, empty_index(content.sparkSession, shards), False)[1], content, shards)
 
 
-def insert(index: DataFrame, keyed: DataFrame, shards: int) -> DataFrame:
-    """The index with the digests of keyed added; shards is that of the index."""
-    return _amend(index, keyed, shards, INSERT)
+def verified(index: Index, hits: DataFrame) -> DataFrame:
+    """The content rows that hits (shard, key) have to be verified against; no others are read."""
+    return index.content.join(hits.select("shard", "key").distinct(), ["shard", "key"], "left_semi").select(*index.content.columns)
 
 
-def delete(index: DataFrame, keyed: DataFrame, shards: int) -> DataFrame:
+def insert(index: Index, keyed: DataFrame, digests_per_shard: int = DIGESTS_PER_SHARD) -> Index:
+    """The index with the digests of keyed (see digests()) added, in more shards if it outgrows its own."""
+    live = index.filters.agg(F.sum("size")).first()[0] or 0
+    wanted = -(-(live + keyed.count()) // digests_per_shard)
+    if wanted > index.shards:
+        wanted = max(wanted, 2 * index.shards)
+        index = dealt(index, wanted) if live else empty_index(keyed.sparkSession, wanted)
+    changes = _changes(keyed, index.shards)
+    keys, filters = _entered(changes, index, True)
+    hits, columns, at_key = keys.filter("hit"), index.content.columns, ["shard", "key"]
+    both = verified(index, hits).withColumn("stored", F.lit(True)).unionByName(changes.join(hits, at_key, "left_semi").withColumn("stored", F.lit(False)))
+    keep = F.max(F.struct(F.col("keep_id").isNotNull().alias("known"), "keep_id", "keep_row")).alias("keep")
+    merged = both.groupBy("shard", "key", "digest").agg(F.sum("copies").alias("copies"), keep, F.max("stored").alias("stored"))
+    merged = staged(merged.select("shard", "key", "digest", "copies", "keep.keep_id", "keep.keep_row", "stored"), "verified")
+    untouched = index.content.unionByName(changes).join(hits, at_key, "left_anti")
+    content = staged(untouched.select(*columns).unionByName(merged.select(*columns)), "content")
+    late = merged.filter(~F.col("stored")).join(hits.filter("there"), at_key, "left_semi")  # hits by chance: new after all
+    if late.limit(1).count():
+        filters = _entered(late, Index(filters, content.join(late, at_key, "left_anti"), index.shards), False)[1]
+    return Index(filters, content, index.shards)
+
+
+def _withdraw(gone: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    cells = bytes(old["cells"].iloc[0])
+    held = CuckooFilter(len(cells) // (2 * CELLS), cells)
+    n = sum(held.delete(k) for k in gone["key"].to_numpy(np.int64).view(np.uint64).tolist())
+    return pd.DataFrame({"shard": old["shard"], "size": old["size"] - n, "cells": [held.cells.tobytes()]})
+
+
+def delete(index: Index, keyed: DataFrame) -> Index:
     """The index without the texts of keyed: their digests are no longer live, whatever their copies."""
-    return _amend(index, keyed, shards, DELETE)
+    asked = keyed.select("digest").distinct().select(_shard(index.shards).alias("shard"), F.xxhash64("digest").alias("key"), "digest")
+
+    def ask(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        cells = next((bytes(c) for c in old["cells"]), None)
+        if cells is None or not len(new):
+            return new.iloc[:0]
+        return new[CuckooFilter(len(cells) // (2 * CELLS), cells).contains_many(new["key"].to_numpy(np.int64).view(np.uint64))]
+
+    hits = asked.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(ask, "shard int, key long, digest binary")
+    dead = staged(verified(index, hits).join(hits.select("digest"), "digest", "left_semi").select(*index.content.columns), "withdrawn")
+    filters = dead.select("shard", "key").groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(_withdraw, FILTERS)
+    return Index(staged(filters, "filters"), staged(index.content.join(dead, "digest", "left_anti").select(*index.content.columns), "content"), index.shards)
+
+
+def build_index(keyed: DataFrame, digests_per_shard: int = DIGESTS_PER_SHARD) -> Index:
+    """A new index of all digests of keyed (see digests()); the number of shards follows the number of rows."""
+    return insert(empty_index(keyed.sparkSession, shuffle_width(keyed.sparkSession)), keyed, digests_per_shard)
 
 
-def resolve(index: DataFrame, keyed: DataFrame) -> DataFrame:
+def resolve(index: Index, keyed: DataFrame) -> DataFrame:
     """Each row of keyed with its group: keep_id, group_size and kept. A hot digest is split by adaptive skew joins."""
-    groups = index.filter((F.col("kind") == CONTENT) & (F.col("copies") > 1)).select(F.col("digest").alias("g_digest"), "copies", "keep_id", "keep_row")
+    groups = index.content.filter("copies > 1").select(F.col("digest").alias("g_digest"), "copies", "keep_id", "keep_row")
     joined = keyed.join(groups, F.col("digest") == F.col("g_digest"), "left")
     single = F.col("copies").isNull()
     return joined.select(
