@@ -1,10 +1,12 @@
 """Substring dedup over words by level-wise doubling.
 
-Level one takes windows of half the wanted length. Only a content-chosen sample of them is counted: of each run of
-half-windows that a wanted window can hold, the one with the least hash, so that equal windows hold equal samples. Those
-that occur in two documents are extended to windows of twice the length, which are counted in turn, and so on while
-longer windows are asked for and candidates survive. A window repeats only if the halves inside it do, so no level
-misses one. From the wanted length on, each level tells for every window the least doc_id that holds it.
+Levels double from SHORTEST words or less to the wanted length (12 or 13, 25, 50; the last step overlaps where it must):
+windows that repeat at one length alone are extended to the next, until the wanted length is reached or no candidate
+survives. Below the wanted length, only a content-chosen sample of the windows is counted: of each run that a window of
+the next length can hold, the one with the least hash, so that equal windows hold equal samples. A window is counted only
+if its own sample from the level before occurs in two documents; since a window repeats only if the windows inside it do,
+no level misses one. From the wanted length on, each level tells for every window the least doc_id that holds it, and if
+longer windows are asked for, doubling goes on in the same way.
 
 Documents with the same words are folded before that: all but the least doc_id lose every word that a window covers.
 Windows are counted in shards of bounded size. Of the holders of one window in a block of texts only the least and the
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import arrowtext as at
 from tessera.llm.staging import shuffle_width, staged
 
-WORDS = 50
+WORDS, SHORTEST = 50, 13
 WINDOWS_PER_SHARD = 1_500_000
 SURVEY = "doc_id long, th long, n_words long, whole_sha binary, anchors array<long>"
 
@@ -89,6 +91,41 @@ def _isin(values: np.ndarray, row: np.ndarray, wanted: np.ndarray, owner: np.nda
     return np.isin(key(values, row), key(wanted, owner))
 
 
+def levels(words: int) -> list[int]:
+    """Window lengths from a short one to the wanted one, each at most double the one before."""
+    out = [words]
+    while out[0] > SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out if len(out) > 1 else [(words + 1) // 2, words]
+
+
+def _sampled(prefix: np.ndarray, starts: np.ndarray, shorter: int, length: int, row: np.ndarray, values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which windows' least shorter windows are among their row's values."""
+    n = len(prefix) - 1
+    hashes = at.span_hash(prefix, np.arange(max(0, n - shorter + 1)), np.arange(shorter, n + 1))
+    least = at.sliding_min(hashes, length - shorter + 1)
+    return _isin(least[starts].view(np.int64), row[starts], values.astype(np.int64), owner)
+
+
+def _extended(shorter: int, length: int, longer: int):
+    """The sample of windows of one length for the next, of those alone whose own sample was repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, off in _opened(batches):
+            _, _, ptr, words = at.word_hashes(buf, off)
+            prefix, row = at.prefix_hash(words), at.row_of(ptr)
+            values, owner = _list_values(rows.column(3))
+            starts = at.window_starts(ptr, length)
+            hashes = at.span_hash(prefix, starts, starts + length)
+            chosen = at.anchors(hashes, row[starts], longer - length + 1)
+            chosen = chosen[_sampled(prefix, starts[chosen], shorter, length, row, values, owner)]
+            where = row[starts[chosen]]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.arange(len(off))), pa.int32()), pa.array(hashes[chosen].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists], names=["doc_id", "th", "anchors"])
+
+    return run
+
+
 def _windows(half: int, length: int, shards: int, sampled: bool):
     """Candidate windows of one level, one entry for each distinct window of a block, dealt to shards as packed arrays."""
 
@@ -99,9 +136,7 @@ def _windows(half: int, length: int, shards: int, sampled: bool):
             values, owner = _list_values(rows.column(3))
             starts = at.window_starts(ptr, length)
             if sampled:
-                halves = at.span_hash(prefix, np.arange(max(0, len(words) - half + 1)), np.arange(half, len(words) + 1))
-                least = at.sliding_min(halves, length - half + 1)
-                starts = starts[_isin(least[starts].view(np.int64), row[starts], values.astype(np.int64), owner)]
+                starts = starts[_sampled(prefix, starts, half, length, row, values, owner)]
             else:
                 known = np.zeros(len(words) + length, bool)
                 known[ptr[owner] + values] = True
@@ -220,23 +255,24 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, longest: int | None = N
     none was); levels double from words up to longest, which is words if not given.
     """
     spark = docs.sparkSession
-    half = (words + 1) // 2
+    lengths = levels(words)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    survey = staged(texts.mapInArrow(_survey(half, words), SURVEY), "survey")
+    survey = staged(texts.mapInArrow(_survey(lengths[0], lengths[1]), SURVEY), "survey")
     able = survey.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= words))
     same = staged(able.groupBy("whole_sha").agg(F.min("doc_id").alias("least"), F.min_by("th", "doc_id").alias("least_th")), "same")
 
     solo = able.join(same.select("least", "least_th"), (F.col("doc_id") == F.col("least")) & (F.col("th") == F.col("least_th")), "left_semi")
-    marks = solo.select("doc_id", "th", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    twice = marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    likely = marks.join(twice, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("marks"))
-    likely = likely.select(F.col("doc_id").alias("l_id"), F.col("th").alias("l_th"), "marks")
+    likely = repeated(solo).select(F.col("doc_id").alias("l_id"), F.col("th").alias("l_th"), "marks")
     packs = texts.filter("doc_id is not null").mapInArrow(packed, "doc_id long, th long, packed binary")
     held = staged(packs.join(likely, (F.col("doc_id") == F.col("l_id")) & (F.col("th") == F.col("l_th"))).select("doc_id", "th", "packed", "marks").dropDuplicates(["doc_id", "th"]), "candidates")
+    for shorter, length, longer in zip(lengths, lengths[1:], lengths[2:]):
+        sample = held.mapInArrow(_extended(shorter, length, longer), "doc_id long, th long, anchors array<long>")
+        likely = repeated(staged(sample, "sample"))
+        held = staged(held.drop("marks").join(likely, ["doc_id", "th"]).select("doc_id", "th", "packed", "marks"), "candidates")
 
     load = held.join(survey.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "n_words"), (F.col("doc_id") == F.col("s_id")) & (F.col("th") == F.col("s_th"))).agg(F.sum("n_words")).first()[0] or 0
     shards = max(shuffle_width(spark), -(-load // WINDOWS_PER_SHARD))
-    found = _level(held, _windows(half, words, shards, True), shards)
+    found = _level(held, _windows(lengths[-2], words, shards, True), shards)
     gone = found.filter(F.size("later") > 0).select("doc_id", "th", F.col("later").alias("marks"))
     reach = found.select("doc_id", "th", F.lit(words).alias("length"))
     level, length = found, words
@@ -259,6 +295,13 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, longest: int | None = N
     )
 
 
+def repeated(sample: DataFrame) -> DataFrame:
+    """doc_id, th and the marks: the row's sampled windows (anchors) that another document's sample holds as well."""
+    each = sample.select("doc_id", "th", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    twice = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+    return each.join(twice, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("marks"))
+
+
 def _level(held: DataFrame, windows, shards: int) -> DataFrame:
     settled = held.mapInArrow(windows, "shard int, settled boolean, entries binary").groupBy("shard").applyInPandas(_settle(shards), "shard int, entries binary")
     return staged(settled.groupBy("shard").applyInPandas(_gather, "doc_id long, th long, starts array<int>, later array<int>"), "level")
