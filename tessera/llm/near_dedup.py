@@ -6,11 +6,13 @@ bands of four; a pair at the threshold shares no band with a chance of 5e-6. Can
 batches of 16 minima are compared, and a pair is pruned once the posterior chance (uniform prior) that its similarity
 reaches the threshold falls below MISS. Survivors are verified exactly on their full sets.
 
-Buckets are never expanded into all pairs. Each member is first held against its bucket's least member. Linked classes
-are merged, and only buckets that still hold several components go on: members outside the largest component meet the
-members of other components, in small buckets by a join, in large ones block by block inside tasks that give back only
-true links; a pair is taken up in the first band that it shares. A link between two components of a bucket has an end
-outside the largest one, so no link is lost by this. Texts of candidates cross the network compressed.
+Buckets are never expanded into all pairs. Each class is first held against the least of the least members of its
+buckets, linked classes are merged, and only then are those that still stand apart held against the least members of
+their other buckets. Buckets that hold several components after that are dealt to blocks of at most SIDE by SIDE members:
+members outside the bucket's largest component meet the members of other components, in the first band that a pair
+shares. Blocks are read twice: by signatures, which leaves the members that may have a partner, and with the texts of
+these, compressed, for the exact test. A block gives back a spanning forest of its links and never more than that. A link
+between two components of a bucket has an end outside the largest one, so no link between components is lost.
 
 Defined cases: null and empty texts and texts without words have an empty set, are linked with nothing and stay; rows
 without doc_id are linked with nothing, stay, and have no component_id; rows of one doc_id are one node; repeated rows
@@ -36,7 +38,7 @@ from tessera.llm.staging import staged
 
 SHINGLE, HASHES, ROWS, BATCH = 5, 128, 4, 16
 PERCENT, MISS = 75, 1e-6
-SMALL_BUCKET, SIDE = 48, 512
+SIDE, PAIRS = 512, 1 << 15
 PROFILE = "doc_id long, n_shingles long, set_id binary, signature binary"
 
 
@@ -117,12 +119,12 @@ def least_matches(percent: int, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def likely(a: np.ndarray, b: np.ndarray, percent: int, miss: float) -> np.ndarray:
-    """Indices of the pairs of signature rows that survive the sequential test."""
+def likely(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int, miss: float) -> np.ndarray:
+    """Indices of the pairs (row a of left, row b of right) of signatures that survive the sequential test."""
     alive, got = np.arange(len(a)), np.zeros(len(a), np.int32)
     for k, least in enumerate(least_matches(percent, miss)):
         part = slice(k * BATCH, (k + 1) * BATCH)
-        got = got + (a[alive, part] == b[alive, part]).sum(axis=1)
+        got = got + (left[a[alive], part] == right[b[alive], part]).sum(axis=1)
         keep = got >= least
         alive, got = alive[keep], got[keep]
     return alive
@@ -136,31 +138,93 @@ def _surviving(percent: int, miss: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = likely(_matrix(batch.column(2).to_pylist()), _matrix(batch.column(3).to_pylist()), percent, miss)
+                pair = np.arange(batch.num_rows)
+                keep = likely(_matrix(batch.column(2).to_pylist()), _matrix(batch.column(3).to_pylist()), pair, pair, percent, miss)
                 yield batch.select([0, 1]).take(pa.array(keep))
 
     return run
 
 
-def _blockwise(percent: int, miss: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        marks, node, comp = _matrix(rows["signature"]), rows["node"].to_numpy(), rows["comp"].to_numpy()
-        bands = marks.view(np.uint64)
-        own = int(rows["band_no"].iloc[0])
-        outside = rows["outside"].to_numpy()
-        x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
-        left, right = [], []
-        for i in x:
-            other = y[comp[y] != comp[i]]
-            other = other[~(bands[other, :own] == bands[i, :own]).any(axis=1)]  # those met in an earlier band
-            hit = other[likely(np.broadcast_to(marks[i], (len(other), HASHES)), marks[other], percent, miss)]
-            left.append(np.full(len(hit), i))
-            right.append(hit)
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        if len(a):
-            keep = _reach(rows["packed"].array, a, b, percent)
-            a, b = a[keep], b[keep]
-        return pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+# --- blocks of buckets ------------------------------------------------------------------------------------------------
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The blocks one by one; rows come sorted by band, bx and by, the first three columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if last is not None and tuple(keys[begin]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = tuple(keys[begin])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_pairs(block: pa.Table, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a block (one outside the largest component, one of its partners) that the sequential test keeps."""
+    number = lambda name: block.column(name).to_numpy()
+    comp, size, own, outside = number("comp"), number("n_shingles"), int(block.column("band_no")[0].as_py()), number("outside")
+    marks = _matrix(block.column("signature").to_pylist())
+    bands = marks.view(np.uint64)
+    x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, PAIRS // max(1, len(y)))
+    for begin in range(0, len(x), step):
+        a, b = (v.ravel() for v in np.meshgrid(x[begin : begin + step], y, indexing="ij"))
+        fits = (comp[a] != comp[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        a, b = a[fits], b[fits]
+        fresh = ~(bands[a, :own] == bands[b, :own]).any(axis=1)  # the others met in an earlier band
+        a, b = a[fresh], b[fresh]
+        keep = likely(marks, marks, a, b, percent, miss)
+        left.append(a[keep])
+        right.append(b[keep])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _promising(percent: int, miss: float):
+    """The rows of blocks that have a partner by their signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            a, b = _open_pairs(block, percent, miss)
+            if len(a):
+                yield from block.take(pa.array(np.unique(np.concatenate([a, b])))).combine_chunks().to_batches()
+
+    return run
+
+
+def _forest(percent: int, miss: float):
+    """Links of each block whose full sets reach the threshold, as a spanning forest of the components that they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            a, b = _open_pairs(block, percent, miss)
+            if not len(a):
+                continue
+            reach = _reach(block.column("packed").to_pylist(), a, b, percent)
+            node, comp = block.column("node").to_numpy(), block.column("comp").to_numpy()
+            up: dict[int, int] = {}
+
+            def root(c: int, up: dict[int, int] = up) -> int:
+                while c in up:
+                    up[c] = c = up.get(up[c], up[c])
+                return c
+
+            left, right = [], []
+            for i, j in zip(a[reach].tolist(), b[reach].tolist(), strict=True):
+                r, s = root(int(comp[i])), root(int(comp[j]))
+                if r != s:
+                    up[max(r, s)] = min(r, s)
+                    left.append(int(node[i]))
+                    right.append(int(node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -237,16 +301,47 @@ def candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def linked(texts: DataFrame, classes: DataFrame, percent: int, miss: float, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets reach the threshold: first the sequential test, then the exact one."""
+    """The pairs (a, b) of class ids whose full sets reach the threshold: first the sequential test, then the exact one.
+
+    b is joined first: an a that many pairs share is then met where its pairs are, and its text is not sent again.
+    """
     side = classes.select("node", "signature", "n_shingles")
-    both = pairs.join(side.select(F.col("node").alias("a"), F.col("signature").alias("s"), F.col("n_shingles").alias("n")), "a")
-    both = both.join(side.select(F.col("node").alias("b"), F.col("signature").alias("r"), F.col("n_shingles").alias("m")), "b")
+    both = pairs.join(side.select(F.col("node").alias("b"), F.col("signature").alias("r"), F.col("n_shingles").alias("m")), "b")
+    both = both.join(side.select(F.col("node").alias("a"), F.col("signature").alias("s"), F.col("n_shingles").alias("n")), "a")
     both = both.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     pairs = staged(both.select("a", "b", "s", "r").mapInArrow(_surviving(percent, miss), "a long, b long"), "likely")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("r")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("r")), "b").join(texts.select(F.col("node").alias("a"), F.col("packed").alias("s")), "a")
     return staged(both.select("a", "b", "s", "r").mapInArrow(_exact(percent), "a long, b long"), "links")
 
 
+def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members with the component of each node."""
+    named = comps.select(F.col("node").alias("c_node"), "comp")
+    return members.join(named, F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("c_node")
+
+
+def bucket_links(members: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) that join components inside the buckets (members: band, band_no, node), block by block."""
+    held = _apart(members, comps).select("band", "band_no", "node", "comp")
+    parts = held.groupBy("band", "comp").agg(F.count("*").alias("in_comp"))
+    open_ = parts.groupBy("band").agg(F.count("*").alias("n_comps"), F.max(F.struct("in_comp", "comp")).alias("top"), F.sum("in_comp").alias("size")).filter("n_comps > 1")
+    open_ = open_.select("band", F.col("top.comp").alias("top"), (F.col("size") - F.col("top.in_comp")).alias("n_out"), "size")
+    rest = held.join(open_, "band").withColumns({
+        "outside": F.col("comp") != F.col("top"), "xs": F.ceil(F.col("n_out") / SIDE).cast("int"), "ys": F.ceil(F.col("size") / SIDE).cast("int"), "deal": F.abs(F.xxhash64("node")),
+    })
+    rest = rest.join(classes.select("node", "signature", "n_shingles"), "node")
+    dealt = lambda n: (F.col("deal") % F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    own = ["band_no", "node", "comp", "n_shingles", "signature"]
+    left = rest.filter("outside").select("band", dealt("xs").alias("bx"), every("ys").alias("by"), *own, F.lit(True).alias("outside"))
+    right = rest.select("band", every("xs").alias("bx"), dealt("ys").alias("by"), *own, F.lit(False).alias("outside"))
+    key = ["band", "bx", "by"]
+    blocks = left.unionByName(right).repartition(*key).sortWithinPartitions(*key)
+    kept = staged(blocks.mapInArrow(_promising(percent, miss), blocks.schema), "promising")
+    with_text = kept.join(texts, "node").select(*blocks.columns, "packed").repartition(*key).sortWithinPartitions(*key)
+    return staged(with_text.mapInArrow(_forest(percent, miss), "a long, b long").distinct(), "links")
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     profiles = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_profile, PROFILE), "profiles")
@@ -255,34 +350,18 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> D
 
     bands = classes.select("node", "signature").mapInArrow(_bands, "node long, band long, band_no int")
     full = bands.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    members = staged(bands.join(full, "band"), "members")
-    first = members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    members = staged(bands.join(full, "band").select("band", "band_no", "node", "least"), "members")
     texts = candidate_texts(docs, members.select("node").distinct())
+    first = members.groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")).filter("a < b")
     edges = linked(texts, classes, percent, miss, first)
     comps = staged(components(edges), "components")
+    others = _apart(members, comps).join(comps.select(F.col("node").alias("least"), F.col("comp").alias("l_comp")), "least", "left")
+    others = others.filter(F.col("comp") != F.coalesce("l_comp", "least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    edges = edges.unionByName(linked(texts, classes, percent, miss, others.join(first, ["a", "b"], "left_anti")))
+    comps = staged(components(edges), "components")
+    edges = edges.unionByName(bucket_links(members, comps, classes, texts, percent, miss))
 
-    held = members.join(comps.select(F.col("node").alias("c_node"), "comp"), F.col("node") == F.col("c_node"), "left").select("band", "band_no", "node", "least", "size", F.coalesce("comp", "node").alias("comp"))
-    parts = held.groupBy("band", "comp").agg(F.count("*").alias("in_comp"))
-    open_ = parts.groupBy("band").agg(F.count("*").alias("n_comps"), F.max(F.struct("in_comp", "comp")).alias("top"), F.sum("in_comp").alias("m")).filter("n_comps > 1")
-    open_ = open_.select("band", F.col("top.comp").alias("top"), (F.col("m") - F.col("top.in_comp")).alias("n_out"))
-    rest = staged(held.join(open_, "band").select("band", "band_no", "node", "least", "size", "comp", (F.col("comp") != F.col("top")).alias("outside"), "n_out"), "unresolved")
-
-    small = rest.filter(F.col("size") <= SMALL_BUCKET)
-    x = small.filter("outside").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"), "least")
-    pairs = x.join(small.select("band", F.col("node").alias("y"), F.col("comp").alias("cy")), "band").filter("cx != cy and x != least and y != least")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = linked(texts, classes, percent, miss, pairs)
-
-    large = rest.filter(F.col("size") > SMALL_BUCKET).join(classes.select("node", "signature"), "node").join(texts, "node")
-    xs, ys = F.ceil(F.col("n_out") / SIDE).cast("int"), F.ceil(F.col("size") / SIDE).cast("int")
-    large = large.withColumns({"xs": xs, "ys": ys, "deal": F.abs(F.xxhash64("node"))})
-    own = ["band", "band_no", "node", "comp", "signature", "packed"]
-    left = large.filter("outside").select(*own, F.lit(True).alias("outside"), (F.col("deal") % F.col("xs")).cast("int").alias("bx"), F.explode(F.expr("sequence(0, ys - 1)")).alias("by"))
-    right = large.select(*own, F.lit(False).alias("outside"), F.explode(F.expr("sequence(0, xs - 1)")).alias("bx"), (F.col("deal") % F.col("ys")).cast("int").alias("by"))
-    blocks = left.unionByName(right).groupBy("band", "bx", "by").applyInPandas(_blockwise(percent, miss), "a long, b long").distinct()
-    more = more.unionByName(staged(blocks, "links"))
-
-    final = components(edges.unionByName(more))
+    final = components(edges)
     by_set = classes.select(F.col("set_id").alias("c_set"), "node").join(final.select(F.col("node").alias("f_node"), "comp"), F.col("node") == F.col("f_node"), "left").select("c_set", F.coalesce("comp", "node").alias("comp"))
     rows = profiles.select("doc_id", "n_shingles", "set_id").join(by_set, F.col("set_id") == F.col("c_set"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

@@ -106,26 +106,47 @@ def test_exact_dedup(docs, rows, none):
 
 def test_index_takes_and_loses_digests(spark):
     make = lambda pairs: exact_dedup.digests(spark.createDataFrame(pairs, "doc_id long, text string"))
+    content = lambda x: {(r.digest.hex(), r.copies, r.keep_id) for r in x.content.collect()}
+    live = lambda x: x.filters.agg(F.sum("size")).first()[0]
     index = exact_dedup.build_index(make([(1, "a"), (2, "b"), (3, "a")]))
-    shards = 4
-    index = exact_dedup.insert(index, make([(9, "a"), (4, "c")]), shards)
-    content = lambda x: {(r.digest.hex(), r.copies, r.keep_id) for r in x.filter("kind = 1").collect()}
-    assert content(index) == {(sha("a"), 3, 9), (sha("b"), 1, 2), (sha("c"), 1, 4)}
-    index = exact_dedup.delete(index, make([(0, "a"), (0, "unknown")]), shards)
-    assert content(index) == {(sha("b"), 1, 2), (sha("c"), 1, 4)}
-    assert content(exact_dedup.insert(index, make([(7, "a")]), shards)) == {(sha("a"), 1, 7), (sha("b"), 1, 2), (sha("c"), 1, 4)}
-
-
-def test_cuckoo_filter_resizes_from_stored_keys():
-    shard = exact_dedup.Shard(None, [])
-    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(2000)]
-    for k in keys:
-        shard.insert(k, 1, (True, 1, 1))
-    assert shard.filter.buckets > 8 and all(shard.filter.contains(exact_dedup.key_of(k)) for k in keys)
+    index = exact_dedup.insert(index, make([(9, "a"), (4, "c")]))
+    assert content(index) == {(sha("a"), 3, 9), (sha("b"), 1, 2), (sha("c"), 1, 4)} and live(index) == 3
+    index = exact_dedup.delete(index, make([(0, "a"), (0, "unknown")]))
+    assert content(index) == {(sha("b"), 1, 2), (sha("c"), 1, 4)} and live(index) == 2
+    index = exact_dedup.insert(index, make([(7, "a")]))
+    assert content(index) == {(sha("a"), 1, 7), (sha("b"), 1, 2), (sha("c"), 1, 4)} and live(index) == 3
+
+
+def test_index_splits_and_reads_content_for_hits_only(spark, monkeypatch):
+    read = []
+    plain = exact_dedup.verified
+    monkeypatch.setattr(exact_dedup, "verified", lambda index, hits: read.append(plain(index, hits).count()) or plain(index, hits))
+    make = lambda ids: exact_dedup.digests(spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string"))
+    index = exact_dedup.build_index(make(range(2000)))
+    grown = exact_dedup.insert(index, make(range(1990, 4000)), digests_per_shard=500)
+    assert read[0] == 0 and 10 <= read[1] < 60
+    assert grown.shards > index.shards and grown.content.count() == 4000 == grown.filters.agg(F.sum("size")).first()[0]
+    assert grown.content.filter("copies = 2").count() == 10
+    assert grown.filters.count() == grown.shards and {r.shard for r in grown.content.select("shard").distinct().collect()} <= set(range(grown.shards))
+
+
+def test_cuckoo_filter_overflows_and_resizes_from_stored_keys(spark):
+    keys = [int.from_bytes(hashlib.sha256(str(i).encode()).digest()[:8], "little") for i in range(2000)]
+    small = exact_dedup.CuckooFilter(8)
+    assert not all(small.insert(k) for k in keys)
+    signed = lambda v: np.array(v, np.uint64).view(np.int64).tolist()
+    content = spark.createDataFrame([(0, k, str(k).encode(), 1, k, 1) for k in signed(keys[:20])], exact_dedup.CHANGES)
+    held = exact_dedup.CuckooFilter(8)
+    assert all(held.insert(k) for k in keys[:20])
+    index = exact_dedup.Index(spark.createDataFrame([(0, 20, bytearray(held.cells.tobytes()))], exact_dedup.FILTERS), content, 1)
+    got, filters = exact_dedup._entered(spark.createDataFrame([(0, k) for k in signed(keys)], "shard int, key long"), index, True)
+    cells = filters.first().cells
+    grown = exact_dedup.CuckooFilter(len(cells) // (2 * exact_dedup.CELLS), bytes(cells))
+    assert grown.buckets > 8 and grown.contains_many(np.array(keys, np.uint64)).all() and all(grown.contains(k) for k in keys)
+    assert {r.key for r in got.filter("hit").collect()} >= set(signed(keys[:20])) and got.filter("hit").count() < 40
     for k in keys[:1000]:
-        shard.delete(k)
-    assert shard.size == 1000 and all(shard.filter.contains(exact_dedup.key_of(k)) for k in keys[1000:])
-    assert sum(shard.filter.contains(exact_dedup.key_of(k)) for k in keys[:1000]) < 20
+        grown.delete(k)
+    assert all(grown.contains(k) for k in keys[1000:]) and sum(grown.contains(k) for k in keys[:1000]) < 20
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------------
@@ -177,13 +198,31 @@ def removed_words(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize("length", [50, 3])
+@pytest.mark.parametrize("length", [50, 20, 3])
 def test_substring_dedup_matches_brute_force(docs, rows, none, length):
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha.hex()) for r in substring_dedup.substring_dedup(docs, length).collect())
     assert got == removed_words(rows, length)
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_levels_keep_only_windows_that_repeat(spark, monkeypatch):
+    """Documents that share 15 words stay for the second level only, those that share 30 for the third, and so on."""
+    assert substring_dedup.levels(50) == [13, 25, 50] and substring_dedup.levels(3) == [2, 3]
+    rng = random.Random(41)
+    word = lambda: f"w{rng.random()}"
+    made = []
+    for shared in (5, 20, 40, 70):
+        passage = [word() for _ in range(shared)]
+        made += [" ".join([*[word() for _ in range(60)], *passage, *[word() for _ in range(60)]]) for _ in range(2)]
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    seen = []
+    plain = substring_dedup.staged
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, name: (seen.append((name, (out := plain(df, name)).count())), out)[1])
+    found = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame).collect()}
+    assert [n for name, n in seen if name == "candidates"] == [6, 4] and dict(seen)["level"] == 2
+    assert found == {i: 70 if i == 7 else 0 for i in range(8)}
+
+
 def test_substring_levels_double(spark):
     rng = random.Random(4)
     shared = [f"w{rng.random()}" for _ in range(40)]
@@ -290,6 +329,17 @@ def test_langid(spark, docs, none):
     assert all(got[i].held_out for i, _ in held) and sum(got[i].lang_pred == k for i, k in held) > 0.97 * len(held)
     assert langid.identify(frame.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred != 'und'").count() == 0
     assert langid.identify(none).count() == 0
+    twice = langid.identify(frame.unionByName(frame).withColumn("score", F.lit(1)).withColumn("words", F.lit("w"))).groupBy("doc_id").agg(F.countDistinct("lang_pred", "score").alias("n"), F.count("*").alias("rows")).collect()
+    assert all(r.n == 1 and r["rows"] == 2 for r in twice)
+
+
+def test_rare_languages_are_learnt_from_all_their_rows(spark):
+    rng = random.Random(81)
+    made = [(i, " ".join("".join(rng.choices(["the", "ing", "er"], k=3)) for _ in range(12)), "big") for i in range(400)] + [(1000 + i, " ".join("".join(rng.choices(["ž", "ě", "ř"], k=3)) for _ in range(12)), "rare") for i in range(8)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = langid.learnt(frame, lambda i: i >= 0, train_docs=20)
+    assert model.langs == ["big", "rare"] and np.allclose(model.prior, [400 / 408, 8 / 408])
+    assert langid.predicted(frame.filter("lang = 'rare'"), model).filter("lang_pred = 'rare'").count() == 8
 
 
 def test_forward_sums_all_segmentations():
@@ -308,6 +358,23 @@ def test_forward_sums_all_segmentations():
     words_ = [b" the", b" station", "  é".encode()[1:], b" x", b" " + b"in" * 29]
     got = langid.forward(words_, p, vocabulary)
     assert np.allclose(got, [[brute(w, k) for k in range(2)] for w in words_])
+    # unspaced text of many scripts, cut where no piece crosses
+    vowels = "aeiou"
+    long = ["".join(rng.choice(list("漢字かな交じり文学研究所")) if rng.random() < 0.4 else "".join(rng.choice(list(vowels + "nstrl"), 6)) for _ in range(900)), "abc" + "漢" * 40, "x" * 5000, "station" * 400]
+    for word in long:
+        text = np.frombuffer(word.encode(), np.uint8)
+        hashes, parts, codes, ptr = langid.word_list(text, np.array([0, len(text)]), vocabulary)
+        assert b"".join(parts[c] for c in codes) == b" " + word.encode() and list(ptr) == [0, len(codes)]
+        got = langid.forward(parts, p, vocabulary)[codes].sum(axis=0)
+        scaled = []
+        for k in range(2):
+            total, logs, whole = [1.0], 0.0, b" " + word.encode()
+            for end in range(1, len(whole) + 1):
+                total.append(sum(total[-j] * p[index[whole[end - j : end]], k] for j in range(1, min(end, vocabulary.longest) + 1) if whole[end - j : end] in index))
+                if total[-1] < 1e-200:
+                    total, logs = [x * 1e200 for x in total[-vocabulary.longest - 1 :]], logs - 200 * np.log(10)
+            scaled.append(np.log(total[-1]) + logs)
+        assert np.allclose(got, scaled, rtol=1e-9)
     expected = np.zeros_like(p)
     langid.forward([b" the", b" it"], p, vocabulary, expected, np.ones((2, 2)))
     lengths = np.array([len(t) for t in vocabulary.texts])
@@ -340,6 +407,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(frame.limit(0)).count() == 0 and warc.round_trip(frame).count() == len(pages)
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SPAN", 4096)
+    rng = random.Random(9)
+    frame = spark.createDataFrame([(i, f"http://h/{i}", "".join(rng.choices("abcdefgh", k=400))) for i in range(600)], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/w"
+    packages = warc.write_packages(frame, folder)
+    assert packages.count() <= 4
+    read = warc.read_records(warc.read_index(packages, folder), folder).withColumn("task", F.spark_partition_id())
+    tasks = [r["count"] for r in read.groupBy("task").count().collect()]
+    assert sum(tasks) == 600 and len(tasks) > 8 and max(tasks) < 200
+
+
 class _File(io.BytesIO):
     def size(self):
         return len(self.getbuffer())
@@ -386,10 +465,9 @@ def near_brute(rows):
     return Counter((i, len(sets[i, t]), root(i) if i is not None else None, i is None or root(i) == i) for i, t in rows)
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_near_dedup_matches_brute_force(spark, none, small, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
-    monkeypatch.setattr(near_dedup, "SIDE", 3)
+@pytest.mark.parametrize("side", [512, 3])
+def test_near_dedup_matches_brute_force(spark, none, side, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SIDE", side)
     rng = random.Random(10)
     vocabulary = [f"v{k}" for k in range(400)]
     made = [(i, t) for i, t in enumerate(texts(5, 10))]
@@ -407,6 +485,37 @@ def test_near_dedup_matches_brute_force(spark, none, small, monkeypatch):
     assert near_dedup.near_dedup(none).count() == 0 and near_dedup.keep_one_of_each(frame).columns == frame.columns
 
 
+def _bucket(spark, frame):
+    """All classes of frame as members of one bucket that no star links, and its links."""
+    profiled = frame.mapInArrow(near_dedup._profile, near_dedup.PROFILE)
+    classes = profiled.select(F.col("doc_id").alias("node"), "signature", "n_shingles").cache()
+    members = classes.select(F.lit(5).cast("long").alias("band"), F.lit(0).alias("band_no"), "node")
+    texts_ = near_dedup.candidate_texts(frame, members.select("node").distinct())
+    return near_dedup.bucket_links(members, spark.createDataFrame([], "node long, comp long"), classes, texts_, 75, 1e-6).collect()
+
+
+def test_links_of_a_large_bucket_are_a_forest(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    made = []
+    for g in range(550):  # near pairs, far from each other
+        base = rng.choices(vocabulary, k=40)
+        made += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base[:-1], "other"]))]
+    got = _bucket(spark, spark.createDataFrame(made, "doc_id long, text string").repartition(4))
+    assert sorted({tuple(sorted((r.a, r.b))) for r in got}) == [(2 * g, 2 * g + 1) for g in range(550)]
+    same = [(i, " ".join(f"w{k + i % 7}" for k in range(100))) for i in range(1100)]  # all near all
+    assert 1099 <= len(_bucket(spark, spark.createDataFrame(same, "doc_id long, text string"))) < 9 * 1024  # nine blocks
+
+
+def test_near_dedup_at_default_sizes_on_a_bucket_of_over_1000(spark):
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(60)]
+    made = [(i, " ".join([*base[: rng.randrange(3)], *base[3:58], f"t{i}"])) for i in range(1050)] + [(5000 + i, " ".join(rng.choices(base, k=60))) for i in range(50)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup(frame).collect())
+    assert got == near_brute(made)
+
+
 def test_pruning_bound_is_the_posterior():
     for n, least in zip(range(16, 129, 16), near_dedup.least_matches(75, 1e-6), strict=True):
         x = np.linspace(0, 1, 200_001)
