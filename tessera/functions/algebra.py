@@ -41,7 +41,9 @@ def gain_category(gain: Column, tolerance: float = 1e-9) -> Column:
 
 
 def interval_status(lower: Column, upper: Column, tolerance: float = 0.0) -> Column:
-    return F.when(lower > tolerance, "robust_positive").when(upper <= tolerance, "robust_nonpositive").otherwise("uncertain")
+    """Sign of an interval; one without bounds (null, or NaN as of infinity less infinity) is unavailable."""
+    unknown = lower.isNull() | upper.isNull() | F.isnan(lower) | F.isnan(upper)
+    return F.when(unknown, "unavailable").when(lower > tolerance, "robust_positive").when(upper <= tolerance, "robust_nonpositive").otherwise("uncertain")
 
 
 def counter_draw(size: Column, *parts: Column | str) -> Column:

@@ -2,6 +2,9 @@
 
 Draws come from a counter (an MD5 of seed, group, draw and slot), so that any engine can repeat them. A draw needs five
 sums per group (N, W, NN, NW, WW), from which its mean and its cluster standard error follow.
+
+Rows without weight are ignored. A group with a gain of minus infinity has that mean and is not estimable, nor is one with
+too few blocks: such groups are reported as unavailable, without bounds, and take no part in draws and maxima.
 """
 
 from __future__ import annotations
@@ -17,15 +20,25 @@ def block_table(rows: DataFrame, group: str, block: str, gain: str, weight: str)
 
     The table is as small as the number of blocks and is cached: draws, points and bounds all start from it.
     """
-    sums = rows.groupBy(F.col(group).alias("grp"), F.col(block).alias("block")).agg(F.sum(F.col(weight) * F.col(gain)).alias("num"), F.sum(weight).alias("w")).filter("w > 0")
-    order = Window.partitionBy("grp").orderBy("block")
-    return sums.withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("grp"))}).cache()
+    live = rows.filter(F.col(weight) > 0)
+    return _indexed(live.groupBy(F.col(group).alias("grp"), F.col(block).alias("block")).agg(F.sum(F.col(weight) * F.col(gain)).alias("num"), F.sum(weight).alias("w"))).cache()
+
+
+def _indexed(sums: DataFrame) -> DataFrame:
+    """Adds each block's index, the number of blocks of its group and whether all of the group's sums are finite."""
+    order, whole = Window.partitionBy("grp").orderBy("block"), Window.partitionBy("grp")
+    finite = F.min(F.coalesce(F.abs("num") < float("inf"), F.lit(False))).over(whole)
+    return sums.withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(whole), "finite": finite})
+
+
+def estimable(blocks: DataFrame, min_blocks: int = 1) -> DataFrame:
+    return blocks.filter(F.col("finite") & (F.col("n_blocks") >= min_blocks))
 
 
 def point(blocks: DataFrame) -> DataFrame:
-    """Per group: mean, cluster standard error and number of blocks."""
-    sums = blocks.groupBy("grp").agg(F.count("*").alias("n"), *_sums())
-    return sums.select("grp", F.col("n").alias("n_blocks"), (F.col("sn") / F.col("sw")).alias("mean"), _error(F.col("n")).alias("se"))
+    """Per group: mean, cluster standard error (null if the mean is minus infinity), number of blocks and whether it is finite."""
+    sums = blocks.groupBy("grp").agg(F.count("*").alias("n"), F.min("finite").alias("finite"), *_sums())
+    return sums.select("grp", F.col("n").alias("n_blocks"), (F.col("sn") / F.col("sw")).alias("mean"), F.when(F.col("finite"), _error(F.col("n"))).alias("se"), "finite")
 
 
 def _sums() -> list:
@@ -50,24 +63,24 @@ def drawn(blocks: DataFrame, draws: int, seed: int, shared: bool = False) -> Dat
 
 def percentile_interval(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """Per group: mean and linear percentile interval of the resampled means."""
-    ends = drawn(blocks, draws, seed).groupBy("grp").agg(F.percentile("d_mean", F.lit(alpha / 2)).alias("lower"), F.percentile("d_mean", F.lit(1 - alpha / 2)).alias("upper"))
-    return point(blocks).join(ends, "grp").select("grp", "n_blocks", "mean", "lower", "upper", interval_status(F.col("lower"), F.col("upper")).alias("status"))
+    ends = drawn(estimable(blocks), draws, seed).groupBy("grp").agg(F.percentile("d_mean", F.lit(alpha / 2)).alias("lower"), F.percentile("d_mean", F.lit(1 - alpha / 2)).alias("upper"))
+    return point(blocks).join(ends, "grp", "left").select("grp", "n_blocks", "mean", "lower", "upper", interval_status(F.col("lower"), F.col("upper")).alias("status"))
 
 
 def _critical_higher(maxima: DataFrame, level: float) -> DataFrame:
     """The order statistic at the level, rounded up in rank; one row per draw goes in."""
-    n = maxima.count()
+    n = maxima.count()  # as many as draws
     rank = int(-(-(level * (n - 1)) // 1)) + 1
     return maxima.select("stat", F.row_number().over(Window.orderBy("stat")).alias("rank")).filter(F.col("rank") == rank).select(F.col("stat").alias("critical"))
 
 
-def familywise(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
+def familywise(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, min_blocks: int = 8) -> DataFrame:
     """Simultaneous intervals with each group's scale fixed at the spread of its resampled means; linear critical value."""
-    d = drawn(blocks, draws, seed).join(point(blocks).select("grp", "mean"), "grp")
+    d = drawn(estimable(blocks, min_blocks), draws, seed).join(point(blocks).select("grp", "mean"), "grp")
     spread = d.groupBy("grp").agg(F.stddev_samp("d_mean").alias("sd"))
     stat = F.when(F.col("sd") > 1e-15, F.abs(F.col("d_mean") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     critical = d.join(spread, "grp").groupBy("draw").agg(F.max(stat).alias("stat")).agg(F.percentile("stat", F.lit(1 - alpha)).alias("critical"))
-    out = point(blocks).join(spread, "grp").crossJoin(F.broadcast(critical))
+    out = point(blocks).join(spread, "grp", "left").crossJoin(F.broadcast(critical))
     out = out.withColumns({"lower": F.col("mean") - F.col("critical") * F.col("sd"), "upper": F.col("mean") + F.col("critical") * F.col("sd")})
     return out.select("grp", "n_blocks", "mean", "critical", "lower", "upper", interval_status(F.col("lower"), F.col("upper")).alias("status"))
 
@@ -76,27 +89,28 @@ def bootstrap_t(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, s
     """Simultaneous studentised intervals; the standard error is computed anew in every draw.
 
     A draw without spread that did not move counts 0, one that moved counts infinity (signed if one-sided). One-sided
-    critical values are at least 0 and give lower bounds only. Groups with too few blocks are unavailable; with shared
-    draws all groups are, unless they have one and the same set of blocks: a slot must mean the same block in each.
+    critical values are at least 0 and give lower bounds only. With shared draws all groups are unavailable unless they
+    have one and the same set of blocks: a slot must mean the same block in each.
     """
-    d = drawn(blocks, draws, seed, shared).join(point(blocks).select("grp", "mean"), "grp")
+    d = drawn(estimable(blocks, min_blocks), draws, seed, shared).join(point(blocks).select("grp", "mean"), "grp")
     move = F.col("d_mean") - F.col("mean")
     size = move if one_sided else F.abs(move)
     endless = F.when(size > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
     stat = F.when(F.col("d_se") > 1e-15, size / F.col("d_se")).when(F.abs(move) <= 1e-15, 0.0).otherwise(endless)
     critical = _critical_higher(d.groupBy("draw").agg(F.max(stat).alias("stat")), 1 - alpha)
-    out = point(blocks).crossJoin(F.broadcast(critical))
+    out = point(blocks).join(F.broadcast(critical), F.lit(True), "left")  # no critical value if no group is estimable
     c = F.greatest(F.lit(0.0), F.col("critical")) if one_sided else F.col("critical")
     lower = F.when(F.col("se") > 1e-15, F.col("mean") - c * F.col("se")).otherwise(F.col("mean"))
     upper = F.lit(float("inf")) if one_sided else F.when(F.col("se") > 1e-15, F.col("mean") + c * F.col("se")).otherwise(F.col("mean"))
-    out = out.withColumns({"critical": c, "lower": lower, "upper": upper})
     unequal = F.lit(False)
     if shared:
         held = blocks.groupBy("block").agg(F.count("*").alias("holders")).agg(F.min("holders").alias("fewest"))
         groups = blocks.agg(F.countDistinct("grp").alias("n_groups"))
         out = out.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(groups))
         unequal = F.col("fewest") < F.col("n_groups")
-    status = F.when((F.col("n_blocks") < min_blocks) | unequal, "unavailable").otherwise(interval_status(F.col("lower"), F.col("upper")))
+    sound = F.col("finite") & (F.col("n_blocks") >= min_blocks) & ~unequal & F.col("critical").isNotNull()
+    out = out.withColumns({"lower": F.when(sound, lower), "upper": F.when(sound, upper), "critical": F.when(sound, c)})
+    status = interval_status(F.col("lower"), F.col("upper"))
     return out.select("grp", "n_blocks", "mean", "se", "critical", "lower", *([] if one_sided else ["upper"]), status.alias("status"))
 
 
@@ -114,17 +128,18 @@ def nested_refits(refit_blocks: DataFrame, draws: int, seed: int, alpha: float =
 
     Each draw takes one refit for all groups, then one sequence of blocks.
     """
-    refit_blocks = refit_blocks.cache()  # refits x groups x blocks
+    refit_blocks = refit_blocks.filter("w > 0").cache()  # refits x groups x blocks
     order = Window.partitionBy("refit", "grp").orderBy("block")
-    b = refit_blocks.withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("refit", "grp"))})
+    endless = refit_blocks.filter(~(F.abs("num") < float("inf"))).select("grp").distinct()
+    b = refit_blocks.join(endless, "grp", "left_anti").withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("refit", "grp"))})
     refits = refit_blocks.select("refit").distinct().withColumn("r_idx", F.row_number().over(Window.orderBy("refit")) - 1)
     size = refits.agg(F.count("*").alias("n_refits"))
     picks = refits.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw")).crossJoin(F.broadcast(size)).select("draw", counter_draw(F.col("n_refits"), str(seed), "refit", F.col("draw")).alias("r_idx")).join(refits, "r_idx")
     slots = b.select("refit", "grp", "n_blocks", F.col("idx").alias("slot")).join(picks, "refit")
     chosen = slots.select("refit", "grp", "draw", counter_draw(F.col("n_blocks"), str(seed), F.col("grp"), F.col("draw"), F.col("slot")).alias("idx"))
     d = chosen.join(b, ["refit", "grp", "idx"]).groupBy("grp", "draw").agg((F.sum("num") / F.sum("w")).alias("d_mean"))
-    means = refit_blocks.groupBy("refit", "grp").agg((F.sum("num") / F.sum("w")).alias("m")).groupBy("grp").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("between_refits"))
-    spread = d.groupBy("grp").agg(F.stddev_samp("d_mean").alias("se")).join(means, "grp")
+    means = refit_blocks.groupBy("refit", "grp").agg((F.sum("num") / F.sum("w")).alias("m")).groupBy("grp").agg(F.avg("m").alias("mean"), F.stddev_pop(F.when(F.abs("m") < float("inf"), F.col("m"))).alias("between_refits"))
+    spread = d.groupBy("grp").agg(F.stddev_samp("d_mean").alias("se")).join(means, "grp", "right")
     stat = F.when(F.col("se") > 1e-15, F.abs(F.col("d_mean") - F.col("mean")) / F.col("se")).otherwise(0.0)
     critical = d.join(spread, "grp").groupBy("draw").agg(F.max(stat).alias("stat")).agg(F.percentile("stat", F.lit(1 - alpha)).alias("critical"))
     out = spread.crossJoin(F.broadcast(critical))
@@ -133,19 +148,17 @@ def nested_refits(refit_blocks: DataFrame, draws: int, seed: int, alpha: float =
 
 def all_refits_pass(refit_blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, min_refits: int = 2) -> DataFrame:
     """One row: whether every refit's groups are all robustly positive; the same draws serve all refits."""
-    refit_blocks = refit_blocks.cache()
+    refit_blocks = refit_blocks.filter("w > 0").cache()
     names = sorted(r[0] for r in refit_blocks.select("refit").distinct().collect())  # a few refits
     passed = []
     for name in names:
         one = refit_blocks.filter(F.col("refit") == name).select("grp", "block", "num", "w")
-        order = Window.partitionBy("grp").orderBy("block")
-        one = one.withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("grp"))}).cache()
-        cells = bootstrap_t(one, draws, seed, alpha, one_sided=True)
-        passed.append(cells.agg(F.lit(name).alias("refit"), F.min(F.col("status") == "robust_positive").alias("ok"), F.min("lower").alias("min_lower")))
+        cells = bootstrap_t(_indexed(one).cache(), draws, seed, alpha, one_sided=True)
+        passed.append(cells.agg(F.lit(name).alias("refit"), F.min(F.col("status") == "robust_positive").alias("ok"), F.max(F.col("status") == "unavailable").alias("unknown"), F.min("lower").alias("min_lower")))
     every = passed[0]
     for p in passed[1:]:
         every = every.unionByName(p)
-    return every.agg(F.when(F.count("*") < min_refits, "unavailable").when(F.min("ok"), "robust_generalizing").otherwise("not_robust").alias("category"), F.count("*").alias("n_refits"), F.min("min_lower").alias("min_lower"))
+    return every.agg(F.when((F.count("*") < min_refits) | F.max("unknown"), "unavailable").when(F.min("ok"), "robust_generalizing").otherwise("not_robust").alias("category"), F.count("*").alias("n_refits"), F.min("min_lower").alias("min_lower"))
 
 
 def definition_sensitivity(rows: DataFrame, group: str, gain: str, weight: str, definitions: dict[str, object], draws: int, seed: int) -> DataFrame:

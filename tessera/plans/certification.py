@@ -88,6 +88,32 @@ def shared_block_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(resample.bootstrap_t(_blocks(spark, sf_dir), DRAWS, 5, shared=True))
 
 
+#: the first group's first block gets a gain of minus infinity: the group is out, the others are as without it
+ENDLESS = BLOCKS.replace("bl AS (", "bl0 AS (") + ", bl AS (SELECT * FROM bl0 WHERE grp > (SELECT min(grp) FROM bl0))"
+OUT = "SELECT min(grp) AS grp, (SELECT n FROM bl0 ORDER BY grp LIMIT 1) AS n_blocks, CAST('-inf' AS DOUBLE) AS mean"
+
+
+def _endless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gain_rows(spark, sf_dir)
+    first = rows.agg(F.min(F.struct("grp", "block")).alias("first"))
+    marked = rows.crossJoin(F.broadcast(first)).withColumn("gain", F.when(F.struct("grp", "block") == F.col("first"), float("-inf")).otherwise(F.col("gain")))
+    return marked.drop("first")
+
+
+@query(_t_sql(3).replace(BLOCKS, ENDLESS) + f" UNION ALL {OUT}, NULL AS se, NULL AS critical, NULL AS lower, NULL AS upper, 'unavailable' AS status FROM bl0")
+def bootstrap_t_unavailable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds(resample.bootstrap_t(resample.block_table(_endless(spark, sf_dir), "grp", "block", "gain", "w"), DRAWS, 3))
+
+
+@query(f"WITH {BLOCKS}, {POINT} SELECT grp, n_blocks, round(mean, 9) AS mean, round(se, 9) AS se, CAST(NULL AS DOUBLE) AS critical, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, 'unavailable' AS status FROM pt")
+def shared_block_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last group's blocks have other names than those of the rest."""
+    rows = gain_rows(spark, sf_dir)
+    last = rows.agg(F.max("grp").alias("last"))
+    named = rows.crossJoin(F.broadcast(last)).withColumn("block", F.col("block") + F.when(F.col("grp") == F.col("last"), 100).otherwise(0)).drop("last")
+    return rounds(resample.bootstrap_t(resample.block_table(named, "grp", "block", "gain", "w"), DRAWS, 5, shared=True))
+
+
 @query(f"WITH t AS ({_t_sql(3)}) SELECT CASE WHEN min(status) = 'robust_positive' AND max(status) = 'robust_positive' THEN 'all_positive' WHEN min(status) = 'robust_nonpositive' AND max(status) = 'robust_nonpositive' THEN 'all_nonpositive' WHEN max(status) = 'uncertain' THEN 'uncertain' ELSE 'mixed' END AS category, count(*) AS n_groups FROM t")
 def family_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.family_category(resample.bootstrap_t(_blocks(spark, sf_dir), DRAWS, 3))
@@ -125,6 +151,40 @@ def cv3two_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(process.jackknife_bounds(refit_blocks(spark, sf_dir)))
 
 
+@query(f"WITH {inputs.REFITS.replace('rb AS (', 'rb0 AS (')}, rb AS (SELECT * FROM rb0 WHERE grp > (SELECT min(grp) FROM rb0)), {_jackknife_sql('refit', 'vr')}, {_jackknife_sql('block', 'vb')} {_bounds_sql('(r.v + b.v)')}"
+       " UNION ALL SELECT min(grp), CAST('-inf' AS DOUBLE), NULL, NULL, NULL, CAST(4 AS BIGINT), NULL, 'unavailable' FROM rb0")
+def jackknife_unavailable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = refit_blocks(spark, sf_dir)
+    first = cells.agg(F.min(F.struct("grp", "refit", "block")).alias("first"))
+    marked = cells.crossJoin(F.broadcast(first)).withColumn("num", F.when(F.struct("grp", "refit", "block") == F.col("first"), float("-inf")).otherwise(F.col("num"))).drop("first")
+    return rounds(process.jackknife_bounds(marked))
+
+
+def _margin_t(by: str) -> str:
+    """One-sided bootstrap-t bounds of the margin along one side of the refit design; 2 units at least."""
+    t = _t_sql(8, one_sided=True).replace(BLOCKS, f"{inputs.REFITS}, bl AS (SELECT grp, {by} AS b, sum(num) AS num, sum(w) AS w, row_number() OVER (PARTITION BY grp ORDER BY {by}) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM rb GROUP BY grp, {by})")
+    return f"SELECT * FROM ({t})"
+
+
+@query(f"""SELECT r.grp, r.mean, r.n_blocks AS n_refits, b.n_blocks, r.lower AS lower_refit, b.lower AS lower_block, CASE WHEN r.lower > 0 AND b.lower > 0 THEN 'robust_positive' ELSE 'not_positive' END AS status
+ FROM ({_margin_t('refit')}) r JOIN ({_margin_t('block')}) b ON r.grp = b.grp""")
+def component_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds(process.component_bounds(refit_blocks(spark, sf_dir), DRAWS, 8, min_units=2))
+
+
+def _lines_sql(by: str) -> str:
+    pick = _pick(9, "l.n", f"'{by}'", "d.d", "l.idx")
+    return f"""l_{by} AS (SELECT {by}, row_number() OVER (ORDER BY {by}) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT {by} FROM rb)),
+ t_{by} AS (SELECT k.d, l.{by}, count(*) AS t FROM (SELECT d.d, {pick} AS pick FROM l_{by} l CROSS JOIN (SELECT unnest(generate_series(0, {JOINT_DRAWS - 1})) AS d) d) k JOIN l_{by} l ON l.idx = k.pick GROUP BY k.d, l.{by})"""
+
+
+@query(f"""WITH {inputs.REFITS}, {_lines_sql('refit')}, {_lines_sql('block')}, m AS (SELECT rb.grp, r.d, sum(r.t * b.t * num) / sum(r.t * b.t * w) AS m FROM rb JOIN t_refit r ON rb.refit = r.refit JOIN t_block b ON b.d = r.d AND rb.block = b.block GROUP BY rb.grp, r.d),
+ q AS (SELECT grp, quantile_cont(m, 0.05) AS lower FROM m GROUP BY grp), p AS (SELECT grp, sum(num) / sum(w) AS mean, count(DISTINCT refit) AS n_refits, count(DISTINCT block) AS n_blocks FROM rb GROUP BY grp)
+ SELECT p.grp, round(mean, 9) AS mean, n_refits, n_blocks, round(lower, 9) AS lower, CASE WHEN lower > 0 THEN 'robust_positive' ELSE 'not_positive' END AS status FROM p JOIN q ON p.grp = q.grp""")
+def pigeonhole_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds(process.pigeonhole_bounds(refit_blocks(spark, sf_dir), JOINT_DRAWS, 9, min_units=2))
+
+
 @query(f"WITH {inputs.REFITS}, {_jackknife_sql('refit', 'vr')}, {_jackknife_sql('block', 'vb')} {_bounds_sql('greatest(r.v, b.v)')}")
 def cv3max_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(process.jackknife_bounds(refit_blocks(spark, sf_dir), rule="max"))
