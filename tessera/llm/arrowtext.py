@@ -61,8 +61,9 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64))
 
 
-def byte_prefix(buf: np.ndarray) -> np.ndarray:
-    return prefix_hash(_symbol_table()[buf])
+def byte_prefix(buf: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Prefix sums of bytes; those of another seed give hashes that are independent."""
+    return prefix_hash(_symbol_table(seed)[buf])
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,10 +3,11 @@
 Candidate search: of the runs of GRAM bytes that a window of the wanted length holds, the one with the least hash is its
 mark, so that equal windows have equal marks. Marks are counted over all texts; only windows whose mark occurs twice can
 repeat. Consecutive windows with one mark form a passage, which is dealt to a shard by the mark, so that equal windows
-always meet. A shard sorts the suffixes of its passages by difference cover: it sorts and names the triples at positions
+always meet. Equal passages are settled together, and one that is alone with its mark, which it holds once, cannot hold
+a window of another. Of the rest, a shard sorts the suffixes of its passages by difference cover: it sorts and names the triples at positions
 1 and 2 modulo 3, recurses on the names, sorts the remaining suffixes by first symbol and following rank, and merges by
-comparing both sides in the cover. Neighbours in suffix order whose first bytes agree over the wanted length are repeats;
-equal windows are always neighbours.
+comparing both sides in the cover. Neighbours in suffix order whose first bytes agree over the wanted length (by 128 bits
+of hash) are repeats; equal windows are always neighbours.
 
 Texts with equal copies are folded first (all of their windows repeat, one copy stays as a witness). Shards have a
 bounded size. A mark with more than HOT occurrences would outgrow that; its windows go to shards one by one as hashes,
@@ -32,8 +33,8 @@ from tessera.llm import arrowtext as at
 from tessera.llm.staging import shuffle_width, staged
 
 LENGTH, GRAM, HOT = 200, 32, 4096
-SHARD_BYTES = 6_000_000
-SORT_BYTES = 1_500_000
+SHARD_BYTES = 3_000_000
+SORT_BYTES = 1_000_000
 SURVEY = "doc_id long, n_bytes long, sha binary, marks array<long>"
 
 
@@ -108,9 +109,11 @@ def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
     back = np.zeros(len(symbols), np.int64)
     back[place] = np.arange(len(buf))
     p = back[order]
-    prefix = at.byte_prefix(buf)
-    heads = at.span_hash(prefix, p, p + length)
-    same = heads[1:] == heads[:-1]
+    heads = at.span_hash(at.byte_prefix(buf), p, p + length)
+    same = np.flatnonzero(heads[1:] == heads[:-1])
+    again = at.byte_prefix(buf, seed=5)
+    left, right = p[:-1][same], p[1:][same]
+    same = same[at.span_hash(again, left, left + length) == at.span_hash(again, right, right + length)]
     hit = np.zeros(len(buf) + 1, bool)
     hit[p[1:][same]] = True
     hit[p[:-1][same]] = True
@@ -162,22 +165,26 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             begin = end
 
 
-def _encode(kind: int, shas: list[bytes], text_no: np.ndarray, start: np.ndarray, stop: np.ndarray, mark: np.ndarray, payload: bytes = b"") -> bytes:
-    """Entries of one block for one shard: text, first window, end of windows, mark; payload holds passages' bytes."""
+def _encode(kind: int, shas: list[bytes], text_no: np.ndarray, start: np.ndarray, stop: np.ndarray, mark: np.ndarray, payload: bytes = b"", times: np.ndarray | None = None) -> bytes:
+    """Entries of one block for one shard: text, first window, end of windows, mark; payload holds passages' bytes.
+
+    times: how often a passage holds its mark (it can repeat inside itself if that is not once).
+    """
     used, number = np.unique(text_no, return_inverse=True)
     head = np.array([kind, len(number), len(used)], np.int64)
-    parts = [head.tobytes(), b"".join(shas[k] for k in used), number.astype(np.uint32).tobytes(), start.astype(np.uint32).tobytes(), (stop - start).astype(np.uint32).tobytes(), mark.astype(np.uint64).tobytes(), payload]
+    parts = [head.tobytes(), b"".join(shas[k] for k in used), number.astype(np.uint32).tobytes(), start.astype(np.uint32).tobytes(), (stop - start).astype(np.uint32).tobytes(), mark.astype(np.uint64).tobytes(), np.minimum(np.ones(len(mark)) if times is None else times, 255).astype(np.uint8).tobytes(), payload]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _decode(data: bytes) -> tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _decode(data: bytes) -> tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     kind, n, m = np.frombuffer(raw, np.int64, 3)
     shas = [raw[24 + 32 * k : 56 + 32 * k] for k in range(m)]
     i = 24 + 32 * m
     number, start, count = (np.frombuffer(raw, np.uint32, n, i + 4 * n * k).astype(np.int64) for k in range(3))
     mark = np.frombuffer(raw, np.uint64, n, i + 12 * n)
-    return int(kind), shas, number, start, start + count, mark, raw[i + 20 * n :]
+    times = np.frombuffer(raw, np.uint8, n, i + 20 * n)
+    return int(kind), shas, number, start, start + count, mark, times, raw[i + 21 * n :]
 
 
 PASSAGES, HASHES, SETTLED = range(3)
@@ -209,6 +216,8 @@ def _passages(length: int, shards: int):
                 new[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1] + 1) | (o[1:] != o[:-1])
                 first = np.flatnonzero(new)
                 begin, stop, mark, text_no = s[first], np.append(s[first[1:] - 1], s[-1]) + 1, v[first], o[first]
+                inside = zip(begin.tolist(), (stop + length - GRAM).tolist(), mark, strict=True)  # the grams of a passage, none of them less than its mark
+                times = np.array([np.count_nonzero(grams[a:b] == v) for a, b, v in inside])
                 to = (mark % at.U64(shards)).astype(np.int64)
                 text = buf.tobytes()
                 order = np.argsort(to, kind="stable")
@@ -216,7 +225,7 @@ def _passages(length: int, shards: int):
                     payload = b"".join([text[a : b + length - 1] for a, b in zip(begin[part].tolist(), stop[part].tolist(), strict=True)])
                     out_shard.append(int(to[part[0]]))
                     base = off[text_no[part]]
-                    out_data.append(_encode(PASSAGES, shas, text_no[part], begin[part] - base, stop[part] - base, mark[part], payload))
+                    out_data.append(_encode(PASSAGES, shas, text_no[part], begin[part] - base, stop[part] - base, mark[part], payload, times[part]))
 
             warm = np.flatnonzero(is_hot)
             if len(warm):
@@ -239,6 +248,8 @@ def _passages(length: int, shards: int):
 
 def _sorted_parts(marks: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
     """Runs of passages with whole groups of marks and about SORT_BYTES bytes."""
+    if not len(marks):
+        return
     order = np.argsort(marks, kind="stable")
     ends = np.append(np.flatnonzero(np.diff(marks[order])) + 1, len(order))
     total, begin, done = np.cumsum(sizes[order]), 0, 0
@@ -251,10 +262,10 @@ def _sorted_parts(marks: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 def _settle(length: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         owner: list[bytes] = []
-        text_no, begin, stop, mark, passages = [], [], [], [], []
+        text_no, begin, mark, often, passages = [], [], [], [], []
         hashed, found = [], []
         for data in rows["entries"]:
-            kind, shas, number, first, last, key, payload = _decode(data)
+            kind, shas, number, first, last, key, inner, payload = _decode(data)
             base = len(owner)
             owner += shas
             if kind == PASSAGES:
@@ -263,24 +274,29 @@ def _settle(length: int):
                 text_no.append(number + base)
                 begin.append(first)
                 mark.append(key)
+                often.append(inner)
             elif kind == HASHES:
                 hashed.append((key, number + base, first))
             else:
                 found.append((number + base, first, last))
         if passages:
-            text_no, begin, mark = map(np.concatenate, (text_no, begin, mark))
+            text_no, begin, mark, often = map(np.concatenate, (text_no, begin, mark, often))
             # equal passages are sorted once; all windows of those that occur twice repeat
             codes, distinct = pd.factorize(np.array(passages, dtype=object))
             times = np.bincount(codes)
             where = np.zeros(len(distinct), np.int64)
             where[codes] = np.arange(len(codes))
             sizes = np.array([len(x) for x in distinct])
-            verdict: list[np.ndarray | None] = [None] * len(distinct)
-            for part in _sorted_parts(mark[where], sizes):
+            _, of_mark, peers = np.unique(mark[where], return_inverse=True, return_counts=True)
+            sorts = np.flatnonzero((peers[of_mark] > 1) | (often[where] > 1))
+            verdict: dict[int, np.ndarray] = {}
+            for part in _sorted_parts(mark[where][sorts], sizes[sorts]):
+                part = sorts[part]
                 for k, hits in zip(part.tolist(), repeated_windows([distinct[k] for k in part], length), strict=True):
-                    verdict[k] = hits | (times[k] > 1)
+                    if times[k] == 1 and hits.any():
+                        verdict[k] = np.flatnonzero(np.diff(np.concatenate([[0], hits.view(np.int8), [0]])))
             for i, code in enumerate(codes.tolist()):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], verdict[code].view(np.int8), [0]])))
+                edge = np.array([0, sizes[code] - length + 1]) if times[code] > 1 else verdict.get(code, sizes[:0])
                 if len(edge):
                     found.append((np.full(len(edge) // 2, text_no[i]), begin[i] + edge[::2], begin[i] + edge[1::2]))
         if hashed:
@@ -328,6 +344,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = staged(survey.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("marks").alias("marks")), "distinct")
     marks = texts.select("sha", F.explode("marks").alias("mark"))
     counts = marks.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = staged(counts, "counts")  # a table of its own: a hot mark is then split by the join
     likely = marks.join(counts, "mark").groupBy("sha").agg(F.collect_set("mark").alias("marks"), F.collect_set(F.when(F.col("n") > HOT, F.col("mark"))).alias("hot"))
     packs = docs.select("text").mapInArrow(_distinct_packed, "sha binary, packed binary")
     held = packs.join(likely.withColumnRenamed("sha", "l_sha"), F.col("sha") == F.col("l_sha")).select("sha", "packed", "marks", "hot").dropDuplicates(["sha"])
