@@ -308,6 +308,38 @@ def test_quotes_link_and_go(spark):
     assert quotes.link_quotes(frame.limit(0)).count() == 0
 
 
+def test_generated_threads_with_partial_and_nested_quotes(spark):
+    """Parents are known by how the threads are made: whole, one line, one sentence or a run of paragraphs is quoted."""
+    rng = random.Random(7)
+    rows, truth = [], {}
+    for conv in range(30):
+        said, quoted = [], []  # own paragraphs and quoted lines of each turn
+        for turn in range(rng.randint(1, 12)):
+            parent = rng.choice([None, *range(turn)]) if turn else None
+            lines = []
+            if parent is not None:
+                lines += rng.choice([[], ["Am Montag schrieb X:"], ["Le lundi, X a écrit :", ""]])
+                lines += [f"> {x}" if x.startswith(">") else f"> > {x}" for x in quoted[parent][: rng.randint(0, 2)]]
+                own = said[parent]
+                kind = rng.randrange(4)
+                first = own[0].split("\n")
+                part = [own[0].upper().split("\n"), [first[0]], [first[1].split(". ")[0] + "."], [x for p in own[:2] for x in p.split("\n")]][kind]
+                lines += [f"> {x}" for x in part] + [""]
+            paragraphs = [f"line one of {conv} {turn} {k}\nfirst sentence number {conv} {turn} {k}. then another one of {conv} {turn} {k}." for k in range(3)]
+            rows.append((conv, turn, "u", "\n".join(lines) + "\n" + "\n\n".join(paragraphs), "x"))
+            said.append(paragraphs)
+            quoted.append([x[2:] for x in lines if x.startswith("> ") and not x.startswith("> >")])
+            up = truth.get((conv, parent))
+            truth[conv, turn] = (parent, up[1] if up else turn, up[2] + 1 if up else 0, "\n\n".join(paragraphs))
+    rows.append((0, 10_000, "u", "> " + "never said before " * 40_000 + "\nok", "x"))
+    truth[0, 10_000] = (None, 10_000, 0, "ok")
+    frame = spark.createDataFrame(rows + rows[:5], "conv_id long, turn long, role string, text string, said string")
+    got = quotes.link_quotes(frame).collect()
+    assert len(got) == len(rows) + 5
+    for r in got:
+        assert (r.parent_turn, r.root_turn, r.depth, r.body) == truth[r.conv_id, r.turn]
+
+
 def test_long_reply_chain(spark):
     chain = [(1, t, "u", f"> line {t - 1}\nline {t}" if t else "line 0") for t in range(70)]
     got = quotes.link_quotes(spark.createDataFrame(chain, "conv_id long, turn long, role string, text string")).collect()
