@@ -299,6 +299,7 @@ def repeated(sample: DataFrame) -> DataFrame:
     """doc_id, th and the marks: the row's sampled windows (anchors) that another document's sample holds as well."""
     each = sample.select("doc_id", "th", F.explode(F.array_distinct("anchors")).alias("anchor"))
     twice = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+    twice = staged(twice, "twice")  # a table of its own: a hot window is then split by the join
     return each.join(twice, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("marks"))
 
 
