@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.order import order_statistic
+
 TOLERANCE = 1e-12
 
 
 def threshold(scores: DataFrame, alpha: float, clip: bool, keys: tuple[str, ...] = ()) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th least score (per key). Beyond n: infinity, or the greatest score if clipped."""
-    by = Window.partitionBy(*keys)
-    # keys are strata; without any, the calibration table is ranked as a whole, and only its scores
-    ranked = scores.select(*keys, "score", F.row_number().over(by.orderBy("score")).alias("rank"), F.count("*").over(by).alias("n"))
-    want = F.ceil((F.col("n") + 1) * (1 - alpha) - TOLERANCE)
-    if clip:
-        want = F.least(want, F.col("n"))
-    hit = F.max(F.when(F.col("rank") == want, F.col("score")))
-    return ranked.groupBy(*keys).agg(F.coalesce(hit, F.lit(float("inf"))).alias("threshold"), F.first("n").alias("n_calibration"))
+
+    def want(n: Column) -> Column:
+        rank = F.ceil((n + 1) * (1 - alpha) - TOLERANCE)
+        return F.least(rank, n) if clip else rank
+
+    found = order_statistic(scores, "score", keys, 1 - alpha, want)
+    return found.select(*keys, F.coalesce("value", F.lit(float("inf"))).alias("threshold"), F.col("n").alias("n_calibration"))
 
 
 def prediction_sets(calibration: DataFrame, field: DataFrame, alpha: float) -> DataFrame:
@@ -64,10 +65,8 @@ def joint_coverage(calibration: DataFrame, test: DataFrame, alpha: float, period
 
 def group_envelope(gains: DataFrame, alpha: float) -> DataFrame:
     """stratum, grp, gain -> per stratum: the floor((n + 1) alpha)-th least gain, a lower bound for a new group (minus infinity at rank 0)."""
-    by = Window.partitionBy("stratum")
-    ranked = gains.select("stratum", "gain", F.row_number().over(by.orderBy("gain")).alias("rank"), F.count("*").over(by).alias("n"))
-    want = F.floor((F.col("n") + 1) * alpha + TOLERANCE)
-    return ranked.groupBy("stratum").agg(F.first("n").alias("n_groups"), F.coalesce(F.max(F.when(F.col("rank") == want, F.col("gain"))), F.lit(float("-inf"))).alias("bound"))
+    found = order_statistic(gains, "gain", ("stratum",), alpha, lambda n: F.floor((n + 1) * alpha + TOLERANCE))
+    return found.select("stratum", F.col("n").alias("n_groups"), F.coalesce("value", F.lit(float("-inf"))).alias("bound"))
 
 
 def envelope_validation(bounds: DataFrame, gains: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,16 +78,27 @@ def rolling_thin(rows: DataFrame, key: str, ts: str, id_: str, seconds: float) -
     """Events at least so many seconds after the last kept one of their key.
 
     The rule is a fold, not a window: events are cut into chains wherever the gap to the event before is long enough that
-    the event is kept whatever came before; only a chain's times, not a key's, are folded together.
+    the event is kept whatever came before. Chains are dealt to tasks and sorted there; a task carries one time from row
+    to row, so that chains of any length need no memory. Events without a time are left out.
     """
     micros = int(seconds * 1_000_000)
     order = Window.partitionBy(key).orderBy("us", id_)
-    stamped = rows.select(key, id_, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    stamped = rows.filter(F.col(ts).isNotNull()).select(key, id_, F.col(ts).cast("timestamp").alias(ts)).withColumn("us", F.unix_micros(ts))
     cut = F.coalesce((F.col("us") - F.lag("us").over(order) >= micros).cast("int"), F.lit(1))
     chains = stamped.withColumn("cut", cut).withColumn("chain", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    packed = chains.groupBy(key, "chain").agg(F.array_sort(F.collect_list(F.struct("us", id_))).alias("events"))
-    fold = f"aggregate(events, cast(array() as array<struct<us:bigint,{id_}:bigint>>), (kept, e) -> CASE WHEN size(kept) = 0 OR e.us - element_at(kept, -1).us >= {micros} THEN concat(kept, array(named_struct('us', e.us, '{id_}', cast(e.{id_} as bigint)))) ELSE kept END)"
-    return packed.select(key, F.explode(F.expr(fold)).alias("e")).select(key, F.col(f"e.{id_}").alias(id_), F.timestamp_micros("e.us").alias(ts))
+    sorted_ = chains.repartition(key, "chain").sortWithinPartitions(key, "chain", "us", id_).select(key, id_, ts, "us", "cut")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for i, (us, cut) in enumerate(zip(batch.column("us").to_pylist(), batch.column("cut").to_pylist(), strict=True)):
+                # the first row of a chain always has its cut
+                if cut or us - last >= micros:
+                    last, kept[i] = us, True
+            yield batch.filter(pa.array(kept)).select([0, 1, 2])
+
+    return sorted_.mapInArrow(keep, sorted_.select(key, id_, ts).schema)
 
 
 def permutation_null(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str, batch: int = 25) -> DataFrame:

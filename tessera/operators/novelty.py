@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.order import order_statistic
+
 SIDE = 2048
 
 
@@ -31,7 +33,13 @@ def nearest(queries: DataFrame, reference: DataFrame, skip_same_id: bool = False
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "distance": []})
         x, y = np.stack(a["z"].to_list()), np.stack(b["z"].to_list())
-        d = np.array([np.where(b["id"].to_numpy() == i, np.inf, ((y - v) ** 2).sum(axis=1)).min() if skip_same_id else ((y - v) ** 2).sum(axis=1).min() for i, v in zip(a["id"], x, strict=True)])
+        # |x - y|^2 by one matrix product names the nearest; its distance is then taken by subtraction, free of cancellation
+        squared = (x**2).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y**2).sum(axis=1)
+        if skip_same_id:
+            squared[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = np.inf
+        best = squared.argmin(axis=1)
+        d = ((x - y[best]) ** 2).sum(axis=1)
+        d[np.isinf(squared[np.arange(len(x)), best])] = np.inf  # no reference but itself
         return pd.DataFrame({"id": a["id"].to_numpy(), "distance": np.sqrt(d)})
 
     return q.unionByName(r).groupBy("qb", "rb").applyInPandas(block, "id long, distance double").groupBy("id").agg(F.min("distance").alias("distance"))
@@ -41,9 +49,7 @@ def novelty(queries: DataFrame, reference: DataFrame, id_: str, vector: str, lev
     """Per query: distance to the nearest reference, the reference's own "higher" quantile of nearest distances, and a label."""
     zq, zr = standardised(queries, reference, id_, vector), standardised(reference, reference, id_, vector)
     own = nearest(zr, zr, skip_same_id=True)
-    n = own.count()
-    rank = int(np.ceil(level * (n - 1))) + 1
-    limit = own.orderBy("distance").limit(rank).agg(F.max("distance").alias("limit"))
+    limit = order_statistic(own, "distance", (), level, lambda n: F.ceil((n - 1) * level) + 1).select(F.col("value").alias("limit"))
     rows = nearest(zq, zr).join(zq.select("id", "outside"), "id").crossJoin(F.broadcast(limit))
     label = F.when((F.col("distance") > F.col("limit")) & F.col("outside"), "novel").when(F.col("distance") > F.col("limit"), "distant").when(F.col("outside"), "out_of_range").otherwise("familiar")
     return rows.select("id", "distance", "limit", "outside", label.alias("label"))

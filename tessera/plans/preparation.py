@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +57,29 @@ def ledger_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chained_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hash-chained log per user of the events table, in which some events were forged afterwards."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), "event_id", "event_type")
-    ordered = e.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("es"))
-    body = "concat('{\"event_id\":', e.event_id, ',\"event_type\":\"', e.event_type, '\",\"previous_event_hash\":\"', acc.last, '\"}')"
-    start = "named_struct('last', repeat('0', 64), 'log', cast(array() as array<struct<event_id:bigint,event_type:string,previous_event_hash:string,event_hash:string>>))"
-    step = f"(acc, e) -> named_struct('last', sha2({body}, 256), 'log', concat(acc.log, array(named_struct('event_id', e.event_id, 'event_type', e.event_type, 'previous_event_hash', acc.last, 'event_hash', sha2({body}, 256)))))"
-    log = ordered.select("chain", F.posexplode(F.expr(f"aggregate(es, {start}, {step}, acc -> acc.log)")).alias("sequence_index", "l")).select("chain", "sequence_index", "l.*")
+    """A hash-chained log per user of the events table, in which some events were forged afterwards.
+
+    A task goes through its users' sorted events and carries only the last hash from row to row.
+    """
+    names = ["chain", "sequence_index", "event_id", "event_type", "previous_event_hash", "event_hash"]
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("chain"), F.col("event_id").cast("long").alias("event_id"), "event_type")
+    ordered = e.repartition("chain").sortWithinPartitions("chain", "event_id")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, index, last = object(), 0, ""
+        for batch in batches:
+            indexes, before, own = [], [], []
+            for c, i, t in zip(*(batch.column(n).to_pylist() for n in ("chain", "event_id", "event_type")), strict=True):
+                if c != chain:
+                    chain, index, last = c, 0, "0" * 64
+                indexes.append(index)
+                before.append(last)
+                last = sha256(f'{{"event_id":{i},"event_type":"{t}","previous_event_hash":"{last}"}}'.encode()).hexdigest()
+                own.append(last)
+                index += 1
+            yield pa.RecordBatch.from_arrays([batch.column("chain"), pa.array(indexes, pa.int32()), batch.column("event_id"), batch.column("event_type"), pa.array(before, pa.string()), pa.array(own, pa.string())], names=names)
+
+    log = ordered.mapInArrow(link, "chain bigint, sequence_index int, event_id bigint, event_type string, previous_event_hash string, event_hash string")
     return log.withColumn("event_type", F.when(F.col("event_id") % 997 == 0, "forged").otherwise(F.col("event_type")))
 
 
