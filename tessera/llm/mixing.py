@@ -16,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from tessera.llm.staging import staged
 
 TARGET_ENTROPY, MAX_REPEATS, STEPS = 0.98, 4.0, 40
 BLOCK_DOCS, SEED = 256, 17
+DEPTH = 5  # halvings of the exponent in one job
+SPAN_BITS = 12  # a source's blocks are ordered in 4,096 ranges of the hash
 
 
 def token_count(text: Column) -> Column:
@@ -47,35 +50,59 @@ def _power(exponent: float) -> Column:
 
 
 def bisected(shares: DataFrame, budget: int, target_entropy: float, max_repeats: float) -> float:
-    """The exponent; every step is one aggregate over the per-source table."""
-
-    def at(exponent: float) -> tuple[float, float]:
-        power = _power(exponent)
-        r = shares.agg(F.sum(power).alias("z"), F.sum(F.when(power > 0, power * F.ln(power)).otherwise(0.0)).alias("zl"), F.max(F.when(F.col("tokens") > 0, power / F.col("tokens"))).alias("most")).first()
-        return math.log(r["z"]) - r["zl"] / r["z"], r["most"] * budget / r["z"]
-
-    count = shares.filter("tokens > 0").count()
-    if count < 2:
+    """The exponent. A job evaluates all midpoints that the next few halvings can meet, over the per-source table."""
+
+    def at(exponents: list[float]) -> dict[float, tuple[float, float]]:
+        power = F.when(F.col("share") > 0, F.pow("share", F.col("exponent"))).otherwise(0.0)
+        sums = shares.withColumn("exponent", F.explode(F.array(*map(F.lit, exponents)))).groupBy("exponent").agg(
+            F.sum(power).alias("z"), F.sum(F.when(power > 0, power * F.ln(power)).otherwise(0.0)).alias("zl"), F.max(F.when(F.col("tokens") > 0, power / F.col("tokens"))).alias("most")
+        )
+        return {r["exponent"]: (math.log(r["z"]) - r["zl"] / r["z"], r["most"] * budget / r["z"]) for r in sums.collect()}
+
+    def midpoints(low: float, high: float, depth: int) -> list[float]:
+        mid = (low + high) / 2
+        return [mid, *midpoints(low, mid, depth - 1), *midpoints(mid, high, depth - 1)] if depth else []
+
+    def halved(low: float, high: float, right: Callable[[tuple[float, float]], bool]) -> tuple[float, float]:
+        """The interval after STEPS halvings; right tells from the figures at a midpoint whether its right half is next."""
+        for first in range(0, STEPS, DEPTH):
+            depth = min(DEPTH, STEPS - first)
+            found = at(sorted(set(midpoints(low, high, depth))))
+            for _ in range(depth):
+                mid = (low + high) / 2
+                low, high = (mid, high) if right(found[mid]) else (low, mid)
+        return low, high
+
+    if shares.filter("tokens > 0").limit(2).count() < 2:
         return 1.0
-    goal = target_entropy * math.log(count)
-    fits = lambda a: at(a)[0] >= goal
-    low, high = 0.0, 1.0
-    if fits(1.0):
-        low = 1.0
-    else:
-        for _ in range(STEPS):
-            mid = (low + high) / 2
-            low, high = (mid, high) if fits(mid) else (low, mid)
-    exponent = low
-    if at(exponent)[1] > max_repeats:
-        low, high = exponent, 1.0
-        for _ in range(STEPS):
-            mid = (low + high) / 2
-            low, high = (low, mid) if at(mid)[1] <= max_repeats else (mid, high)
-        exponent = high
+    goal = target_entropy * math.log(shares.filter("tokens > 0").count())
+    exponent, whole = 1.0, at([1.0])[1.0]
+    if whole[0] < goal:
+        exponent, _ = halved(0.0, 1.0, lambda figures: figures[0] >= goal)
+        whole = at([exponent])[exponent]
+    if whole[1] > max_repeats:
+        _, exponent = halved(exponent, 1.0, lambda figures: figures[1] > max_repeats)
     return exponent
 
 
+def in_order(blocks: DataFrame) -> DataFrame:
+    """blocks with block_rank and through, the tokens up to and with each block, in the hashed order of its source and epoch.
+
+    Blocks fall into ranges of the hash. A range's blocks are ordered by themselves and start from the sums of the ranges
+    before it, so that a task orders a range of a source's blocks, or the sums of its ranges, and never all of its blocks.
+    """
+    name = F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("block").cast("string"))
+    keyed = blocks.withColumn("key", hashed(F.col("epoch").cast("string"), name)).withColumn("span", F.shiftright("key", 60 - SPAN_BITS))
+    before = Window.partitionBy("source", "epoch").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = keyed.groupBy("source", "epoch", "span").agg(F.count("*").alias("n"), F.sum("in_block").alias("sum")).select(
+        F.col("source").alias("s_source"), F.col("epoch").alias("s_epoch"), F.col("span").alias("s_span"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_before")
+    )
+    order = Window.partitionBy("source", "epoch", "span").orderBy("key", "block")
+    local = keyed.withColumns({"block_rank": F.row_number().over(order).cast("long"), "through": F.sum("in_block").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    both = local.join(spans, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("epoch") == F.col("s_epoch")) & (F.col("span") == F.col("s_span")))
+    return both.withColumns({"block_rank": F.col("block_rank") + F.col("n_before"), "through": F.col("through") + F.col("sum_before")})
+
+
 def mixture(docs: DataFrame, budget: int | None = None, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """One row per taken document and epoch: doc_id, source, epoch, block, block_rank, doc_rank_key, n_tokens.
 
@@ -96,9 +123,7 @@ def mixture(docs: DataFrame, budget: int | None = None, target_entropy: float =
 
     blocks = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("in_block"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
     blocks = blocks.withColumn("epoch", F.explode(F.expr("sequence(0L, whole)")))
-    name = F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("block").cast("string"))
-    order = Window.partitionBy("source", "epoch").orderBy(hashed(F.col("epoch").cast("string"), name), "block")
-    blocks = blocks.withColumns({"block_rank": F.row_number().over(order).cast("long"), "through": F.sum("in_block").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    blocks = in_order(blocks)
     left = F.when(F.col("epoch") < F.col("whole"), F.col("in_block")).otherwise(F.col("rest") - F.col("through") + F.col("in_block"))
     blocks = blocks.withColumn("room", left).filter("room > 0 or epoch < whole")
     blocks = blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "epoch", "block_rank", "in_block", "room")

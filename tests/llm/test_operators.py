@@ -287,6 +287,22 @@ def test_mixing_meets_its_targets(spark, docs, none):
     assert mixing.mixture(none).count() == 0 and mixing.mixture(docs).count() > 0
 
 
+def test_blocks_are_ordered_by_ranges_as_by_a_whole_sort(spark):
+    rng = random.Random(6)
+    made = [(s, b, e, rng.randint(0, 9)) for s in ("a", None) for b in range(400 if s else 3) for e in range(2)]
+    got = defaultdict(list)
+    for r in mixing.in_order(spark.createDataFrame(made, "source string, block long, epoch long, in_block long")).collect():
+        got[r.source, r.epoch].append((r.block_rank, r.block, r.through))
+    size = {(s, b, e): n for s, b, e, n in made}
+    key = lambda s, e, b: int(hashlib.md5(f"{mixing.SEED}:{e}:{s or ''}/{b}".encode()).hexdigest()[:15], 16)
+    for (s, e), rows in got.items():
+        through, expected = 0, []
+        for rank, b in enumerate(sorted((b for x, b, y in size if (x, y) == (s, e)), key=lambda b, s=s, e=e: (key(s, e, b), b)), 1):
+            through += size[s, b, e]
+            expected.append((rank, b, through))
+        assert sorted(rows) == expected
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 
