@@ -169,6 +169,31 @@ def test_quality_learns_and_keeps_all_rows(spark, docs, none):
     assert quality.drop_poor(docs, labels).columns == docs.columns
 
 
+def test_quality_weights_and_calibration_match_a_local_solve(spark):
+    """Weights against ridge on the stacked rows, the calibration against means over all pools of neighbouring bins."""
+    rng = random.Random(8)
+    made = [(i, " ".join(rng.choices(["the", "of", "data", "x9!!", "$$$"], weights=[5, 5, 4, 1 + 4 * (i % 2), 1 + 4 * (i % 2)], k=30 + i % 50)), 1 - i % 2 if rng.random() < 0.9 else i % 2) for i in range(400)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, quality int")
+    stats = quality.document_statistics(frame.drop("quality"), None).cache()
+    scorer = quality.fit(stats, frame.select("doc_id", "quality"), lambda i: i % 4 != 0, features=24)
+    rows = sorted((r.doc_id, r.stats, r.fold) for r in stats.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS))).collect() if r.doc_id % 4)
+    y, fold = np.array([made[i][2] for i, _, _ in rows], float), np.array([f for _, _, f in rows])
+    z = scorer.features(np.array([s for _, s, _ in rows]))
+
+    def solve(z, y):
+        penalty = np.diag([0.0] + [1.0] * 24) * quality.RIDGE * len(y) / 24 + 1e-9 * np.eye(25)
+        return np.linalg.solve(z.T @ z + penalty, z.T @ y)
+
+    assert np.allclose(z @ scorer.weights, z @ solve(z, y), atol=1e-6)
+    raw = np.array([a @ solve(z[fold != f], y[fold != f]) for a, f in zip(z, fold, strict=True)])
+    bins = np.floor(np.clip(raw, -0.5, 1.5) * quality.BINS / 2).astype(int)
+    names = sorted(set(bins))
+    n, mean = np.array([(bins == b).sum() for b in names]), np.array([y[bins == b].mean() for b in names])
+    pooled = lambda i, j: (n[i : j + 1] * mean[i : j + 1]).sum() / n[i : j + 1].sum()
+    best = [max(min(pooled(i, j) for j in range(k, len(n))) for i in range(k + 1)) for k in range(len(n))]
+    assert np.allclose(scorer.knots[1], best, atol=1e-9)
+
+
 def test_isotonic_is_monotone_and_keeps_the_mean():
     y, w = np.array([0.1, 0.5, 0.3, 0.2, 0.9]), np.array([1.0, 2, 1, 1, 3])
     fit = quality.isotonic(np.arange(5), y, w)
