@@ -56,10 +56,94 @@ def month_of(text: Column) -> Column:
 def temporal_flags(t: Column) -> Column:
     """Sorted quality flags of a temporal struct."""
     p = t["precision"]
+    # fixed values: names of the flags
     flags = [F.when(p == "unknown", "missing_or_unparsed_time"), F.when(p.isin("year", "month"), "coarse_date"), F.when(t["clock_basis"] == "source_local_unknown_timezone", "timezone_unknown"), F.when(p == "interval", "time_interval")]
     return F.array_sort(F.array_compact(F.array(*flags)))
 
 
+# fixed values: fields of the two source schemas
+OCCURRENCE_FIELDS = ("eventDate", "eventTime", "year", "month", "day")
+PORTAL_FIELDS = ("time_observed_at", "time_observed_at_utc", "observed_on", "zic_time_zone", "time_zone")
+MANAGEMENT_FIELDS = ("created_at", "updated_at", "created_at_utc", "updated_at_utc")
+
+
+def _field(rows: DataFrame, name: str) -> Column:
+    return clean(F.col(name)) if name in rows.columns else F.lit(None).cast("string")
+
+
+def _known(t: Column) -> Column:
+    return t["precision"] != "unknown"
+
+
+def _other_day(t: Column, day: Column) -> Column:
+    """Whether a record that is dated differs from a complete date."""
+    same = t["year"].eqNullSafe(day["year"]) & t["month"].eqNullSafe(day["month"]) & t["day"].eqNullSafe(day["day"])
+    return ~t["precision"].isin("unknown", "interval") & (day["precision"] == "day") & ~same
+
+
+def _seconds(t: Column) -> Column:
+    """Seconds since 1970 in UTC; a clock without an offset is read as UTC."""
+    days = F.datediff(F.make_date(t["year"], t["month"], t["day"]), F.lit("1970-01-01").cast("date"))
+    return days.cast("long") * 86400 + t["hour"] * 3600 + t["minute"] * 60 + F.coalesce(t["second"], F.lit(0)) - F.coalesce(t["utc_offset_minutes"], F.lit(0)) * 60
+
+
+def _observed(rows: DataFrame, flags: list[Column], zone_known: Column) -> DataFrame:
+    # fixed values: names of the flags of observation times
+    t = F.col("t")
+    flags = flags + [
+        F.when(t["precision"] == "interval", "interval"), F.when(t["precision"].isin("year", "month", "day"), "date_only"), F.when(~_known(t), "missing_or_unparsed_observation_time"),
+        F.when(t["hour"].isNotNull() & t["utc_offset_minutes"].isNull() & ~zone_known, "timezone_missing"),
+    ]
+    return rows.withColumn("t_flags", F.array_join(F.array_sort(F.array_compact(F.array(*flags))), ","))
+
+
+def occurrence_time(rows: DataFrame) -> DataFrame:
+    """rows with t (as of temporal) and t_flags, from the occurrence fields: a date text, a time text, and year, month, day.
+
+    The parts stand in for a date that is missing or unreadable; a time is added to a complete date only. Fields that
+    rows lack count as null.
+    """
+    date, time = _field(rows, "eventDate"), _field(rows, "eventTime")
+    y, m, d = (_field(rows, c).try_cast("int") for c in ("year", "month", "day"))
+    two = lambda x: F.lpad(x.cast("string"), F.greatest(F.lit(2), F.length(x.cast("string"))), F.lit("0"))
+    parts = F.when(y.isNull(), F.lit(None)).otherwise(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), two(m), F.when(m.isNotNull(), two(d))))
+    out = rows.withColumn("__t", F.transform(F.array(date, parts, F.concat(date, F.lit("T"), time), F.concat(parts, F.lit("T"), time)), temporal))
+    spare = ~_known(F.col("__t")[0]) & _known(F.col("__t")[1])
+    out = out.withColumn("__base", F.when(spare, 1).otherwise(0))  # which of the two dates is used
+    base, joined = F.col("__t")[F.col("__base")]["precision"], F.col("__t")[F.col("__base") + 2]["precision"]
+    timed = (base == "day") & joined.isin("minute", "second") & ~F.coalesce(time.contains("/"), F.lit(False))
+    out = out.withColumn("__timed", timed).withColumn("t", F.col("__t")[F.when(F.col("__timed"), F.col("__base") + 2).otherwise(F.col("__base"))])
+    flags = [
+        F.when((F.col("__base") == 0) & _other_day(F.col("__t")[0], F.col("__t")[1]), "date_field_mismatch"),
+        F.when(time.isNotNull() & (base == "day") & ~F.col("__timed"), "unparsed_event_time"),
+        F.when(time.isNotNull() & base.isin("year", "month", "unknown"), "time_without_complete_date"),
+    ]
+    return _observed(out, flags, F.lit(False)).drop("__t", "__base", "__timed")
+
+
+def portal_time(rows: DataFrame) -> DataFrame:
+    """rows with t, t_utc_seconds, t_zone and t_flags, from a portal's fields: local time, else date, else UTC time.
+
+    Times at which the record was made or changed are never used; their presence alone is flagged.
+    """
+    local, utc, day = (_field(rows, c) for c in ("time_observed_at", "time_observed_at_utc", "observed_on"))
+    out = rows.withColumn("__t", F.transform(F.array(local, day, utc), temporal))
+    local, day, utc = (F.col("__t")[k] for k in range(3))
+    out = out.withColumn("t", F.col("__t")[F.when(_known(local), 0).when(_known(day), 1).otherwise(2)])
+    sure = F.when(utc["hour"].isNotNull(), _seconds(utc))
+    own = F.when(local["utc_offset_minutes"].isNotNull(), _seconds(local))
+    of_t = F.when(F.col("t")["utc_offset_minutes"].isNotNull(), _seconds(F.col("t")))
+    managed = F.lit(False)
+    for name in MANAGEMENT_FIELDS:
+        managed = managed | _field(rows, name).isNotNull()
+    flags = [
+        F.when(_other_day(F.col("t"), day), "date_field_mismatch"), F.when(F.abs(own - sure) > 1, "utc_timestamp_mismatch"),
+        F.when(~_known(F.col("t")) & managed, "record_management_timestamp_present_not_used"),
+    ]
+    out = out.withColumns({"t_utc_seconds": F.coalesce(of_t, sure), "t_zone": F.coalesce(_field(rows, "zic_time_zone"), _field(rows, "time_zone"))})
+    return _observed(out, flags, sure.isNotNull()).drop("__t")
+
+
 @dataclass(frozen=True)
 class VerticalFields:
     """Which columns hold what; nothing is guessed from names."""

@@ -114,36 +114,40 @@ def bootstrap_t(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, s
     return out.select("grp", "n_blocks", "mean", "se", "critical", "lower", *([] if one_sided else ["upper"]), status.alias("status"))
 
 
-def family_category(cells: DataFrame) -> DataFrame:
-    """One row: unavailable before all positive, all nonpositive, uncertain, mixed."""
+def family_category(cells: DataFrame, *by: str) -> DataFrame:
+    """One row (or one per value of by): unavailable before all positive, all nonpositive, uncertain, mixed."""
     share = lambda s: F.avg((F.col("status") == s).cast("double"))
-    return cells.agg(
+    return cells.groupBy(*by).agg(
         F.when(share("unavailable") > 0, "unavailable").when(share("robust_positive") == 1, "all_positive").when(share("robust_nonpositive") == 1, "all_nonpositive").when(share("uncertain") > 0, "uncertain").otherwise("mixed").alias("category"),
         F.count("*").alias("n_groups"),
     )
 
 
-def nested_refits(refit_blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
+def nested_refits(refit_blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, steps: tuple[str, ...] = (), min_blocks: int = 1) -> DataFrame:
     """refit, grp, block, num, w -> per group: ensemble mean, nested standard error, simultaneous interval, spread of refits.
 
-    Each draw takes one refit for all groups, then one sequence of blocks.
+    Each draw takes one refit for all groups, then one sequence of blocks. With columns steps, the family is made of all
+    groups and steps; the steps of a group share its blocks. Groups of fewer than min_blocks blocks have no bounds. The blocks are read
+    several times: the caller caches them, and releases them when done.
     """
-    refit_blocks = refit_blocks.filter("w > 0").cache()  # refits x groups x blocks
-    order = Window.partitionBy("refit", "grp").orderBy("block")
-    endless = refit_blocks.filter(~(F.abs("num") < float("inf"))).select("grp").distinct()
-    b = refit_blocks.join(endless, "grp", "left_anti").withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("refit", "grp"))})
+    cell = ["grp", *steps]
+    refit_blocks = refit_blocks.filter("w > 0")
+    order = Window.partitionBy("refit", *cell).orderBy("block")
+    endless = refit_blocks.filter(~(F.abs("num") < float("inf"))).select(*cell).distinct()
+    b = refit_blocks.join(endless, cell, "left_anti").withColumns({"idx": F.row_number().over(order) - 1, "n_blocks": F.count("*").over(Window.partitionBy("refit", *cell))})
+    b = b.filter(F.col("n_blocks") >= min_blocks)
     refits = refit_blocks.select("refit").distinct().withColumn("r_idx", F.row_number().over(Window.orderBy("refit")) - 1)
     size = refits.agg(F.count("*").alias("n_refits"))
     picks = refits.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw")).crossJoin(F.broadcast(size)).select("draw", counter_draw(F.col("n_refits"), str(seed), "refit", F.col("draw")).alias("r_idx")).join(refits, "r_idx")
-    slots = b.select("refit", "grp", "n_blocks", F.col("idx").alias("slot")).join(picks, "refit")
-    chosen = slots.select("refit", "grp", "draw", counter_draw(F.col("n_blocks"), str(seed), F.col("grp"), F.col("draw"), F.col("slot")).alias("idx"))
-    d = chosen.join(b, ["refit", "grp", "idx"]).groupBy("grp", "draw").agg((F.sum("num") / F.sum("w")).alias("d_mean"))
-    means = refit_blocks.groupBy("refit", "grp").agg((F.sum("num") / F.sum("w")).alias("m")).groupBy("grp").agg(F.avg("m").alias("mean"), F.stddev_pop(F.when(F.abs("m") < float("inf"), F.col("m"))).alias("between_refits"))
-    spread = d.groupBy("grp").agg(F.stddev_samp("d_mean").alias("se")).join(means, "grp", "right")
+    slots = b.select("refit", *cell, "n_blocks", F.col("idx").alias("slot")).join(picks, "refit")
+    chosen = slots.select("refit", *cell, "draw", counter_draw(F.col("n_blocks"), str(seed), F.col("grp"), F.col("draw"), F.col("slot")).alias("idx"))
+    d = chosen.join(b, ["refit", *cell, "idx"]).groupBy(*cell, "draw").agg((F.sum("num") / F.sum("w")).alias("d_mean"))
+    means = refit_blocks.groupBy("refit", *cell).agg((F.sum("num") / F.sum("w")).alias("m")).groupBy(*cell).agg(F.avg("m").alias("mean"), F.stddev_pop(F.when(F.abs("m") < float("inf"), F.col("m"))).alias("between_refits"))
+    spread = d.groupBy(*cell).agg(F.stddev_samp("d_mean").alias("se")).join(means, cell, "right")
     stat = F.when(F.col("se") > 1e-15, F.abs(F.col("d_mean") - F.col("mean")) / F.col("se")).otherwise(0.0)
-    critical = d.join(spread, "grp").groupBy("draw").agg(F.max(stat).alias("stat")).agg(F.percentile("stat", F.lit(1 - alpha)).alias("critical"))
+    critical = d.join(spread, cell).groupBy("draw").agg(F.max(stat).alias("stat")).agg(F.percentile("stat", F.lit(1 - alpha)).alias("critical"))
     out = spread.crossJoin(F.broadcast(critical))
-    return out.select("grp", "mean", "se", "between_refits", (F.col("mean") - F.col("critical") * F.col("se")).alias("lower"), (F.col("mean") + F.col("critical") * F.col("se")).alias("upper"))
+    return out.select(*cell, "mean", "se", "between_refits", (F.col("mean") - F.col("critical") * F.col("se")).alias("lower"), (F.col("mean") + F.col("critical") * F.col("se")).alias("upper"))
 
 
 def all_refits_pass(refit_blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, min_refits: int = 2) -> DataFrame:

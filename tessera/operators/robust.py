@@ -66,12 +66,23 @@ def _percentiles(prefixes: DataFrame, gamma: float, alpha: float) -> DataFrame:
 
 
 def robustness_radius(rows: DataFrame, draws: int, seed: int, alpha: float = 0.05, limit: float = 16.0, steps: int = 12) -> DataFrame:
-    """One row: the greatest gamma (by bisection, same draws throughout) at which every group's lower bound stays positive."""
+    """One row: the greatest gamma (by bisection, same draws throughout) at which every group's lower bound stays positive.
+
+    limiting_groups: those whose lower bound is not positive at the least gamma known to fail (null within the limit).
+    """
     prefixes = _drawn_prefixes(rows, draws, seed).cache()  # groups x draws x distinct gains, read once per bisection
     spark = rows.sparkSession
 
+    def failing(gamma: float) -> list[str]:
+        return sorted(r[0] for r in _percentiles(prefixes, gamma, alpha).filter(~(F.col("lower") > 0)).select(F.col("grp").cast("string")).collect())  # groups
+
+    at_high = []
+
     def holds(gamma: float) -> bool:
-        return _percentiles(prefixes, gamma, alpha).agg(F.min("lower")).first()[0] > 0
+        names = failing(gamma)
+        if names:
+            at_high[:] = names
+        return not names
 
     low, high = 1.0, limit
     if not holds(1.0):
@@ -84,4 +95,4 @@ def robustness_radius(rows: DataFrame, draws: int, seed: int, alpha: float = 0.0
             low, high = (mid, high) if holds(mid) else (low, mid)
         out = (low, "finite")
     prefixes.unpersist()
-    return spark.createDataFrame([(*out, out[0] ** 2)], "radius double, category string, weight_ratio double")
+    return spark.createDataFrame([(*out, out[0] ** 2, ",".join(at_high) if at_high else None)], "radius double, category string, weight_ratio double, limiting_groups string")

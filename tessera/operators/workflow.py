@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -65,20 +66,70 @@ def fold_baselines(rows: DataFrame, fold: str, stratum: str, state: str, alpha:
     return joined.select(fold, stratum, state, ((F.col("n_pooled") + alpha) / (F.col("n_all") + alpha * k)).alias("p_pooled"), ((F.col("n") + alpha) / (F.col("n_stratum") + alpha * k)).alias("p_stratum"))
 
 
-def cross_validated(rows: DataFrame, roles: EventTable, model: str = "logit", alpha: float = 0.5, seed: int = 0) -> DataFrame:
+#: From the training rows of a fold and the roles to the same rows with a column training_weight.
+WeightPolicy = Callable[[DataFrame, EventTable], DataFrame]
+
+
+def _policy_weights(train: DataFrame, roles: EventTable, policy: WeightPolicy) -> DataFrame:
+    """The policy's rows; raises if it changed their number, or gave weights that are not finite, negative or all zero."""
+    weighted = policy(train, roles)
+    x = F.col("training_weight").cast("double")
+    bad = x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf"))
+    got = weighted.agg(F.count("*").alias("n"), F.sum(F.when(bad, 1).otherwise(0)).alias("bad"), F.sum(x).alias("total")).first()
+    if got["n"] != train.count() or got["bad"] or not got["total"]:
+        raise ValueError(f"the weight policy gave {got['n']} rows, {got['bad'] or 0} of them with weights that are not allowed, of total {got['total']}")
+    return weighted
+
+
+def _policy_baselines(rows: DataFrame, weighted: DataFrame, roles: EventTable, fold: object, alpha: float) -> DataFrame:
+    """The rows of fold_baselines for one fold, from the training rows and weights of a policy."""
+    k = rows.select(roles.state).distinct().count()
+    seen = weighted.groupBy(roles.stratum, roles.state).agg(F.sum("training_weight").alias("n"))
+    grid = rows.select(roles.stratum).distinct().crossJoin(rows.select(roles.state).distinct())  # strata x states
+    cells = grid.join(seen, [roles.stratum, roles.state], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    pooled = cells.groupBy(roles.state).agg(F.sum("n").alias("n_pooled"))
+    totals = cells.groupBy(roles.stratum).agg(F.sum("n").alias("n_stratum"))
+    whole = cells.agg(F.sum("n").alias("n_all"))
+    joined = cells.join(pooled, roles.state).join(totals, roles.stratum).crossJoin(F.broadcast(whole))
+    return joined.select(F.lit(fold).alias(roles.fold), roles.stratum, roles.state, ((F.col("n_pooled") + alpha) / (F.col("n_all") + alpha * k)).alias("p_pooled"), ((F.col("n") + alpha) / (F.col("n_stratum") + alpha * k)).alias("p_stratum"))
+
+
+def _learner(model: str | Estimator, columns: dict[str, str], total: float, n: int, seed: int) -> Estimator:
+    """The named model, or a copy of the caller's probabilistic classifier on our columns (it must take weights)."""
+    if isinstance(model, Estimator):
+        lacking = sorted(c for c in columns if not model.hasParam(c))
+        if lacking:
+            raise ValueError(f"the estimator has no {lacking}")
+        return model.copy({model.getParam(c): name for c, name in columns.items()})
+    if model == "logit":
+        return LogisticRegression(**columns, regParam=1.0 / (total * n), standardization=False, maxIter=100)
+    if model == "forest":
+        return RandomForestClassifier(**columns, numTrees=50, maxDepth=6, seed=seed)
+    raise ValueError(f"unknown model {model!r}")
+
+
+def cross_validated(rows: DataFrame, roles: EventTable, model: str | Estimator = "logit", alpha: float = 0.5, seed: int = 0, policy: WeightPolicy | None = None) -> DataFrame:
     """Per group: pooled gain = stratum gain + context gain of a model fitted without the group's fold.
 
-    One Spark ML fit per fold; scoring of all folds is one plan.
+    model: "logit", "forest" or any classifier of Spark ML that gives probabilities and takes weights. A policy is given
+    the training rows of each fold and weights them for the model and the baselines; without one, models weigh strata,
+    groups and rows hierarchically and baselines use the event weights. One fit per fold; scoring all folds is one plan.
     """
     rows = roles.validated(rows)
-    weighted = hierarchical_weights(rows, roles.stratum, roles.group)
-    baselines = fold_baselines(rows, roles.fold, roles.stratum, roles.state, alpha)
+    weighted = None if policy else hierarchical_weights(rows, roles.stratum, roles.group)
+    baselines = None if policy else fold_baselines(rows, roles.fold, roles.stratum, roles.state, alpha)
     scored = None
     for fold in sorted(r[0] for r in rows.select(roles.fold).distinct().collect()):  # a few folds
-        train, test = weighted.filter(F.col(roles.fold) != fold), rows.filter(F.col(roles.fold) == fold)
+        test = rows.filter(F.col(roles.fold) == fold)
+        if policy:
+            train = _policy_weights(rows.filter(F.col(roles.fold) != fold), roles, policy)
+            one = _policy_baselines(rows, train, roles, fold, alpha)
+            baselines = one if baselines is None else baselines.unionByName(one)
+        else:
+            train = weighted.filter(F.col(roles.fold) != fold)
         total = train.agg(F.sum("training_weight")).first()[0]
         common = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "training_weight"}
-        learner = LogisticRegression(**common, regParam=1.0 / (total * train.count()), standardization=False, maxIter=100) if model == "logit" else RandomForestClassifier(**common, numTrees=50, maxDepth=6, seed=seed)
+        learner = _learner(model, common, total, train.count(), seed)
         fitted = Pipeline(stages=[StringIndexer(inputCol=roles.state, outputCol="__label", handleInvalid="keep", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(roles.features), outputCol="__features"), learner]).fit(train)
         out = fitted.transform(test).withColumn("p_model", F.element_at(vector_to_array("probability"), (F.col("__label") + 1).cast("int")))
         out = out.select(roles.fold, roles.group, roles.stratum, roles.state, "w", F.coalesce("p_model", F.lit(0.0)).alias("p_model"))

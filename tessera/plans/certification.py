@@ -127,7 +127,7 @@ def family_category(spark: SparkSession, sf_dir: str) -> DataFrame:
  c AS (SELECT quantile_cont(stat, 0.95) AS c FROM (SELECT d, max(abs(m - mean) / se) AS stat FROM dr JOIN mm ON dr.grp = mm.grp JOIN sp ON dr.grp = sp.grp GROUP BY d))
  SELECT mm.grp, round(mean, 9) AS mean, round(se, 9) AS se, round(br, 9) AS between_refits, round(mean - c * se, 9) AS lower, round(mean + c * se, 9) AS upper FROM mm JOIN sp ON mm.grp = sp.grp, c""")
 def refit_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounds(resample.nested_refits(refit_blocks(spark, sf_dir), DRAWS, 6))
+    return rounds(resample.nested_refits(refit_blocks(spark, sf_dir).cache(), DRAWS, 6))
 
 
 @query()

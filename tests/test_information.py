@@ -82,3 +82,23 @@ def test_shapley_values_add_up(spark):
     edges = ladder.lattice_edges(nodes, 3)
     assert edges.count() == 12 and math.isclose(sum(r.shapley for r in ladder.shapley(edges, 3).collect()), 5.0)
     assert tuple(ladder.monotone_paths(edges, 3).first()) == (5, 6) or ladder.monotone_paths(edges, 3).first().paths == 6
+
+
+def test_policies_and_estimators_of_the_caller(spark):
+    from pyspark.ml.classification import NaiveBayes, LinearSVC
+
+    rows = [("low" if i < (8 if s == "a" else 2) else "high", 0.0 if s == "a" else 1.0, s + g, s, k) for s in "ab" for k, g in enumerate("01") for i in range(10)]
+    frame = spark.createDataFrame(rows, "state string, x double, ind string, sp string, fold int")
+    roles = workflow.EventTable("state", "ind", "sp", "fold", ("x",))
+    even = lambda train, _: train.withColumn("training_weight", F.lit(1.0))
+    plain, same = ({r.ind: r for r in workflow.cross_validated(frame, roles, NaiveBayes(), policy=p).collect()} for p in (None, even))
+    assert all(abs(plain[k].stratum_gain - same[k].stratum_gain) < 1e-9 and abs(same[k].pooled_gain - same[k].stratum_gain - same[k].context_gain) < 1e-9 for k in plain)
+    only_a = lambda train, r: train.withColumn("training_weight", (F.col(r.stratum) == "a").cast("double"))
+    tilted = {r.ind: r for r in workflow.cross_validated(frame, roles, NaiveBayes(), policy=only_a).collect()}
+    assert abs(tilted["a0"].stratum_gain) < 1e-9 < abs(tilted["b0"].stratum_gain)
+    for wrong in (lambda train, _: train.withColumn("training_weight", F.lit(-1.0)), lambda train, _: train.limit(3).withColumn("training_weight", F.lit(1.0))):
+        with pytest.raises(ValueError):
+            workflow.cross_validated(frame, roles, "logit", policy=wrong)
+    for model in ("other", LinearSVC()):
+        with pytest.raises((ValueError, KeyError, TypeError)):
+            workflow._learner(model, {"featuresCol": "f", "labelCol": "l", "weightCol": "w", "noneSuch": "n"} if model != "other" else {}, 1.0, 1, 0)

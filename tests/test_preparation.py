@@ -136,3 +136,66 @@ def test_streaming_thinning_equals_batch(spark, tmp_path):
     finally:
         query.stop()
     assert streamed == sorted((r.user_id, r.event_id) for r in events.rolling_thin(rows, "user_id", "ts", "event_id", 60).collect())
+
+
+def _refits(scores, **more):
+    part = {"familywise_confidence_level": 0.9, "nested_draws": 500, "seed": 3, "minimum_refits": 2, "minimum_blocks_per_group": 2, "gain_tolerance": 0.0} | more
+    true = ("heldout_predictions", "same_rows_across_levels", "same_rows_across_refits", "heldout_outcome_not_used_for_prediction_or_selection", "filtration_frozen_before_outcome_scoring", "refit_scheme_frozen_before_outcome_scoring")
+    return {
+        "schema_version": 1, "endpoint_id": "e", "data": {"path": scores, "format": "csv"}, "columns": {"row_id": "id", "refit_id": "fit", "group": "g", "block": "b"},
+        "score": {"kind": "log", "name": "log", "orientation": "higher_is_better", "common_scoring_rule": True, "common_reference_measure": True},
+        "evaluation": {"analysis_mode": "descriptive", "refit_independence_assumed": False, "refit_mixture_weighting": "uniform"} | dict.fromkeys(true, True),
+        "levels": [{"name": n, "information": i, "score_column": c} for n, i, c in (("none", [], "s0"), ("place", ["xy"], "s1"), ("time", ["xy", "t"], "s2"))], "certification": part,
+    }
+
+
+def _refit_rows(top):
+    head = "id,fit,g,b,s0,s1,s2\n"
+    return head + "".join(f"{i},{f},{'ab'[i % 2]},{i // 4},-3,{-2 - 0.01 * i - 0.1 * f},{top(i, f)}\n" for f in range(3) for i in range(16))
+
+
+def test_refit_contract_certifies_steps_over_all_refits(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    (tmp_path / "r.csv").write_text(_refit_rows(lambda i, f: -1.9 if f == 0 else -9))
+    got = contracts.run_refits(spark, _refits("r.csv"), folder)["result"]
+    assert got["steps"][1] == "all_positive" and got["steps"][2] != "all_positive" and got["ceiling"] == "place"
+    assert got["point_ceilings"] == {"0": "time", "1": "place", "2": "place"} and got["reference_point_ceiling"] == "time"
+    assert contracts.run_refits(spark, _refits("r.csv", minimum_refits=4), folder)["result"]["steps"] == {1: "unavailable", 2: "unavailable"}
+    (tmp_path / "r.csv").write_text(_refit_rows(lambda i, f: "-inf" if i == 0 else -1))
+    assert contracts.run_refits(spark, _refits("r.csv"), folder)["result"]["steps"][2] == "unavailable"
+
+
+def test_refit_contract_refuses(spark, tmp_path):
+    good = _refits("r.csv")
+    rows = _refit_rows(lambda i, f: -1)
+    for part, change in (("score", {"common_reference_measure": None}), ("evaluation", {"refit_independence_assumed": True}), ("evaluation", {"same_rows_across_refits": False}), ("evaluation", {"analysis_mode": "confirmatory"}), ("certification", {"nested_draws": 499}), ("certification", {"seed": True}), ("columns", {"weight": "g"}), ("data", {"path": " "})):
+        with pytest.raises(contracts.ContractError):
+            contracts.refit_contract(good | {part: good[part] | change})
+    with pytest.raises(contracts.ContractError):
+        contracts.refit_contract(good | {"levels": good["levels"][::-1]})
+    bad = [rows + "0,0,a,0,-3,-2,-1\n", rows + "99,0,a,0,-3,-2,-1\n", rows.replace("5,2,b,1,", "5,2,b,0,"), rows.replace("5,2,b,1,-3,", "5,2,b,1,-inf,"), rows.replace("5,2,b,1,", "5,2,,1,"), rows.split("\n")[0] + "\n"]
+    for text in bad:
+        (tmp_path / "r.csv").write_text(text)
+        with pytest.raises(contracts.ContractError):
+            contracts.run_refits(spark, good, f"file://{tmp_path}")
+
+
+def test_occurrence_times_come_from_several_fields(spark):
+    cases = [
+        ("2020-05-01", "10:30", "2020", "5", "1", "minute", "timezone_missing"), ("2020-05-01", "10:30:15Z", None, None, None, "second", ""), (None, None, "2020", "5", None, "month", "date_only"),
+        ("soon", None, "2020", "5", "7", "day", "date_only"), ("2020-05-01", None, "2020", "5", "2", "day", "date_field_mismatch,date_only"), ("2020-05-01", "noon", None, None, None, "day", "date_only,unparsed_event_time"),
+        ("2020-05", "10:30", None, None, None, "month", "date_only,time_without_complete_date"), (None, None, None, "5", "1", "unknown", "missing_or_unparsed_observation_time"), ("2020-05-01/2020-05-03", "10:30", "2021", "1", "1", "interval", "interval"),
+    ]
+    rows = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(cases)], "i int, eventDate string, eventTime string, year string, month string, day string")
+    assert [tuple(r) for r in normalize.occurrence_time(rows).orderBy("i").select("t.precision", "t_flags").collect()] == [c[5:] for c in cases]
+    assert normalize.occurrence_time(rows.select("i", "eventDate")).filter("t.precision = 'day'").count() == 4
+
+
+def test_portal_times_never_use_management_stamps(spark):
+    cases = [
+        ("2020-05-01T10:30:00+02:00", "2020-05-01T08:30:00Z", "2020-05-01", None, "second", 1588321800, ""), ("2020-05-01T10:30:00+02:00", "2020-05-01T09:30:00Z", None, None, "second", 1588321800, "utc_timestamp_mismatch"),
+        (None, "2020-05-01T08:30:00Z", "2020-05-02", None, "day", 1588321800, "date_only"), (None, None, None, "2020-05-01T08:30:00Z", "unknown", None, "missing_or_unparsed_observation_time,record_management_timestamp_present_not_used"),
+        ("2020-05-01T10:30", None, "2020-05-02", None, "minute", None, "date_field_mismatch,timezone_missing"),
+    ]
+    rows = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, time_observed_at string, time_observed_at_utc string, observed_on string, created_at string")
+    assert [tuple(r) for r in normalize.portal_time(rows).orderBy("i").select("t.precision", "t_utc_seconds", "t_flags").collect()] == [c[4:] for c in cases]
