@@ -10,7 +10,7 @@ comparing both sides in the cover. Neighbours in suffix order whose first bytes
 of hash) are repeats; equal windows are always neighbours.
 
 Texts with equal copies are folded first (all of their windows repeat, one copy stays as a witness). Shards have a
-bounded size. A mark with more than HOT occurrences would outgrow that; its windows go to shards one by one as hashes,
+bounded size. A mark with more than HOT occurrences would outgrow that; its windows go to shards one by one as 128 bits of hash,
 one entry per distinct window and block, because windows that repeat inside a block are settled there.
 
 Defined cases: null text counts as empty; texts shorter than the length lose nothing, even when they are copies; repeated
@@ -166,7 +166,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _encode(kind: int, shas: list[bytes], text_no: np.ndarray, start: np.ndarray, stop: np.ndarray, mark: np.ndarray, payload: bytes = b"", times: np.ndarray | None = None) -> bytes:
-    """Entries of one block for one shard: text, first window, end of windows, mark; payload holds passages' bytes.
+    """Entries of one block for one shard: text, first window, end of windows, mark; payload holds passages' bytes or second hashes.
 
     times: how often a passage holds its mark (it can repeat inside itself if that is not once).
     """
@@ -190,6 +190,16 @@ def _decode(data: bytes) -> tuple[int, list[bytes], np.ndarray, np.ndarray, np.n
 PASSAGES, HASHES, SETTLED = range(3)
 
 
+def _pair_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each group of equal pairs, and every row's group."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group
+
+
 def _passages(length: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in _opened(batches):
@@ -229,9 +239,9 @@ def _passages(length: int, shards: int):
 
             warm = np.flatnonzero(is_hot)
             if len(warm):
-                h = at.span_hash(prefix, starts[warm], starts[warm] + length)
-                _, where, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                here = warm[n[inverse] > 1]  # repeated inside this block
+                h, again = (at.span_hash(x, starts[warm], starts[warm] + length) for x in (prefix, at.byte_prefix(buf, seed=5)))
+                where, group = _pair_groups(h, again)
+                here = warm[np.bincount(group)[group] > 1]  # repeated inside this block
                 if len(here):
                     out_shard.append(int(h[0] % at.U64(shards)))
                     out_data.append(_encode(SETTLED, shas, owner[here], local[here], local[here] + 1, np.zeros(len(here), np.uint64)))
@@ -240,7 +250,7 @@ def _passages(length: int, shards: int):
                 for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
                     pick = warm[where[part]]
                     out_shard.append(int(to[part[0]]))
-                    out_data.append(_encode(HASHES, shas, owner[pick], local[pick], local[pick] + 1, h[where[part]]))
+                    out_data.append(_encode(HASHES, shas, owner[pick], local[pick], local[pick] + 1, h[where[part]], again[where[part]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int32()), pa.array(out_data, pa.binary())], names=["shard", "entries"])
 
     return run
@@ -276,7 +286,7 @@ def _settle(length: int):
                 mark.append(key)
                 often.append(inner)
             elif kind == HASHES:
-                hashed.append((key, number + base, first))
+                hashed.append((key, np.frombuffer(payload, np.uint64), number + base, first))
             else:
                 found.append((number + base, first, last))
         if passages:
@@ -300,9 +310,9 @@ def _settle(length: int):
                 if len(edge):
                     found.append((np.full(len(edge) // 2, text_no[i]), begin[i] + edge[::2], begin[i] + edge[1::2]))
         if hashed:
-            key, number, first = map(np.concatenate, zip(*hashed, strict=True))
-            _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-            twice = n[inverse] > 1
+            key, again, number, first = map(np.concatenate, zip(*hashed, strict=True))
+            group = _pair_groups(key, again)[1]
+            twice = np.bincount(group)[group] > 1
             found.append((number[twice], first[twice], first[twice] + 1))
         if not found:
             return pd.DataFrame({"sha": [], "first": [], "last": []}, dtype=object)
