@@ -117,11 +117,50 @@ def row_of(ptr: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word spans, row pointers and a 64-bit hash of each word."""
-    if lower:
-        buf = LOWER[buf]
-    s, e, ptr = word_spans(buf, off)
-    return s, e, ptr, span_hash(byte_prefix(buf), s, e)
+    """Word spans, row pointers and a 64-bit hash of each word; temporaries stay at a few blocks however long a text is."""
+    if len(buf) <= 4 * BLOCK:
+        if lower:
+            buf = LOWER[buf]
+        s, e, ptr = word_spans(buf, off)
+        return s, e, ptr, span_hash(byte_prefix(buf), s, e)
+    parts = []
+    at = 0
+    while at < len(buf):
+        to = _word_end(buf, off, at + BLOCK) if at + BLOCK < len(buf) else len(buf)
+        if to - at > 4 * BLOCK:  # a word of several blocks: first what stands before it, then itself
+            last = np.flatnonzero(SPACE[buf[at : at + BLOCK]])
+            begin = max(at + (int(last[-1]) + 1 if len(last) else 0), int(off[np.searchsorted(off, at + BLOCK, side="right") - 1]))
+            if begin == at:
+                parts.append((np.array([at]), np.array([to]), np.array([_long_hash(buf[at:to], lower)], U64)))
+                at = to
+                continue
+            to = begin
+        piece = LOWER[buf[at:to]] if lower else buf[at:to]
+        s, e, _ = word_spans(piece, np.unique(np.clip(off - at, 0, to - at)))
+        parts.append((s + at, e + at, span_hash(byte_prefix(piece), s, e)))
+        at = to
+    s, e, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return s, e, np.searchsorted(s, off), h
+
+
+def _word_end(buf: np.ndarray, off: np.ndarray, at: int) -> int:
+    """The first place from at on where a space stands or a row ends."""
+    stop = int(off[np.searchsorted(off, at)])
+    for begin in range(at, stop, BLOCK):
+        found = SPACE[buf[begin : min(begin + BLOCK, stop)]]
+        if found.any():
+            return begin + int(found.argmax())
+    return stop
+
+
+def _long_hash(word: np.ndarray, lower: bool) -> int:
+    """What span_hash gives for one word, summed block by block."""
+    p, total = powers(BLOCK)[0], 0
+    for at in range(0, len(word), BLOCK):
+        piece = word[at : at + BLOCK]
+        symbols = _symbol_table()[LOWER[piece] if lower else piece]
+        total += int(np.sum(symbols * p[: len(piece)], dtype=U64)) * pow(BASE, at, 1 << 64)
+    return int(mix(np.array([(total + len(word)) % (1 << 64)], U64))[0])
 
 
 def window_starts(ptr: np.ndarray, length: int) -> np.ndarray:

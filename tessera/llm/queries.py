@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, langid, mixing, near_dedup, quality, quotes, substring_dedup, suffix_dedup, warc
+from tessera.llm import decontaminate, exact_dedup, langid, mixing, near_dedup, periods, quality, quotes, substring_dedup, suffix_dedup, warc
 from tessera.llm.sql import SQL  # noqa: F401
 
 
@@ -58,6 +61,27 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def looped(ids: list, ptr: np.ndarray) -> np.ndarray:
+    """Reading order of op13: of each tenth document, by the checksum of its id, the words from one on repeat a stretch."""
+    read = np.arange(ptr[-1])
+    for doc_id, a, b in zip(ids, ptr[:-1], ptr[1:], strict=True):
+        h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+        if h % 10 == 0 and b > a:
+            g, n = h // 10, int(b - a)
+            at = g % n
+            read[a + at : b] = a + at + np.arange(n - at) % (1 + (n - at) // (3 + g % 8))
+    return read
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), order=looped)
+    runs = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(runs, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
@@ -69,4 +93,5 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
+    "op13_periods": op13_periods,
 }
