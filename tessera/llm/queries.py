@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, langid, mixing, near_dedup, periods, quality, quotes, substring_dedup, suffix_dedup, warc
+from tessera.llm import decontaminate, exact_dedup, langid, licenses, mixing, near_dedup, negatives, periods, quality, quotes, substring_dedup, suffix_dedup, warc
 from tessera.llm.sql import SQL  # noqa: F401
 
 
@@ -61,6 +61,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def looped(ids: list, ptr: np.ndarray) -> np.ndarray:
     """Reading order of op13: of each tenth document, by the checksum of its id, the words from one on repeat a stretch."""
     read = np.arange(ptr[-1])
@@ -93,5 +104,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
+    "op11_negatives": op11_negatives,
+    "op12_licenses": op12_licenses,
     "op13_periods": op13_periods,
 }

@@ -118,4 +118,21 @@ SQL = {
         cum AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, block, epoch ORDER BY doc_rank_key) AS so_far FROM taken)
         SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, CAST(block AS BIGINT) AS block, CAST(block_rank AS BIGINT) AS block_rank, doc_rank_key, n_tokens
         FROM cum WHERE room >= in_block OR so_far <= room""",
+    "op11_negatives": """
+        WITH v AS (
+          SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+          SELECT a.rn AS anchor, a.vec_id AS anchor_id, a.label AS own, v.label, v.vec_id,
+                 CAST(coalesce(list_sum(list_transform(range(1, least(len(a.q), len(v.q)) + 1), lambda i: a.q[i] * v.q[i])), 0) AS BIGINT) AS score
+          FROM v a JOIN v ON a.rn <> v.rn WHERE a.vec_id % 100 = 0),
+        p AS (
+          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE label = own) t WHERE k <= 5),
+        n AS (
+          SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+          FROM p JOIN s ON s.anchor = p.anchor AND s.label <> s.own AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }

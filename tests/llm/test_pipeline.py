@@ -42,7 +42,7 @@ def test_entry_lists_all_queries():
 
     names = set(entry.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} >= {"pipeline", *(n for n in names if n.startswith("op"))}
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= names
 
 
