@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import certification, information, preparation
+from tessera.plans import certification, information, lattices, preparation
 
-QUERIES: dict = information.QUERIES | certification.QUERIES | preparation.QUERIES
-SQL: dict[str, str] = information.SQL | certification.SQL | preparation.SQL
+QUERIES: dict = information.QUERIES | certification.QUERIES | lattices.QUERIES | preparation.QUERIES
+SQL: dict[str, str] = information.SQL | certification.SQL | lattices.SQL | preparation.SQL
