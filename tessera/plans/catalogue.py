@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import certification, information, lattices, preparation
+from tessera.plans import certification, information, lattices, preparation, protocols
 
-QUERIES: dict = information.QUERIES | certification.QUERIES | lattices.QUERIES | preparation.QUERIES
-SQL: dict[str, str] = information.SQL | certification.SQL | lattices.SQL | preparation.SQL
+PARTS = (information, certification, lattices, protocols, preparation)
+QUERIES: dict = {name: run for part in PARTS for name, run in part.QUERIES.items()}
+SQL: dict[str, str] = {name: text for part in PARTS for name, text in part.SQL.items()}
