@@ -1,4 +1,4 @@
-"""Queries of the frozen group protocol and of identity-checked roles, with their SQL.
+"""Queries of the frozen group protocol, of identity-checked roles and of evidence dossiers, with their SQL.
 
 Customers are groups: a third each for training, calibration and validation. An order's priority is forecast from its
 customer's segment, with counts of the training groups alone, against the pooled shares.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import identity, protocol
+from tessera.operators import decisions, identity, protocol
 from tessera.plans.information import rounds
 from tessera.plans.inputs import table
 
@@ -192,3 +192,60 @@ def identity_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT *, CASE WHEN (SELECT bool_and(possible AND enough_training) FROM ok) THEN 'count_gate_passed' ELSE 'hold_vacuous_rank' END AS status FROM ok""")
 def identity_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.support_gate(units(spark, sf_dir), MISCOVERAGE)
+
+
+HANDOFF = """ho AS (SELECT c_custkey AS subject, CASE WHEN c_custkey % 3 = 0 THEN 'known_truth' ELSE 'empirical' END AS scope, CASE WHEN c_custkey % 5 = 0 THEN 'structural_capacity' ELSE 'species_support' END AS semantics,
+   c_nationkey % 7 <> 0 AS declared, c_nationkey % 4 <> 0 AS frozen, count(o_orderkey) >= 7 AS estimable, ['generalizing', 'mixed', 'non_generalizing', 'unavailable', 'not_tested'][count(o_orderkey) % 5 + 1] AS transfer
+   FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey),
+ hp AS (SELECT *, declared AND estimable AS summary_allowed, declared AND estimable AND semantics = 'species_support' AND scope = 'known_truth' AS method_allowed,
+   declared AND estimable AND semantics = 'species_support' AND scope = 'empirical' AND frozen AND transfer = 'generalizing' AS empirical_allowed FROM ho)"""
+
+
+@query(f"""WITH {HANDOFF} SELECT subject, summary_allowed, method_allowed, empirical_allowed,
+   CASE WHEN semantics = 'structural_capacity' THEN CASE WHEN summary_allowed THEN 'structural_capacity_only' ELSE 'unavailable' END WHEN method_allowed THEN 'known_truth_method_state_only' WHEN empirical_allowed THEN 'empirical_axis_resolved_supported' WHEN summary_allowed THEN 'descriptive_projection_only' ELSE 'unavailable' END AS category,
+   concat_ws(',', CASE WHEN NOT declared THEN 'added_axis_semantics_not_declared' END, CASE WHEN NOT estimable THEN 'thickness_not_estimable' END, CASE WHEN scope = 'empirical' AND NOT frozen THEN 'empirical_source_boundary_not_prospectively_frozen' END,
+     CASE WHEN semantics = 'structural_capacity' THEN 'structural_capacity_is_not_species_support' WHEN method_allowed THEN 'known_truth_state_not_empirical_species_evidence' WHEN empirical_allowed OR NOT summary_allowed THEN NULL WHEN transfer = 'non_generalizing' THEN 'independent_axis_resolved_organization_not_generalizing'
+       WHEN transfer = 'mixed' THEN 'independent_axis_resolved_organization_mixed' WHEN transfer = 'unavailable' THEN 'independent_transferability_unavailable' WHEN transfer = 'not_tested' THEN 'independent_transferability_not_tested' END) AS reasons FROM hp""")
+def handoff_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    rows = c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").select(
+        F.col("c_custkey").alias("subject"), F.when(F.col("c_custkey") % 3 == 0, "known_truth").otherwise("empirical").alias("scope"), F.when(F.col("c_custkey") % 5 == 0, "structural_capacity").otherwise("species_support").alias("semantics"),
+        (F.col("c_nationkey") % 7 != 0).alias("declared"), (F.col("c_nationkey") % 4 != 0).alias("frozen"), (n >= 7).alias("estimable"), F.get(F.array(*[F.lit(t) for t in decisions.TRANSFER]), (n % 5).cast("int")).alias("transfer"),
+    )
+    return decisions.handoff(rows).select("subject", "summary_allowed", "method_allowed", "empirical_allowed", "category", F.array_join("reasons", ",").alias("reasons"))
+
+
+#: the audits of a dossier, outermost first
+LAYERS = ("access_checkpoints", "access_log_chain", "ledger_binding", "content_provenance", "access_provenance", "selection_provenance", "training_provenance")
+_AUDITS = f"""au AS (SELECT o_custkey % 60 AS subject, CAST(o_orderkey % {len(LAYERS)} AS INTEGER) AS position, {list(LAYERS)}[o_orderkey % {len(LAYERS)} + 1] AS layer, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') % 9 = 0 THEN 'mismatch' ELSE 'pass' END AS status FROM orders GROUP BY ALL),
+ fl AS (SELECT subject, min(position) AS low FROM au WHERE status = 'mismatch' GROUP BY subject),
+ ef AS (SELECT au.*, CASE WHEN position > low THEN 'not_run_' || {list(LAYERS)}[low + 1] || '_mismatch' ELSE status END AS effective, {list(LAYERS)}[low + 1] AS failed FROM au LEFT JOIN fl USING (subject))"""
+
+
+def _audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = (F.col("o_orderkey") % len(LAYERS)).cast("int")
+    cells = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 60).alias("subject"), place.alias("position")).agg(F.count_if(F.col("o_orderstatus") == "P").alias("n"))
+    return cells.select("subject", "position", F.get(F.array(*[F.lit(x) for x in LAYERS]), F.col("position")).alias("layer"), F.when(F.col("n") % 9 == 0, "mismatch").otherwise("pass").alias("status"))
+
+
+@query(f"WITH {_AUDITS} SELECT subject, position, layer, status, effective FROM ef")
+def dossier_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.effective_layers(_audits(spark, sf_dir))
+
+
+@query(f"""WITH {_AUDITS}, ba AS (SELECT o_custkey % 60 AS subject, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') % 13 = 0 THEN 'unavailable' WHEN count(*) FILTER (WHERE o_orderstatus = 'F') % 13 = 1 THEN 'blocked' ELSE 'admitted' END AS bv,
+   CASE WHEN count(*) % 11 = 0 THEN 'not_certified' WHEN count(*) % 11 = 1 THEN 'unavailable' ELSE 'certified' END AS bc, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') % 3 = 0 AS wa FROM orders GROUP BY 1),
+ st AS (SELECT subject, any_value(failed) AS failed_layer, string_agg(layer || ':' || effective, '|' ORDER BY position) AS steps FROM ef GROUP BY subject),
+ de AS (SELECT *, CASE WHEN bv = 'unavailable' THEN 'unavailable' WHEN bv = 'blocked' THEN 'not_certified' WHEN bc <> 'certified' THEN bc WHEN failed_layer IS NOT NULL THEN 'unavailable' ELSE 'certified' END AS certification,
+   CASE WHEN bv <> 'admitted' THEN bv WHEN bc = 'not_certified' THEN 'admitted_extended_not_certified' WHEN bc = 'unavailable' OR failed_layer IS NOT NULL THEN 'admitted_extended_unavailable' WHEN wa THEN 'admitted_with_warnings' ELSE 'admitted' END AS operational FROM ba JOIN st USING (subject))
+ SELECT subject, failed_layer, certification, operational, coalesce(failed_layer || '_mismatch', '') AS provenance_reasons, CASE WHEN wa THEN 'urgent_share' ELSE '' END AS warnings, steps || '|certification:' || certification || '|operational:' || operational AS trace FROM de""")
+def dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late, all_, urgent = F.count_if(F.col("o_orderstatus") == "F") % 13, F.count("*") % 11, F.count_if(F.col("o_orderpriority") == "1-URGENT") % 3
+    none = F.array().cast("array<string>")
+    bases = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 60).alias("subject")).agg(
+        F.when(late == 0, "unavailable").when(late == 1, "blocked").otherwise("admitted").alias("base_validation"), F.when(all_ == 0, "not_certified").when(all_ == 1, "unavailable").otherwise("certified").alias("base_certification"),
+        F.when(urgent == 0, F.array(F.lit("urgent_share"))).otherwise(none).alias("warnings"),
+    ).withColumns({"statistical_reasons": none, "provenance_reasons": none})
+    found = decisions.dossier(bases, _audits(spark, sf_dir))
+    return found.select("subject", "failed_layer", "certification", "operational", F.array_join("provenance_reasons", ",").alias("provenance_reasons"), F.array_join("warnings", ",").alias("warnings"), F.array_join("trace", "|").alias("trace"))
