@@ -116,13 +116,16 @@ def row_of(ptr: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word spans, row pointers and a 64-bit hash of each word; temporaries stay at a few blocks however long a text is."""
+def word_hashes(buf: np.ndarray, off: np.ndarray, lower: bool = False, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word spans, row pointers and a 64-bit hash of each word; temporaries stay at a few blocks however long a text is.
+
+    Hashes of another seed are independent.
+    """
     if len(buf) <= 4 * BLOCK:
         if lower:
             buf = LOWER[buf]
         s, e, ptr = word_spans(buf, off)
-        return s, e, ptr, span_hash(byte_prefix(buf), s, e)
+        return s, e, ptr, span_hash(byte_prefix(buf, seed), s, e)
     parts = []
     at = 0
     while at < len(buf):
@@ -131,13 +134,13 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[
             last = np.flatnonzero(SPACE[buf[at : at + BLOCK]])
             begin = max(at + (int(last[-1]) + 1 if len(last) else 0), int(off[np.searchsorted(off, at + BLOCK, side="right") - 1]))
             if begin == at:
-                parts.append((np.array([at]), np.array([to]), np.array([_long_hash(buf[at:to], lower)], U64)))
+                parts.append((np.array([at]), np.array([to]), np.array([_long_hash(buf[at:to], lower, seed)], U64)))
                 at = to
                 continue
             to = begin
         piece = LOWER[buf[at:to]] if lower else buf[at:to]
         s, e, _ = word_spans(piece, np.unique(np.clip(off - at, 0, to - at)))
-        parts.append((s + at, e + at, span_hash(byte_prefix(piece), s, e)))
+        parts.append((s + at, e + at, span_hash(byte_prefix(piece, seed), s, e)))
         at = to
     s, e, h = (np.concatenate(x) for x in zip(*parts, strict=True))
     return s, e, np.searchsorted(s, off), h
@@ -153,12 +156,12 @@ def _word_end(buf: np.ndarray, off: np.ndarray, at: int) -> int:
     return stop
 
 
-def _long_hash(word: np.ndarray, lower: bool) -> int:
+def _long_hash(word: np.ndarray, lower: bool, seed: int) -> int:
     """What span_hash gives for one word, summed block by block."""
     p, total = powers(BLOCK)[0], 0
     for at in range(0, len(word), BLOCK):
         piece = word[at : at + BLOCK]
-        symbols = _symbol_table()[LOWER[piece] if lower else piece]
+        symbols = _symbol_table(seed)[LOWER[piece] if lower else piece]
         total += int(np.sum(symbols * p[: len(piece)], dtype=U64)) * pow(BASE, at, 1 << 64)
     return int(mix(np.array([(total + len(word)) % (1 << 64)], U64))[0])
 
@@ -204,6 +207,15 @@ def anchors(hashes: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(hashes <= highest[: len(hashes)])
 
 
+def distinct_lists(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """List offsets, distinct values of each row, and how often each occurs there; periodic texts repeat few values often."""
+    order = np.lexsort((values, row))
+    values, row = values[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (row[1:] != row[:-1])])[: len(values)])
+    times = np.diff(np.append(first, len(values)))
+    return pa.array(np.searchsorted(row[first], np.arange(rows + 1)), pa.int32()), pa.array(values[first].view(np.int64)), times
+
+
 def intervals_mask(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of n elements lie in one of the half-open intervals."""
     edge = np.bincount(start, minlength=n + 1).astype(np.int64) - np.bincount(end, minlength=n + 1)

@@ -59,10 +59,11 @@ def _matches(docs: DataFrame, tokens: Callable[[DataFrame], DataFrame], sizes: l
     """Positions in the documents of every benchmark shingle, and a mark of every document: the one pass over the texts."""
     held = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
     mark = F.array(F.concat(F.lit(" "), F.pmod(F.xxhash64("id", "th"), F.lit(MARKS)).cast("string")))
-    parts = [held.select("id", "th", F.size("words").alias("n"), F.posexplode(F.concat(_tiles(F.col("words"), k), mark) if k == sizes[0] else _tiles(F.col("words"), k)).alias("pos", "shingle")) for k in sizes]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    if len(sizes) == 1:
+        rows = held.select("id", "th", F.size("words").alias("n"), F.posexplode(F.concat(_tiles(F.col("words"), sizes[0]), mark)).alias("pos", "shingle"))
+    else:  # the shingles of all sizes, from one array of words
+        placed = lambda tiles: F.transform(tiles, lambda x, i: F.struct(i.alias("pos"), x.alias("shingle")))
+        rows = held.select("id", "th", F.size("words").alias("n"), F.explode(F.concat(*[placed(_tiles(F.col("words"), k)) for k in sizes], placed(mark))).alias("s")).select("id", "th", "n", "s.*")
     marks = docs.sparkSession.range(MARKS).select(F.concat(F.lit(" "), F.col("id").cast("string")).alias("shingle"))
     return rows.join(tokens(marks), "shingle", "left_semi")
 

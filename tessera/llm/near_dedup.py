@@ -15,8 +15,8 @@ these, compressed, for the exact test. A block gives back a spanning forest of i
 between two components of a bucket has an end outside the largest one, so no link between components is lost.
 
 Defined cases: null and empty texts and texts without words have an empty set, are linked with nothing and stay; rows
-without doc_id are linked with nothing, stay, and have no component_id; rows of one doc_id are one node; repeated rows
-get equal results; extra columns are ignored; an empty table gives no rows.
+without doc_id are linked with nothing, stay, and have no component_id; rows of one doc_id are linked with one another,
+whatever their texts; repeated rows get equal results; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from tessera.llm.staging import staged
 SHINGLE, HASHES, ROWS, BATCH = 5, 128, 4, 16
 PERCENT, MISS = 75, 1e-6
 SIDE, PAIRS = 512, 1 << 15
-PROFILE = "doc_id long, n_shingles long, set_id binary, signature binary"
+PROFILE = "doc_id long, th long, n_shingles long, set_id binary, signature binary"
 
 
 @lru_cache(maxsize=1)
@@ -80,6 +81,12 @@ def signatures(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_hashes(buf: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A 64-bit hash of each text, which tells the texts of one doc_id apart."""
+    text = buf.tobytes()
+    return pa.array(np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.uint64).view(np.int64))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, buf, off in at.blocks(batches):
         hashes, ptr = shingle_sets(buf, off)
@@ -89,10 +96,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.stack([t[ptr[1:]] - t[ptr[:-1]] for t in totals] + [n.astype(at.U64)], axis=1)
         some = n > 0
         yield pa.RecordBatch.from_arrays([
-            rows.column(0), pa.array(n, pa.int64()),
+            rows.column(0), text_hashes(buf, off), pa.array(n, pa.int64()),
             pa.array([s.tobytes() if k else None for s, k in zip(sums, some, strict=True)], pa.binary()),
             pa.array([m.tobytes() if k else None for m, k in zip(marks, some, strict=True)], pa.binary()),
-        ], names=["doc_id", "n_shingles", "set_id", "signature"])
+        ], names=["doc_id", "th", "n_shingles", "set_id", "signature"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +266,10 @@ def _reach(texts: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> np
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compresses the second column, so that texts cross the network small."""
     press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = pa.array([press.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "packed"])
+    for rows, buf, off in at.blocks(batches):
+        data = memoryview(buf)
+        texts = pa.array([press.compress(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([rows.column(0), text_hashes(buf, off), texts], names=["doc_id", "th", "packed"])
 
 
 def _exact(percent: int):
@@ -294,10 +302,14 @@ def _exact(percent: int):
     return run
 
 
-def candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and compressed text of the wanted nodes; both sides are shuffled, since their number grows with the data."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "doc_id long, packed binary")
-    return staged(texts.join(nodes.hint("merge"), F.col("doc_id") == F.col("node")).groupBy("node").agg(F.first("packed").alias("packed")), "texts")
+def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and compressed text of the wanted classes (node, least, th: id and text hash of a row that has the class's
+    set; a table of nodes alone names ids that have one text). Both sides are shuffled, since their number grows with the data."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "doc_id long, th long, packed binary")
+    one = "least" not in wanted.columns
+    wanted = wanted.select("node", F.col("node" if one else "least").alias("w_id"), *([] if one else [F.col("th").alias("w_th")]))
+    met = texts.join(wanted.hint("merge"), (F.col("doc_id") == F.col("w_id")) & (F.lit(True) if one else F.col("th") == F.col("w_th")))
+    return staged(met.groupBy("node").agg(F.first("packed").alias("packed")), "texts")
 
 
 def linked(texts: DataFrame, classes: DataFrame, percent: int, miss: float, pairs: DataFrame) -> DataFrame:
@@ -342,16 +354,27 @@ def bucket_links(members: DataFrame, comps: DataFrame, classes: DataFrame, texts
     return staged(with_text.mapInArrow(_forest(percent, miss), "a long, b long").distinct(), "links")
 
 
+def _same_ids(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that rows of one doc_id belong to."""
+    several = usable.groupBy("doc_id").agg(F.min("set_id").alias("one"), F.max("set_id").alias("other")).filter("one != other").select("doc_id", "one")
+    pairs = usable.select("doc_id", "set_id").join(several, "doc_id").filter("set_id != one").select("one", "set_id").distinct()
+    number = classes.select(F.col("set_id").alias("c_set"), "node")
+    pairs = pairs.join(number.withColumnRenamed("node", "b"), F.col("set_id") == F.col("c_set")).select("one", "b")
+    return pairs.join(number.withColumnRenamed("node", "a"), F.col("one") == F.col("c_set")).select("a", "b")
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     profiles = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_profile, PROFILE), "profiles")
     usable = profiles.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = staged(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
+    # a class's node is a number of its own: rows of one doc_id may have several sets
+    classes = usable.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "set_id", F.col("least.doc_id").alias("least"), F.col("least.th").alias("th"), "signature", "n_shingles"), "classes")
 
     bands = classes.select("node", "signature").mapInArrow(_bands, "node long, band long, band_no int")
     full = bands.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
     members = staged(bands.join(full, "band").select("band", "band_no", "node", "least"), "members")
-    texts = candidate_texts(docs, members.select("node").distinct())
+    texts = candidate_texts(docs, classes.join(members.select("node").distinct(), "node", "left_semi"))
     first = members.groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")).filter("a < b")
     edges = linked(texts, classes, percent, miss, first)
     comps = staged(components(edges), "components")
@@ -361,8 +384,11 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> D
     comps = staged(components(edges), "components")
     edges = edges.unionByName(bucket_links(members, comps, classes, texts, percent, miss))
 
-    final = components(edges)
-    by_set = classes.select(F.col("set_id").alias("c_set"), "node").join(final.select(F.col("node").alias("f_node"), "comp"), F.col("node") == F.col("f_node"), "left").select("c_set", F.coalesce("comp", "node").alias("comp"))
+    final = components(edges.unionByName(_same_ids(usable, classes)))
+    named = classes.select(F.col("set_id").alias("c_set"), "node", "least").join(final.select(F.col("node").alias("f_node"), F.col("comp").alias("f_comp")), F.col("node") == F.col("f_node"), "left")
+    named = staged(named.select("c_set", "least", F.coalesce("f_comp", "node").alias("of")), "named")
+    least = named.groupBy(F.col("of").alias("l_of")).agg(F.min("least").alias("comp"))
+    by_set = named.join(least, F.col("of") == F.col("l_of")).select("c_set", "comp")
     rows = profiles.select("doc_id", "n_shingles", "set_id").join(by_set, F.col("set_id") == F.col("c_set"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

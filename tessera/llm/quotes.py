@@ -3,7 +3,7 @@
 A message's lines carry nested quote levels (leading `>` marks). Lines of one level with no blank line between form a
 passage. Quoted passages are normalised (case, white space), hashed and joined to the message of the same conversation
 that first said it, at an earlier turn. A message says its paragraphs, its whole body and, for partial quotes, its single
-lines and sentences of at least PIECE_WORDS words; a quote that is not linked as a whole is linked by such pieces of its
+lines and sentences of at least PIECE_WORDS words (or PIECE_LETTERS letters of a script without spaces); a quote that is not linked as a whole is linked by such pieces of its
 own. A message replies to the latest message that its level-one quotes come from, or, failing that, its deeper ones; in
 each case whole quotes go before pieces. Following replies upwards gives each message its thread and depth, by pointer
 jumping over (conversation, turn) pairs, so that no conversation is ever gathered in one place. Conversations come out in
@@ -32,6 +32,8 @@ QUOTED = regex.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", regex.DOTALL)
 COLONS = (":", "\uff1a")
 SENTENCE_END = regex.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*")
 PIECE_WORDS = 4
+#: Scripts that put no spaces between words; so many of their letters count as PIECE_WORDS words.
+UNSPACED, PIECE_LETTERS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"), 6
 PARSED = "conv_id long, turn long, role string, body string, n_quotes long, said array<binary>, quoted array<struct<level:int,quote:binary,whole:boolean,passage:binary>>"
 
 
@@ -68,7 +70,7 @@ def pieces(passage: str) -> set[str]:
     """Lines of a passage, and sentences of its lines, each alone and all together, that are long enough to be told apart."""
     lines = passage.split("\n")
     found = {*lines, *(x for line in (*lines, " ".join(lines)) for x in SENTENCE_END.split(line))}
-    return {x for x in found if len(x.split()) >= PIECE_WORDS}
+    return {x for x in found if len(x.split()) >= PIECE_WORDS or len(UNSPACED.findall(x)) >= PIECE_LETTERS}
 
 
 def normal_hash(passage: str) -> bytes:

@@ -9,7 +9,7 @@ no level misses one. From the wanted length on, each level tells for every windo
 longer windows are asked for, doubling goes on in the same way.
 
 Documents with the same words are folded before that: all but the least doc_id lose every word that a window covers.
-Windows are counted in shards of bounded size. Of the holders of one window in a block of texts only the least and the
+Windows are counted in shards of bounded size; they are equal if 128 bits of hash agree. Of the holders of one window in a block of texts only the least and the
 greatest go there; for those between, a lesser one is known already, and their verdict goes straight to their document.
 
 Defined cases: null and empty texts have no words; rows without doc_id lose nothing and give no reason to remove; rows
@@ -33,6 +33,7 @@ from tessera.llm.staging import shuffle_width, staged
 
 WORDS, SHORTEST = 50, 13
 WINDOWS_PER_SHARD = 1_500_000
+ENTRY = [("hash", "u8"), ("again", "u8"), ("doc", "i8"), ("th", "i8"), ("pos", "u4")]
 SURVEY = "doc_id long, th long, n_words long, whole_sha binary, anchors array<long>"
 
 
@@ -51,7 +52,7 @@ def _survey(half: int, length: int):
             owner = row[starts[chosen]]
             text = buf.tobytes()
             shas = [_digest(text[a:b].split()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(off))), pa.int32()), pa.array(hashes[chosen].view(np.int64)))
+            lists = pa.ListArray.from_arrays(*at.distinct_lists(hashes[chosen], owner, len(off) - 1)[:2])
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(ptr), pa.int64()), pa.array(shas, pa.binary()), lists], names=["doc_id", "th", "n_words", "whole_sha", "anchors"])
 
     return run
@@ -120,7 +121,7 @@ def _extended(shorter: int, length: int, longer: int):
             chosen = at.anchors(hashes, row[starts], longer - length + 1)
             chosen = chosen[_sampled(prefix, starts[chosen], shorter, length, row, values, owner)]
             where = row[starts[chosen]]
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.arange(len(off))), pa.int32()), pa.array(hashes[chosen].view(np.int64)))
+            lists = pa.ListArray.from_arrays(*at.distinct_lists(hashes[chosen], where, len(off) - 1)[:2])
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists], names=["doc_id", "th", "anchors"])
 
     return run
@@ -144,17 +145,18 @@ def _windows(half: int, length: int, shards: int, sampled: bool):
             if not len(starts):
                 continue
             hashes = at.span_hash(prefix, starts, starts + length)
+            again = at.span_hash(at.prefix_hash(at.word_hashes(buf, off, seed=11)[3]), starts, starts + length)  # windows are equal if 128 bits agree
             ids, ths = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
-            frame = np.empty(len(starts), dtype=[("hash", "u8"), ("doc", "i8"), ("th", "i8"), ("pos", "u4")])
-            frame["hash"], frame["doc"], frame["th"], frame["pos"] = hashes, ids[row[starts]], ths[row[starts]], starts - ptr[row[starts]]
-            frame = frame[np.lexsort((frame["doc"], frame["hash"]))]
-            first = np.concatenate([[True], frame["hash"][1:] != frame["hash"][:-1]])
+            frame = np.empty(len(starts), dtype=ENTRY)
+            frame["hash"], frame["again"], frame["doc"], frame["th"], frame["pos"] = hashes, again, ids[row[starts]], ths[row[starts]], starts - ptr[row[starts]]
+            frame = frame[np.lexsort((frame["doc"], frame["again"], frame["hash"]))]
+            first = _heads(frame["hash"], frame["again"])
             last = np.append(first[1:], True)
             # least and greatest holder go on; for all between, a lesser one is known already
             sent = last | (frame["doc"] == frame["doc"][np.flatnonzero(first)][np.cumsum(first) - 1])
             parts = [(False, *x) for x in _dealt(frame[sent], frame["hash"][sent], shards)]
             known = frame[~sent]
-            known["hash"] = 1
+            known["hash"], known["again"] = 1, 0
             parts += [(True, *x) for x in _dealt(known, _home(known), shards)]
             yield pa.RecordBatch.from_arrays([pa.array([p[1] for p in parts], pa.int32()), pa.array([p[0] for p in parts]), pa.array([p[2] for p in parts], pa.binary())], names=["shard", "settled", "entries"])
 
@@ -175,42 +177,47 @@ def _dealt(entries: np.ndarray, key: np.ndarray, shards: int) -> list[tuple[int,
 
 
 def encode(entries: np.ndarray) -> bytes:
-    """Documents of the entries once, then hash, document number and position column by column."""
+    """Documents of the entries once, then both hashes, document number and position column by column."""
     keys, number = np.unique(entries[["doc", "th"]], return_inverse=True)
     head = np.array([len(entries), len(keys)], np.int64)
-    return b"".join(x.tobytes() for x in (head, keys["doc"].astype(np.int64), keys["th"].astype(np.int64), entries["hash"], number.astype(np.uint16 if len(keys) < 65536 else np.uint32), entries["pos"]))
+    return b"".join(x.tobytes() for x in (head, keys["doc"].astype(np.int64), keys["th"].astype(np.int64), entries["hash"], entries["again"], number.astype(np.uint16 if len(keys) < 65536 else np.uint32), entries["pos"]))
 
 
-def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def decode(data: bytes) -> tuple[np.ndarray, ...]:
+    """Both hashes, doc_id, text hash and position of each entry."""
     n, m = np.frombuffer(data, np.int64, 2)
     at_ = 16
     out = []
-    for kind, count in (("i8", m), ("i8", m), ("u8", n), ("u2" if m < 65536 else "u4", n), ("u4", n)):
+    for kind, count in (("i8", m), ("i8", m), ("u8", n), ("u8", n), ("u2" if m < 65536 else "u4", n), ("u4", n)):
         out.append(np.frombuffer(data, kind, count, at_))
         at_ += out[-1].nbytes
-    return out[2], out[0][out[3]], out[1][out[3]], out[4]
+    return out[2], out[3], out[0][out[4]], out[1][out[4]], out[5]
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new run of equal values begins."""
+    return np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
 
 
 def _settle(shards: int):
     """Windows that other documents hold as well, with a flag for those a lesser doc_id holds, sent back by document."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kind = [("hash", "u8"), ("doc", "i8"), ("th", "i8"), ("pos", "u4")]
         done, backs = rows["settled"].to_numpy(), []
         for settled in (True, False):
             data = [decode(zstandard.decompress(e)) for e in rows["entries"][done == settled]]
             if not data:
                 continue
-            hashes, doc, th, pos = (np.concatenate(x) for x in zip(*data, strict=True))
+            hashes, again, doc, th, pos = (np.concatenate(x) for x in zip(*data, strict=True))
             if not settled:
-                order = np.argsort(hashes, kind="stable")
-                hashes, doc, th, pos = hashes[order], doc[order], th[order], pos[order]
-                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+                order = np.lexsort((again, hashes))
+                hashes, again, doc, th, pos = (x[order] for x in (hashes, again, doc, th, pos))
+                first = np.flatnonzero(_heads(hashes, again))
                 size = np.diff(np.append(first, len(hashes)))
                 least, most = np.repeat(np.minimum.reduceat(doc, first), size), np.repeat(np.maximum.reduceat(doc, first), size)
                 shared = np.flatnonzero(least < most)
                 hashes, doc, th, pos = (doc > least)[shared], doc[shared], th[shared], pos[shared]
-            back = np.empty(len(doc), dtype=kind)
+            back = np.zeros(len(doc), dtype=ENTRY)
             back["hash"], back["doc"], back["th"], back["pos"] = hashes, doc, th, pos
             backs.append(back)
         back = np.concatenate(backs)
@@ -222,7 +229,7 @@ def _settle(shards: int):
 
 def _gather(rows: pd.DataFrame) -> pd.DataFrame:
     """Per document, the starts of windows that other documents hold, and of those that a lesser doc_id holds."""
-    later, doc, th, pos = (np.concatenate(x) for x in zip(*(decode(zstandard.decompress(e)) for e in rows["entries"]), strict=True))
+    later, _, doc, th, pos = (np.concatenate(x) for x in zip(*(decode(zstandard.decompress(e)) for e in rows["entries"]), strict=True))
     order = np.lexsort((pos, th, doc))
     doc, th, pos, later = doc[order], th[order], pos[order].astype(np.int32), later[order].astype(bool)
     cut = np.flatnonzero((doc[1:] != doc[:-1]) | (th[1:] != th[:-1])) + 1
@@ -297,7 +304,7 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, longest: int | None = N
 
 def repeated(sample: DataFrame) -> DataFrame:
     """doc_id, th and the marks: the row's sampled windows (anchors) that another document's sample holds as well."""
-    each = sample.select("doc_id", "th", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    each = sample.select("doc_id", "th", F.explode("anchors").alias("anchor"))
     twice = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     twice = staged(twice, "twice")  # a table of its own: a hot window is then split by the join
     return each.join(twice, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("marks"))

@@ -35,7 +35,7 @@ from tessera.llm.staging import shuffle_width, staged
 LENGTH, GRAM, HOT = 200, 32, 4096
 SHARD_BYTES = 3_000_000
 SORT_BYTES = 1_000_000
-SURVEY = "doc_id long, n_bytes long, sha binary, marks array<long>"
+SURVEY = "doc_id long, n_bytes long, sha binary, marks array<struct<mark: long, n: long>>"
 
 
 # --- difference cover -------------------------------------------------------------------------------------------------
@@ -138,7 +138,8 @@ def _survey(length: int):
             chosen = at.anchors(grams, owner, length - GRAM + 1)
             text = buf.tobytes()
             shas = [hashlib.sha256(text[a:b]).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[chosen], np.arange(len(off))), pa.int32()), pa.array(grams[chosen].view(np.int64)))
+            bounds, marks, times = at.distinct_lists(grams[chosen], owner[chosen], len(off) - 1)
+            lists = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([marks, pa.array(times.astype(np.int64))], ["mark", "n"]))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(off), pa.int64()), pa.array(shas, pa.binary()), lists], names=["doc_id", "n_bytes", "sha", "marks"])
 
     return run
@@ -352,10 +353,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     survey = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_survey(length), SURVEY), "survey")
     texts = staged(survey.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("marks").alias("marks")), "distinct")
-    marks = texts.select("sha", F.explode("marks").alias("mark"))
-    counts = marks.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
+    marks = texts.select("sha", F.explode("marks").alias("m")).select("sha", "m.mark", "m.n")
+    counts = marks.groupBy("mark").agg(F.sum("n").alias("n")).filter("n > 1")
     counts = staged(counts, "counts")  # a table of its own: a hot mark is then split by the join
-    likely = marks.join(counts, "mark").groupBy("sha").agg(F.collect_set("mark").alias("marks"), F.collect_set(F.when(F.col("n") > HOT, F.col("mark"))).alias("hot"))
+    likely = marks.drop("n").join(counts, "mark").groupBy("sha").agg(F.collect_set("mark").alias("marks"), F.collect_set(F.when(F.col("n") > HOT, F.col("mark"))).alias("hot"))
     packs = docs.select("text").mapInArrow(_distinct_packed, "sha binary, packed binary")
     held = packs.join(likely.withColumnRenamed("sha", "l_sha"), F.col("sha") == F.col("l_sha")).select("sha", "packed", "marks", "hot").dropDuplicates(["sha"])
     held = staged(held, "candidates")

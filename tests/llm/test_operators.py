@@ -603,3 +603,63 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (103, 102)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
+
+
+def test_near_rows_of_one_id_with_several_texts_keep_all_links(spark):
+    rng = random.Random(3)
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+
+    def near(words):
+        out = list(words)
+        out[rng.randrange(20, 40)] = "other"
+        return " ".join(out)
+
+    for one in (" ".join(a), " ".join(b)), (" ".join(b), " ".join(a)):
+        rows = [(1, one[0]), (1, one[1]), (2, near(a)), (3, near(b)), (4, "alone " * 3), (5, None), (1, None)]
+        got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    rows = [(7, " ".join(a)), (9, " ".join(a)), (9, " ".join(b)), (8, near(b)), (3, near(b))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {7: 3, 9: 3, 8: 3, 3: 3}
+
+
+def test_partial_quotes_of_scripts_without_spaces(spark):
+    said = "今天的天气非常好。我们应该去公园散步吗？也许明天更好。"
+    rows = [(1, 0, "user", said), (1, 1, "assistant", "> 我们应该去公园散步吗？\n\n好的，走吧。"), (1, 2, "user", "> 好的\n\n可以"), (2, 0, "user", "ไปตลาดกันไหม\nวันนี้อากาศดีมากเลย"), (2, 1, "assistant", "> วันนี้อากาศดีมากเลย\nจริงด้วย")]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_linked) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 1] == (0, 1) and got[2, 1] == (0, 1) and got[1, 2] == (None, 0)  # two letters are no piece
+
+
+def test_benchmark_items_of_all_sizes_from_one_split(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    items = [(f"i{n}", " ".join(rng.choices(words, k=n))) for n in (1, 2, 3, 4, 5, 9, 13, 20)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12)) + (items[i % 8][1].split() if i % 3 else []) + rng.choices(words, k=5))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id string, text string"))
+    expected = {}
+    for i, text in docs:
+        w, hit, held = text.split(), set(), set()
+        for name, item in items:
+            parts = item.split()
+            m = min(13, len(parts))
+            for o in range(len(parts) - m + 1):
+                for p in range(len(w) - m + 1):
+                    if w[p : p + m] == parts[o : o + m]:
+                        hit |= set(range(p, p + m))
+                        held.add(name)
+        expected[i] = (len(hit), sorted(held))
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got.collect()} == expected
+    passed = decontaminate._matches(df, lambda m: m, [1, 2, 5])
+    assert passed._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
+
+
+def test_periodic_texts_send_each_mark_once():
+    import pyarrow as pa
+
+    text = "a" * 50_000
+    batch = lambda **c: iter([pa.RecordBatch.from_pydict(c)])
+    out = next(suffix_dedup._survey(200)(batch(doc_id=[1], text=[text])))
+    assert out.column(3)[0].as_py() == [{"mark": out.column(3)[0].as_py()[0]["mark"], "n": 50_000 - suffix_dedup.GRAM + 1}]
+    out = next(substring_dedup._survey(13, 25)(batch(doc_id=[1], th=[2], text=["a " * 9000])))
+    assert len(out.column(4)[0]) == 1
