@@ -21,7 +21,8 @@ def _jackknife(cells: DataFrame, by: str) -> DataFrame:
     """Per group: delete-one variance along `by`, from totals minus own part."""
     whole = Window.partitionBy("grp")
     m = _margin(cells, by).select("grp", "num", "w", F.sum("num").over(whole).alias("sn"), F.sum("w").over(whole).alias("sw"), F.count("*").over(whole).alias("n"))
-    left = (F.col("sn") - F.col("num")) / (F.col("sw") - F.col("w")) - F.col("sn") / F.col("sw")
+    # without a second line nothing is left, and no variance can be told
+    left = F.when(F.col("n") > 1, F.try_divide(F.col("sn") - F.col("num"), F.col("sw") - F.col("w")) - F.col("sn") / F.col("sw"))
     return m.groupBy("grp").agg((F.sum(left * left) * (F.first("n") - 1) / F.first("n")).alias("v"), F.first("n").alias("n"))
 
 
@@ -29,7 +30,7 @@ def _clustered(cells: DataFrame, *by: str) -> DataFrame:
     whole = Window.partitionBy("grp")
     m = cells.groupBy("grp", *by).agg(F.sum("num").alias("num"), F.sum("w").alias("w")).select("grp", "num", "w", F.sum("num").over(whole).alias("sn"), F.sum("w").over(whole).alias("sw"), F.count("*").over(whole).alias("n"))
     gap = F.col("num") - F.col("w") * F.col("sn") / F.col("sw")
-    return m.groupBy("grp").agg((F.sum(gap * gap) / F.pow(F.first("sw"), F.lit(2)) * F.first("n") / (F.first("n") - 1)).alias("v"), F.first("n").alias("n"))
+    return m.groupBy("grp").agg((F.sum(gap * gap) / F.pow(F.first("sw"), F.lit(2)) * F.first("n") * F.try_divide(F.lit(1.0), F.first("n") - 1)).alias("v"), F.first("n").alias("n"))
 
 
 def jackknife_bounds(cells: DataFrame, alpha: float = 0.05, rule: str = "sum") -> DataFrame:
@@ -74,7 +75,7 @@ def crossed_bounds(cells: DataFrame, alpha: float = 0.05) -> DataFrame:
 def _bounded(rows: DataFrame, alpha: float) -> DataFrame:
     dfs = sorted(r[0] for r in rows.select("df").distinct().collect())  # a few distinct numbers
     quantile = F.coalesce(*[F.when(F.col("df") == n, F.lit(t_quantile(1 - alpha, n))) for n in dfs if n > 0], F.lit(None).cast("double"))
-    told = lambda c: F.when((F.col("mean") > MINUS_INFINITY) & ~F.isnan(c), F.col(c))
+    told = lambda c: F.when((F.col("mean") > MINUS_INFINITY) & (F.col("df") >= 1) & ~F.isnan(c), F.col(c))
     lower = F.col("mean") - quantile * F.sqrt(told("variance"))
     status = F.when((F.col("df") < 1) | lower.isNull() | F.isnan(lower), "unavailable").when(lower > 0, "robust_positive").otherwise("not_positive")
     return rows.select("grp", "mean", told("v_refit").alias("v_refit"), told("v_block").alias("v_block"), told("variance").alias("variance"), F.col("df").cast("long").alias("df"), lower.alias("lower"), status.alias("status"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.algebra import counter_draw, interval_status
+from tessera.functions.algebra import counter_draw, interval_status, weighted_mean
 
 
 def block_table(rows: DataFrame, group: str, block: str, gain: str, weight: str) -> DataFrame:
@@ -176,13 +176,17 @@ def definition_sensitivity(rows: DataFrame, group: str, gain: str, weight: str,
 
 
 def weight_sensitivity(rows: DataFrame, group: str, block: str, gain: str, weights: dict[str, object]) -> DataFrame:
-    """Per weighting and group: the mean gain; and whether its sign is the same under all weightings."""
+    """Per weighting and group: the mean gain; and whether its sign is the same under all weightings.
+
+    Rows to which a weighting gives no weight are left out of it. A gain of minus infinity gives that mean. A weighting
+    that leaves a group no rows has a null mean there, and the group is not stable.
+    """
     out = None
     for name, column in weights.items():
-        w = rows.withColumn("__w", column).groupBy(F.col(group).alias("grp"), F.col(block).alias("block")).agg(F.sum(F.col("__w") * F.col(gain)).alias("num"), F.sum("__w").alias("w"))
-        one = w.groupBy("grp").agg((F.sum("num") / F.sum("w")).alias("mean")).select(F.lit(name).alias("weighting"), "grp", "mean")
+        one = rows.withColumn("__w", column).groupBy(F.col(group).alias("grp")).agg(weighted_mean(F.col(gain), F.col("__w")).alias("mean")).select(F.lit(name).alias("weighting"), "grp", "mean")
         out = one if out is None else out.unionByName(one)
-    agree = out.groupBy("grp").agg((F.countDistinct(F.col("mean") > 0) == 1).alias("stable"))
+    told = F.count(F.when(~F.isnan("mean"), F.col("mean"))) == F.count("*")
+    agree = out.groupBy("grp").agg((told & (F.countDistinct(F.col("mean") > 0) == 1)).alias("stable"))
     return out.join(agree, "grp")
 
 

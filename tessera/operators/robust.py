@@ -2,6 +2,10 @@
 
 The optimum of a ratio of weighted sums is a threshold rule, so that extremes are found exactly by running sums in the
 order of gain, over one row per distinct gain.
+
+Rows without weight are ignored. A group with a gain that is not finite has no extremes and no radius: NaN exceeds every
+number in comparisons, so it must never get that far. Its mean is minus infinity, its bounds are null, its status is
+unavailable, and as member of a family it makes the whole unavailable.
 """
 
 from __future__ import annotations
@@ -12,8 +16,17 @@ from pyspark.sql import functions as F
 from tessera.operators.resample import counter_draw
 
 
+FINITE = "abs(gain) < double('inf')"  # false for NaN too, which counts as greater
+
+
+def endless_groups(rows: DataFrame) -> DataFrame:
+    """grp of the groups with a gain that is not finite on a row of positive weight."""
+    return rows.filter(f"w > 0 and not coalesce({FINITE}, false)").select("grp").distinct()
+
+
 def _prefixes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct gains with running and total sums per key."""
+    """Distinct gains with running and total sums per key, of groups whose gains are all finite."""
+    rows = rows.filter("w > 0").join(F.broadcast(endless_groups(rows)), "grp", "left_anti")
     cells = rows.groupBy(*keys, "gain").agg(F.sum("w").alias("w")).filter("w > 0")
     order = Window.partitionBy(*keys).orderBy("gain").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
@@ -21,10 +34,15 @@ def _prefixes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return cells.select(*keys, "gain", F.sum(x).over(order).alias("pn"), F.sum("w").over(order).alias("pw"), F.sum(x).over(whole).alias("sn"), F.sum("w").over(whole).alias("sw"))
 
 
-def extremes(rows: DataFrame, gamma: float, keys: list[str] | None = None) -> DataFrame:
+def _with_endless(found: DataFrame, rows: DataFrame, **values: object) -> DataFrame:
+    """found with a row for each group that has none for want of finite gains; values: what its columns say, null where not given."""
+    out = endless_groups(rows).select(*[F.col("grp") if c == "grp" else F.lit(values.get(c)).cast(found.schema[c].dataType).alias(c) for c in found.columns])
+    return found.unionByName(out)
+
+
+def extremes(rows: DataFrame, gamma: float) -> DataFrame:
     """grp, gain, w -> per group: mean, least and greatest mean with weights multiplied by factors in [1/gamma, gamma]."""
-    keys = keys or ["grp"]
-    return _extremes(_prefixes(rows, keys), gamma, keys)
+    return _with_endless(_extremes(_prefixes(rows, ["grp"]), gamma, ["grp"]), rows, mean=float("-inf"))
 
 
 def _extremes(p: DataFrame, gamma: float, keys: list[str]) -> DataFrame:
@@ -34,16 +52,22 @@ def _extremes(p: DataFrame, gamma: float, keys: list[str]) -> DataFrame:
 
 
 def critical_gamma(rows: DataFrame, limit: float = 100.0) -> DataFrame:
-    """Per group: the least gamma at which the worst mean gain is no longer positive; 1 if it isn't at once, null beyond the limit."""
+    """Per group: the least gamma at which the worst mean gain is no longer positive, and status.
+
+    finite; not_positive (1: it isn't at once); beyond_limit (null); unavailable (null).
+    """
     p = _prefixes(rows, ["grp"])
     # gamma^2 P + (S - P) = 0 for the prefix sum P of the lowest gains
     need = F.when((F.col("pn") < 0) & (F.col("sn") > 0), F.sqrt((F.col("sn") - F.col("pn")) / -F.col("pn")))
     out = p.groupBy("grp").agg(F.first("sn").alias("sn"), F.min(need).alias("gamma"))
-    return out.select("grp", F.when(F.col("sn") <= 0, 1.0).when(F.col("gamma") <= limit, F.col("gamma")).alias("critical_gamma"))
+    status = F.when(F.col("sn") <= 0, "not_positive").when(F.col("gamma") <= limit, "finite").otherwise("beyond_limit")
+    out = out.select("grp", F.when(F.col("sn") <= 0, 1.0).when(F.col("gamma") <= limit, F.col("gamma")).alias("critical_gamma"), status.alias("status"))
+    return _with_endless(out, rows, status="unavailable")
 
 
 def _drawn_prefixes(rows: DataFrame, draws: int, seed: int) -> DataFrame:
     """Running sums of each resample of blocks; they hold for every gamma."""
+    rows = rows.filter("w > 0").join(F.broadcast(endless_groups(rows)), "grp", "left_anti")
     blocks = rows.select("grp", "block").distinct().withColumns({"idx": F.row_number().over(Window.partitionBy("grp").orderBy("block")) - 1, "n_blocks": F.count("*").over(Window.partitionBy("grp"))})
     slots = blocks.select("grp", "n_blocks", F.col("idx").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     picks = slots.select("grp", "draw", counter_draw(F.col("n_blocks"), str(seed), F.col("grp"), F.col("draw"), F.col("slot")).alias("idx")).groupBy("grp", "draw", "idx").agg(F.count("*").alias("times"))
@@ -56,8 +80,9 @@ def joint_extremes(rows: DataFrame, gamma: float, draws: int, seed: int, alpha:
     """Block resampling and reweighting together: per group, percentiles of the extreme means over draws.
 
     rows: grp, block, gain, w. Each draw takes blocks with their multiplicities; a block's rows come with its multiplicity.
+    Groups with gains that are not finite have no bounds and no draws.
     """
-    return _percentiles(_drawn_prefixes(rows, draws, seed), gamma, alpha)
+    return _with_endless(_percentiles(_drawn_prefixes(rows, draws, seed), gamma, alpha), rows, n_draws=0)
 
 
 def _percentiles(prefixes: DataFrame, gamma: float, alpha: float) -> DataFrame:
@@ -65,34 +90,61 @@ def _percentiles(prefixes: DataFrame, gamma: float, alpha: float) -> DataFrame:
     return d.groupBy("grp").agg(F.percentile("least", F.lit(alpha / 2)).alias("lower"), F.percentile("greatest", F.lit(1 - alpha / 2)).alias("upper"), F.count("*").alias("n_draws"))
 
 
-def robustness_radius(rows: DataFrame, draws: int, seed: int, alpha: float = 0.05, limit: float = 16.0, steps: int = 12) -> DataFrame:
-    """One row: the greatest gamma (by bisection, same draws throughout) at which every group's lower bound stays positive.
+def joint_status(bounds: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """grp, status of joint bounds: joint_robust_positive, joint_robust_nonpositive, uncertain, unavailable (no bounds)."""
+    unknown = F.col("lower").isNull() | F.col("upper").isNull() | F.isnan("lower") | F.isnan("upper")
+    status = F.when(unknown, "unavailable").when(F.col("lower") > tolerance, "joint_robust_positive").when(F.col("upper") <= tolerance, "joint_robust_nonpositive").otherwise("uncertain")
+    return bounds.select("grp", status.alias("status"))
 
-    limiting_groups: those whose lower bound is not positive at the least gamma known to fail (null within the limit).
-    """
-    prefixes = _drawn_prefixes(rows, draws, seed).cache()  # groups x draws x distinct gains, read once per bisection
-    spark = rows.sparkSession
 
-    def failing(gamma: float) -> list[str]:
-        return sorted(r[0] for r in _percentiles(prefixes, gamma, alpha).filter(~(F.col("lower") > 0)).select(F.col("grp").cast("string")).collect())  # groups
+def _family(statuses: list[str]) -> str:
+    if not statuses or "unavailable" in statuses:
+        return "unavailable"
+    if len(set(statuses)) == 1 and statuses[0] != "uncertain":
+        return {"joint_robust_positive": "joint_robust_generalizing", "joint_robust_nonpositive": "joint_robust_non_generalizing"}[statuses[0]]
+    return "uncertain" if "uncertain" in statuses else "mixed"
 
-    at_high = []
 
-    def holds(gamma: float) -> bool:
-        names = failing(gamma)
-        if names:
-            at_high[:] = names
-        return not names
+def robustness_radius(rows: DataFrame, draws: int, seed: int, alpha: float = 0.05, limit: float = 10.0, steps: int = 50, min_blocks: int = 8, tolerance: float = 0.0) -> DataFrame:
+    """One row: up to which gamma the family keeps the category that it has at gamma 1, positive or not, by bisection.
 
+    category: unavailable (a group without finite gains or with too few blocks), not_certified_at_baseline (neither all
+    positive nor all nonpositive), robust_through_search_upper (radius is the limit, a lower bound), finite_radius. target:
+    the category kept. radius and break_gamma bracket the change; limiting_groups: those in the way there. All steps use
+    the same draws.
+    """
+    live = rows.filter("w > 0")
+    prefixes = _drawn_prefixes(rows, draws, seed).cache()  # groups x draws x distinct gains, read once per bisection
+    few = {r[0] for r in live.groupBy(F.col("grp").cast("string").alias("grp")).agg(F.countDistinct("block").alias("n")).filter(F.col("n") < min_blocks).collect()}  # groups
+    endless = {r[0] for r in endless_groups(rows).select(F.col("grp").cast("string")).collect()}
+
+    def seen(gamma: float) -> dict[str, str]:
+        found = {r[0]: r[1] for r in joint_status(_percentiles(prefixes, gamma, alpha), tolerance).select(F.col("grp").cast("string"), "status").collect()}  # groups
+        return found | dict.fromkeys(few | endless, "unavailable")
+
+    def answer(category: str, target: str | None = None, radius: float | None = None, broken: float | None = None, groups: list[str] | None = None) -> DataFrame:
+        prefixes.unpersist()
+        row = (category, target, radius, broken, None if radius is None else radius * radius, ",".join(sorted(groups)) if groups else None)
+        return rows.sparkSession.createDataFrame([row], "category string, target string, radius double, break_gamma double, weight_ratio double, limiting_groups string")
+
+    base = seen(1.0)
+    target = _family(list(base.values()))
+    if target == "unavailable":
+        return answer("unavailable", groups=[g for g, s in base.items() if s == "unavailable"])
+    if target not in ("joint_robust_generalizing", "joint_robust_non_generalizing"):
+        return answer("not_certified_at_baseline", groups=[g for g, s in base.items() if s == "uncertain"] or sorted(base))
+    at_high = seen(limit)
+    if _family(list(at_high.values())) == target:
+        return answer("robust_through_search_upper", target, limit)
     low, high = 1.0, limit
-    if not holds(1.0):
-        out = (0.0, "not_robust")
-    elif holds(limit):
-        out = (limit, "beyond_limit")
-    else:
-        for _ in range(steps):
-            mid = (low * high) ** 0.5
-            low, high = (mid, high) if holds(mid) else (low, mid)
-        out = (low, "finite")
-    prefixes.unpersist()
-    return spark.createDataFrame([(*out, out[0] ** 2, ",".join(at_high) if at_high else None)], "radius double, category string, weight_ratio double, limiting_groups string")
+    for _ in range(steps):
+        mid = (low + high) / 2
+        if mid in (low, high):
+            break  # neighbouring numbers: nothing lies between
+        now = seen(mid)
+        if _family(list(now.values())) == target:
+            low = mid
+        else:
+            high, at_high = mid, now
+    wanted = set(base.values())
+    return answer("finite_radius", target, low, high, [g for g, s in at_high.items() if s not in wanted])

@@ -208,7 +208,7 @@ def reweight_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(robust.extremes(gain_rows(spark, sf_dir), 2.0))
 
 
-@query(f"WITH {PREFIX}, k AS (SELECT grp, any_value(sn) AS sn, min(CASE WHEN pn < 0 AND sn > 0 THEN sqrt((sn - pn) / -pn) END) AS gamma FROM pf GROUP BY grp) SELECT grp, round(CASE WHEN sn <= 0 THEN 1 WHEN gamma <= 100 THEN gamma END, 9) AS critical_gamma FROM k")
+@query(f"WITH {PREFIX}, k AS (SELECT grp, any_value(sn) AS sn, min(CASE WHEN pn < 0 AND sn > 0 THEN sqrt((sn - pn) / -pn) END) AS gamma FROM pf GROUP BY grp) SELECT grp, round(CASE WHEN sn <= 0 THEN 1 WHEN gamma <= 100 THEN gamma END, 9) AS critical_gamma, CASE WHEN sn <= 0 THEN 'not_positive' WHEN gamma <= 100 THEN 'finite' ELSE 'beyond_limit' END AS status FROM k")
 def critical_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(robust.critical_gamma(gain_rows(spark, sf_dir)))
 
@@ -228,6 +228,33 @@ def robustness_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(robust.robustness_radius(gain_rows(spark, sf_dir), JOINT_DRAWS, 9, steps=BISECTIONS))
 
 
+@query()
+def radius_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radius of a family that does not generalize: every gain less than the table's greatest."""
+    rows = gain_rows(spark, sf_dir)
+    top = rows.agg(F.max("gain").alias("top"))
+    return rounds(robust.robustness_radius(rows.crossJoin(F.broadcast(top)).withColumn("gain", F.col("gain") - F.col("top") - 0.01).drop("top"), JOINT_DRAWS, 9, steps=BISECTIONS))
+
+
+@query(f"WITH {inputs.SCORES} SELECT 'unavailable' AS category, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS DOUBLE) AS radius, CAST(NULL AS DOUBLE) AS break_gamma, CAST(NULL AS DOUBLE) AS weight_ratio, CAST(min(g) AS VARCHAR) AS limiting_groups FROM sc")
+def radius_unavailable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One block of the first group has a gain of minus infinity."""
+    return robust.robustness_radius(_endless(spark, sf_dir), JOINT_DRAWS, 9, steps=BISECTIONS)
+
+
+@query(f"""WITH {PREFIX}, ok AS (SELECT * FROM pf WHERE grp > (SELECT min(grp) FROM pf)), ex AS (SELECT grp, any_value(sn / sw) AS mean, min((2 * pn + 0.5 * (sn - pn)) / (2 * pw + 0.5 * (sw - pw))) AS least, max((0.5 * pn + 2 * (sn - pn)) / (0.5 * pw + 2 * (sw - pw))) AS greatest FROM ok GROUP BY grp)
+ SELECT grp, round(mean, 9) AS mean, round(least, 9) AS least, round(greatest, 9) AS greatest FROM ex UNION ALL SELECT min(grp), CAST('-inf' AS DOUBLE), NULL, NULL FROM pf""")
+def reweight_unavailable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds(robust.extremes(_endless(spark, sf_dir), 2.0))
+
+
+@query(f"WITH {inputs.REFITS}, one AS (SELECT * FROM rb WHERE grp > 1 OR refit = 0), rest AS (SELECT * FROM rb WHERE grp > 1), {_jackknife_sql('refit', 'vr').replace('FROM rb', 'FROM rest')}, {_jackknife_sql('block', 'vb').replace('FROM rb', 'FROM rest')} {_bounds_sql('(r.v + b.v)').replace('FROM rb', 'FROM rest')}"
+       " UNION ALL SELECT grp, round(sum(num) / sum(w), 9), NULL, NULL, NULL, CAST(0 AS BIGINT), NULL, 'unavailable' FROM one WHERE grp = 1 GROUP BY grp")
+def jackknife_one_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first group has one refit, the others five."""
+    return rounds(process.jackknife_bounds(refit_blocks(spark, sf_dir).filter("grp > 1 or refit = 0")))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     hour = F.hour("ts") + F.minute("ts") / 60.0

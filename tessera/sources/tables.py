@@ -18,9 +18,13 @@ def normal_name(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "", name.lower().lstrip("﻿"))
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV file with a header (a byte-order mark is dropped); all columns are strings."""
-    df = spark.read.option("header", True).option("multiLine", False).option("mode", "PERMISSIVE").csv(path)
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, line_breaks: bool = True) -> DataFrame:
+    """A CSV file with a header (a byte-order mark is dropped); all columns are strings.
+
+    Quoted fields may hold line breaks, and doubled quotes stand for one. A file is then read by one task; line_breaks=False reads large files
+    in parts, where every line is a row.
+    """
+    df = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     return exact_columns(df, columns) if columns else df
 
