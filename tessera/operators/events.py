@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a site up to which one task permutes it; draws at a time for larger ones.
+SITE_ROWS, BATCH = 1_000_000, 25
+
 
 def with_reason(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """rows with the first rule in order that rejects them, null if none does; a rule that is null rejects nothing."""
@@ -101,34 +106,61 @@ def rolling_thin(rows: DataFrame, key: str, ts: str, id_: str, seconds: float) -
     return sorted_.mapInArrow(keep, sorted_.select(key, id_, ts).schema)
 
 
-def permutation_null(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str, batch: int = 25) -> DataFrame:
+def permutation_counts(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str, site_rows: int = SITE_ROWS) -> DataFrame:
+    """draw, identity, state, n: how often they meet when identities are permuted within sites; draw -1 is as observed.
+
+    A draw orders a site's rows once by id and once by the MD5 of label, draw and id, and gives each row of the first
+    order the identity of equal rank in the second. A site's rows meet once: all draws are made where they are, and only
+    counts go on, so that rows are shuffled once however many draws are made. Sites of more than site_rows rows, which
+    one task should not hold, are ordered by Spark, some draws at a time.
+    """
+    sizes = cells.groupBy(F.col(site).alias("__of")).agg(F.count("*").alias("__n"))
+    known = cells.join(sizes, F.col(site).eqNullSafe(F.col("__of"))).select(site, F.col(identity).alias("identity"), F.col(state).alias("state"), "id", "__n")
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema}
+    schema = f"draw int, identity {kinds['identity']}, state {kinds['state']}, n long"
+
+    def permuted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", kind="stable")
+        who, names = pd.factorize(rows["identity"], use_na_sentinel=False)
+        what, states = pd.factorize(rows["state"], use_na_sentinel=False)
+        ids = [str(i).encode() for i in rows["id"]]
+        width, out = len(states), []
+        for draw in range(-1, draws):
+            mixed = who
+            if draw >= 0:
+                head = f"{label}|{draw}|".encode()
+                keys = np.frombuffer(b"".join([md5(head + i).digest() for i in ids]), ">u8").reshape(-1, 2)
+                mixed = who[np.lexsort((keys[:, 1], keys[:, 0]))]
+            count = np.bincount(mixed * width + what, minlength=len(names) * width)
+            hit = np.flatnonzero(count)
+            out.append(pd.DataFrame({"draw": np.full(len(hit), draw, np.int32), "identity": names[hit // width], "state": states[hit % width], "n": count[hit]}))
+        return pd.concat(out)
+
+    # a site stands for all of its rows: they are grouped by it, null sites too
+    found = known.filter(F.col("__n") <= site_rows).groupBy(site).applyInPandas(permuted, schema)
+    large = known.filter(F.col("__n") > site_rows)
+    if large.limit(1).count():
+        found = found.unionByName(large.groupBy("identity", "state").agg(F.count("*").alias("n")).select(F.lit(-1).alias("draw"), "identity", "state", "n"))
+        plain = large.select(site, F.col("state").alias("p_state"), F.row_number().over(Window.partitionBy(site).orderBy("id")).alias("rank"))
+        key = F.md5(F.concat_ws("|", F.lit(label), F.col("draw").cast("string"), F.col("id").cast("string")).cast("binary"))
+        for first in range(0, draws, BATCH):
+            spread = large.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(min(first + BATCH, draws) - 1))))
+            mixed = spread.select(F.col(site).alias("__site"), "draw", "identity", F.row_number().over(Window.partitionBy(site, "draw").orderBy(key, "id")).alias("__rank"))
+            met = plain.join(mixed, F.col(site).eqNullSafe(F.col("__site")) & (F.col("rank") == F.col("__rank")))
+            found = found.unionByName(met.groupBy("draw", "identity", F.col("p_state").alias("state")).agg(F.count("*").alias("n")))
+    return found.groupBy("draw", "identity", "state").agg(F.sum("n").alias("n"))
+
+
+def permutation_null(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str, site_rows: int = SITE_ROWS) -> DataFrame:
     """Mutual information of identity and state, and its p value when identities are permuted within sites.
 
-    cells: one row per event with row id `id`. Each draw orders a site's rows once by id and once by a hash, and takes
-    the identity of equal rank; p = (1 + draws at least as high) / (1 + draws). So many draws as a batch holds are worked
-    on at a time, and leave one number each.
+    cells: one row per event with row id `id`; p = (1 + draws at least as high) / (1 + draws).
     """
-    by = Window.partitionBy(site)
-    plain = cells.select(site, state, F.row_number().over(by.orderBy("id")).alias("rank")).cache()
-
-    def information(rows: DataFrame) -> list[tuple[int, float]]:
-        joint = rows.groupBy("draw", identity, state).agg(F.count("*").cast("double").alias("n")).cache()
-        a, b = joint.groupBy("draw", identity).agg(F.sum("n").alias("na")), joint.groupBy("draw", state).agg(F.sum("n").alias("nb"))
-        full = joint.join(a, ["draw", identity]).join(b, ["draw", state]).join(joint.groupBy("draw").agg(F.sum("n").alias("nt")), "draw")
-        found = full.groupBy("draw").agg(F.sum(F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("na") * F.col("nb")))).alias("information"))
-        out = [(r[0], r[1]) for r in found.collect()]  # one row per draw
-        joint.unpersist()
-        return out
-
-    key = F.md5(F.concat_ws("|", F.lit(label), F.col("draw").cast("string"), F.col("id").cast("string")).cast("binary"))
-    null: list[tuple[int, float]] = []
-    for first in range(0, draws, batch):
-        spread = cells.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(min(first + batch, draws) - 1))))
-        mixed = spread.select(site, "draw", identity, F.row_number().over(Window.partitionBy(site, "draw").orderBy(key, "id")).alias("rank"))
-        null += information(plain.join(mixed, [site, "rank"]))
-    seen = information(cells.withColumn("draw", F.lit(-1)))
-    plain.unpersist()
-    spark = cells.sparkSession
-    rows = spark.createDataFrame(null, "draw int, information double").crossJoin(spark.createDataFrame([(seen[0][1] if seen else None,)], "observed double"))
+    joint = permutation_counts(cells, site, identity, state, draws, label, site_rows)
+    over = lambda *by: Window.partitionBy("draw", *by)  # noqa: E731  draws x identities x states
+    parts = joint.select("draw", F.col("n").cast("double").alias("n"), F.sum("n").over(over("identity")).alias("na"), F.sum("n").over(over("state")).alias("nb"), F.sum("n").over(over()).alias("nt"))
+    found = parts.groupBy("draw").agg(F.sum(F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("na") * F.col("nb")))).alias("information"))
+    seen = found.filter("draw = -1").select(F.col("information").alias("observed"))
+    rows = found.filter("draw >= 0").crossJoin(F.broadcast(seen))  # one row
     high = F.sum((F.col("information") >= F.col("observed") - 1e-12).cast("int"))
     return rows.agg(F.first("observed").alias("observed"), F.avg("information").alias("null_mean"), ((1 + high) / (1 + F.count("*"))).alias("p_value"))
