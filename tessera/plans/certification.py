@@ -364,7 +364,7 @@ def stacking_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("value")
     wide = density.GaussianModel(e.filter("part = 0"), y, [F.sin(F.col("h") * (2 * 3.141592653589793 / 24))])
     scores = e.filter("part = 1").select(wide.log_density(y).alias("gaussian"), (-y / 50.0 - 3.912023005428146).alias("exponential"))
-    return rounds(stacking.stack(scores, ["gaussian", "exponential"], rounds=60))
+    return rounds(stacking.stack(scores, ["gaussian", "exponential"]))
 
 
 CANDIDATES = "cd AS (SELECT l_linenumber AS candidate, avg(l_discount) AS gain, abs(avg(l_tax) - 0.04) AS coverage_error, avg(l_quantity) AS region_size, count(*) > 10 AS admissible FROM lineitem GROUP BY l_linenumber), cr AS (SELECT candidate, round(gain, 9) AS gain, round(coverage_error, 9) AS coverage_error, round(region_size, 9) AS region_size, admissible FROM cd)"
