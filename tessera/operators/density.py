@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.algebra import log_bessel_i0
+from tessera.operators.conformal import circular_distance
+from tessera.operators.order import weighted_quantiles
 
 
 def least_squares(rows: DataFrame, features: Sequence[Column], targets: Sequence[Column], weight: Column) -> tuple[np.ndarray, float]:
@@ -56,6 +58,7 @@ class GaussianModel:
 
 def concentration(r: float) -> float:
     """von Mises concentration from the mean resultant length, by the usual piecewise approximation."""
+    # fixed values: coefficients and bounds of the public approximation
     r = min(max(r, 0.0), 1 - 1e-12)
     if r < 0.53:
         return 2 * r + r**3 + 5 * r**5 / 6
@@ -81,6 +84,11 @@ class VonMisesModel:
     def _density(self, y: Column, direction: Column, kappa: float) -> Column:
         return kappa * F.cos(y * self.scale - direction) - math.log(2 * math.pi) - log_bessel_i0(F.lit(kappa)) + math.log(self.scale)
 
+    def residual_quantiles(self, rows: DataFrame, y: Column, shares: tuple[float, ...], weight: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+        """keys, share, value, n, weight: weighted quantiles of the distance between y and the predicted direction, in units of y."""
+        gap = circular_distance(y, self.direction / self.scale, 2 * math.pi / self.scale)
+        return weighted_quantiles(rows.withColumns({"__gap": gap, "__w": F.lit(1.0) if weight is None else weight}), "__gap", "__w", keys, shares)
+
     def log_density(self, y: Column) -> Column:
         return self._density(y, self.direction, self.kappa)
 

@@ -352,6 +352,17 @@ def von_mises_density_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(e.filter("part = 1").groupBy("event_type").agg(F.avg(model.log_density(F.col("h")) - model.plain_log_density(F.col("h"))).alias("gain"), F.count("*").alias("n")))
 
 
+@query(f"""WITH {EVENTS}, x AS (SELECT event_id, event_type, part, h, 2 * pi() * h / 24 AS a, value / 100 AS x FROM ev), b AS (SELECT regr_slope(cos(a), x) AS ck, regr_intercept(cos(a), x) AS cc, regr_slope(sin(a), x) AS sk, regr_intercept(sin(a), x) AS si FROM x WHERE part = 0),
+ g AS (SELECT event_type, CAST(event_id % 4 AS DOUBLE) AS w, ((h - atan2(si + sk * x, cc + ck * x) / (2 * pi() / 24)) % 24 + 24) % 24 AS gap FROM x, b WHERE part = 1),
+ c AS (SELECT event_type, least(gap, 24 - gap) AS v, w FROM g WHERE w > 0), s AS (SELECT *, sum(w) OVER (PARTITION BY event_type ORDER BY v) AS t, sum(w) OVER (PARTITION BY event_type) AS total, count(*) OVER (PARTITION BY event_type) AS n FROM c)
+ SELECT event_type, q AS share, round(min(v), 9) AS value, any_value(n) AS n, any_value(total) AS weight FROM s, (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE)]) AS q) WHERE t >= q * total * (1 - 1e-12) GROUP BY event_type, q""")
+def circular_residual_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    model = density.VonMisesModel(e.filter("part = 0"), F.col("h"), [F.col("value") / 100])
+    found = model.residual_quantiles(e.filter("part = 1"), F.col("h"), (0.5, 0.9), (F.col("event_id") % 4).cast("double"), ("event_type",))
+    return rounds(found)
+
+
 @query()
 def joint_density_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumn("k", (F.col("event_type") == "click").cast("double"))

@@ -60,3 +60,31 @@ def test_rolling_thinning_of_a_long_chain(spark):
     got = events.rolling_thin(rows, "user_id", "ts", "event_id", 60)
     assert got.columns == ["user_id", "event_id", "ts"]
     assert [r.event_id for r in got.orderBy("ts", "event_id").collect()] == expected
+
+
+@pytest.mark.parametrize("small", [10_000, 8])
+def test_weighted_quantiles_equal_their_definition(spark, monkeypatch, small):
+    monkeypatch.setattr(order, "SMALL", small)
+    monkeypatch.setattr(order, "BINS", 16)
+    rng = random.Random(7)
+    inf = float("inf")
+    rows = [(g, rng.choice([rng.gauss(0, 1), float(rng.randint(0, 3)), rng.lognormvariate(0, 8)]), float(rng.randint(0, 4))) for g in ("a", "b", None) for _ in range(400)]
+    rows += [("a", None, 1.0), ("a", float("nan"), 5.0), ("a", 1.0, None), ("a", 2.0, -1.0), ("a", inf, 3.0), ("b", -inf, 2.0), ("c", 5.0, 0.0), ("d", 5.0, 2.0), ("e", inf, 1.0), ("e", -inf, 1.0)]
+    shares = (0.0, 0.1, 0.5, 0.9, 1.0)
+    got = order.weighted_quantiles(spark.createDataFrame(rows, "k string, v double, w double").repartition(4), "v", "w", ("k",), shares)
+    expected = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((v, w) for k, v, w in rows if k == g and v is not None and v == v and w is not None and w > 0)
+        total = sum(w for _, w in mine)
+        for s in shares:
+            through, found = 0.0, None
+            for v in sorted({v for v, _ in mine}):
+                through += sum(w for x, w in mine if x == v)
+                if found is None and through >= s * total * (1 - 1e-12):
+                    found = v
+            if mine:
+                expected[g, s] = (found, len(mine), total)
+    assert {(r.k, r.share): (r.value, r.n, r.weight) for r in got.collect()} == expected
+    one = order.weighted_quantiles(spark.createDataFrame(rows, "k string, v double, w double").filter("k = 'd'"), "v", "w", (), (0.5,)).first()
+    assert (one.value, one.n, one.weight) == (5.0, 1, 2.0)
+    assert order.weighted_quantiles(spark.createDataFrame([], "k string, v double, w double"), "v", "w", ("k",), (0.5,)).count() == 0
