@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import running
+
 #: Rows of a site up to which one task permutes it; draws at a time for larger ones.
 SITE_ROWS, BATCH = 1_000_000, 25
 
@@ -61,18 +63,17 @@ def grid_cells(rows: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
 
 def coalesced(intervals: DataFrame, key: str, start: str, end: str, slack_days: int = 1) -> DataFrame:
     """Intervals of dates merged where the next starts at most slack_days after all before ended; inclusive days."""
-    order = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.select(key, start, end, F.coalesce((F.datediff(F.col(start), reach) > slack_days).cast("int"), F.lit(1)).alias("new"))
-    island = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    merged = marked.withColumn("island", island).groupBy(key, "island").agg(F.min(start).alias(start), F.max(end).alias(end))
+    marked = running(intervals.select(key, start, end), [key], [start, end], {"reach": ("max", F.col(end))}, inclusive=False)
+    marked = marked.select(key, start, end, F.coalesce((F.datediff(F.col(start), "reach") > slack_days).cast("int"), F.lit(1)).alias("new"))
+    merged = running(marked, [key], [start, end], {"island": ("sum", F.col("new"))}).groupBy(key, "island").agg(F.min(start).alias(start), F.max(end).alias(end))
     return merged.select(key, start, end, (F.datediff(F.col(end), F.col(start)) + 1).cast("long").alias("days"))
 
 
 def gap_bins(rows: DataFrame, key: str, ts: str, edges: Sequence[float]) -> DataFrame:
     """Gaps between consecutive events of a key, in seconds, counted by bin (from each edge up to the next)."""
-    stamp = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = (stamp - F.lag(stamp).over(Window.partitionBy(key).orderBy(ts))) / 1_000_000.0
+    stamped = rows.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    rows = running(stamped, [key], ["us"], {"before": ("lag", F.col("us"))})
+    gap = (F.col("us") - F.col("before")) / 1_000_000.0
     label = F.lit(0)
     for n, edge in enumerate(edges, 1):
         label = F.when(F.col("gap") >= edge, n).otherwise(label)
@@ -87,10 +88,10 @@ def rolling_thin(rows: DataFrame, key: str, ts: str, id_: str, seconds: float) -
     to row, so that chains of any length need no memory. Events without a time are left out.
     """
     micros = int(seconds * 1_000_000)
-    order = Window.partitionBy(key).orderBy("us", id_)
     stamped = rows.filter(F.col(ts).isNotNull()).select(key, id_, F.col(ts).cast("timestamp").alias(ts)).withColumn("us", F.unix_micros(ts))
-    cut = F.coalesce((F.col("us") - F.lag("us").over(order) >= micros).cast("int"), F.lit(1))
-    chains = stamped.withColumn("cut", cut).withColumn("chain", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = F.coalesce((F.col("us") - F.col("before") >= micros).cast("int"), F.lit(1))
+    gaps = running(stamped, [key], ["us", id_], {"before": ("lag", F.col("us"))}).withColumn("cut", cut).drop("before")
+    chains = running(gaps, [key], ["us", id_], {"chain": ("sum", F.col("cut"))})
     sorted_ = chains.repartition(key, "chain").sortWithinPartitions(key, "chain", "us", id_).select(key, id_, ts, "us", "cut")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

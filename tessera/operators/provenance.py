@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import running
+
 GENESIS = "0" * 64
 
 
@@ -52,9 +54,9 @@ def canonical_event(*names: str):
 
 def chain_audit(log: DataFrame, fields: tuple[str, ...], index: str = "sequence_index", previous: str = "previous_event_hash", own: str = "event_hash", chain: str = "chain") -> DataFrame:
     """Per chain: events, and how many break the index, the link to the event before, or their own hash."""
-    by = Window.partitionBy(chain).orderBy(index)
-    expected = F.coalesce(F.lag(own).over(by), F.lit(GENESIS))
-    rows = log.select(chain, (F.col(index) != F.row_number().over(by) - 1).alias("gap"), (F.col(previous) != expected).alias("unlinked"), (F.col(own) != F.sha2(canonical_event(*fields, previous), 256)).alias("forged"))
+    log = running(log, [chain], [index], {"__before": ("lag", F.col(own)), "__nth": ("count", F.lit(1))})
+    expected = F.coalesce("__before", F.lit(GENESIS))
+    rows = log.select(chain, (F.col(index) != F.col("__nth") - 1).alias("gap"), (F.col(previous) != expected).alias("unlinked"), (F.col(own) != F.sha2(canonical_event(*fields, previous), 256)).alias("forged"))
     n = lambda c: F.sum(F.col(c).cast("long"))
     return rows.groupBy(chain).agg(F.count("*").alias("events"), n("gap").alias("index_gaps"), n("unlinked").alias("broken_links"), n("forged").alias("bad_hashes"))
 

@@ -9,7 +9,7 @@ too few blocks: such groups are reported as unavailable, without bounds, and tak
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.algebra import counter_draw, interval_status, weighted_mean
@@ -85,6 +85,42 @@ def familywise(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, mi
     return out.select("grp", "n_blocks", "mean", "critical", "lower", "upper", interval_status(F.col("lower"), F.col("upper")).alias("status"))
 
 
+def group_intervals(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, min_blocks: int = 8, tolerance: float = 0.0) -> DataFrame:
+    """Per group, three intervals of the same draws: percentiles at alpha (marginal), at alpha over the number of groups
+    (bonferroni), and max-t with the spread of the drawn means (max_t); each with lower, upper and status.
+
+    The number of groups counts those that are not estimable too.
+    """
+    d = drawn(estimable(blocks, min_blocks), draws, seed)
+    size = blocks.agg(F.countDistinct("grp").alias("n_groups"))
+    ends = d.groupBy("grp").agg(
+        F.stddev_samp("d_mean").alias("se"), F.percentile("d_mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("m"), F.sort_array(F.collect_list("d_mean")).alias("sorted"),  # as many as draws
+    )
+
+    def linear(share: Column) -> Column:
+        place = share * (draws - 1)
+        at = F.floor(place).cast("int")
+        low, high = F.get("sorted", at), F.get("sorted", F.least(at + 1, F.lit(draws - 1)))
+        return low + (high - low) * (place - at)
+
+    tail = F.lit(alpha) / (2 * F.col("n_groups"))
+    ends = ends.crossJoin(F.broadcast(size)).withColumns({"b_lower": linear(tail), "b_upper": linear(1 - tail)}).drop("sorted")
+    stat = F.when(F.col("se") > 1e-15, F.abs(F.col("d_mean") - F.col("mean")) / F.col("se")).otherwise(0.0)
+    critical = d.join(ends.select("grp", "se"), "grp").join(point(blocks).select("grp", "mean"), "grp").groupBy("draw").agg(F.max(stat).alias("stat")).agg(F.percentile("stat", F.lit(1 - alpha)).alias("critical"))
+    out = point(blocks).drop("se").join(ends, "grp", "left").crossJoin(F.broadcast(critical))
+    pairs = {"marginal": (F.col("m")[0], F.col("m")[1]), "bonferroni": (F.col("b_lower"), F.col("b_upper")), "max_t": (F.col("mean") - F.col("critical") * F.col("se"), F.col("mean") + F.col("critical") * F.col("se"))}
+    columns = [c for name, (low, high) in pairs.items() for c in (low.alias(f"{name}_lower"), high.alias(f"{name}_upper"), interval_status(low, high, tolerance).alias(f"{name}_status"))]
+    return out.select("grp", "n_blocks", "mean", "se", *columns)
+
+
+def interval_categories(intervals: DataFrame) -> DataFrame:
+    """rule (marginal, bonferroni, max_t), category over the groups, admissible (the rule's category is robust_generalizing)."""
+    each = intervals.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"{r}_status").alias("status")) for r in ("marginal", "bonferroni", "max_t")])).alias("x")).select("x.*")
+    count = lambda s: F.count_if(F.col("status") == s)
+    category = F.when(count("unavailable") > 0, "unavailable").when(count("robust_positive") == F.count("*"), "robust_generalizing").when(count("robust_nonpositive") == F.count("*"), "robust_non_generalizing").when(count("uncertain") > 0, "uncertain").otherwise("mixed")
+    return each.groupBy("rule").agg(category.alias("category")).withColumn("admissible", F.col("category") == "robust_generalizing")
+
+
 def bootstrap_t(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, shared: bool = False, one_sided: bool = False, min_blocks: int = 8) -> DataFrame:
     """Simultaneous studentised intervals; the standard error is computed anew in every draw.
 

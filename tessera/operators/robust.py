@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.resample import counter_draw
+from tessera.operators.scan import running
 
 
 FINITE = "abs(gain) < double('inf')"  # false for NaN too, which counts as greater
@@ -28,9 +29,12 @@ def _prefixes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct gains with running and total sums per key, of groups whose gains are all finite."""
     rows = rows.filter("w > 0").join(F.broadcast(endless_groups(rows)), "grp", "left_anti")
     cells = rows.groupBy(*keys, "gain").agg(F.sum("w").alias("w")).filter("w > 0")
+    x = F.col("w") * F.col("gain")
+    if keys == ["grp"]:  # a group may have any number of gains
+        sums = cells.groupBy("grp").agg(F.sum(x).alias("sn"), F.sum("w").alias("sw"))
+        return running(cells, keys, ["gain"], {"pn": ("sum", x), "pw": ("sum", F.col("w"))}).drop("w").join(sums, "grp")
     order = Window.partitionBy(*keys).orderBy("gain").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    x = F.col("w") * F.col("gain")
     return cells.select(*keys, "gain", F.sum(x).over(order).alias("pn"), F.sum("w").over(order).alias("pw"), F.sum(x).over(whole).alias("sn"), F.sum("w").over(whole).alias("sw"))
 
 

@@ -62,6 +62,24 @@ def familywise_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(resample.familywise(_blocks(spark, sf_dir), DRAWS, 2))
 
 
+INTERVALS = f"""{BLOCKS}, {POINT}, {_draws(2)}, sp AS (SELECT grp, stddev_samp(m) AS se, quantile_cont(m, 0.025) AS ml, quantile_cont(m, 0.975) AS mu, list(m ORDER BY m) AS ms FROM dr GROUP BY grp),
+ c AS (SELECT quantile_cont(stat, 0.95) AS c FROM (SELECT d, max(CASE WHEN sp.se > 1e-15 THEN abs(m - mean) / sp.se ELSE 0 END) AS stat FROM dr JOIN pt ON dr.grp = pt.grp JOIN sp ON dr.grp = sp.grp GROUP BY d)),
+ tl AS (SELECT 0.05 / (2 * count(*)) * {DRAWS - 1} AS lo, (1 - 0.05 / (2 * count(*))) * {DRAWS - 1} AS hi FROM sp),
+ iv AS (SELECT sp.grp, n_blocks, mean, sp.se, ml, mu, ms[CAST(floor(lo) AS INTEGER) + 1] + (ms[CAST(floor(lo) AS INTEGER) + 2] - ms[CAST(floor(lo) AS INTEGER) + 1]) * (lo - floor(lo)) AS bl, ms[CAST(floor(hi) AS INTEGER) + 1] + (ms[CAST(floor(hi) AS INTEGER) + 2] - ms[CAST(floor(hi) AS INTEGER) + 1]) * (hi - floor(hi)) AS bu, mean - c * sp.se AS tl, mean + c * sp.se AS tu FROM sp JOIN pt ON sp.grp = pt.grp, c, tl),
+ ig AS (SELECT *, {_status('ml', 'mu')} AS s1, {_status('bl', 'bu')} AS s2, {_status('tl', 'tu')} AS s3 FROM iv)"""
+
+
+@query(f"WITH {INTERVALS} SELECT grp, n_blocks, round(mean, 9) AS mean, round(se, 9) AS se, round(ml, 9) AS marginal_lower, round(mu, 9) AS marginal_upper, s1 AS marginal_status, round(bl, 9) AS bonferroni_lower, round(bu, 9) AS bonferroni_upper, s2 AS bonferroni_status, round(tl, 9) AS max_t_lower, round(tu, 9) AS max_t_upper, s3 AS max_t_status FROM ig")
+def group_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds(resample.group_intervals(_blocks(spark, sf_dir), DRAWS, 2))
+
+
+@query(f"""WITH {INTERVALS}, e AS (SELECT 'marginal' AS rule, s1 AS s FROM ig UNION ALL SELECT 'bonferroni', s2 FROM ig UNION ALL SELECT 'max_t', s3 FROM ig),
+ ca AS (SELECT rule, CASE WHEN bool_and(s = 'robust_positive') THEN 'robust_generalizing' WHEN bool_and(s = 'robust_nonpositive') THEN 'robust_non_generalizing' WHEN bool_or(s = 'uncertain') THEN 'uncertain' ELSE 'mixed' END AS category FROM e GROUP BY rule) SELECT rule, category, category = 'robust_generalizing' AS admissible FROM ca""")
+def interval_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.interval_categories(resample.group_intervals(_blocks(spark, sf_dir), DRAWS, 2))
+
+
 def _t_sql(seed: int, shared: bool = False, one_sided: bool = False) -> str:
     size = "(m - mean)" if one_sided else "abs(m - mean)"
     rank = int(-(-(0.95 * (DRAWS - 1)) // 1)) + 1

@@ -115,3 +115,18 @@ def test_quoted_line_breaks_stay_in_their_field(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,text\n1,"a\nb"\n2,"say ""x"", y"\n3,plain\n', encoding="utf-8")
     rows = tables.read_csv(spark, str(tmp_path / "t.csv"), ["id", "text"]).collect()
     assert [tuple(r) for r in rows] == [("1", "a\nb"), ("2", 'say "x", y'), ("3", "plain")]
+
+
+def test_three_intervals_of_the_same_draws(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, b, float(rng.normal(m, 0.4)), 1.0) for g, m in (("a", 0.2), ("b", 1.0), ("c", -1.0)) for b in range(12) for _ in range(2)] + [("d", b, 1.0, 1.0) for b in range(5)]
+    found = {r.grp: r for r in resample.group_intervals(_blocks(spark, rows), 500, 3).collect()}
+    for g in "abc":
+        r = found[g]
+        assert r.bonferroni_lower <= r.marginal_lower < r.mean < r.marginal_upper <= r.bonferroni_upper and r.max_t_lower <= r.mean <= r.max_t_upper
+    draws = sorted(r.d_mean for r in resample.drawn(_blocks(spark, rows), 500, 3).filter("grp = 'a'").collect())
+    assert math.isclose(found["a"].bonferroni_lower, np.quantile(draws, 0.05 / 8)) and math.isclose(found["a"].bonferroni_upper, np.quantile(draws, 1 - 0.05 / 8))
+    assert {found["d"][f"{k}_status"] for k in ("marginal", "bonferroni", "max_t")} == {"unavailable"} and found["d"].marginal_lower is None
+    assert {r.category for r in resample.interval_categories(resample.group_intervals(_blocks(spark, rows), 500, 3)).collect()} == {"unavailable"}
+    sound = [r for r in rows if r[0] == "b"]
+    assert {(r.category, r.admissible) for r in resample.interval_categories(resample.group_intervals(_blocks(spark, sound), 500, 3)).collect()} == {("robust_generalizing", True)}
