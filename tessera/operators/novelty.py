@@ -1,48 +1,141 @@
-"""Environmental novelty: distance of queries to their nearest reference, in standardised space, and range exceedance."""
+"""Environmental novelty: distance of queries to their nearest reference, in standardised space, and range exceedance.
+
+The nearest reference is found exactly, with pruning by the triangle inequality. Some references, chosen by a hash of
+their ids, are pivots; every reference belongs to the cell of its nearest pivot. A query first searches its own cell,
+which gives a bound, and then only those cells that a ball of that size around it can reach. Cells and their queries are
+searched in blocks of at most about SIDE by SIDE, so that a cell of any size is many tasks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut
 from tessera.operators.order import order_statistic
 
-SIDE = 2048
+SIDE, PIVOTS = 2048, 256
+SLACK = 1e-9  # of the distances compared, against rounding
 
 
 def standardised(rows: DataFrame, reference: DataFrame, id_: str, vector: str) -> DataFrame:
     """id and z: the vector in units of the reference's population spread; constant dimensions keep a scale of 1."""
     parts = reference.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     scale = parts.select("i", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s"), "lo", "hi")
-    long = rows.select(F.col(id_).alias("id"), F.posexplode(vector).alias("i", "v")).join(F.broadcast(scale), "i")  # one row per dimension
-    z = (F.col("v") - F.col("m")) / F.col("s")
-    return long.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", z.alias("z")))), lambda x: x["z"]).alias("z"), F.max((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("outside"))
+    ranges = scale.agg(F.array_sort(F.collect_list(F.struct("i", "m", "s", "lo", "hi"))).alias("__r"))  # one row, an entry for each dimension
+    held = rows.select(F.col(id_).alias("id"), F.col(vector).alias("__v")).crossJoin(F.broadcast(ranges))
+    beyond = F.transform("__v", lambda v, i: (v < F.get("__r", i)["lo"]) | (v > F.get("__r", i)["hi"]))
+    return held.select("id", F.transform("__v", lambda v, i: (v - F.get("__r", i)["m"]) / F.get("__r", i)["s"]).alias("z"), F.exists(beyond, lambda x: F.coalesce(x, F.lit(False))).alias("outside"))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All distances, by subtraction (free of cancellation), some rows at a time."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, (1 << 22) // max(1, y.size))
+    for i in range(0, len(x), step):
+        out[i : i + step] = np.sqrt(((x[i : i + step, None] - y[None]) ** 2).sum(axis=2))
+    return out
+
+
+class Cells:
+    """The references dealt to cells: pivots (a bounded number, on the driver), and radius and size of each cell."""
+
+    def __init__(self, reference: DataFrame, pivots: int = PIVOTS):
+        chosen = reference.select("id", "z").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+        self.ids, self.pivots = np.array([r["id"] for r in chosen], np.int64), np.array([r["z"] for r in chosen], float)
+        if not len(self.ids):
+            return
+        self.rows = cut(self._placed(reference.select("id", "z")))
+        facts = {r["cell"]: (r["radius"], r["n"]) for r in self.rows.groupBy("cell").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).collect()}  # at most as many as pivots
+        self.radius = np.array([facts.get(k, (-1.0, 0))[0] for k in range(len(self.ids))])
+        self.size = np.array([facts.get(k, (-1.0, 0))[1] for k in range(len(self.ids))])
+
+    def _placed(self, rows: DataFrame, skip_same_id: bool = False) -> DataFrame:
+        """id, z, cell (of the nearest pivot), gap (its distance), bound (distance of the nearest pivot that is not the row itself)."""
+        ids, pivots = self.ids, self.pivots
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                if len(rows):
+                    d = _distances(np.stack(rows["z"].to_list()), pivots)
+                    other = np.where(rows["id"].to_numpy()[:, None] == ids, np.inf, d) if skip_same_id else d
+                    yield rows.assign(cell=d.argmin(axis=1).astype(np.int32), gap=d.min(axis=1), bound=other.min(axis=1))
+
+        return rows.mapInPandas(place, "id long, z array<double>, cell int, gap double, bound double")
+
+    def _search(self, asked: DataFrame, skip_same_id: bool) -> DataFrame:
+        """asked (id, z, cell) -> id, distance to the nearest reference of each cell asked for."""
+        sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most as many as pivots
+        table = [(k, max(1, -(-n // SIDE)), max(1, -(-int(self.size[k]) // SIDE))) for k, n in sizes.items() if self.size[k]]
+        blocks = F.broadcast(asked.sparkSession.createDataFrame(table, "cell int, nq int, nr int"))
+        dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+        q = asked.join(blocks, "cell").select("id", "z", "cell", F.lit(0).alias("side"), dealt("nq").alias("qb"), every("nr").alias("rb"))
+        r = self.rows.join(blocks, "cell").select("id", "z", "cell", F.lit(1).alias("side"), every("nq").alias("qb"), dealt("nr").alias("rb"))
+
+        def block(rows: pd.DataFrame) -> pd.DataFrame:
+            side = rows["side"].to_numpy()
+            a, b = rows[side == 0], rows[side == 1]
+            if not len(a) or not len(b):
+                return pd.DataFrame({"id": [], "distance": []})
+            x, y = np.stack(a["z"].to_list()), np.stack(b["z"].to_list())
+            # |x - y|^2 by one matrix product leaves the few that rounding can't tell from the nearest; those are measured
+            nx, ny = (x**2).sum(axis=1), (y**2).sum(axis=1)
+            squared = nx[:, None] - 2 * (x @ y.T) + ny
+            if skip_same_id:
+                squared[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = np.inf
+            room = 1e-12 * (nx + ny.max())
+            i, j = np.nonzero((squared <= (squared.min(axis=1) + room)[:, None]) & np.isfinite(squared))
+            d = np.full(len(x), np.inf)
+            step = max(1, (1 << 22) // x.shape[1])
+            for k in range(0, len(i), step):
+                np.minimum.at(d, i[k : k + step], ((x[i[k : k + step]] - y[j[k : k + step]]) ** 2).sum(axis=1))
+            return pd.DataFrame({"id": a["id"].to_numpy(), "distance": np.sqrt(d)})
+
+        return q.unionByName(r).groupBy("cell", "qb", "rb").applyInPandas(block, "id long, distance double").groupBy("id").agg(F.min("distance").alias("distance"))
+
+    def reached(self, queries: DataFrame, skip_same_id: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(bounds: id, bound after the own cell; asked: id, z, cell of the further cells that the bound reaches)."""
+        placed = cut(self._placed(queries.select("id", "z"), skip_same_id))
+        own = self._search(placed.select("id", "z", "cell"), skip_same_id).withColumnRenamed("distance", "own")
+        bounds = cut(placed.join(own, "id", "left").withColumn("bound", F.least("bound", F.coalesce("own", "bound"))).drop("own"))
+        pivots, radius, full = self.pivots, self.radius, self.size > 0
+
+        def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                if len(rows):
+                    d, bound, cell = _distances(np.stack(rows["z"].to_list()), pivots), rows["bound"].to_numpy()[:, None], rows["cell"].to_numpy()
+                    slack = SLACK * (1 + d)
+                    near = (d - radius <= bound + slack) & ((d - rows["gap"].to_numpy()[:, None]) / 2 <= bound + slack) & full
+                    near[np.arange(len(rows)), cell] = False
+                    i, k = np.nonzero(near)
+                    yield pd.DataFrame({"id": rows["id"].to_numpy()[i], "z": rows["z"].to_numpy()[i], "cell": k.astype(np.int32)})
+
+        return bounds, bounds.mapInPandas(visits, "id long, z array<double>, cell int")
+
+    def compared(self, queries: DataFrame, skip_same_id: bool = False) -> int:
+        """How many pairs of a query and a reference are compared (pivots left out), of all len(queries) * len(reference)."""
+        bounds, asked = self.reached(queries, skip_same_id)
+        both = bounds.select("cell").unionByName(asked.select("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()
+        return sum(r["n"] * int(self.size[r["cell"]]) for r in both)
+
+    def nearest(self, queries: DataFrame, skip_same_id: bool = False) -> DataFrame:
+        bounds, asked = self.reached(queries, skip_same_id)
+        asked = cut(asked)
+        found = bounds.select("id", F.col("bound").alias("distance")).unionByName(self._search(asked, skip_same_id))
+        return found.groupBy("id").agg(F.min("distance").alias("distance"))
 
 
 def nearest(queries: DataFrame, reference: DataFrame, skip_same_id: bool = False) -> DataFrame:
-    """id, z in both -> per query id its least Euclidean distance; blocks of queries meet blocks of references."""
-    n_ref, n_query = max(1, -(-reference.count() // SIDE)), max(1, -(-queries.count() // SIDE))
-    q = queries.select("id", "z", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_ref - 1))).alias("rb"))
-    r = reference.select("id", "z", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_ref)).cast("int").alias("rb"))
-
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        side = rows["side"].to_numpy()
-        a, b = rows[side == 0], rows[side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "distance": []})
-        x, y = np.stack(a["z"].to_list()), np.stack(b["z"].to_list())
-        # |x - y|^2 by one matrix product names the nearest; its distance is then taken by subtraction, free of cancellation
-        squared = (x**2).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y**2).sum(axis=1)
-        if skip_same_id:
-            squared[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = np.inf
-        best = squared.argmin(axis=1)
-        d = ((x - y[best]) ** 2).sum(axis=1)
-        d[np.isinf(squared[np.arange(len(x)), best])] = np.inf  # no reference but itself
-        return pd.DataFrame({"id": a["id"].to_numpy(), "distance": np.sqrt(d)})
-
-    return q.unionByName(r).groupBy("qb", "rb").applyInPandas(block, "id long, distance double").groupBy("id").agg(F.min("distance").alias("distance"))
+    """id, z in both -> per query id its least Euclidean distance to a reference (another one, if skip_same_id); infinity if there is none."""
+    cells = Cells(reference)
+    if not len(cells.ids):
+        return queries.select("id").distinct().withColumn("distance", F.lit(float("inf")))
+    return cells.nearest(queries, skip_same_id)
 
 
 def novelty(queries: DataFrame, reference: DataFrame, id_: str, vector: str, level: float = 0.95) -> DataFrame:
