@@ -1,7 +1,9 @@
 """Bounded reweighting: how far weights within a factor of gamma can move a mean gain.
 
 The optimum of a ratio of weighted sums is a threshold rule, so that extremes are found exactly by running sums in the
-order of gain, over one row per distinct gain.
+order of gain, over one row per distinct gain. Resamples of groups with many distinct gains never meet their rows: blocks
+are summed up by bins of gain, draws combine these sums, and the sign of the weighted distance to a bin's edge tells
+which bin holds the optimum. Only bins that hold one for some draw are cut up further, until few gains are left in them.
 
 Rows without weight are ignored. A group with a gain that is not finite has no extremes and no radius: NaN exceeds every
 number in comparisons, so it must never get that far. Its mean is minus infinity, its bounds are null, its status is
@@ -10,9 +12,12 @@ unavailable, and as member of a family it makes the whole unavailable.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut
 from tessera.operators.resample import counter_draw
 from tessera.operators.scan import running
 
@@ -69,29 +74,102 @@ def critical_gamma(rows: DataFrame, limit: float = 100.0) -> DataFrame:
     return _with_endless(out, rows, status="unavailable")
 
 
-def _drawn_prefixes(rows: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Running sums of each resample of blocks; they hold for every gamma."""
-    rows = rows.filter("w > 0").join(F.broadcast(endless_groups(rows)), "grp", "left_anti")
+#: Distinct gains of a group up to which its resamples hold them all; bins at each step beyond.
+DISTINCT, BINS = 4096, 64
+
+
+def _picks(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """grp, draw, block, times of each resample of blocks."""
     blocks = rows.select("grp", "block").distinct().withColumns({"idx": F.row_number().over(Window.partitionBy("grp").orderBy("block")) - 1, "n_blocks": F.count("*").over(Window.partitionBy("grp"))})
     slots = blocks.select("grp", "n_blocks", F.col("idx").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     picks = slots.select("grp", "draw", counter_draw(F.col("n_blocks"), str(seed), F.col("grp"), F.col("draw"), F.col("slot")).alias("idx")).groupBy("grp", "draw", "idx").agg(F.count("*").alias("times"))
-    cells = rows.groupBy("grp", "block", "gain").agg(F.sum("w").alias("w"))
-    chosen = picks.join(blocks.select("grp", "idx", "block"), ["grp", "idx"]).join(cells, ["grp", "block"]).select("grp", "draw", "gain", (F.col("w") * F.col("times")).alias("w"))
+    return picks.join(blocks.select("grp", "idx", "block"), ["grp", "idx"]).select("grp", "draw", "block", "times")
+
+
+def _sound(rows: DataFrame) -> DataFrame:
+    """Cells (grp, block, gain, w) of the groups whose gains are all finite."""
+    rows = rows.filter("w > 0").join(F.broadcast(endless_groups(rows)), "grp", "left_anti")
+    return rows.groupBy("grp", "block", "gain").agg(F.sum("w").alias("w"))
+
+
+def _few(rows: DataFrame) -> bool:
+    """Whether no group has more distinct gains than resamples should hold."""
+    return (rows.groupBy("grp").agg(F.approx_count_distinct("gain").alias("n")).agg(F.max("n")).first()[0] or 0) <= DISTINCT
+
+
+def _drawn_prefixes(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """Running sums of each resample of blocks; they hold for every gamma."""
+    cells = _sound(rows)
+    chosen = _picks(cells, draws, seed).join(cells, ["grp", "block"]).select("grp", "draw", "gain", (F.col("w") * F.col("times")).alias("w"))
     return _prefixes(chosen, ["grp", "draw"])
 
 
+def _binned_extremes(rows: DataFrame, draws: int, seed: int, gamma: float) -> DataFrame:
+    """grp, draw, least, greatest of each resample, as _extremes of _drawn_prefixes gives them, from sums of bins.
+
+    The greatest mean is the least one of the negated gains, which are searched along (side -1). For the least, gains up
+    to a threshold weigh gamma and the rest its inverse; the optimum m is where the weighted distances to it cancel out.
+    """
+    g, i = gamma, 1 / gamma
+    plain = _sound(rows)
+    picks = cut(_picks(plain, draws, seed))
+    sides = F.explode(F.array(F.lit(1), F.lit(-1)))
+    cells = cut(plain.select("grp", "block", sides.alias("side"), "gain", "w").select("grp", "block", "side", (F.col("gain") * F.col("side")).alias("x"), "w", F.lit("").alias("path")))
+    totals = cells.groupBy("grp", "block", "side").agg(F.sum(F.col("w") * F.col("x")).alias("bx"), F.sum("w").alias("bw"))
+    drawn = picks.join(totals, ["grp", "block"]).groupBy("grp", "draw", "side").agg(F.sum(F.col("times") * F.col("bx")).alias("sn"), F.sum(F.col("times") * F.col("bw")).alias("sw"))
+    open_ = cut(drawn.select("*", F.lit("").alias("path"), F.lit(0.0).alias("pn"), F.lit(0.0).alias("pw")))
+    at = ["grp", "side", "path"]
+    while True:
+        hit = open_.select(*at).distinct()
+        cells = cells.join(F.broadcast(hit), at, "left_semi")
+        if not cells.groupBy(*at).agg(F.countDistinct("x").alias("n")).filter(F.col("n") > DISTINCT).limit(1).count():
+            break
+        shares = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+        # over distinct gains: however often one of them occurs, bins get smaller
+        edges = cells.select(*at, "x").distinct().groupBy(*at).agg(F.array_sort(F.array_distinct(F.concat(F.percentile_approx("x", shares, 10_000), F.array(F.max("x"))))).alias("edges"))
+        cells = cut(cells.join(F.broadcast(edges), at).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("x")))).withColumn("edge", F.get("edges", F.col("bin"))).drop("edges"))
+        sums = cells.groupBy(*at, "block", "bin", "edge").agg(F.sum(F.col("w") * F.col("x")).alias("bx"), F.sum("w").alias("bw"))
+        by_bin = picks.join(sums, ["grp", "block"]).join(open_.select("grp", "draw", "side", "path"), ["grp", "draw", "side", "path"])
+        by_bin = by_bin.groupBy("grp", "draw", "side", "path", "bin", "edge").agg(F.sum(F.col("times") * F.col("bx")).alias("bx"), F.sum(F.col("times") * F.col("bw")).alias("bw"))
+        # bins in which a draw has no rows count too: the edge may lie there
+        frame = open_.join(sums.select(*at, "bin", "edge").distinct(), at).join(by_bin, ["grp", "draw", "side", "path", "bin", "edge"], "left").na.fill(0.0, ["bx", "bw"])
+        upto = Window.partitionBy("grp", "draw", "side").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows
+        frame = frame.withColumns({"qn": F.col("pn") + F.sum("bx").over(upto), "qw": F.col("pw") + F.sum("bw").over(upto)})
+        gap = g * (F.col("qn") - F.col("edge") * F.col("qw")) + i * (F.col("sn") - F.col("qn") - F.col("edge") * (F.col("sw") - F.col("qw")))
+        last = F.max("bin").over(Window.partitionBy("grp", "draw", "side"))
+        place = F.row_number().over(Window.partitionBy("grp", "draw", "side").orderBy("bin"))
+        found = frame.withColumn("last", last).filter((gap <= 0) | (F.col("bin") == F.col("last"))).withColumn("place", place).filter("place = 1")
+        open_ = cut(found.select("grp", "draw", "side", "sn", "sw", F.concat_ws("/", "path", F.col("bin").cast("string")).alias("path"), (F.col("qn") - F.col("bx")).alias("pn"), (F.col("qw") - F.col("bw")).alias("pw")))
+        cells = cells.withColumn("path", F.concat_ws("/", "path", F.col("bin").cast("string"))).drop("bin", "edge")
+    inner = open_.join(picks, ["grp", "draw"]).join(cells, ["grp", "side", "path", "block"]).groupBy("grp", "draw", "side", "pn", "pw", "sn", "sw", "x").agg(F.sum(F.col("w") * F.col("times")).alias("w"))
+    upto = Window.partitionBy("grp", "draw", "side").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)  # DISTINCT rows at most
+    qn, qw = F.col("pn") + F.sum(F.col("w") * F.col("x")).over(upto), F.col("pw") + F.sum("w").over(upto)
+    at_cut = (g * qn + i * (F.col("sn") - qn)) / (g * qw + i * (F.col("sw") - qw))
+    before = (g * F.col("pn") + i * (F.col("sn") - F.col("pn"))) / (g * F.col("pw") + i * (F.col("sw") - F.col("pw")))
+    cuts = inner.select("grp", "draw", "side", at_cut.alias("m")).unionByName(open_.select("grp", "draw", "side", before.alias("m")))
+    ends = cuts.groupBy("grp", "draw").agg(F.min(F.when(F.col("side") == 1, F.col("m"))).alias("least"), (-F.min(F.when(F.col("side") == -1, F.col("m")))).alias("greatest"))
+    return ends
+
+
 def joint_extremes(rows: DataFrame, gamma: float, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """Block resampling and reweighting together: per group, percentiles of the extreme means over draws.
 
     rows: grp, block, gain, w. Each draw takes blocks with their multiplicities; a block's rows come with its multiplicity.
     Groups with gains that are not finite have no bounds and no draws.
     """
-    return _with_endless(_percentiles(_drawn_prefixes(rows, draws, seed), gamma, alpha), rows, n_draws=0)
+    return _with_endless(_bounds(_resamples(rows, draws, seed), gamma, alpha), rows, n_draws=0)
+
+
+def _resamples(rows: DataFrame, draws: int, seed: int) -> Callable[[float], DataFrame]:
+    """What gives the extremes of each resample (grp, draw, least, greatest) at a gamma."""
+    if not _few(rows):
+        return lambda gamma: _binned_extremes(rows, draws, seed, gamma)
+    prefixes = _drawn_prefixes(rows, draws, seed).cache()  # groups x draws x a bounded number of gains
+    return lambda gamma: _extremes(prefixes, gamma, ["grp", "draw"])
 
 
-def _percentiles(prefixes: DataFrame, gamma: float, alpha: float) -> DataFrame:
-    d = _extremes(prefixes, gamma, ["grp", "draw"])
-    return d.groupBy("grp").agg(F.percentile("least", F.lit(alpha / 2)).alias("lower"), F.percentile("greatest", F.lit(1 - alpha / 2)).alias("upper"), F.count("*").alias("n_draws"))
+def _bounds(resamples: Callable[[float], DataFrame], gamma: float, alpha: float) -> DataFrame:
+    return resamples(gamma).groupBy("grp").agg(F.percentile("least", F.lit(alpha / 2)).alias("lower"), F.percentile("greatest", F.lit(1 - alpha / 2)).alias("upper"), F.count("*").alias("n_draws"))
 
 
 def joint_status(bounds: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -118,16 +196,15 @@ def robustness_radius(rows: DataFrame, draws: int, seed: int, alpha: float = 0.0
     the same draws.
     """
     live = rows.filter("w > 0")
-    prefixes = _drawn_prefixes(rows, draws, seed).cache()  # groups x draws x distinct gains, read once per bisection
+    resamples = _resamples(rows, draws, seed)
     few = {r[0] for r in live.groupBy(F.col("grp").cast("string").alias("grp")).agg(F.countDistinct("block").alias("n")).filter(F.col("n") < min_blocks).collect()}  # groups
     endless = {r[0] for r in endless_groups(rows).select(F.col("grp").cast("string")).collect()}
 
     def seen(gamma: float) -> dict[str, str]:
-        found = {r[0]: r[1] for r in joint_status(_percentiles(prefixes, gamma, alpha), tolerance).select(F.col("grp").cast("string"), "status").collect()}  # groups
+        found = {r[0]: r[1] for r in joint_status(_bounds(resamples, gamma, alpha), tolerance).select(F.col("grp").cast("string"), "status").collect()}  # groups
         return found | dict.fromkeys(few | endless, "unavailable")
 
     def answer(category: str, target: str | None = None, radius: float | None = None, broken: float | None = None, groups: list[str] | None = None) -> DataFrame:
-        prefixes.unpersist()
         row = (category, target, radius, broken, None if radius is None else radius * radius, ",".join(sorted(groups)) if groups else None)
         return rows.sparkSession.createDataFrame([row], "category string, target string, radius double, break_gamma double, weight_ratio double, limiting_groups string")
 

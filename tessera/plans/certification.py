@@ -247,11 +247,13 @@ def robustness_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def radius_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The radius of a family that does not generalize: every gain less than the table's greatest."""
+def radius_non_generalizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radius of a family that does not generalize: gains less a number somewhat above every group's mean."""
     rows = gain_rows(spark, sf_dir)
-    top = rows.agg(F.max("gain").alias("top"))
-    return rounds(robust.robustness_radius(rows.crossJoin(F.broadcast(top)).withColumn("gain", F.col("gain") - F.col("top") - 0.01).drop("top"), JOINT_DRAWS, 9, steps=BISECTIONS))
+    means = rows.groupBy("grp").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("mean"), F.max("gain").alias("top"))
+    less = means.agg((F.max("mean") + 0.2 * (F.max("top") - F.max("mean"))).alias("less"))
+    shifted = rows.crossJoin(F.broadcast(less)).withColumn("gain", F.col("gain") - F.col("less")).drop("less")
+    return rounds(robust.robustness_radius(shifted, JOINT_DRAWS, 9, steps=BISECTIONS))
 
 
 @query(f"WITH {inputs.SCORES} SELECT 'unavailable' AS category, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS DOUBLE) AS radius, CAST(NULL AS DOUBLE) AS break_gamma, CAST(NULL AS DOUBLE) AS weight_ratio, CAST(min(g) AS VARCHAR) AS limiting_groups FROM sc")

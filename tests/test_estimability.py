@@ -130,3 +130,19 @@ def test_three_intervals_of_the_same_draws(spark):
     assert {r.category for r in resample.interval_categories(resample.group_intervals(_blocks(spark, rows), 500, 3)).collect()} == {"unavailable"}
     sound = [r for r in rows if r[0] == "b"]
     assert {(r.category, r.admissible) for r in resample.interval_categories(resample.group_intervals(_blocks(spark, sound), 500, 3)).collect()} == {("robust_generalizing", True)}
+
+
+@pytest.mark.parametrize("gamma", [1.0, 1.7, 6.0])
+def test_extremes_from_bins_equal_those_from_all_gains(spark, monkeypatch, gamma):
+    rng = np.random.default_rng(12)
+    rows = [(g, b, float(rng.normal(0.3, 1) * (50 if rng.random() < 0.02 else 1)), float(rng.integers(1, 4))) for g in "ab" for b in range(9) for _ in range(25)]
+    rows += [("e", b, 0.5 if k % 3 else float(rng.normal(0, 1)), 1.0) for b in range(9) for k in range(25)]
+    rows += [("c", b, 2.0, 1.0) for b in range(9)] + [("d", 0, -1.0, 1.0), ("d", 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, ROWS)
+    plain = {(r.grp, r.draw): r for r in robust._extremes(robust._drawn_prefixes(df, 40, 5), gamma, ["grp", "draw"]).collect()}
+    monkeypatch.setattr(robust, "DISTINCT", 5)
+    monkeypatch.setattr(robust, "BINS", 6)
+    found = {(r.grp, r.draw): r for r in robust._binned_extremes(df, 40, 5, gamma).collect()}
+    assert set(found) == set(plain) and len(found) == 200
+    for k, r in found.items():
+        assert math.isclose(r.least, plain[k].least, rel_tol=1e-9, abs_tol=1e-12) and math.isclose(r.greatest, plain[k].greatest, rel_tol=1e-9, abs_tol=1e-12), k
