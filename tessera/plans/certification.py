@@ -203,6 +203,12 @@ def pigeonhole_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(process.pigeonhole_bounds(refit_blocks(spark, sf_dir), JOINT_DRAWS, 9, min_units=2))
 
 
+@query(f"WITH {inputs.SOURCES}, {_jackknife_sql('refit', 'vr')}, {_jackknife_sql('block', 'vb')} {_bounds_sql('(r.v + b.v)')}")
+def source_process_v0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sources of two inner refits, and therefore a minimum of two."""
+    return rounds(process.source_bounds(inputs.source_cells(spark, sf_dir), minimum=2))
+
+
 @query(f"WITH {inputs.REFITS}, {_jackknife_sql('refit', 'vr')}, {_jackknife_sql('block', 'vb')} {_bounds_sql('greatest(r.v, b.v)')}")
 def cv3max_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(process.jackknife_bounds(refit_blocks(spark, sf_dir), rule="max"))

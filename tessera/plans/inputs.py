@@ -37,7 +37,7 @@ def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("c_mktsegment").alias("seg"), F.col("o_orderpriority").alias("pri"), F.col("c_nationkey").alias("nation"), F.lit(1.0).alias("mass"))
 
 
-def score_cells(spark: SparkSession, sf_dir: str, leave_out: int | None = None) -> DataFrame:
+def score_cells(spark: SparkSession, sf_dir: str, leave_out: int | None = None, alpha: float = ALPHA) -> DataFrame:
     """Smoothed log scores of the return flag at three levels of information, by group and block.
 
     g: line number, b: supplier bucket of 20, w: rows, s0: pooled, s1: given status, s2: given status and month. With
@@ -50,7 +50,7 @@ def score_cells(spark: SparkSession, sf_dir: str, leave_out: int | None = None)
     k = 3
     total = train.agg(F.sum("w").alias("n"))
     x = cells.join(n("a"), "a").join(n("s"), "s").join(n("a", "s"), ["a", "s"], "left").join(n("s", "t"), ["s", "t"], "left").join(n("a", "s", "t"), ["a", "s", "t"], "left").crossJoin(F.broadcast(total))
-    part = lambda top, bottom: F.ln((F.coalesce(top, F.lit(0.0)) + ALPHA) / (F.coalesce(bottom, F.lit(0.0)) + ALPHA * k))
+    part = lambda top, bottom: F.ln((F.coalesce(top, F.lit(0.0)) + alpha) / (F.coalesce(bottom, F.lit(0.0)) + alpha * k))
     return x.select("g", "b", "w", part("n_a", "n").alias("s0"), part("n_as", "n_s").alias("s1"), part("n_ast", "n_st").alias("s2"))
 
 
@@ -83,6 +83,28 @@ REFITS = """cells AS (SELECT l_linenumber AS g, CAST(l_suppkey % 20 AS INTEGER)
  rb AS (SELECT CAST(refit AS INTEGER) AS refit, g AS grp, b AS block, sum(w * gain) AS num, sum(w) AS w FROM rs GROUP BY refit, g, b)"""
 
 
+#: smoothing of the inner refits of a source
+INNER = (0.5, 2.0)
+
+
+def source_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, inner, grp, block, num, w: five sources that each leave out a fifth of the blocks, each refit with two smoothings."""
+    out = None
+    for r in range(5):
+        for k, alpha in enumerate(INNER):
+            s = score_cells(spark, sf_dir, r, alpha).select(F.lit(r).alias("source"), F.lit(k).alias("inner"), F.col("g").alias("grp"), F.col("b").alias("block"), ((F.col("s2") - F.col("s0")) * F.col("w")).alias("x"), "w")
+            s = s.groupBy("source", "inner", "grp", "block").agg(F.sum("x").alias("num"), F.sum("w").alias("w"))
+            out = s if out is None else out.unionByName(s)
+    return out
+
+
+#: SQL of source_cells with inner refits averaged in their source: table `rb`, as of REFITS
+SOURCES = f"""cells AS (SELECT l_linenumber AS g, CAST(l_suppkey % 20 AS INTEGER) AS b, l_returnflag AS a, l_linestatus AS s, month(l_shipdate) AS t, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY ALL),
+ rr AS (SELECT c.*, r.r AS refit, i.z AS z, CASE WHEN c.b % 5 <> r.r THEN c.w ELSE 0 END AS v FROM cells c CROSS JOIN (SELECT unnest(generate_series(0, 4)) AS r) r CROSS JOIN (SELECT unnest([{', '.join(f'CAST({z} AS DOUBLE)' for z in INNER)}]) AS z) i),
+ rs AS (SELECT refit, z, g, b, w, ln((sum(v) OVER (PARTITION BY refit, z, a, s, t) + z) / (sum(v) OVER (PARTITION BY refit, z, s, t) + 3 * z)) - ln((sum(v) OVER (PARTITION BY refit, z, a) + z) / (sum(v) OVER (PARTITION BY refit, z) + 3 * z)) AS gain FROM rr),
+ rb AS (SELECT CAST(refit AS INTEGER) AS refit, grp, block, avg(num) AS num, avg(w) AS w FROM (SELECT refit, z, g AS grp, b AS block, sum(w * gain) AS num, sum(w) AS w FROM rs GROUP BY refit, z, g, b) GROUP BY refit, grp, block)"""
+
+
 def nation_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """grp (nation), stratum (region), cluster and gain of the order priority given the segment, smoothed."""
     rows = order_states(spark, sf_dir)
