@@ -38,7 +38,7 @@ def estimable(blocks: DataFrame, min_blocks: int = 1) -> DataFrame:
 def point(blocks: DataFrame) -> DataFrame:
     """Per group: mean, cluster standard error (null if the mean is minus infinity), number of blocks and whether it is finite."""
     sums = blocks.groupBy("grp").agg(F.count("*").alias("n"), F.min("finite").alias("finite"), *_sums())
-    return sums.select("grp", F.col("n").alias("n_blocks"), (F.col("sn") / F.col("sw")).alias("mean"), F.when(F.col("finite"), _error(F.col("n"))).alias("se"), "finite")
+    return sums.select("grp", F.col("n").alias("n_blocks"), (F.col("sn") / F.col("sw")).alias("mean"), F.when(F.col("finite"), cluster_error(F.col("n"))).alias("se"), "finite")
 
 
 def _sums() -> list:
@@ -46,7 +46,7 @@ def _sums() -> list:
     return [F.sum(n).alias("sn"), F.sum(w).alias("sw"), F.sum(n * n).alias("snn"), F.sum(n * w).alias("snw"), F.sum(w * w).alias("sww")]
 
 
-def _error(size):
+def cluster_error(size):
     m = F.col("sn") / F.col("sw")
     inner = F.col("snn") - 2 * m * F.col("snw") + m * m * F.col("sww")
     return F.when(size > 1, F.sqrt(F.greatest(F.lit(0.0), inner) * size / F.greatest(size - 1, F.lit(1))) / F.col("sw")).otherwise(0.0)
@@ -58,7 +58,7 @@ def drawn(blocks: DataFrame, draws: int, seed: int, shared: bool = False) -> Dat
     parts = [str(seed), *([] if shared else [F.col("grp")]), F.col("draw"), F.col("slot")]
     picks = slots.select("grp", "draw", counter_draw(F.col("n_blocks"), *parts).alias("pick"))
     sums = picks.join(blocks.select("grp", F.col("idx").alias("pick"), "num", "w", "n_blocks"), ["grp", "pick"]).groupBy("grp", "draw").agg(F.first("n_blocks").alias("n_blocks"), *_sums())
-    return sums.select("grp", "draw", (F.col("sn") / F.col("sw")).alias("d_mean"), _error(F.col("n_blocks")).alias("d_se"))
+    return sums.select("grp", "draw", (F.col("sn") / F.col("sw")).alias("d_mean"), cluster_error(F.col("n_blocks")).alias("d_se"))
 
 
 def percentile_interval(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
@@ -186,21 +186,6 @@ def nested_refits(refit_blocks: DataFrame, draws: int, seed: int, alpha: float =
     return out.select(*cell, "mean", "se", "between_refits", (F.col("mean") - F.col("critical") * F.col("se")).alias("lower"), (F.col("mean") + F.col("critical") * F.col("se")).alias("upper"))
 
 
-def all_refits_pass(refit_blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05, min_refits: int = 2) -> DataFrame:
-    """One row: whether every refit's groups are all robustly positive; the same draws serve all refits."""
-    refit_blocks = refit_blocks.filter("w > 0").cache()
-    names = sorted(r[0] for r in refit_blocks.select("refit").distinct().collect())  # a few refits
-    passed = []
-    for name in names:
-        one = refit_blocks.filter(F.col("refit") == name).select("grp", "block", "num", "w")
-        cells = bootstrap_t(_indexed(one).cache(), draws, seed, alpha, one_sided=True)
-        passed.append(cells.agg(F.lit(name).alias("refit"), F.min(F.col("status") == "robust_positive").alias("ok"), F.max(F.col("status") == "unavailable").alias("unknown"), F.min("lower").alias("min_lower")))
-    every = passed[0]
-    for p in passed[1:]:
-        every = every.unionByName(p)
-    return every.agg(F.when((F.count("*") < min_refits) | F.max("unknown"), "unavailable").when(F.min("ok"), "robust_generalizing").otherwise("not_robust").alias("category"), F.count("*").alias("n_refits"), F.min("min_lower").alias("min_lower"))
-
-
 def definition_sensitivity(rows: DataFrame, group: str, gain: str, weight: str, definitions: dict[str, object], draws: int, seed: int) -> DataFrame:
     """Per block definition and group: interval and status; and whether all definitions agree on the group's status."""
     out = None

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.algebra import t_quantile
-from tessera.operators import conformal, decisions, density, novelty, population, process, resample, robust, selection, simulate, stacking
+from tessera.operators import conformal, decisions, density, novelty, population, process, refits, resample, robust, selection, simulate, stacking
 from tessera.plans import inputs
 from tessera.plans.information import rounds
-from tessera.plans.inputs import gain_rows, nation_gains, refit_blocks, table
+from tessera.plans.inputs import gain_rows, nation_gains, refit_blocks, refit_level_blocks, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -137,20 +137,102 @@ def family_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.family_category(resample.bootstrap_t(_blocks(spark, sf_dir), DRAWS, 3))
 
 
-@query(f"""WITH {inputs.REFITS}, b AS (SELECT *, row_number() OVER (PARTITION BY refit, grp ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY refit, grp) AS n FROM rb),
- p AS (SELECT d, {_pick(6, '5', "'refit'", 'd')} AS refit FROM (SELECT unnest(generate_series(0, {DRAWS - 1})) AS d)),
- k AS (SELECT b.refit, b.grp, p.d, {_pick(6, 'b.n', 'b.grp', 'p.d', 'b.idx')} AS idx FROM b JOIN p ON b.refit = p.refit),
+def _nested_sql(seed: int) -> str:
+    return f"""b AS (SELECT *, row_number() OVER (PARTITION BY refit, grp ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY refit, grp) AS n FROM rb),
+ p AS (SELECT d, {_pick(seed, '5', "'refit'", 'd')} AS refit FROM (SELECT unnest(generate_series(0, {DRAWS - 1})) AS d)),
+ k AS (SELECT b.refit, b.grp, p.d, {_pick(seed, 'b.n', 'b.grp', 'p.d', 'b.idx')} AS idx FROM b JOIN p ON b.refit = p.refit),
  dr AS (SELECT k.grp, k.d, sum(num) / sum(w) AS m FROM k JOIN b ON k.refit = b.refit AND k.grp = b.grp AND k.idx = b.idx GROUP BY ALL),
  mm AS (SELECT grp, avg(m) AS mean, stddev_pop(m) AS br FROM (SELECT refit, grp, sum(num) / sum(w) AS m FROM rb GROUP BY ALL) GROUP BY grp), sp AS (SELECT grp, stddev_samp(m) AS se FROM dr GROUP BY grp),
- c AS (SELECT quantile_cont(stat, 0.95) AS c FROM (SELECT d, max(abs(m - mean) / se) AS stat FROM dr JOIN mm ON dr.grp = mm.grp JOIN sp ON dr.grp = sp.grp GROUP BY d))
+ c AS (SELECT quantile_cont(stat, 0.95) AS c FROM (SELECT d, max(abs(m - mean) / se) AS stat FROM dr JOIN mm ON dr.grp = mm.grp JOIN sp ON dr.grp = sp.grp GROUP BY d))"""
+
+
+@query(f"""WITH {inputs.REFITS}, {_nested_sql(6)}
  SELECT mm.grp, round(mean, 9) AS mean, round(se, 9) AS se, round(br, 9) AS between_refits, round(mean - c * se, 9) AS lower, round(mean + c * se, 9) AS upper FROM mm JOIN sp ON mm.grp = sp.grp, c""")
 def refit_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(resample.nested_refits(refit_blocks(spark, sf_dir).cache(), DRAWS, 6))
 
 
-@query()
+def _fixed_set(seed: int, table: str, shared: bool = False) -> str:
+    """Cells of a fixed set of refits with one-sided bounds: table `fc`, from refit, grp, level, block, num, w."""
+    pick = _pick(seed, "n", *([] if shared else ["grp"]), "d", "idx")
+    move, unit = "(sn / sw - mean)", "sqrt(greatest(0, snn - 2 * (sn / sw) * snw + (sn / sw) ** 2 * sww) * n / (n - 1)) / sw"
+    rank = int(-(-(0.95 * (DRAWS - 1)) // 1)) + 1
+    sums = lambda t: ", ".join(f"sum({t}{x}) AS {name}" for x, name in (("num", "sn"), ("w", "sw"), ("num * num", "snn"), ("num * w", "snw"), ("w * w", "sww")))
+    return f"""ix AS (SELECT grp, block, row_number() OVER (PARTITION BY grp ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT DISTINCT grp, block FROM {table})),
+ tm AS (SELECT grp, d, idx, count(*) AS t FROM (SELECT grp, d, {pick} AS idx FROM ix CROSS JOIN (SELECT unnest(generate_series(0, {DRAWS - 1})) AS d) d) GROUP BY ALL),
+ fp AS (SELECT refit, grp, level, n, sn / sw AS mean, {unit} AS se FROM (SELECT refit, grp, level, count(*) AS n, {sums('')} FROM {table} GROUP BY ALL)),
+ fd AS (SELECT refit, d, CASE WHEN unit > 1e-15 THEN move / unit WHEN abs(move) <= 1e-15 THEN 0 WHEN move > 0 THEN CAST('inf' AS DOUBLE) ELSE CAST('-inf' AS DOUBLE) END AS stat FROM (SELECT refit, d, {move} AS move, {unit} AS unit FROM
+   (SELECT {table}.refit, {table}.grp, {table}.level, d, any_value(fp.n) AS n, any_value(fp.mean) AS mean, {sums('t * ')} FROM {table} JOIN ix ON ix.grp = {table}.grp AND ix.block = {table}.block JOIN tm ON tm.grp = ix.grp AND tm.idx = ix.idx
+     JOIN fp ON fp.refit = {table}.refit AND fp.grp = {table}.grp AND fp.level = {table}.level GROUP BY ALL))),
+ fk AS (SELECT refit, greatest(0, stat) AS critical FROM (SELECT refit, stat, row_number() OVER (PARTITION BY refit ORDER BY stat) AS r FROM (SELECT refit, d, max(stat) AS stat FROM fd GROUP BY ALL)) WHERE r = {rank}),
+ fc AS (SELECT fp.refit, grp, level, n AS n_blocks, mean, se, critical, mean - critical * se AS lower, CASE WHEN mean - critical * se > 0 THEN 'robust_positive' ELSE 'not_robust_positive' END AS status FROM fp JOIN fk ON fp.refit = fk.refit)"""
+
+
+@query(f"""WITH {inputs.REFITS}, r1 AS (SELECT refit, grp, 1 AS level, block, num, w FROM rb), {_fixed_set(7, 'r1')}
+ SELECT CASE WHEN bool_and(status = 'robust_positive') THEN 'robust_generalizing' ELSE 'not_robust' END AS category, count(DISTINCT refit) AS n_refits, round(min(lower), 9) AS min_lower FROM fc""")
 def all_refit_iut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounds(resample.all_refits_pass(refit_blocks(spark, sf_dir), DRAWS, 7))
+    return rounds(refits.all_refits_pass(refit_blocks(spark, sf_dir), DRAWS, 7))
+
+
+CELLS = "SELECT refit, grp, level, n_blocks, round(mean, 9) AS mean, round(se, 9) AS se, round(critical, 9) AS critical, round(lower, 9) AS lower, status FROM fc"
+
+
+@query(f"WITH {inputs.REFIT_LEVELS}, {_fixed_set(10, 'rl')} {CELLS}")
+def refit_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds(refits.refit_bounds(refit_level_blocks(spark, sf_dir), DRAWS, 10))
+
+
+@query(f"WITH {inputs.REFIT_LEVELS}, {_fixed_set(11, 'rl', shared=True)} {CELLS}")
+def refit_bounds_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds(refits.refit_bounds(refit_level_blocks(spark, sf_dir), DRAWS, 11, shared=True))
+
+
+STEPS = "fs AS (SELECT refit, level, bool_and(status = 'robust_positive') AS ok, min(mean) > 0 AS point FROM fc GROUP BY ALL)"
+
+
+@query(f"""WITH {inputs.REFIT_LEVELS}, {_fixed_set(10, 'rl')}, {STEPS} SELECT level, count(*) FILTER (ok) AS robust_refits, count(*) FILTER (NOT ok) AS not_robust_refits, CAST(0 AS BIGINT) AS unavailable_refits,
+ CASE WHEN bool_and(ok) THEN 'robust_across_refits' ELSE 'not_robust_across_refits' END AS category FROM fs GROUP BY level""")
+def all_refit_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refits.across_refits(refits.refit_steps(refits.refit_bounds(refit_level_blocks(spark, sf_dir), DRAWS, 10)))
+
+
+@query(f"""WITH {inputs.REFIT_LEVELS}, {_fixed_set(10, 'rl')}, {STEPS}, ce AS (SELECT refit, CAST(coalesce(min(CASE WHEN NOT ok THEN level END) - 1, max(level)) AS BIGINT) AS certified_ceiling, CAST(coalesce(min(CASE WHEN NOT point THEN level END) - 1, max(level)) AS BIGINT) AS point_ceiling FROM fs GROUP BY refit)
+ SELECT ce.*, (SELECT CAST(coalesce(min(CASE WHEN NOT ok THEN level END) - 1, max(level)) AS BIGINT) FROM fs) AS all_refit_ceiling, CASE WHEN (SELECT count(DISTINCT certified_ceiling) FROM ce) <= 1 THEN 'stable' ELSE 'refit_sensitive' END AS stability FROM ce""")
+def refit_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refits.refit_ceilings(refits.refit_bounds(refit_level_blocks(spark, sf_dir), DRAWS, 10))
+
+
+@query(f"""WITH {inputs.REFITS}, g AS (SELECT grp, count(*) FILTER (m > 0) AS positive_refits, count(*) FILTER (NOT m > 0) AS other_refits FROM (SELECT refit, grp, sum(num) / sum(w) AS m FROM rb GROUP BY ALL) GROUP BY grp)
+ SELECT g.*, (SELECT CASE WHEN bool_or(positive_refits > 0 AND other_refits > 0) THEN 'refit_sensitive' WHEN bool_and(other_refits = 0) THEN 'stable_generalizing' WHEN bool_and(positive_refits = 0) THEN 'stable_non_generalizing' ELSE 'stable_mixed' END FROM g) AS stability FROM g""")
+def refit_sign_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refits.sign_stability(refit_blocks(spark, sf_dir))
+
+
+def _scheme_sql(name: str, inner: int) -> str:
+    """Nested bounds of the refits with one smoothing: one row of the audit of schemes."""
+    z = inputs.INNER[inner]
+    return f"""SELECT '{name}' AS scheme, CAST(5 AS BIGINT) AS n_refits, CASE WHEN min(lower) > 0 THEN 'robust_generalizing' WHEN max(upper) <= 0 THEN 'robust_non_generalizing' WHEN bool_or(lower <= 0 AND upper > 0) THEN 'uncertain' ELSE 'mixed' END AS category, round(avg(mean), 9) AS mean, round(min(lower), 9) AS min_lower, round(max(upper), 9) AS max_upper FROM
+ (WITH {inputs.REFITS.replace('+ 0.5', f'+ {z}').replace('+ 1.5', f'+ {3 * z}')}, {_nested_sql(12)} SELECT mm.grp, mean, mean - c * se AS lower, mean + c * se AS upper FROM mm JOIN sp ON mm.grp = sp.grp, c)"""
+
+
+@query(f"""WITH sc AS ({_scheme_sql('light', 0)} UNION ALL {_scheme_sql('strong', 1)})
+ SELECT *, CASE WHEN min(category) OVER () <> max(category) OVER () THEN 'scheme_sensitive' WHEN category LIKE 'robust%' THEN 'scheme_' || category ELSE 'stable_' || category END AS sensitivity FROM sc""")
+def refit_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two schemes of five refits, which differ in smoothing; a minimum of five refits."""
+    cells = inputs.source_cells(spark, sf_dir).select(F.col("source").alias("refit"), "inner", "grp", "block", "num", "w")
+    schemes = {"light": cells.filter("inner = 0"), "strong": cells.filter("inner = 1")}
+    return rounds(refits.scheme_sensitivity(schemes, DRAWS, 12, min_refits=5))
+
+
+@query("""WITH b AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'),
+ s AS (SELECT 'lacking' AS scheme, count(*) FILTER (o_orderstatus = 'P') AS missing, 0 AS moved FROM b UNION ALL SELECT 'same', 0, 0 UNION ALL SELECT 'turned', 0, count(*) FILTER (o_orderkey <> 0) FROM b)
+ SELECT scheme, CAST(missing AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(moved AS BIGINT) AS moved, CASE WHEN missing > 0 THEN 'mismatch' WHEN moved > 0 THEN 'reorderable' ELSE 'exact' END AS alignment,
+  CASE WHEN max(missing) OVER () > 0 THEN 'row_mismatch' WHEN max(moved) OVER () > 0 THEN 'audited_reordered_alignment' ELSE 'audited_exact_alignment' END AS status FROM s""")
+def scheme_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders as validation rows: one scheme has them in turned order, one lacks those of status P."""
+    rows = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderkey").alias("position"), "o_orderstatus")
+    schemes = {"same": rows, "turned": rows.withColumn("position", -F.col("position")), "lacking": rows.filter("o_orderstatus != 'P'")}
+    return refits.scheme_alignment(rows, schemes)
 
 
 def _jackknife_sql(by: str, name: str) -> str:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators.cube import support_cube
 
 ALPHA = 0.5
+#: return flags, and refits that each leave out a share of the blocks
+FLAGS, REFIT_COUNT = 3, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,21 +39,37 @@ def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("c_mktsegment").alias("seg"), F.col("o_orderpriority").alias("pri"), F.col("c_nationkey").alias("nation"), F.lit(1.0).alias("mass"))
 
 
-def score_cells(spark: SparkSession, sf_dir: str, leave_out: int | None = None, alpha: float = ALPHA) -> DataFrame:
+def _flag_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows w by line number g, supplier bucket b of 20, return flag a, status s and month t."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.col("l_linenumber").alias("g"), (F.col("l_suppkey") % 20).cast("int").alias("b"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("s"), F.month("l_shipdate").alias("t")).agg(F.count("*").cast("double").alias("w"))
+
+
+def _scored(cells: DataFrame, counts) -> tuple[DataFrame, list]:
+    """The cells with the counts of all their margins, and the pairs of counts whose ratios the three levels' scores are."""
+    n = lambda *keys: cells.groupBy(*keys).agg(counts.alias("n_" + "".join(keys)))
+    x = cells.join(n("a"), "a").join(n("s"), "s").join(n("a", "s"), ["a", "s"]).join(n("s", "t"), ["s", "t"]).join(n("a", "s", "t"), ["a", "s", "t"]).crossJoin(F.broadcast(cells.agg(counts.alias("n"))))
+    return x, [("n_a", "n"), ("n_as", "n_s"), ("n_ast", "n_st")]
+
+
+def score_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed log scores of the return flag at three levels of information, by group and block.
 
-    g: line number, b: supplier bucket of 20, w: rows, s0: pooled, s1: given status, s2: given status and month. With
-    leave_out, the counts behind the scores leave out the blocks of that remainder modulo 5.
+    g: line number, b: supplier bucket of 20, w: rows, s0: pooled, s1: given status, s2: given status and month.
     """
-    rows = table(spark, sf_dir, "lineitem")
-    cells = rows.groupBy(F.col("l_linenumber").alias("g"), (F.col("l_suppkey") % 20).cast("int").alias("b"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("s"), F.month("l_shipdate").alias("t")).agg(F.count("*").cast("double").alias("w")).cache()  # 7 x 20 x 3 x 2 x 12 cells, read many times below
-    train = cells if leave_out is None else cells.filter(F.col("b") % 5 != leave_out)
-    n = lambda *keys: train.groupBy(*keys).agg(F.sum("w").alias("n_" + "".join(keys)))
-    k = 3
-    total = train.agg(F.sum("w").alias("n"))
-    x = cells.join(n("a"), "a").join(n("s"), "s").join(n("a", "s"), ["a", "s"], "left").join(n("s", "t"), ["s", "t"], "left").join(n("a", "s", "t"), ["a", "s", "t"], "left").crossJoin(F.broadcast(total))
-    part = lambda top, bottom: F.ln((F.coalesce(top, F.lit(0.0)) + alpha) / (F.coalesce(bottom, F.lit(0.0)) + alpha * k))
-    return x.select("g", "b", "w", part("n_a", "n").alias("s0"), part("n_as", "n_s").alias("s1"), part("n_ast", "n_st").alias("s2"))
+    x, pairs = _scored(_flag_cells(spark, sf_dir), F.sum("w"))
+    return x.select("g", "b", "w", *[F.ln((F.col(top) + ALPHA) / (F.col(bottom) + ALPHA * FLAGS)).alias(f"s{n}") for n, (top, bottom) in enumerate(pairs)])
+
+
+def refit_scores(spark: SparkSession, sf_dir: str, smoothings: tuple[float, ...] = (ALPHA,)) -> DataFrame:
+    """refit, inner (number of the smoothing) and the columns of score_cells: each refit's counts leave out the blocks of
+    its remainder modulo 5. Every margin is counted once, as its total less each fifth.
+    """
+    less = F.array(*[F.sum("w") - F.sum(F.when(F.col("b") % REFIT_COUNT == r, F.col("w")).otherwise(0.0)) for r in range(REFIT_COUNT)])
+    x, pairs = _scored(_flag_cells(spark, sf_dir), less)
+    x = x.withColumn("refit", F.explode(F.sequence(F.lit(0), F.lit(REFIT_COUNT - 1)))).select("*", F.posexplode(F.array(*[F.lit(z) for z in smoothings])).alias("inner", "z"))
+    at = lambda name: F.get(name, F.col("refit"))
+    return x.select("refit", "inner", "g", "b", "w", *[F.ln((at(top) + F.col("z")) / (at(bottom) + F.col("z") * FLAGS)).alias(f"s{n}") for n, (top, bottom) in enumerate(pairs)])
 
 
 #: SQL of score_cells: table `sc`
@@ -68,12 +86,14 @@ def gain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """refit, grp, block, num, w: five refits that each leave out a fifth of the blocks."""
-    out = None
-    for r in range(5):
-        s = score_cells(spark, sf_dir, r).select(F.lit(r).alias("refit"), F.col("g").alias("grp"), F.col("b").alias("block"), ((F.col("s2") - F.col("s0")) * F.col("w")).alias("x"), "w")
-        s = s.groupBy("refit", "grp", "block").agg(F.sum("x").alias("num"), F.sum("w").alias("w"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    gain = (F.col("s2") - F.col("s0")) * F.col("w")
+    return refit_scores(spark, sf_dir).groupBy("refit", F.col("g").alias("grp"), F.col("b").alias("block")).agg(F.sum(gain).alias("num"), F.sum("w").alias("w"))
+
+
+def refit_level_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """refit, grp, level, block, num, w: the same refits, by step of the ladder."""
+    rows = refit_scores(spark, sf_dir).select("refit", F.col("g").alias("grp"), F.col("b").alias("block"), "w", F.expr("stack(2, 1, s1 - s0, 2, s2 - s1) as (level, gain)"))
+    return rows.groupBy("refit", "grp", "level", "block").agg(F.sum(F.col("w") * F.col("gain")).alias("num"), F.sum("w").alias("w"))
 
 
 #: SQL of refit_blocks: table `rb`
@@ -83,19 +103,20 @@ REFITS = """cells AS (SELECT l_linenumber AS g, CAST(l_suppkey % 20 AS INTEGER)
  rb AS (SELECT CAST(refit AS INTEGER) AS refit, g AS grp, b AS block, sum(w * gain) AS num, sum(w) AS w FROM rs GROUP BY refit, g, b)"""
 
 
+#: SQL of refit_level_blocks: table `rl`, after the tables of REFITS
+REFIT_LEVELS = f"""{REFITS}, rv AS (SELECT refit, g, b, w, ln((sum(v) OVER (PARTITION BY refit, a) + 0.5) / (sum(v) OVER (PARTITION BY refit) + 1.5)) AS s0, ln((sum(v) OVER (PARTITION BY refit, a, s) + 0.5) / (sum(v) OVER (PARTITION BY refit, s) + 1.5)) AS s1,
+   ln((sum(v) OVER (PARTITION BY refit, a, s, t) + 0.5) / (sum(v) OVER (PARTITION BY refit, s, t) + 1.5)) AS s2 FROM rr),
+ rl AS (SELECT CAST(refit AS INTEGER) AS refit, g AS grp, level, b AS block, sum(w * (CASE level WHEN 1 THEN s1 - s0 ELSE s2 - s1 END)) AS num, sum(w) AS w FROM rv CROSS JOIN (SELECT unnest([1, 2]) AS level) l GROUP BY refit, g, level, b)"""
+
+
 #: smoothing of the inner refits of a source
 INNER = (0.5, 2.0)
 
 
 def source_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, inner, grp, block, num, w: five sources that each leave out a fifth of the blocks, each refit with two smoothings."""
-    out = None
-    for r in range(5):
-        for k, alpha in enumerate(INNER):
-            s = score_cells(spark, sf_dir, r, alpha).select(F.lit(r).alias("source"), F.lit(k).alias("inner"), F.col("g").alias("grp"), F.col("b").alias("block"), ((F.col("s2") - F.col("s0")) * F.col("w")).alias("x"), "w")
-            s = s.groupBy("source", "inner", "grp", "block").agg(F.sum("x").alias("num"), F.sum("w").alias("w"))
-            out = s if out is None else out.unionByName(s)
-    return out
+    gain = (F.col("s2") - F.col("s0")) * F.col("w")
+    return refit_scores(spark, sf_dir, INNER).groupBy(F.col("refit").alias("source"), "inner", F.col("g").alias("grp"), F.col("b").alias("block")).agg(F.sum(gain).alias("num"), F.sum("w").alias("w"))
 
 
 #: SQL of source_cells with inner refits averaged in their source: table `rb`, as of REFITS

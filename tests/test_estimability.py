@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import population, process, resample, robust
+from tessera.operators import population, process, refits, resample, robust
 from tessera.sources import tables
 
 BLOCKS = "grp string, block int, gain double, w double"
@@ -47,7 +47,7 @@ def test_training_processes_with_minus_infinity(spark):
         assert got["z"]["mean"] == INF and got["z"].status == "unavailable" and got["a"].status == "robust_positive"
     few = process.pigeonhole_bounds(frame.filter("refit < 3"), 50, 1).collect()
     assert {r.status for r in few} == {"unavailable"}
-    assert resample.all_refits_pass(frame, 50, 1).first().category == "unavailable"
+    assert refits.all_refits_pass(frame, 50, 1).first().category == "unavailable"
 
 
 ROWS = "grp string, block int, gain double, w double"
