@@ -32,7 +32,8 @@ def refit_bounds(blocks: DataFrame, draws: int, seed: int, alpha: float = 0.05,
     places = blocks.select("grp", "block").distinct().withColumns({"idx": F.row_number().over(order) - 1, "n_places": F.count("*").over(whole)})
     held = places.groupBy("block").agg(F.count("*").alias("holders")).agg(F.min("holders").alias("fewest")).crossJoin(places.agg(F.countDistinct("grp").alias("n_groups")))
     parts = [str(seed), *([] if shared else [F.col("grp")]), F.col("draw"), F.col("idx")]
-    slots = places.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the places are few, their draws many
+    slots = places.crossJoin(F.broadcast(blocks.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw")))).repartition(tasks, "draw")
     times = slots.select("grp", "draw", counter_draw(F.col("n_places"), *parts).alias("idx")).groupBy("grp", "draw", "idx").agg(F.count("*").alias("t"))
 
     points = blocks.groupBy(*CELL).agg(F.count("*").alias("n_blocks"), F.min(F.coalesce(F.abs("num") < float("inf"), F.lit(False))).alias("finite"), *_sums(F.lit(1)))

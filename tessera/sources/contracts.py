@@ -166,7 +166,8 @@ def run_refits(spark: SparkSession, contract: dict, folder: str = ".") -> dict:
     """Certifies an information ladder over refits and blocks; the data hold one row per refit and held-out row.
 
     The family is made of all groups and steps; one refit per draw serves all of it. A step generalizes if it does so
-    robustly in every group; the ceiling is reached by such steps alone, and good points of one refit do not lift it.
+    robustly in every group; the ceiling is reached by such steps alone, and good points of one refit do not lift it. The
+    reference refit is certified on its blocks alone beside it (reference_cells, reference_ceiling), which lifts nothing either.
     """
     c = refit_contract(contract)
     columns, limits, levels = c["columns"], c["certification"], [x["score_column"] for x in c["levels"]]
@@ -189,16 +190,21 @@ def run_refits(spark: SparkSession, contract: dict, folder: str = ".") -> dict:
     status = interval_status(F.col("lower"), F.col("upper"), tolerance) if n_refits >= limits["minimum_refits"] else F.lit("unavailable")
     cells = nested.withColumn("status", status).cache()
     robust = {r["level"]: r["category"] for r in resample.family_category(cells, "level").collect()}
+    alone = resample.nested_refits(blocks.filter(F.col("refit") == reference), limits["nested_draws"], limits["seed"], 1 - limits["familywise_confidence_level"], ("level",), limits["minimum_blocks_per_group"])
+    own = alone.withColumn("status", interval_status(F.col("lower"), F.col("upper"), tolerance)).cache()
+    certain = {r["level"]: r["category"] for r in resample.family_category(own, "level").collect()}
     out = {
         "endpoint_id": c["endpoint_id"], "refits": n_refits, "rows_per_refit": n_rows, "reference_refit": reference,
         "cells": [r.asDict() for r in cells.orderBy("level", "grp").collect()], "steps": robust,
         "point_ceilings": {refit: c["levels"][reached(held)]["name"] for refit, held in sorted(by_refit.items())},
         "reference_point_ceiling": c["levels"][reached(by_refit[reference])]["name"],
+        "reference_cells": [r.asDict() for r in own.orderBy("level", "grp").collect()],
+        "reference_ceiling": c["levels"][reached({n: kind == "all_positive" for n, kind in certain.items()})]["name"],
         "ceiling": c["levels"][reached({n: kind == "all_positive" for n, kind in robust.items()})]["name"],
         "confirmatory_eligible": c["evaluation"]["analysis_mode"] == "confirmatory",
     }
     receipt = _receipt(c, data, out)
-    for kept in (blocks, cells):
+    for kept in (blocks, cells, own):
         kept.unpersist()
     return receipt
 

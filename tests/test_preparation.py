@@ -160,6 +160,7 @@ def test_refit_contract_certifies_steps_over_all_refits(spark, tmp_path):
     got = contracts.run_refits(spark, _refits("r.csv"), folder)["result"]
     assert got["steps"][1] == "all_positive" and got["steps"][2] != "all_positive" and got["ceiling"] == "place"
     assert got["point_ceilings"] == {"0": "time", "1": "place", "2": "place"} and got["reference_point_ceiling"] == "time"
+    assert got["reference_ceiling"] == "time" and len(got["reference_cells"]) == 4 and all(c["lower"] > 0 for c in got["reference_cells"])
     assert contracts.run_refits(spark, _refits("r.csv", minimum_refits=4), folder)["result"]["steps"] == {1: "unavailable", 2: "unavailable"}
     (tmp_path / "r.csv").write_text(_refit_rows(lambda i, f: "-inf" if i == 0 else -1))
     assert contracts.run_refits(spark, _refits("r.csv"), folder)["result"]["steps"][2] == "unavailable"
