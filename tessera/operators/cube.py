@@ -20,11 +20,11 @@ def marginal(cube: DataFrame, axes: Sequence[str]) -> DataFrame:
     return cube.groupBy(*axes).agg(F.sum("mass").alias("mass"))
 
 
-def marginals(cube: DataFrame, subsets: Sequence[Sequence[str]]) -> DataFrame:
-    """All wanted marginals in one pass of GROUPING SETS; subset_no tells them apart."""
+def marginals(cube: DataFrame, subsets: Sequence[Sequence[str]], masses: Sequence[str] = ("mass",)) -> DataFrame:
+    """All wanted marginals of the masses in one pass of GROUPING SETS; subset_no tells them apart."""
     axes = sorted({a for s in subsets for a in s})
     sets = [[F.col(a) for a in s] for s in subsets]
-    rows = cube.groupingSets(sets, *[F.col(a) for a in axes]).agg(F.sum("mass").alias("mass"), F.grouping_id().alias("gid"))
+    rows = cube.groupingSets(sets, *[F.col(a) for a in axes]).agg(*[F.sum(m).alias(m) for m in masses], F.grouping_id().alias("gid"))
     code = {sum(1 << (len(axes) - 1 - i) for i, a in enumerate(axes) if a not in s): n for n, s in enumerate(subsets)}
     number = F.coalesce(*[F.when(F.col("gid") == g, n) for g, n in code.items()])
     return rows.withColumn("subset_no", number).drop("gid")

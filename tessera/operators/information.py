@@ -43,14 +43,27 @@ def overlap(a: DataFrame, b: DataFrame, axes: Sequence[str]) -> DataFrame:
     return pa.join(pb, list(axes), "full_outer").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.5 * gap)).alias("overlap"))
 
 
+def overlaps(a: DataFrame, b: DataFrame, subsets: Sequence[Sequence[str]]) -> DataFrame:
+    """subset_no, overlap: Schoener's overlap of two cubes on each subset of axes, all from one pass over both."""
+    axes = sorted({x for s in subsets for x in s})
+    side = lambda cube, mine, other: cube.select(*axes, F.col("mass").alias(mine), F.lit(0.0).alias(other))
+    both = side(a, "ma", "mb").unionByName(side(b, "mb", "ma"))
+    totals = both.agg(F.sum("ma").alias("ta"), F.sum("mb").alias("tb"))
+    share = lambda m, t: F.coalesce(F.try_divide(F.col(m), F.col(t)), F.lit(0.0))
+    gap = F.sum(F.abs(share("ma", "ta") - share("mb", "tb")))
+    return marginals(both, subsets, ("ma", "mb")).crossJoin(F.broadcast(totals)).groupBy("subset_no").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.5 * gap)).alias("overlap"))
+
+
 def overlap_profile(a: DataFrame, b: DataFrame, base: Sequence[str], z: str, t: str) -> DataFrame:
-    """One row: overlaps on the base, with z, with t and on all axes, and what projections make look more alike."""
-    out = None
-    for name, axes in (("base", [*base]), ("with_z", [*base, z]), ("with_t", [*base, t]), ("full", [*base, z, t])):
-        one = overlap(a, b, axes).withColumnRenamed("overlap", name)
-        out = one if out is None else out.crossJoin(one)  # four single rows
-    clip = lambda c: F.greatest(F.lit(0.0), c)
-    return out.select("base", "with_z", "with_t", "full", clip(F.col("base") - F.col("full")).alias("inflation"), clip(F.least("with_z", "with_t") - F.col("full")).alias("joint_only"))
+    """One row: overlaps on the base, with z, with t and on all axes, and what projections make look more alike.
+
+    All are null if neither cube has mass.
+    """
+    names = ("base", "with_z", "with_t", "full")
+    each = overlaps(a, b, [[*base], [*base, z], [*base, t], [*base, z, t]])
+    out = each.agg(*[F.max(F.when(F.col("subset_no") == n, F.col("overlap"))).alias(name) for n, name in enumerate(names)])
+    over = lambda c: F.when(F.col("full").isNotNull(), F.greatest(F.lit(0.0), c - F.col("full")))
+    return out.select(*names, over(F.col("base")).alias("inflation"), over(F.least("with_z", "with_t")).alias("joint_only"))
 
 
 def mutual_information(cube: DataFrame, base: Sequence[str], added: Sequence[str]) -> DataFrame:

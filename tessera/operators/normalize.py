@@ -183,6 +183,7 @@ def vertical(rows: DataFrame, fields: VerticalFields) -> DataFrame:
     precision = F.when(some, "interval").when(value.isNotNull(), "point").when(stratum.isNotNull(), "categorical").otherwise("unknown")
     numeric, biological = some | value.isNotNull(), fields.axis_kind in NICHE_AXES
     sensed = ~s_turned & (s_low.isNotNull() | s_high.isNotNull())
+    # fixed values: names of the vertical flags
     flags = [
         F.when(turned, "vertical_interval_reversed"), F.when(s_turned, "sensor_vertical_interval_reversed"), F.when(doubt < 0, "invalid_negative_vertical_uncertainty"),
         F.when(some & open_, "open_vertical_interval"), F.when(precision == "unknown", "missing_or_unparsed_vertical_information"), F.when(numeric & unit.isNull(), "vertical_unit_missing"),

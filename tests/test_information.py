@@ -102,3 +102,13 @@ def test_policies_and_estimators_of_the_caller(spark):
     for model in ("other", LinearSVC()):
         with pytest.raises((ValueError, KeyError, TypeError)):
             workflow._learner(model, {"featuresCol": "f", "labelCol": "l", "weightCol": "w", "noneSuch": "n"} if model != "other" else {}, 1.0, 1, 0)
+
+
+def test_overlaps_of_all_subsets_are_those_of_each(spark):
+    a = tensor(spark, [(1, 0, 0, 0, 2.0), (1, 1, 0, 1, 1.0), (2, 0, 1, 0, 3.0)])
+    b = tensor(spark, [(1, 0, 0, 1, 1.0), (2, 0, 1, 0, 1.0), (3, 1, 1, 1, 4.0)])
+    subsets = [list(a.columns[:1]), list(a.columns[:3]), list(a.columns[1:4])]
+    got = {r.subset_no: r.overlap for r in information.overlaps(a, b, subsets).collect()}
+    assert [got[n] for n in range(3)] == [pytest.approx(information.overlap(a, b, s).first()[0]) for s in subsets]
+    none = a.filter("mass < 0")
+    assert set(information.overlap_profile(none, none, subsets[0], a.columns[1], a.columns[2]).first()) == {None}
