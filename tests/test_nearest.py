@@ -51,3 +51,20 @@ def test_one_reference_and_none(spark):
     assert novelty.nearest(one, one, skip_same_id=True).first().distance == float("inf")
     assert novelty.nearest(q, one.limit(0)).first().distance == float("inf")
     assert novelty.nearest(q.limit(0), one).count() == 0
+
+
+def test_a_query_travels_once_for_a_bundle_of_cells(spark):
+    """Vectors without structure reach all cells; their queries were sent to each of them, which filled the executors."""
+    rng = np.random.default_rng(7)
+    refs, queries = rng.normal(0, 1, (800, 24)), rng.normal(0, 1, (100, 24))
+    cells, asking = novelty.Cells(frame(spark, refs)), frame(spark, queries, 10_000)
+    assert cells.compared(asking) > 0.5 * 800 * 100
+    _, asked = cells.reached(asking)
+    assert asked.count() <= 100 * (cells.bundle.max() + 1) <= 200
+
+
+def test_copies_equal_all_pairs(spark):
+    refs = np.concatenate([clustered(5).repeat(60, axis=0), clustered(40, seed=4)])
+    r = frame(spark, refs)
+    own = {x.id: x.distance for x in novelty.nearest(r, r, skip_same_id=True).collect()}
+    assert np.allclose([own[i] for i in range(len(refs))], truth(refs, refs, True), rtol=1e-12, atol=1e-12)
