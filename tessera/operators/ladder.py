@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.algebra import gain_category, weighted_mean
+from tessera.functions.lineage import cut
 
 
 def level_means(rows: DataFrame, group: str, weight: str, levels: Sequence[str]) -> DataFrame:
@@ -38,7 +39,7 @@ def ceiling(gains: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
 def lattice_edges(nodes: DataFrame, blocks: int, tolerance: float = 1e-9) -> DataFrame:
     """nodes: subset_mask, group, score for all 2^blocks subsets. One row per edge: lower, block, category, min and mean gain."""
-    nodes = nodes.cache()  # subsets x groups
+    nodes = cut(nodes)  # subsets x groups
     upper = nodes.select(F.col("subset_mask").alias("upper"), F.col("group").alias("u_group"), F.col("score").alias("u_score"))
     low = nodes.withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(blocks)]))).filter(F.expr("(subset_mask & shiftleft(1, block)) = 0"))
     joined = low.join(upper, (F.expr("subset_mask | shiftleft(1, block)") == F.col("upper")) & (F.col("group") == F.col("u_group")))
@@ -55,7 +56,7 @@ def shapley(edges: DataFrame, blocks: int) -> DataFrame:
 
 def monotone_paths(edges: DataFrame, blocks: int) -> DataFrame:
     """One row: in how many orders of adding the blocks every step generalizes, out of all orders."""
-    edges = edges.cache()  # one row per edge
+    edges = cut(edges)  # one row per edge
     good = edges.filter("category = 'generalizing'").select(F.col("subset_mask").alias("lower"), F.expr("subset_mask | shiftleft(1, block)").alias("upper"))
     reached = edges.select(F.lit(0).alias("mask"), F.lit(1).cast("long").alias("ways")).limit(1)
     for _ in range(blocks):  # as many small joins as blocks

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.algebra import rounded
+from tessera.functions.lineage import cut
 from tessera.operators import cube, information, ladder, state, transfer, workflow
 from tessera.plans import inputs
 from tessera.plans.inputs import event_cells, events_by_time, lineitem_cube, order_states, score_cells, table
@@ -226,7 +227,7 @@ BLOCKS = ("s", "t", "z")
 def _lattice_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean smoothed log score of the return flag given each subset of status (1), month (2) and line number (4), by supplier group."""
     rows = table(spark, sf_dir, "lineitem")
-    cells = rows.groupBy((F.col("l_suppkey") % 4).cast("int").alias("group"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("s"), F.month("l_shipdate").alias("t"), F.col("l_linenumber").alias("z")).agg(F.count("*").cast("double").alias("w")).cache()  # read once for all eight subsets
+    cells = cut(rows.groupBy((F.col("l_suppkey") % 4).cast("int").alias("group"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("s"), F.month("l_shipdate").alias("t"), F.col("l_linenumber").alias("z")).agg(F.count("*").cast("double").alias("w")))  # read once for all eight subsets; few cells, in as few partitions
     out = None
     for mask in range(8):
         keys = [k for i, k in enumerate(BLOCKS) if mask >> i & 1]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut
 from tessera.operators import lattice
 from tessera.plans.certification import DRAWS, _pick
 from tessera.plans.information import rounds
@@ -38,10 +39,10 @@ def _axes(mask: int) -> list[str]:
 def node_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """grp, block, w and the smoothed log score of each subset; a few cells per group and block."""
     rows = table(spark, sf_dir, "lineitem")
-    x = rows.groupBy(
+    x = cut(rows.groupBy(
         (F.col("l_suppkey") % 4).cast("int").alias("grp"), (F.col("l_partkey") % 12).cast("int").alias("block"), F.col("l_returnflag").alias("a"),
         F.col("l_linestatus").alias("s"), F.month("l_shipdate").alias("t"), F.col("l_linenumber").alias("z"),
-    ).agg(F.count("*").cast("double").alias("w"))
+    ).agg(F.count("*").cast("double").alias("w")))
     cells = x
     for mask in range(1 << K):
         keys = _axes(mask)
