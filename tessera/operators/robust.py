@@ -195,6 +195,7 @@ def robustness_radius(rows: DataFrame, draws: int, seed: int, alpha: float = 0.0
     the category kept. radius and break_gamma bracket the change; limiting_groups: those in the way there. All steps use
     the same draws.
     """
+    rows = cut(rows.select("grp", "block", "gain", "w"))  # read several times
     live = rows.filter("w > 0")
     resamples = _resamples(rows, draws, seed)
     few = {r[0] for r in live.groupBy(F.col("grp").cast("string").alias("grp")).agg(F.countDistinct("block").alias("n")).filter(F.col("n") < min_blocks).collect()}  # groups

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut
 from tessera.operators.cube import support_cube
 
 ALPHA = 0.5
@@ -40,9 +41,9 @@ def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flag_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows w by line number g, supplier bucket b of 20, return flag a, status s and month t."""
+    """Rows w by line number g, supplier bucket b of 20, return flag a, status s and month t; staged, as all margins are counted from them."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_linenumber").alias("g"), (F.col("l_suppkey") % 20).cast("int").alias("b"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("s"), F.month("l_shipdate").alias("t")).agg(F.count("*").cast("double").alias("w"))
+    return cut(rows.groupBy(F.col("l_linenumber").alias("g"), (F.col("l_suppkey") % 20).cast("int").alias("b"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("s"), F.month("l_shipdate").alias("t")).agg(F.count("*").cast("double").alias("w")))
 
 
 def _scored(cells: DataFrame, counts) -> tuple[DataFrame, list]:

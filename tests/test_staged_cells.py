@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tessera.operators import ladder
-from tessera.plans import information, lattices
+from tessera.plans import information, inputs, lattices
 
 DIR = "/root/testdata/sf0.001"
 
@@ -17,3 +17,8 @@ def plan(df):
 @pytest.mark.parametrize("made", [lambda s: information._lattice_nodes(s, DIR), lambda s: ladder.lattice_edges(information._lattice_nodes(s, DIR), 3), lambda s: lattices.node_scores(s, DIR)])
 def test_lattices_are_built_from_staged_cells(spark, made):
     assert "FileScan parquet" not in plan(made(spark)) and "InMemory" not in plan(made(spark))
+
+
+@pytest.mark.parametrize("made", [inputs.score_cells, inputs.gain_rows, inputs.refit_blocks, inputs.source_cells])
+def test_margins_are_counted_from_staged_cells(spark, made):
+    assert "FileScan parquet" not in plan(made(spark, DIR))
