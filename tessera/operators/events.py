@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut
 from tessera.operators.scan import running
 
-#: Rows of a site up to which one task permutes it; draws at a time for larger ones.
-SITE_ROWS, BATCH = 1_000_000, 25
+#: Rows of a site up to which one task permutes it, in some 100 bytes each; draws at a time.
+SITE_ROWS, BATCH = 4_000_000, 25
 
 
 def with_reason(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -107,57 +108,73 @@ def rolling_thin(rows: DataFrame, key: str, ts: str, id_: str, seconds: float) -
     return sorted_.mapInArrow(keep, sorted_.select(key, id_, ts).schema)
 
 
-def permutation_counts(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str, site_rows: int = SITE_ROWS) -> DataFrame:
+def _order(head: bytes, ids: np.ndarray) -> np.ndarray:
+    """Places of the ids, which are sorted, in the order of the MD5 of head and id."""
+    keys = np.empty((len(ids), 2), np.uint64)
+    for k in range(0, len(ids), 65_536):
+        keys[k : k + 65_536] = np.frombuffer(b"".join([md5(head + i).digest() for i in ids[k : k + 65_536].tolist()]), ">u8").reshape(-1, 2)
+    order = np.argsort(keys[:, 0])
+    high = keys[order, 0]
+    if (high[1:] == high[:-1]).any():  # half of a digest settles nearly every order
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+    return order
+
+
+def permutation_counts(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str, site_rows: int = SITE_ROWS, batch: int = BATCH) -> DataFrame:
     """draw, identity, state, n: how often they meet when identities are permuted within sites; draw -1 is as observed.
 
     A draw orders a site's rows once by id and once by the MD5 of label, draw and id, and gives each row of the first
-    order the identity of equal rank in the second. A site's rows meet once: all draws are made where they are, and only
-    counts go on, so that rows are shuffled once however many draws are made. Sites of more than site_rows rows, which
-    one task should not hold, are ordered by Spark, some draws at a time.
+    order the identity of equal rank in the second. A site's rows meet once for each batch of draws, so that few large
+    sites are many tasks too, and only counts go on. Sites of more than site_rows rows, which one task should not hold,
+    are ordered by Spark, a batch of draws at a time.
     """
     sizes = cells.groupBy(F.col(site).alias("__of")).agg(F.count("*").alias("__n"))
-    known = cells.join(sizes, F.col(site).eqNullSafe(F.col("__of"))).select(site, F.col(identity).alias("identity"), F.col(state).alias("state"), "id", "__n")
+    known = cells.join(F.broadcast(sizes), F.col(site).eqNullSafe(F.col("__of"))).select(site, F.col(identity).alias("identity"), F.col(state).alias("state"), "id", "__n")
     kinds = {f.name: f.dataType.simpleString() for f in known.schema}
     schema = f"draw int, identity {kinds['identity']}, state {kinds['state']}, n long"
 
-    def permuted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        who, names = pd.factorize(rows["identity"], use_na_sentinel=False)
-        what, states = pd.factorize(rows["state"], use_na_sentinel=False)
-        ids = [str(i).encode() for i in rows["id"]]
-        width, out = len(states), []
-        for draw in range(-1, draws):
-            mixed = who
-            if draw >= 0:
-                head = f"{label}|{draw}|".encode()
-                keys = np.frombuffer(b"".join([md5(head + i).digest() for i in ids]), ">u8").reshape(-1, 2)
-                mixed = who[np.lexsort((keys[:, 1], keys[:, 0]))]
-            count = np.bincount(mixed * width + what, minlength=len(names) * width)
+    def permuted(rows: pa.Table) -> pa.Table:
+        first = rows["__first"][0].as_py()
+        rows = rows.select(["id", "identity", "state"]).combine_chunks().sort_by("id")
+        who, what = (rows[c].combine_chunks().dictionary_encode("encode") for c in ("identity", "state"))
+        mine, width = who.indices.to_numpy().astype(np.int32), len(what.dictionary)
+        theirs = what.indices.to_numpy().astype(np.int32)
+        ids = rows["id"].to_numpy()
+        ids = ids.astype("S20") if ids.dtype.kind in "iu" else np.array([str(i).encode() for i in ids], object)
+        del rows
+        out = []
+        for draw in range(first, min(first + batch, draws)):
+            mixed = mine if draw < 0 else mine[_order(f"{label}|{draw}|".encode(), ids)]
+            count = np.bincount(mixed * width + theirs, minlength=len(who.dictionary) * width)
             hit = np.flatnonzero(count)
-            out.append(pd.DataFrame({"draw": np.full(len(hit), draw, np.int32), "identity": names[hit // width], "state": states[hit % width], "n": count[hit]}))
-        return pd.concat(out)
+            names, states = who.dictionary.take(pa.array(hit // width)), what.dictionary.take(pa.array(hit % width))
+            out.append(pa.table({"draw": np.full(len(hit), draw, np.int32), "identity": names, "state": states, "n": count[hit].astype(np.int64)}))
+        return pa.concat_tables(out)
 
     # a site stands for all of its rows: they are grouped by it, null sites too
-    found = known.filter(F.col("__n") <= site_rows).groupBy(site).applyInPandas(permuted, schema)
+    small = known.filter(F.col("__n") <= site_rows).drop("__n").withColumn("__first", F.explode(F.sequence(F.lit(-1), F.lit(max(draws - 1, -1)), F.lit(batch))))
+    # by number: adaptive execution would put these few rows, and all the work on them, into a few tasks
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = small.repartition(tasks, site, "__first").groupBy(site, "__first").applyInArrow(permuted, schema)
     large = known.filter(F.col("__n") > site_rows)
     if large.limit(1).count():
         found = found.unionByName(large.groupBy("identity", "state").agg(F.count("*").alias("n")).select(F.lit(-1).alias("draw"), "identity", "state", "n"))
         plain = large.select(site, F.col("state").alias("p_state"), F.row_number().over(Window.partitionBy(site).orderBy("id")).alias("rank"))
         key = F.md5(F.concat_ws("|", F.lit(label), F.col("draw").cast("string"), F.col("id").cast("string")).cast("binary"))
-        for first in range(0, draws, BATCH):
-            spread = large.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(min(first + BATCH, draws) - 1))))
+        for first in range(0, draws, batch):
+            spread = large.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(min(first + batch, draws) - 1))))
             mixed = spread.select(F.col(site).alias("__site"), "draw", "identity", F.row_number().over(Window.partitionBy(site, "draw").orderBy(key, "id")).alias("__rank"))
             met = plain.join(mixed, F.col(site).eqNullSafe(F.col("__site")) & (F.col("rank") == F.col("__rank")))
             found = found.unionByName(met.groupBy("draw", "identity", F.col("p_state").alias("state")).agg(F.count("*").alias("n")))
     return found.groupBy("draw", "identity", "state").agg(F.sum("n").alias("n"))
 
 
-def permutation_null(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str, site_rows: int = SITE_ROWS) -> DataFrame:
+def permutation_null(cells: DataFrame, site: str, identity: str, state: str, draws: int, label: str, site_rows: int = SITE_ROWS, batch: int = BATCH) -> DataFrame:
     """Mutual information of identity and state, and its p value when identities are permuted within sites.
 
     cells: one row per event with row id `id`; p = (1 + draws at least as high) / (1 + draws).
     """
-    joint = permutation_counts(cells, site, identity, state, draws, label, site_rows)
+    joint = cut(permutation_counts(cells, site, identity, state, draws, label, site_rows, batch))  # read by all draws and by the observed one
     over = lambda *by: Window.partitionBy("draw", *by)  # noqa: E731  draws x identities x states
     parts = joint.select("draw", F.col("n").cast("double").alias("n"), F.sum("n").over(over("identity")).alias("na"), F.sum("n").over(over("state")).alias("nb"), F.sum("n").over(over()).alias("nt"))
     found = parts.groupBy("draw").agg(F.sum(F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("na") * F.col("nb")))).alias("information"))

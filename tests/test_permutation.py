@@ -62,3 +62,11 @@ def test_rows_are_shuffled_once_whatever_the_draws(spark):
 def test_empty(spark):
     row = events.permutation_null(spark.createDataFrame([], SCHEMA), "site", "identity", "state", 3, "t").first()
     assert row.observed is None and row.p_value is None
+
+
+def test_one_site_is_many_tasks_and_is_permuted_once(spark):
+    df = spark.createDataFrame([(i, "p", "ab"[i % 2], i % 3) for i in range(60)], SCHEMA)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan(events.permutation_counts(df, "site", "identity", "state", 60, "t")).splitlines() if "Exchange hash" in line]
+    assert any("__first" in line and "REPARTITION_BY_NUM" in line for line in exchanges)
+    assert "FlatMapGroups" not in plan(events.permutation_null(df, "site", "identity", "state", 60, "t"))
