@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut
 from tessera.operators import decisions, identity, protocol
 from tessera.plans.information import rounds
 from tessera.plans.inputs import table
@@ -38,21 +39,22 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learnt = _orders(spark, sf_dir).filter("role = 'training'")
+def forecasts(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    orders = _orders(spark, sf_dir) if orders is None else orders
+    learnt = orders.filter("role = 'training'")
     count = lambda k: F.count_if(F.col("state") == k) + 0.5
     shares = F.array(*[count(k) / (F.count("*") + 0.5 * CLASSES) for k in range(CLASSES)])
     given, pooled = learnt.groupBy("seg").agg(shares.alias("conditional")), learnt.agg(shares.alias("reference"))
-    rows = _orders(spark, sf_dir).filter("role != 'training'").join(F.broadcast(given), "seg").crossJoin(F.broadcast(pooled))
+    rows = orders.filter("role != 'training'").join(F.broadcast(given), "seg").crossJoin(F.broadcast(pooled))
     return rows.select("role", "row_id", "grp", "stratum", "conditional", "reference", "weight")
 
 
-def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).filter("role = 'training'").select("grp", "stratum").distinct()
+def training(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    return (_orders(spark, sf_dir) if orders is None else orders).filter("role = 'training'").select("grp", "stratum").distinct()
 
 
-def outcomes(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
-    return _orders(spark, sf_dir).filter(F.col("role") == role).select("row_id", "state")
+def outcomes(spark: SparkSession, sf_dir: str, role: str, orders: DataFrame | None = None) -> DataFrame:
+    return (_orders(spark, sf_dir) if orders is None else orders).filter(F.col("role") == role).select("row_id", "state")
 
 
 def _text(name: str):
@@ -92,8 +94,7 @@ _TRAINED = f"SELECT 'training' AS role, count(*) AS n_rows, count(DISTINCT grp)
 
 @query(f"WITH {FORECASTS} {_digest_sql('fo')} UNION ALL {_TRAINED}")
 def protocol_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = protocol.freeze(forecasts(spark, sf_dir), training(spark, sf_dir), CLASSES, MISCOVERAGE, MODEL, REFERENCE, fields())
-    return plan.select("role", "n_rows", "n_groups", "digest")
+    return _frozen(spark, sf_dir)[0].select("role", "n_rows", "n_groups", "digest")
 
 
 _SCENES = ("same", "changed", "missing", "doubled")
@@ -106,7 +107,7 @@ _SCENES = ("same", "changed", "missing", "doubled")
  SELECT scene, role, pl.n_rows AS planned, nw.n_rows AS found, CASE WHEN nw.n_rows < pl.n_rows THEN 'rows_missing' WHEN nw.n_rows > pl.n_rows THEN 'rows_added' WHEN pl.digest = nw.digest THEN 'unchanged' ELSE 'changed' END AS status FROM pl JOIN nw USING (role)""")
 def protocol_role_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of every role on the frozen tables and with one calibration row changed, missing and doubled."""
-    rows, learnt = forecasts(spark, sf_dir), training(spark, sf_dir)
+    rows, learnt = _staged(spark, sf_dir)[:2]
     plan = protocol.role_digests(rows, learnt, fields())
     first = rows.filter("role = 'calibration'").agg(F.min("row_id").alias("__r"))
     marked = rows.crossJoin(F.broadcast(first)).withColumn("__hit", F.col("row_id") == F.col("__r")).drop("__r")
@@ -125,15 +126,30 @@ def _gains_sql(role: str) -> str:
     return f"SELECT grp, stratum, count(*) AS n_rows, sum(weight * (ln(conditional[state + 1]) - ln(reference[state + 1]))) / sum(weight) AS gain FROM fo WHERE role = '{role}' GROUP BY grp, stratum"
 
 
-def _scored(spark: SparkSession, sf_dir: str, role: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows, learnt = forecasts(spark, sf_dir), training(spark, sf_dir)
-    plan = protocol.freeze(rows, learnt, CLASSES, MISCOVERAGE, MODEL, REFERENCE, fields())
-    return plan, rows, learnt, protocol.scored(plan, rows, learnt, outcomes(spark, sf_dir, role), role, MODEL, REFERENCE, fields())
+def _staged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forecasts, training, and the orders that they and the outcomes are read from: staged as a plan binds them, so that
+    rechecks read what was frozen, and orders meet their customers once.
+    """
+    orders = cut(_orders(spark, sf_dir))
+    return cut(forecasts(spark, sf_dir, orders)), cut(training(spark, sf_dir, orders)), orders
+
+
+def _frozen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The plan and what _staged gives."""
+    rows, learnt, orders = _staged(spark, sf_dir)
+    return protocol.freeze(rows, learnt, CLASSES, MISCOVERAGE, MODEL, REFERENCE, fields()), rows, learnt, orders
+
+
+def _calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What _frozen gives, with a plan that is staged, and the calibration gains."""
+    plan, rows, learnt, orders = _frozen(spark, sf_dir)
+    plan = cut(plan)
+    return plan, rows, learnt, orders, protocol.scored(plan, rows, learnt, outcomes(spark, sf_dir, "calibration", orders), "calibration", MODEL, REFERENCE, fields())
 
 
 @query(f"WITH {FORECASTS} SELECT grp, stratum, n_rows, round(gain, 9) AS gain FROM ({_gains_sql('calibration')})")
 def protocol_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounds(_scored(spark, sf_dir, "calibration")[3])
+    return rounds(_calibrated(spark, sf_dir)[4])
 
 
 @query(f"""WITH {FORECASTS}, ca AS ({_gains_sql('calibration')}), va AS ({_gains_sql('validation')}),
@@ -143,9 +159,10 @@ def protocol_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
    round(count(*) FILTER (WHERE gain >= b) / count(*), 9) AS coverage, count(*) FILTER (WHERE gain > 0) AS n_positive FROM va JOIN bo USING (stratum) GROUP BY stratum, n, r, b""")
 def protocol_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Freeze, calibrate, then validate with the calibration's digest; each step rechecks the plan."""
-    plan, rows, learnt, gains = _scored(spark, sf_dir, "calibration")
+    plan, rows, learnt, orders, gains = _calibrated(spark, sf_dir)
+    gains = cut(gains)
     digest = protocol.gains_digest(gains).first()["digest"]
-    return rounds(protocol.validated(plan, gains, digest, rows, learnt, outcomes(spark, sf_dir, "validation"), MODEL, REFERENCE, fields()))
+    return rounds(protocol.validated(plan, gains, digest, rows, learnt, outcomes(spark, sf_dir, "validation", orders), MODEL, REFERENCE, fields()))
 
 
 KEYS = ("by_nation", "by_segment")

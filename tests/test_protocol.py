@@ -179,3 +179,23 @@ def test_admission(spark):
     forecasts = forecasts.filter("grp != 'c8'")
     with pytest.raises(ValueError, match=identity.VACUOUS):
         admitted(few)
+
+
+def test_queries_stage_what_a_plan_binds(spark):
+    """Orders met their customers anew, by a broadcast each time, in every check and digest."""
+    from tessera.plans import protocols
+
+    made = protocols._calibrated(spark, "/root/testdata/sf0.001")
+    assert all("FileScan parquet" not in df._jdf.queryExecution().executedPlan().toString() for df in made)
+
+
+def test_digest_sums_are_those_of_single_numbers(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([(i,) for i in range(40)], "a long")
+    got = protocol.digest_sums(rows, [rows.a]).first()
+    hexes = [hashlib.sha256(f"{len(str(i))}:{i}".encode()).hexdigest() for i in range(40)]
+    assert list(got.sums) == [sum(int(h[4 * k : 4 * k + 4], 16) for h in hexes) for k in range(16)] and got.n_rows == 40
+    # sixteen conversions a row were much of a digest's work
+    plan = protocol.digest_sums(rows, [rows.a])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("conv(") == 6
