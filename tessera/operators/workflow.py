@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.algebra import log_or_failure
+from tessera.functions.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,16 @@ class EventTable:
         return rows.withColumn("w", weight)
 
 
+#: Groups up to which their weights are sent to all executors; rows of a partition that learners keep in memory.
+SENT, HELD = 500_000, 1_000_000
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows staged in partitions of at most about HELD, of which a forest of 50 trees makes some 300 MB of points."""
+    n, least = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return cut(rows.repartition(max(1, -(-n // HELD), min(2 * least, n // 20_000))))
+
+
 def hierarchical_weights(rows: DataFrame, stratum: str, group: str) -> DataFrame:
     """Rows with training_weight 1 / (strata x groups in the stratum x rows of the group)."""
     per_group = rows.groupBy(stratum, group).agg(F.count("*").alias("rows_in_group"))
@@ -48,7 +59,9 @@ def hierarchical_weights(rows: DataFrame, stratum: str, group: str) -> DataFrame
     strata = per_stratum.agg(F.count("*").alias("strata"))
     sizes = per_group.join(per_stratum, stratum).crossJoin(F.broadcast(strata))
     sizes = sizes.withColumn("training_weight", 1.0 / (F.col("strata") * F.col("groups_in_stratum") * F.col("rows_in_group")))
-    return rows.join(sizes.select(stratum, group, "training_weight"), [stratum, group])
+    sizes = cut(sizes.select(stratum, group, "training_weight"))
+    # few groups are sent to the rows: by a shuffle, all rows of a group would meet in one task
+    return rows.join(F.broadcast(sizes) if sizes.count() <= SENT else sizes, [stratum, group])
 
 
 def fold_baselines(rows: DataFrame, fold: str, stratum: str, state: str, alpha: float) -> DataFrame:
@@ -116,6 +129,8 @@ def cross_validated(rows: DataFrame, roles: EventTable, model: str | Estimator =
     groups and rows hierarchically and baselines use the event weights. One fit per fold; scoring all folds is one plan.
     """
     rows = roles.validated(rows)
+    if not policy:  # a policy may use any column, and its rows are its own
+        rows = _dealt(rows.select(*dict.fromkeys((roles.state, roles.group, roles.stratum, roles.fold, *roles.features, "w"))))
     weighted = None if policy else hierarchical_weights(rows, roles.stratum, roles.group)
     baselines = None if policy else fold_baselines(rows, roles.fold, roles.stratum, roles.state, alpha)
     scored = None
@@ -127,13 +142,13 @@ def cross_validated(rows: DataFrame, roles: EventTable, model: str | Estimator =
             baselines = one if baselines is None else baselines.unionByName(one)
         else:
             train = weighted.filter(F.col(roles.fold) != fold)
-        total = train.agg(F.sum("training_weight")).first()[0]
+        total, n = train.agg(F.sum("training_weight"), F.count("*")).first()
         common = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "training_weight"}
-        learner = _learner(model, common, total, train.count(), seed)
+        learner = _learner(model, common, total, n, seed)
         fitted = Pipeline(stages=[StringIndexer(inputCol=roles.state, outputCol="__label", handleInvalid="keep", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(roles.features), outputCol="__features"), learner]).fit(train)
         out = fitted.transform(test).withColumn("p_model", F.element_at(vector_to_array("probability"), (F.col("__label") + 1).cast("int")))
         out = out.select(roles.fold, roles.group, roles.stratum, roles.state, "w", F.coalesce("p_model", F.lit(0.0)).alias("p_model"))
         scored = out if scored is None else scored.unionByName(out)
-    joined = scored.join(baselines, [roles.fold, roles.stratum, roles.state])
+    joined = scored.join(F.broadcast(baselines), [roles.fold, roles.stratum, roles.state])
     mean = lambda a, b: F.sum(F.col("w") * (log_or_failure(F.col(a)) - log_or_failure(F.col(b)))) / F.sum("w")
     return joined.groupBy(roles.stratum, roles.group).agg(mean("p_model", "p_pooled").alias("pooled_gain"), mean("p_stratum", "p_pooled").alias("stratum_gain"), mean("p_model", "p_stratum").alias("context_gain"), F.sum("w").alias("weight"))
