@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.algebra import log_or_failure
 from tessera.functions.lineage import cut
+from tessera.operators import forest
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ SENT, HELD = 500_000, 1_000_000
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """The rows staged in partitions of at most about HELD, of which a forest of 50 trees makes some 300 MB of points."""
+    """The rows staged in partitions of at most about HELD, as learners keep their points of a partition together."""
     n, least = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     return cut(rows.repartition(max(1, -(-n // HELD), min(2 * least, n // 20_000))))
 
@@ -116,8 +117,6 @@ def _learner(model: str | Estimator, columns: dict[str, str], total: float, n: i
         return model.copy({model.getParam(c): name for c, name in columns.items()})
     if model == "logit":
         return LogisticRegression(**columns, regParam=1.0 / (total * n), standardization=False, maxIter=100)
-    if model == "forest":
-        return RandomForestClassifier(**columns, numTrees=50, maxDepth=6, seed=seed)
     raise ValueError(f"unknown model {model!r}")
 
 
@@ -127,14 +126,17 @@ def cross_validated(rows: DataFrame, roles: EventTable, model: str | Estimator =
     model: "logit", "forest" or any classifier of Spark ML that gives probabilities and takes weights. A policy is given
     the training rows of each fold and weights them for the model and the baselines; without one, models weigh strata,
     groups and rows hierarchically and baselines use the event weights. One fit per fold; scoring all folds is one plan.
+    A forest counts its rows in cells, and so reads them several times; other models' rows are staged.
     """
     rows = roles.validated(rows)
     if not policy:  # a policy may use any column, and its rows are its own
-        rows = _dealt(rows.select(*dict.fromkeys((roles.state, roles.group, roles.stratum, roles.fold, *roles.features, "w"))))
+        rows = rows.select(*dict.fromkeys((roles.state, roles.group, roles.stratum, roles.fold, *roles.features, "w")))
+        rows = rows if model == "forest" else _dealt(rows)
     weighted = None if policy else hierarchical_weights(rows, roles.stratum, roles.group)
-    baselines = None if policy else fold_baselines(rows, roles.fold, roles.stratum, roles.state, alpha)
-    scored = None
-    for fold in sorted(r[0] for r in rows.select(roles.fold).distinct().collect()):  # a few folds
+    tallies = cut(rows.groupBy(roles.fold, roles.stratum, roles.state).agg(F.sum("w").alias("w")))
+    baselines = None if policy else fold_baselines(tallies, roles.fold, roles.stratum, roles.state, alpha)
+    scored, trains = None, {}
+    for fold in sorted(r[0] for r in tallies.select(roles.fold).distinct().collect()):  # a few folds
         test = rows.filter(F.col(roles.fold) == fold)
         if policy:
             train = _policy_weights(rows.filter(F.col(roles.fold) != fold), roles, policy)
@@ -142,6 +144,9 @@ def cross_validated(rows: DataFrame, roles: EventTable, model: str | Estimator =
             baselines = one if baselines is None else baselines.unionByName(one)
         else:
             train = weighted.filter(F.col(roles.fold) != fold)
+        if model == "forest":
+            trains[fold] = train
+            continue
         total, n = train.agg(F.sum("training_weight"), F.count("*")).first()
         common = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "training_weight"}
         learner = _learner(model, common, total, n, seed)
@@ -149,6 +154,9 @@ def cross_validated(rows: DataFrame, roles: EventTable, model: str | Estimator =
         out = fitted.transform(test).withColumn("p_model", F.element_at(vector_to_array("probability"), (F.col("__label") + 1).cast("int")))
         out = out.select(roles.fold, roles.group, roles.stratum, roles.state, "w", F.coalesce("p_model", F.lit(0.0)).alias("p_model"))
         scored = out if scored is None else scored.unionByName(out)
+    if model == "forest":
+        states = sorted(r[0] for r in tallies.select(roles.state).distinct().collect())
+        scored = forest.cross_fitted(rows, trains, weighted, states, roles.state, roles.fold, (roles.group, roles.stratum), roles.features, seed)
     joined = scored.join(F.broadcast(baselines), [roles.fold, roles.stratum, roles.state])
     mean = lambda a, b: F.sum(F.col("w") * (log_or_failure(F.col(a)) - log_or_failure(F.col(b)))) / F.sum("w")
     return joined.groupBy(roles.stratum, roles.group).agg(mean("p_model", "p_pooled").alias("pooled_gain"), mean("p_stratum", "p_pooled").alias("stratum_gain"), mean("p_model", "p_stratum").alias("context_gain"), F.sum("w").alias("weight"))
